@@ -252,11 +252,15 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80, id_col: s
     sent = classes.join(placed, "fp").select("*", others).withColumn("one", F.least("block", "other")).withColumn("two", F.greatest("block", "other"))
     links = sent.drop("other", "blocks").groupBy("component", "one", "two").applyInPandas(lambda g: _links(g, percent), "a long, b long")
     linked = connected_components(links)
-    joined = members.join(linked.withColumnRenamed("node", "class"), "class", "left").withColumn("_c", F.coalesce("component", "class"))
-    joined = written(joined.select("id", "key", "n_shingles", "class", "_c"), "join-members")
-    lowest = joined.where("_c is not null").groupBy("_c").agg(F.min("id").alias("_low"))
-    out = joined.join(lowest, "_c", "left")
-    return out.select(F.col("id").alias(id_col), "n_shingles", "class", F.when(F.col("_c").isNull(), F.col("id")).otherwise(F.col("_low")).alias("component_id"), F.col("_c").alias("component"), F.col("key").alias("text_key"))
+    # by class, of which a very large one is one row: its component, and the smallest id in that
+    own = members.where("class is not null").groupBy("class").agg(F.min("id").alias("_own"))
+    own = own.join(linked.withColumnRenamed("node", "class"), "class", "left").select("class", "_own", F.coalesce("component", "class").alias("component"))
+    own = written(own, "join-components")
+    lowest = own.groupBy("component").agg(F.min("_own").alias("_low"))
+    known = own.select("class", "component").join(lowest, "component")
+    out = members.join(known, "class", "left")  # a skewed side that Spark can split
+    component_id = F.when(F.col("class").isNull(), F.col("id")).otherwise(F.col("_low"))
+    return out.select(F.col("id").alias(id_col), "n_shingles", "class", component_id.alias("component_id"), "component", F.col("key").alias("text_key"))
 
 
 def first_of_each(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
