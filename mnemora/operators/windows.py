@@ -63,7 +63,8 @@ def versions(facts: DataFrame) -> DataFrame:
     A fact that repeats the value before it in its slot opens no version; it is left out.
     """
     w = Window.partitionBy("slot_key").orderBy("created_at", "id")
-    changed = facts.withColumn("_before", F.lag("value").over(w)).where(~F.col("value").eqNullSafe(F.col("_before")) | F.col("_before").isNull()).drop("_before")
+    before = F.lag(F.struct("value")).over(w)  # null for the first row alone
+    changed = facts.withColumn("_before", before).where(F.col("_before").isNull() | ~F.col("value").eqNullSafe(F.col("_before.value"))).drop("_before")
     return changed.withColumns({"valid_from": F.col("created_at"), "valid_to": F.lead("created_at").over(w), "supersedes": F.lag("id").over(w), "superseded_by": F.lead("id").over(w)})
 
 
