@@ -37,6 +37,20 @@ def with_own(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
     return df.select(*[F.col(f"`{c}`") for c in df.columns if c.lower() not in mine], *[v.alias(k) for k, v in columns.items()])
 
 
+def sheltered(df: DataFrame, *names: str) -> tuple[DataFrame, list[str]]:
+    """df with its columns called c0, c1, ..., so that none clashes with a helper's, and what names became."""
+    new = [f"c{i}" for i in range(len(df.columns))]
+    lower = [c.lower() for c in df.columns]
+    return df.toDF(*new), [new[lower.index(n.lower())] for n in names]
+
+
+def restored(df: DataFrame, columns: list[str], own: dict[str, Column]) -> DataFrame:
+    """A sheltered frame under its old names, with these columns; old ones of the same names give way."""
+    mine = {c.lower() for c in own}
+    kept = [F.col(f"c{i}").alias(c) for i, c in enumerate(columns) if c.lower() not in mine]
+    return df.select(*kept, *[v.alias(k) for k, v in own.items()])
+
+
 def utf8_bytes(text: Column) -> Column:
     """The number of UTF-8 bytes of a text; 0 for null."""
     return F.coalesce(F.octet_length(text), F.lit(0)).cast("long")

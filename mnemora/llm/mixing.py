@@ -14,7 +14,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import n_words, with_own, written
+from .common import n_words, restored, sheltered, written
 
 #: Bits of the hash by which each round refines.
 BITS = 12
@@ -79,9 +79,10 @@ def mix_sources(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), share: fl
     source is a source. A source without words has target 0. An empty table gives an empty table. Columns named
     size, source_size, target or taken are replaced.
     """
-    source, size = F.col(source_col), n_words(F.col(text_col))
-    hashed = F.xxhash64(F.col(id_col), F.col(text_col), F.lit(5))
-    rows = written(docs.select(source.alias("source"), size.alias("size"), hashed.alias("_hash")), "mix-sizes")
+    d, (doc_id, text, origin) = sheltered(docs, id_col, text_col, source_col)
+    source, size = F.col(origin), n_words(F.col(text))
+    hashed = F.xxhash64(F.col(doc_id), F.col(text), F.lit(5))
+    rows = written(d.select(source.alias("source"), size.alias("size"), hashed.alias("_hash")), "mix-sizes")
     targets = written(source_targets(rows, weights, share, most), "mix-targets")
     times = F.floor(F.col("target") / F.col("source_size")).cast("int")
     plan = targets.select("source", F.when(F.col("source_size") > 0, times).otherwise(0).alias("_times"), "source_size", "target")
@@ -89,15 +90,14 @@ def mix_sources(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), share: fl
     bounds = thresholds(rows, plan.where("source_size > 0").select("source", "_rest"))
     plan = plan.join(bounds.withColumnRenamed("source", "_s"), F.col("source").eqNullSafe(F.col("_s")), "left")
     plan = written(plan.select(F.col("source").alias("_s"), "_times", "_bound", "source_size", "target"), "mix-plan")
-    sized = with_own(docs, {"size": size, "_hash": hashed})
-    mine = [c for c in sized.columns if c.lower() not in ("source_size", "target", "taken")]
-    joined = sized.select(*[f"`{c}`" for c in mine]).join(plan, F.col(source_col).eqNullSafe(F.col("_s")))
+    joined = d.withColumns({"size": size, "_hash": hashed}).join(plan, source.eqNullSafe(F.col("_s")))
     below = F.coalesce(_bits(ROUNDS * BITS) < F.col("_bound"), F.lit(False)).cast("int")
     own = {"size": F.col("size"), "source_size": F.col("source_size"), "target": F.col("target"), "taken": F.col("size") * (F.col("_times") + below)}
-    return with_own(joined, own).drop("_hash", "_s", "_times", "_bound")
+    return restored(joined, docs.columns, own)
 
 
 def repeated(mixed: DataFrame) -> DataFrame:
     """The rows of a mix, each as often as it is taken; rows without words are kept once, as no budget counts them."""
-    times = F.when(F.col("size") > 0, (F.col("taken") / F.col("size")).cast("int")).otherwise(1)
-    return mixed.withColumn("_copy", F.explode(F.array_repeat(F.lit(1), times))).drop("_copy")
+    d, (size, taken) = sheltered(mixed, "size", "taken")
+    times = F.when(F.col(size) > 0, (F.col(taken) / F.col(size)).cast("int")).otherwise(1)
+    return restored(d.select("*", F.explode(F.array_repeat(F.lit(1), times)).alias("_copy")), mixed.columns, {})

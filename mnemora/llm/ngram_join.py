@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import n_words, partitions, written
+from .common import n_words, partitions, restored, sheltered, written
 from .components import connected_components
 
 #: Classes in a block; a task compares two blocks.
@@ -275,8 +275,9 @@ def first_of_each(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str =
     kept = kept.select(F.col(f"_first.{id_col}").alias("_id"), F.col("_first.text_key").alias("_key"))
     single = found.where("component is null").select(F.col(id_col).alias("_id"), F.col("text_key").alias("_key")).distinct()
     kept = kept.union(single)
-    keyed = docs.withColumn("_text_key", F.xxhash64(text_col))
-    stay = keyed.join(kept, F.col(id_col).eqNullSafe(F.col("_id")) & (F.col("_text_key") == F.col("_key")), "left_semi")
-    worded = n_words(F.col(text_col)) > 0
-    copy = F.when(worded, F.row_number().over(Window.partitionBy(id_col, "_text_key").orderBy(F.lit(1)))).otherwise(1)
-    return stay.withColumn("_copy", copy).where("_copy = 1").drop("_copy", "_text_key")
+    d, (doc_id, text) = sheltered(docs, id_col, text_col)
+    keyed = d.withColumn("_text_key", F.xxhash64(text))
+    stay = keyed.join(kept, F.col(doc_id).eqNullSafe(F.col("_id")) & (F.col("_text_key") == F.col("_key")), "left_semi")
+    copy = F.row_number().over(Window.partitionBy(doc_id, "_text_key").orderBy(F.lit(1)))
+    once = stay.withColumn("_copy", F.when(n_words(F.col(text)) > 0, copy).otherwise(1)).where("_copy = 1")
+    return restored(once, docs.columns, {})

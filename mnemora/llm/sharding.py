@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import utf8_bytes, with_own, written
+from .common import restored, sheltered, utf8_bytes, written
 
 #: Bytes that each row takes besides its text.
 ROW_BYTES = 16
@@ -87,8 +87,9 @@ def histogram_shards(docs: DataFrame, shards: int = 40, id_col: str = "doc_id",
     slots in no set order; an empty table gives an empty table; columns named size, shard or slot are replaced.
     """
     spark = docs.sparkSession
-    k1, k2 = F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))), F.xxhash64(F.col(id_col), F.lit(1))
-    keyed = with_own(docs, {"_k1": k1, "_k2": k2, "size": utf8_bytes(F.col(text_col)) + ROW_BYTES})
+    d, (doc_id, text) = sheltered(docs, id_col, text_col)
+    k1, k2 = F.xxhash64(F.coalesce(F.col(text), F.lit(""))), F.xxhash64(F.col(doc_id), F.lit(1))
+    keyed = d.withColumns({"_k1": k1, "_k2": k2, "size": utf8_bytes(F.col(text)) + ROW_BYTES})
     keys = written(keyed.select("_k1", "_k2", "size"), "shard-keys")
     cells = dict(keys.groupBy(_prefix(FIRST).alias("p")).agg(F.sum("size")).collect())
     total = sum(cells.values())
@@ -120,4 +121,4 @@ def histogram_shards(docs: DataFrame, shards: int = 40, id_col: str = "doc_id",
     rank = F.row_number().over(Window.partitionBy("_part").orderBy("_key"))
     placed = with_part(keyed).withColumn("_rank", rank).join(base, "_part")
     own = {"size": F.col("size"), "shard": F.floor(F.col("_part") / per_shard).cast("int"), "slot": F.col("_base") + F.col("_rank") - 1}
-    return with_own(placed, own).drop("_k1", "_k2", "_key", "_cell", "_below", "_cuts", "_part", "_rank", "_base")
+    return restored(placed, docs.columns, own)
