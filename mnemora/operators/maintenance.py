@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -66,34 +66,40 @@ def guarded_ingest(claims: DataFrame, high: float = 0.8) -> DataFrame:
     claim is inserted; the same value refreshes; a conflicting one supersedes if it is an explicit correction or
     first-hand and no less sure, unless the live fact is pinned or well evidenced, when it waits for confirmation.
 
-    The outcome of a claim depends on those before it, so a slot is a fold over its claims. Jokes and hearsay leave
-    the slot as it is and are settled outside the fold, as are slots with a single claim, which are most.
+    The outcome of a claim depends on those before it, so a slot is a fold over its claims: they stream by in order,
+    slot after slot, and only the live fact is held. Jokes and hearsay leave the slot as it is and are settled
+    outside the fold, as are slots with a single claim.
     """
     d = claims.withColumn("outcome", F.when(F.col("joke"), "rejected").when(F.col("hearsay"), "uncertain"))
     plain = d.where(F.col("outcome").isNotNull()).select("slot_key", "id", "outcome", F.lit(None).cast("long").alias("live_id"))
     rest = d.where(F.col("outcome").isNull()).withColumn("_n", F.count("*").over(Window.partitionBy("slot_key")))
     single = rest.where("_n = 1").select("slot_key", "id", F.when(F.col("close"), "ignored").otherwise("inserted").alias("outcome"), F.when(~F.col("close"), F.col("id")).alias("live_id"))
 
-    def fold(group: pd.DataFrame) -> pd.DataFrame:
-        live, out = None, []
-        for c in group.sort_values(["ts", "id"]).itertuples():
-            if c.close:
-                outcome, live = ("closed", None) if live is not None else ("ignored", None)
-            elif live is None:
-                outcome, live = "inserted", c
-            elif c.value == live.value:
-                outcome = "refreshed"
-            elif live.pinned or (live.confidence >= high and not c.correction):
-                outcome = "pending"
-            elif c.correction or (c.first_person and c.confidence >= live.confidence):
-                outcome, live = "superseded", c
-            else:
-                outcome = "pending"
-            out.append((c.slot_key, c.id, outcome, live.id if live is not None else None))
-        return pd.DataFrame(out, columns=["slot_key", "id", "outcome", "live_id"]).astype({"live_id": "Int64"})
+    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        slot, live = None, None
+        for batch in batches:
+            out = []
+            for c in batch.itertuples():
+                if c.slot_key != slot:
+                    slot, live = c.slot_key, None
+                if c.close:
+                    outcome, live = ("closed", None) if live is not None else ("ignored", None)
+                elif live is None:
+                    outcome, live = "inserted", c
+                elif c.value == live.value:
+                    outcome = "refreshed"
+                elif live.pinned or (live.confidence >= high and not c.correction):
+                    outcome = "pending"
+                elif c.correction or (c.first_person and c.confidence >= live.confidence):
+                    outcome, live = "superseded", c
+                else:
+                    outcome = "pending"
+                out.append((c.slot_key, c.id, outcome, live.id if live is not None else None))
+            yield pd.DataFrame(out, columns=["slot_key", "id", "outcome", "live_id"]).astype({"live_id": "Int64"})
 
     many = rest.where("_n > 1").select("slot_key", "id", "ts", "value", "confidence", "first_person", "correction", "close", "pinned")
-    return plain.unionByName(single).unionByName(many.groupBy("slot_key").applyInPandas(fold, _INGESTED))
+    folded = many.repartition("slot_key").sortWithinPartitions("slot_key", "ts", "id").mapInPandas(fold, _INGESTED)
+    return plain.unionByName(single).unionByName(folded)
 
 
 def completed_tool_groups(messages: DataFrame, keys: Sequence[str]) -> DataFrame:
