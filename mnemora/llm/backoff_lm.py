@@ -29,7 +29,7 @@ from .common import partitions, with_own, written
 from .ngram_join import _batch, mixed
 
 #: Words that a block holds before it is closed; a longer text is a block of its own.
-BLOCK_WORDS = 1_500_000
+BLOCK_WORDS = 1_200_000
 #: Stand for the end of a text and for what lies before its start; no word has these, as words are hashed to odd numbers.
 END, START = np.uint64(2), np.uint64(4)
 
@@ -130,10 +130,10 @@ def _answer(asked: pd.DataFrame) -> pd.DataFrame:
     for n, part in asked.groupby("size"):
         keys, counts = [_long(x) for x in part["keys"]], [np.frombuffer(x, np.uint32) for x in part["counts"]]
         value, index = np.unique(np.concatenate(keys), return_inverse=True)
-        total = np.bincount(index, np.concatenate(counts).astype(np.float64), len(value))
-        at = 0
+        total = np.bincount(index, np.concatenate(counts), len(value))
+        answer, at = total.astype(np.uint32)[index], 0
         for block, k, i in zip(part["block"], keys, part.index):
-            out.append((asked.at[i, "bucket"], block, n, None, total[index[at : at + len(k)]].astype(np.uint64).astype(np.uint32).tobytes()))
+            out.append((asked.at[i, "bucket"], block, n, None, answer[at : at + len(k)].tobytes()))
             at += len(k)
         known = value[total > 0]
         if n == 1:  # training tokens and distinct words of this bucket
@@ -191,7 +191,7 @@ def score_texts(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col
     the automaton is bounded by BLOCK_WORDS or its one text; a very common n-gram is asked for once by each block.
     """
     spark = docs.sparkSession
-    k = buckets or partitions(spark)
+    k = buckets or 2 * partitions(spark)  # n-grams of a bucket are in memory together
     d = docs.select(F.col(id_col).cast("long").alias("row"), F.coalesce(train, F.lit(False)).alias("train"), F.col(text_col).alias("text"))
     blocks = written(d.mapInArrow(_blocks, BLOCKS), "lm-blocks")
     asked = blocks.mapInArrow(lambda b: _ask(b, order, k), ASKED)
