@@ -85,7 +85,7 @@ def within_budget(rows: DataFrame, keys: Sequence[str], order: Sequence[Column],
     return rows.withColumn("used", F.sum(size).over(w)).where(F.col("used") <= budget)
 
 
-def packed(lines: Column, budget: int) -> Column:
+def packed(lines: Column, budget: int | Column) -> Column:
     """The lines of an array that fit a budget of characters, a newline between: one too long is skipped, not the rest."""
 
     def add(done: Column, line: Column) -> Column:
