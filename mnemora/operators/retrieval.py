@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 from mnemora.functions.text import tokens
 
 K1, B = 1.5, 0.75
+#: Up to so many different query terms are broadcast; more are joined like any table.
+FEW_TERMS = 100_000
 
 
 def bm25(docs: DataFrame, queries: DataFrame, id_col: str = "doc_id", text_col: str = "text", query_id: str = "item_id", query_text: str = "text") -> DataFrame:
@@ -20,13 +22,16 @@ def bm25(docs: DataFrame, queries: DataFrame, id_col: str = "doc_id", text_col:
     are kept when documents are split, before anything is exchanged; the lengths need no exchange at all.
     """
     q = queries.select(F.col(query_id).alias("_q"), F.explode(F.array_distinct(tokens(F.col(query_text)))).alias("term"))
+    wanted = q.select("term").distinct()
+    few = wanted.limit(FEW_TERMS + 1).count() <= FEW_TERMS
+    sized = F.broadcast if few else (lambda d: d)  # a row for each term of the queries, counted just now
     split = docs.select(F.col(id_col).alias("_d"), tokens(F.col(text_col)).alias("_t")).withColumn("dl", F.size("_t"))
     total = split.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
-    tf = split.select("_d", "dl", F.explode("_t").alias("term")).join(q.select("term").distinct(), "term", "left_semi").groupBy("_d", "dl", "term").agg(F.count("*").alias("tf"))
+    tf = split.select("_d", "dl", F.explode("_t").alias("term")).join(sized(wanted), "term", "left_semi").groupBy("_d", "dl", "term").agg(F.count("*").alias("tf"))
     df = tf.groupBy("term").agg(F.count("*").alias("df"))
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    scored = tf.join(df, "term").join(q, "term").join(F.broadcast(total), how="cross")  # one row
+    scored = tf.join(sized(df), "term").join(q, "term").join(F.broadcast(total), how="cross")  # one row
     return scored.groupBy("_q", "_d").agg(F.sum(part).alias("score")).select(F.col("_q").alias(query_id), F.col("_d").alias(id_col), "score")
 
 
