@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from mnemora.functions.scores import decay_weight
+from mnemora.functions.text import detect_domain, normalize_slot, topic_key
 
 
 def unseen(new: DataFrame, old: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -125,3 +126,24 @@ def schema_upgraded(rows: DataFrame, shape: T.StructType, defaults: dict[str, Co
         c = F.col(f.name).try_cast(f.dataType) if f.name in have else F.lit(None).cast(f.dataType)
         cols.append((F.coalesce(c, defaults[f.name]) if f.name in defaults else c).alias(f.name))
     return rows.select(*cols)
+
+
+def folded_preferences(facts: DataFrame) -> DataFrame:
+    """(id, keeper): dislikes and notes that say again what a like of the same speaker says, and may go.
+
+    facts: live ones, with id, speaker_id, persona_id, attribute, value, content, topic, pinned. The first like (by
+    id) whose topic the other mentions decides: personas and domains must not differ, and only what has the same
+    polarity is folded; pinned facts stay. An equality join by speaker, with the mention as its condition.
+    """
+    likes = facts.where("attribute = 'likes'").select("speaker_id", F.col("id").alias("keeper"), F.col("persona_id").alias("_p"), F.col("value").alias("_v"), F.col("topic").alias("_t"), topic_key(F.col("value")).alias("_key"))
+    others = facts.where(F.col("attribute").isin("dislikes", "note") & ~F.col("pinned"))
+    value, content = normalize_slot(F.col("value")), normalize_slot(F.col("content"))
+    verbs = "(喜欢|讨厌|爱喝|爱吃|受不了|习惯|怕)"
+    says = lambda c: F.contains(c, F.col("_key")) & ((F.length("_key") >= 2) | c.rlike(verbs))
+    agree = lambda a, b: (F.coalesce(a, F.lit("")) == "") | (F.coalesce(b, F.lit("")) == "") | (a == b)
+    domain = F.coalesce(F.nullif(F.col("topic"), F.lit("")), detect_domain(F.col("content"), F.col("_v")))
+    met = others.join(likes, "speaker_id").where((F.col("_key") != "") & (says(value) | says(content)) & agree(F.col("_p"), F.col("persona_id")) & agree(F.col("_t"), domain))
+    first = F.row_number().over(Window.partitionBy("id").orderBy("keeper"))
+    negative = (F.col("attribute") == "dislikes") | F.concat(value, F.lit(" "), content).rlike("(不喜欢|没喜欢|不再喜欢|不爱|讨厌|受不了)")
+    d = met.withColumn("_n", first).where("_n = 1")
+    return d.where(normalize_slot(F.col("_v")).rlike("^[不没别非]") == negative).select("id", "keeper")

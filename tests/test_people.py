@@ -3,8 +3,8 @@
 import pytest
 from pyspark.sql import functions as F
 
-from mnemora.functions import addressee, extraction, history, slots
-from mnemora.operators import cards, people
+from mnemora.functions import addressee, extraction, history, render, slots
+from mnemora.operators import cards, maintenance, people
 
 
 def rows_of(df, *cols):
@@ -99,3 +99,24 @@ def test_histories_lose_images_and_finished_tools(spark):
     d = spark.createDataFrame([([("user", "see data:image/png;base64,AAAA=="), ("tool", "long result"), ("tool", "open")],)], "m array<struct<role:string,content:string>>")
     m = history.without_finished_tools(history.without_images(F.col("m")), F.array(F.lit(1)))
     assert [x.content for x in d.select(m.alias("m")).first().m] == ["see [image]", "[tool result]", "open"]
+
+
+def test_lines(spark):
+    lit = lambda *x: [F.lit(v) for v in x]
+    d = spark.range(1).select(
+        render.fact_line(*lit("person", "", "u1", "likes", "", "tea please", "tea", "饮品", "uncertain")).alias("f"), render.episode_line(*lit("owner", "", "", "talk", "T", "", 0, "")).alias("e"),
+        render.history_line(*lit("person", "Ann", "u1", "tea", 86400, 172800, "rice")).alias("h"),
+    ).first()
+    assert tuple(d) == ("- [u1/likes] tea please（饮品）（不确定）", "- [时间未知 · T] T（主人聊过）", "- [01-02 00:00~01-03 00:00] Ann：tea（现在：rice）")
+
+
+def test_review_scores(spark):
+    rows = [("jargon", "yolo", "live now", "", "", ""), ("jargon", "12", "", "", "", ""), ("fewshot", "", "", "a" * 40, "b" * 60, ""), ("fewshot", "", "", "/cmd", "b" * 60, ""), ("persona", "", "", "", "", "你是猫"), ("x", "", "", "", "", "")]
+    d = spark.createDataFrame(rows, "k string, t string, m string, u string, b string, d string")
+    assert [r.s for r in d.select(render.review_score(*[F.col(c) for c in "ktmubd"]).alias("s")).collect()] == [85, 25, 60, 11, 5, 50]
+
+
+def test_preferences_fold_only_with_the_same_polarity(spark):
+    shape = "id int, speaker_id string, persona_id string, attribute string, value string, content string, topic string, pinned boolean"
+    rows = [(1, "u", "", "likes", "喜欢美式", "", "饮品", False), (2, "u", "", "note", "", "喜欢喝美式咖啡", "", False), (3, "u", "", "dislikes", "美式", "", "", False), (4, "u", "", "note", "", "美式穿搭风格", "穿搭", False), (5, "u", "", "note", "", "美式", "", True), (6, "v", "", "note", "", "美式", "", False)]
+    assert rows_of(maintenance.folded_preferences(spark.createDataFrame(rows, shape)), "id", "keeper") == [(2, 1)]
