@@ -9,8 +9,8 @@ sets are compared.
 Flow: (1) shingles go to buckets by hash, packed, and are counted exactly; (2) those in two classes or more return
 to their class's bucket, where prefixes are cut; classes whose prefix holds only shingles of their own can have no
 partner; (3) classes that share a prefix shingle under the first order are gathered into connected parts, by star
-joins; (4) a part is compared in pairs of blocks of bounded size, and each task gives a spanning forest of the
-links it finds, not all links; (5) star joins over the links give the components.
+joins; (4) a part is compared in pairs of blocks of bounded size, and each task gives a star for each group that its
+links connect, not all links; (5) star joins over the links give the components.
 """
 
 from __future__ import annotations
@@ -185,7 +185,7 @@ def _meet(prefixes: list[np.ndarray]) -> np.ndarray:
 
 
 def _links(rows: pd.DataFrame, percent: int) -> pd.DataFrame:
-    """A spanning forest of the links between two blocks of a part, or within one."""
+    """What the links between two blocks of a part, or within one, connect: each set and the first of its group."""
     rows = rows.sort_values("fp")
     fp, n = rows["fp"].to_numpy(), rows["n"].to_numpy().astype(np.int64)
     block = rows["block"].to_numpy()
@@ -195,15 +195,16 @@ def _links(rows: pd.DataFrame, percent: int) -> pd.DataFrame:
         pairs &= _meet([np.frombuffer(t, np.uint64) for t in rows[p]])
     if (block != block[0]).any():
         pairs &= block[:, None] != block[None, :]
-    root, found = np.arange(len(fp)), []
+    root = np.arange(len(fp))
     for i in range(1, len(fp)):
         for j in np.flatnonzero(pairs[i, :i]):
             if root[i] != root[j]:
                 common = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
                 if 100 * common >= percent * (n[i] + n[j] - common):
-                    root[root == root[i]] = root[j]
-                    found.append((fp[j], fp[i]))
-    return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
+                    low, high = sorted((root[i], root[j]))
+                    root[root == high] = low
+    hangs = root != np.arange(len(fp))
+    return pd.DataFrame({"a": fp[hangs], "b": fp[root[hangs]]}, dtype="int64")
 
 
 def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK, buckets: int | None = None) -> DataFrame:
