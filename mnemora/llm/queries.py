@@ -48,7 +48,7 @@ def op3_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_backoff_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     held_out = crc_of_id(F.col("doc_id")) % 5 == 1
     scored = score_texts(_table(spark, sf_dir, "documents"), ~held_out)
-    return scored.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", F.round("base_score", 6).alias("base_score"), F.round("score", 6).alias("score"))
+    return scored.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", F.round("base_score", 7).alias("base_score"), F.round("score", 7).alias("score"))
 
 
 def op5_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -140,6 +140,6 @@ p AS (
     log10((two.c + 4.0 * ((one.c + 0.5) / (n + 0.5 * (v + 1)))) / (hist.c + 4.0)) AS s, n
   FROM pairs JOIN one USING (w) JOIN two USING (h, w) JOIN hist USING (h), n)
 SELECT doc_id, NOT any_value(train) AS held_out, count(*) AS n_tokens, count(*) FILTER (WHERE c1 > 0) AS n_known, any_value(n)::BIGINT AS train_tokens,
-  round(sum(b), 6) AS base_score, round(sum(s), 6) AS score FROM p GROUP BY doc_id""",
+  round(sum(b), 7) AS base_score, round(sum(s), 7) AS score FROM p GROUP BY doc_id""",
     "op10_license_scan": _license_sql(),
 }
