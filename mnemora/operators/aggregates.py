@@ -26,7 +26,8 @@ def usage_by_day(rows: DataFrame, ts: str, keys: list[str], ok: Column, tokens:
 
 def term_counts(rows: DataFrame, text: str, *keys: str) -> DataFrame:
     """(keys, term, n) of the candidate terms of all texts, lower case."""
-    split = rows.select(*keys, F.explode(terms(F.lower(F.col(text)))).alias("term"))
+    # explode_outer: explode would have every text split once more, to filter out those without terms
+    split = rows.select(*keys, F.explode_outer(terms(F.lower(F.col(text)))).alias("term")).where("term is not null")
     return split.groupBy(*keys, "term").agg(F.count("*").alias("n"))
 
 

@@ -20,7 +20,7 @@ def mentions(texts: DataFrame, names: DataFrame, id_col: str, text_col: str, nam
     An equality join on tokens: each text's distinct tokens meet the distinct names, without comparing every text
     with every name.
     """
-    t = texts.select(id_col, F.explode(F.array_distinct(tokens(F.col(text_col)))).alias("_token"))
+    t = texts.select(id_col, F.explode_outer(F.array_distinct(tokens(F.col(text_col)))).alias("_token"))
     n = names.select(F.lower(name_col).alias("_token"), F.col(name_col).alias("name")).distinct()
     return t.join(n, "_token").select(id_col, "name")
 

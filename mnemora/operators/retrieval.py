@@ -27,8 +27,9 @@ def bm25(docs: DataFrame, queries: DataFrame, id_col: str = "doc_id", text_col:
     sized = F.broadcast if few else (lambda d: d)  # a row for each term of the queries, counted just now
     split = docs.select(F.col(id_col).alias("_d"), tokens(F.col(text_col)).alias("_t")).withColumn("dl", F.size("_t"))
     total = split.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
-    tf = split.select("_d", "dl", F.explode("_t").alias("term")).join(sized(wanted), "term", "left_semi").groupBy("_d", "dl", "term").agg(F.count("*").alias("tf"))
-    df = tf.groupBy("term").agg(F.count("*").alias("df"))
+    # explode_outer: explode would have every text split once more, to filter out those without terms
+    tf = split.select("_d", "dl", F.explode_outer("_t").alias("term")).join(sized(wanted), "term", "left_semi").groupBy("_d", "dl", "term").agg(F.count("*").alias("tf"))
+    df = tf.groupBy("term").agg(F.sum(F.least("tf", F.lit(1))).alias("df"))  # needs all of tf, so its exchange is reused
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
     scored = tf.join(sized(df), "term").join(q, "term").join(F.broadcast(total), how="cross")  # one row

@@ -261,7 +261,7 @@ def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 def idf_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, q = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
     wanted = q.select(F.explode(text.tokens(F.col("text"))).alias("term")).distinct()
-    split = docs.select("doc_id", F.explode(F.array_distinct(text.tokens(F.col("text")))).alias("term"))
+    split = docs.select("doc_id", F.explode_outer(F.array_distinct(text.tokens(F.col("text")))).alias("term"))
     df = split.join(wanted, "term", "left_semi").groupBy("term").agg(F.count("*").alias("df"))
     n = F.broadcast(docs.agg(F.count("*").alias("n")))  # one row
     return df.join(n, how="cross").select("term", "df", F.round(F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)), 6).alias("idf"))
@@ -294,7 +294,7 @@ def _two_lists(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     docs, q = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
     one = retrieval.bm25(docs, q).withColumn("score", F.round("score", 6))
     words = q.select("item_id", F.explode(F.array_distinct(text.tokens(F.col("text")))).alias("term"))
-    hits = docs.select("doc_id", F.explode(F.array_distinct(text.tokens(F.col("text")))).alias("term")).join(words, "term").groupBy("item_id", "doc_id").agg(F.count("*").alias("score"))
+    hits = docs.select("doc_id", F.explode_outer(F.array_distinct(text.tokens(F.col("text")))).alias("term")).join(words, "term").groupBy("item_id", "doc_id").agg(F.count("*").alias("score"))
     return retrieval.ranked(one, "item_id", "doc_id", 32), retrieval.ranked(hits, "item_id", "doc_id", 32)
 
 
