@@ -15,7 +15,8 @@ def vectors(seed=0, n=600, dim=8):
     x = rng.normal(size=(n, dim)).astype(np.float32)
     x[n // 3 : n // 2] = x[0]  # many equal ones
     rows = [(i, v.tolist()) for i, v in enumerate(x)]
-    rows += [(1000, None), (1020, [0.0] * dim), (1040, [NAN] + [1.0] * (dim - 1)), (1060, [INF] * dim), (1001, [None] + [1.0] * (dim - 1)), (None, [1.0] * dim), (1080, [1.0, 2.0]), (1081, [2.0, 1.0]), (1100, [])]
+    o = 20 * n  # the odd ones have ids of their own
+    rows += [(o, None), (o + 20, [0.0] * dim), (o + 40, [NAN] + [1.0] * (dim - 1)), (o + 60, [INF] * dim), (o + 1, [None] + [1.0] * (dim - 1)), (None, [1.0] * dim), (o + 80, [1.0, 2.0]), (o + 81, [2.0, 1.0]), (o + 100, [])]
     rows += [rows[5], rows[40]]  # repeated rows
     return rows
 
