@@ -6,8 +6,9 @@ first n - ceil(t * n) + 1 shingles of each ("prefix") have one in common. The or
 rarest shingles and differ in how they rank shingles of like rarity; a pair must meet under each of them before its
 sets are compared.
 
-Flow: (1) shingles go to buckets by hash, packed, and are counted exactly; (2) those in two classes or more return
-to their class's bucket, where prefixes are cut; classes whose prefix holds only shingles of their own can have no
+Flow: (1) shingles go to buckets by hash, packed, and are counted exactly; rows of documents are dealt by id and text,
+so that a class of very many copies has them everywhere; (2) shingles in two classes or more return to their class's
+bucket, where prefixes are cut; classes whose prefix holds only shingles of their own can have no
 partner; (3) classes that share a prefix shingle under the first order are gathered into connected parts, by star
 joins; (4) a part is compared in pairs of blocks of bounded size, and each task gives a star for each group that its
 links connect, not all links; (5) star joins over the links give the components.
@@ -71,7 +72,7 @@ def _grouped(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return starts, np.diff(np.r_[starts, len(keys)])
 
 
-#: kind 0: rows of documents (ids and text hashes, n, class, whether the id is known); kind 1: shingles (class, count of its shingles here, shingles[, df]).
+#: kind 0: rows of documents (ids and text hashes, n, class, whether the id is known); kind 1: shingles (class, count of its shingles here, shingles[, df]); kind 2: classes (class, n).
 PACKED = "bucket int, kind int, a binary, b binary, c binary, d binary"
 PACKED_ARROW = pa.schema([("bucket", pa.int32()), ("kind", pa.int32()), *((c, pa.binary()) for c in "abcd")])
 MEMBERS = pa.schema([("id", pa.int64()), ("key", pa.int64()), ("n_shingles", pa.int64()), ("class", pa.int64())])
@@ -86,13 +87,17 @@ def _read(batches: Iterator[pa.RecordBatch], n: int, buckets: int) -> Iterator[p
         # the class of a set: a hash of its shingles; 0 for documents without any
         fp = np.array([xxhash.xxh3_64_intdigest(s.tobytes(), len(s)) | 1 if len(s) else 0 for s in sets], np.uint64)
         rows = []
-        home = (fp % np.uint64(buckets)).astype(np.int64)
-        for b in np.unique(home):
-            m = home == b
+        deal = (mixed(ids.astype(np.uint64) ^ mixed(keys.astype(np.uint64))) % np.uint64(buckets)).astype(np.int64)
+        for b in np.unique(deal):
+            m = deal == b
             rows.append((int(b), 0, *_pack(np.stack([ids[m], keys[m]]), size[m].astype(np.int32), fp[m], known[m])))
         _, first = np.unique(fp, return_index=True)
         first = first[size[first] > 0]
         if len(first):
+            home = (fp[first] % np.uint64(buckets)).astype(np.int64)
+            for b in np.unique(home):
+                m = first[home == b]
+                rows.append((int(b), 2, *_pack(fp[m], size[m].astype(np.int32)), None, None))
             tokens = np.concatenate([sets[i] for i in first])
             owner = np.repeat(np.arange(len(first)), size[first])
             to = (tokens >> np.uint64(40)) % np.uint64(buckets)
@@ -120,7 +125,7 @@ def _unpack(rows: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 def _count(rows: pd.DataFrame, buckets: int) -> pd.DataFrame:
     """Counts the classes of every shingle of a bucket; keeps shingles of two or more, for the classes' buckets."""
-    out = [tuple(r) for r in rows[rows["kind"] == 0].itertuples(index=False)]
+    out = [tuple(r) for r in rows[rows["kind"] != 1].itertuples(index=False)]
     part = rows[rows["kind"] == 1]
     if len(part):
         fp, tokens, _ = _unpack(part)
@@ -150,7 +155,8 @@ def _prefixes(rows: pd.DataFrame, percent: int) -> pd.DataFrame:
     out = [(0, r.a, r.b, r.c, r.d, 0, 0, None, None, None, None) for r in docs.itertuples()]
     part = rows[rows["kind"] == 1]
     if len(part):
-        sizes = dict(zip(np.frombuffer(b"".join(docs["c"]), np.uint64).tolist(), np.frombuffer(b"".join(docs["b"]), np.int32).tolist()))
+        known = rows[rows["kind"] == 2]
+        sizes = dict(zip(np.frombuffer(b"".join(known["a"]), np.uint64).tolist(), np.frombuffer(b"".join(known["b"]), np.int32).tolist()))
         fp, tokens, df = _unpack(part)
         order = np.lexsort((tokens, fp))
         fp, tokens, df = fp[order], tokens[order], df[order]
