@@ -39,8 +39,12 @@ ASKED = "bucket int, block long, size int, keys binary, counts binary"
 SCORED = "row long, n_tokens long, n_known long, base double, n_base long, score double"
 
 
-def _tokens(text: str | None) -> list[int]:
-    return [x | 1 for x in map(xxhash.xxh3_64_intdigest, text.encode("utf-8", "surrogatepass").lower().split())] if text else []
+def _tokens(text: str | None) -> np.ndarray:
+    """The words of a text as odd numbers, and the end."""
+    words = text.encode("utf-8", "surrogatepass").lower().split() if text else []
+    out = np.full(len(words) + 1, END)
+    out[:-1] = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words)) | np.uint64(1)
+    return out
 
 
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -65,7 +69,7 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             rows.append(r if r is not None else 0)
             known.append(r is not None)
             train.append(bool(t))
-            texts.append(np.array([*_tokens(x), int(END)], np.uint64))
+            texts.append(_tokens(x))
             held += len(texts[-1])
             if held >= BLOCK_WORDS:
                 yield close()
@@ -74,17 +78,18 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield close()
 
 
-def _grams(words: np.ndarray, stream: np.ndarray, length: np.ndarray, order: int) -> list[np.ndarray]:
+def _grams(words: np.ndarray, stream: np.ndarray, length: np.ndarray, order: int) -> Iterator[np.ndarray]:
     """The keys of the n-grams that end at each token, for n = 1 .. order; before a text lie START tokens."""
-    out = [words[stream]]
+    out = words[stream]
+    yield out
     first = np.cumsum(length, dtype=np.int64) - length
     place = np.arange(len(stream)) - np.repeat(first, length)
     for n in range(2, order + 1):
-        back = out[0].copy()
-        back[n - 1 :] = out[0][: len(stream) - n + 1]
+        back = words[stream]
+        back[n - 1 :] = back[: len(stream) - n + 1].copy()
         back[place < n - 1] = START
-        out.append(mixed(mixed(back, n) + out[-1]))
-    return out
+        out = mixed(mixed(back, n) + out)
+        yield out
 
 
 def _ask(batches: Iterator[pa.RecordBatch], order: int, buckets: int) -> Iterator[pa.RecordBatch]:
@@ -93,8 +98,8 @@ def _ask(batches: Iterator[pa.RecordBatch], order: int, buckets: int) -> Iterato
         for r in b.to_pylist():
             length, words, stream = _parts(r)
             used = np.repeat(np.frombuffer(r["train"], bool), length)
-            rows = []
             for n, g in enumerate(_grams(words, stream, length, order), 1):
+                rows = []
                 keys = np.unique(g)
                 mine, counts = np.unique(g[used], return_counts=True)
                 all_ = np.zeros(len(keys), np.uint32)
@@ -107,7 +112,7 @@ def _ask(batches: Iterator[pa.RecordBatch], order: int, buckets: int) -> Iterato
                     if hi > lo:
                         # 56 bits of a key, sorted: the bucket tells some of the rest
                         rows.append((k, r["block"], n, _short(keys[lo:hi]), all_[lo:hi].tobytes()))
-            yield _batch(rows, schema)
+                yield _batch(rows, schema)
 
 
 def _short(keys: np.ndarray) -> bytes:
@@ -147,7 +152,12 @@ def _traverse(rows: pd.DataFrame, answers: pd.DataFrame, order: int, mass: float
         length, words, stream = _parts(r)
         first = np.cumsum(length, dtype=np.int64) - length
         place = np.arange(len(stream)) - np.repeat(first, length)
+        ends = first + length
         mine = answers[answers["block"] == r["block"]]
+
+        def sums(x: np.ndarray) -> np.ndarray:
+            return np.array([np.sum(x[a:b]) for a, b in zip(first, ends)], np.float64)
+
         p = base = seen = None
         history = np.full(len(stream), n_train)
         for n, g in enumerate(_grams(words, stream, length, order), 1):
@@ -159,21 +169,16 @@ def _traverse(rows: pd.DataFrame, answers: pd.DataFrame, order: int, mass: float
             counts[o] = np.frombuffer(b"".join(got), np.uint32)
             c = counts[inverse]
             if n == 1:
-                base = np.log10(c + 0.5)
-                p, seen = (c + 0.5) / (n_train + 0.5 * (n_words + 1)), c > 0
+                base, seen = sums(np.log10(c + 0.5)), sums(c > 0)
+                p = (c + 0.5) / (n_train + 0.5 * (n_words + 1))
             else:
                 # the arc if there is one, else the failure arc: the sum is the same formula
                 p = (c + mass * p) / (history + mass)
             # the state after a token: what its n-gram counts as a history
             history = np.r_[0.0, c[:-1]]
             history[place < 1] = n_texts
-        ends = np.cumsum(length, dtype=np.int64)
-
-        def sums(x: np.ndarray) -> np.ndarray:
-            return np.array([np.sum(x[a:b]) for a, b in zip(first, ends)], np.float64)
-
         known = np.frombuffer(r["known"], bool)
-        parts.append(pd.DataFrame({"row": pd.arrays.IntegerArray(np.frombuffer(r["row"], np.int64).copy(), ~known), "n_tokens": length.astype(np.int64), "n_known": sums(seen).astype(np.int64), "base": sums(base), "n_base": length.astype(np.int64), "score": sums(np.log10(p))}))
+        parts.append(pd.DataFrame({"row": pd.arrays.IntegerArray(np.frombuffer(r["row"], np.int64).copy(), ~known), "n_tokens": length.astype(np.int64), "n_known": seen.astype(np.int64), "base": base, "n_base": length.astype(np.int64), "score": sums(np.log10(p))}))
     return pd.concat(parts)
 
 
