@@ -42,6 +42,26 @@ def ranked(scores: DataFrame, key: str, tie: str, n: int, score: str = "score")
     return scores.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n)
 
 
+def navigate(docs: DataFrame, queries: DataFrame, steps: int = 3, each: int = 6, id_col: str = "doc_id", text_col: str = "text", query_id: str = "item_id", query_text: str = "text") -> DataFrame:
+    """(query id, step, rank, doc id): BM25 in several rounds; a round's first new hit is the next round's query.
+
+    A query sees no document twice: a round has the `each` best that no round before it had. Earlier
+    rounds saw each * (step - 1) of them at most, so each * step candidates are enough. A query without new hits ends.
+    """
+    now, seen = queries.select(F.col(query_id).alias("_query"), F.col(query_text).alias("_asked")), None
+    for step in range(1, steps + 1):
+        found = bm25(docs, now, id_col, text_col, "_query", "_asked").withColumn("score", F.round("score", 6))
+        found = ranked(found, "_query", id_col, each * step)
+        if seen is not None:
+            found = found.drop("rank").join(seen.select("_query", id_col), ["_query", id_col], "left_anti")
+            found = ranked(found, "_query", id_col, each)
+        hits = found.select("_query", F.lit(step).alias("step"), "rank", id_col).persist()  # the rounds after it read these few rows often
+        seen = hits if seen is None else seen.unionByName(hits)
+        texts = docs.select(id_col, F.col(text_col).alias("_asked"))
+        now = hits.where("rank = 1").join(texts, id_col).select("_query", "_asked")
+    return seen.withColumnRenamed("_query", query_id)
+
+
 def rrf(lists: Sequence[DataFrame], key: str, item: str, k: int = 60) -> DataFrame:
     """(key, item, rrf): the sum over ranked lists (key, item, rank) of 1 / (k + rank)."""
     union = lists[0].select(key, item, "rank")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -50,6 +50,31 @@ def chunks(rows: DataFrame, keys: Sequence[str], size: int, ts: str = "ts", tie:
     return rows.withColumn("chunk", F.floor((F.row_number().over(w) - 1) / size).cast("int"))
 
 
+def chunks_within(rows: DataFrame, keys: Sequence[str], most_rows: int, most_size: int, size: Column, ts: str = "ts", tie: str = "id") -> DataFrame:
+    """(keys, tie, chunk): a chunk, from 0 in each key, ends before the row that would be one too many or too large.
+
+    A row that is too large by itself is a chunk of its own. Sizes of null count as 0. Where a chunk starts depends
+    on those before it, so this is a fold: rows stream by in order, key after key, and two numbers are held.
+    """
+    d = rows.select(*keys, ts, tie, F.coalesce(size, F.lit(0)).cast("long").alias("_size"))
+    shape = T.StructType([*d.select(*keys, tie).schema.fields, T.StructField("chunk", T.IntegerType())])
+
+    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        key, chunk, n, used = None, 0, 0, 0
+        for batch in batches:
+            out = []
+            for *mine, more in batch[[*keys, "_size"]].itertuples(index=False):
+                if key != mine:
+                    key, chunk, n, used = mine, 0, 0, 0
+                if n and (n >= most_rows or used + more > most_size):
+                    chunk, n, used = chunk + 1, 0, 0
+                n, used = n + 1, used + more
+                out.append(chunk)
+            yield batch[[*keys, tie]].assign(chunk=out)
+
+    return d.repartition(*keys).sortWithinPartitions(*keys, ts, tie).mapInPandas(fold, shape)
+
+
 def slot_keepers(facts: DataFrame) -> DataFrame:
     """facts with `keep`: of a slot's facts the pinned, newest, surest stays, and pinned ones stay beside a pinned one."""
     w = Window.partitionBy("slot_key").orderBy(F.desc("pinned"), F.desc("updated_at"), F.desc("confidence"), "id")

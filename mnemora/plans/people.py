@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mnemora.functions import addressee, extraction, slots, text
-from mnemora.operators import cards, joins, people
+from mnemora.operators import cards, joins, people, retrieval, windows
 from mnemora.sources.tables import conversation_timeline, event_facts, table
 
 from .catalogue import AS_OF, FACTS, query
@@ -86,3 +86,20 @@ def context_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
 def identity_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
     links = table(spark, sf_dir, "documents").select("doc_id", F.when(F.col("doc_id") % 4 == 0, F.col("doc_id")).otherwise(F.col("doc_id") - 1).alias("alias_of"))
     return joins.resolve_chain(links, "doc_id", "alias_of", 4).select("doc_id", "resolved")
+
+
+@query("""WITH RECURSIVE r AS (SELECT conv_id, turn, coalesce(length(text), 0) AS size, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS i FROM conversations),
+  walk AS (
+    SELECT conv_id, turn, i, 0 AS chunk, 1 AS n, size AS used FROM r WHERE i = 1
+    UNION ALL
+    SELECT r.conv_id, r.turn, r.i, w.chunk + (w.n >= 4 OR w.used + r.size > 600)::INT, CASE WHEN w.n >= 4 OR w.used + r.size > 600 THEN 1 ELSE w.n + 1 END,
+      CASE WHEN w.n >= 4 OR w.used + r.size > 600 THEN r.size ELSE w.used + r.size END
+    FROM walk w JOIN r ON r.conv_id = w.conv_id AND r.i = w.i + 1)
+  SELECT conv_id * 1000 + turn AS id, chunk::INT AS chunk FROM walk""")
+def session_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return windows.chunks_within(conversation_timeline(spark, sf_dir), ["window_tag"], 4, 600, F.length("content")).select("id", "chunk")
+
+
+@query(None)
+def multi_hop_navigation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return retrieval.navigate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))

@@ -194,3 +194,36 @@ def test_counts_of_sessions_match_the_plain_count(spark):
     for r in rows:
         groups[r[3]] += 1
     assert (e.messages, e.user_messages, e.kind, e.worthy) == (10, groups["user"], "life", True)
+
+
+@pytest.mark.parametrize(("most_rows", "most_size"), [(40, 6000), (3, 50), (5, 9), (1, 1)])
+def test_chunks_within_equal_a_fold(spark, most_rows, most_size):
+    r = random.Random(most_rows)
+    rows = [(i, i // 3, r.choice("abc"), None if i % 11 == 0 else "x" * r.randrange(20)) for i in range(200)]
+    d = windows.chunks_within(spark.createDataFrame(rows, "id long, ts long, k string, content string"), ["k"], most_rows, most_size, F.length("content"))
+    held, want = {}, []
+    for i, _, k, text in rows:
+        chunk, sizes = held.get(k, (0, []))
+        if sizes and (len(sizes) >= most_rows or sum(sizes) + len(text or "") > most_size):
+            chunk, sizes = chunk + 1, []
+        held[k] = chunk, [*sizes, len(text or "")]
+        want.append((i, chunk))
+    assert rows_of(d, "id", "chunk") == want
+
+
+def test_navigate_asks_with_the_first_new_hit(spark):
+    texts = ["red fox", "fox den den", "den bear", "bear honey", "honey bee", "other words"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    asked = spark.createDataFrame([(7, "red"), (8, "nothing")], "item_id long, text string")
+    got = sorted(tuple(r) for r in retrieval.navigate(docs, asked, steps=3, each=1).select("item_id", "step", "rank", "doc_id").collect())
+
+    def best(text, seen):
+        scores = retrieval.bm25(docs, spark.createDataFrame([(0, text)], "item_id long, text string")).collect()
+        left = sorted((-round(s.score, 6), s.doc_id) for s in scores if s.doc_id not in seen)
+        return left[0][1] if left else None
+
+    seen, text = [], "red"
+    while len(seen) < 3 and (hit := best(text, seen)) is not None:
+        seen.append(hit)
+        text = texts[hit]
+    assert got == [(7, i, 1, d) for i, d in enumerate(seen, 1)] and len(seen) == 3
