@@ -48,7 +48,7 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("toxicity", drop_toxic), ("near-copies", drop_near_copies), ("mix", mix), ("encode", encode)]
 
-#: SQL cannot express the classifier; tests/llm/test_pipeline.py holds the stages against brute force.
+#: SQL cannot express the classifier; tests/llm/test_llm_queries.py holds the stages against brute force.
 ORACLE_SQL = None
 
 
