@@ -4,6 +4,11 @@ A vector is represented by its nearest pivots in order. Each block of vectors po
 each pivot, with the pivot's place. A query opens the files of its own nearest pivots and ranks what it finds there
 by the footrule distance between the two orders, where a pivot that is not among a vector's nearest counts as the
 place after them. The candidates of least distance are compared by their inner products, in double precision.
+
+The largest inner product becomes the nearest direction by one more component: sqrt(M^2 - |x|^2) for a vector, and 0 for
+a query. All vectors then have the length M, and their products with the queries stay the same. Pivots are of that
+space, so a vector's length counts in its order. M is the length that one in a hundred exceeds, as a few very long
+vectors would else make all others alike; those longer than M are compared with every query.
 """
 
 from __future__ import annotations
@@ -16,8 +21,28 @@ from pyspark.sql import functions as F
 from .vectors import BLOCK, best, finite_rows, search_blocks
 
 
-def fit_pivots(rows: DataFrame, pivots: int, sample: int = 4096, seed: int = 2) -> dict[int, np.ndarray]:
-    """For each length of vectors, `pivots` distinct vectors of length 1 from a sample bounded by `sample` rows.
+#: Lengths are held in units of this, so that they do not overflow.
+UNIT = 2.0**64
+
+
+def long_lengths(rows: DataFrame) -> dict[int, float]:
+    """The length M, in UNITs, for the vectors of each number of components."""
+    x = F.col("vector")
+    most = F.array_max(F.transform(x, F.abs))
+    length = most / UNIT * F.sqrt(F.aggregate(x, F.lit(0.0), lambda s, v: s + F.pow(v / F.col("_most"), 2)))
+    d = rows.withColumn("_most", most).groupBy(F.size("vector")).agg(F.percentile_approx(length, 0.99).alias("_length"))
+    return {n: max(m, 5e-324) for n, m in d.collect()}
+
+
+def lifted(x: np.ndarray, long: float) -> np.ndarray:
+    """Vectors over the length M, with the component that gives each the length 1; longer ones are made shorter."""
+    y = np.clip(x / UNIT / long, -1e150, 1e150)  # the squares do not overflow
+    y /= np.maximum(np.linalg.norm(y, axis=1, keepdims=True), 1)
+    return np.c_[y, np.sqrt(np.maximum(1 - np.einsum("ij,ij->i", y, y), 0))]
+
+
+def fit_pivots(rows: DataFrame, pivots: int, long: dict[int, float], sample: int = 4096, seed: int = 2) -> dict[int, np.ndarray]:
+    """For each length of vectors, `pivots` distinct lifted vectors from a sample bounded by `sample` rows.
 
     The sample has the rows whose vectors have the smallest hashes, so the same rows give the same pivots. Where
     there are too few different vectors, random directions from `seed` make up the number.
@@ -27,12 +52,10 @@ def fit_pivots(rows: DataFrame, pivots: int, sample: int = 4096, seed: int = 2)
         found.setdefault(len(v), []).append(v)
     out = {}
     for n, vs in found.items():
-        x = np.array(vs, np.float64)
-        x /= np.abs(x).max(axis=1, keepdims=True)
-        x = np.unique(x / np.linalg.norm(x, axis=1, keepdims=True), axis=0)
+        x = np.unique(lifted(np.array(vs, np.float64), long[n]), axis=0)
         rng = np.random.default_rng(seed)
         x = x[rng.permutation(len(x))[:pivots]]
-        more = rng.normal(size=(pivots - len(x), n))
+        more = rng.normal(size=(pivots - len(x), n + 1))
         out[n] = np.concatenate([x, more / np.maximum(np.linalg.norm(more, axis=1, keepdims=True), 1e-300)])
     return out
 
@@ -44,13 +67,14 @@ def _nearest(x: np.ndarray, pivots: np.ndarray, keep: int) -> np.ndarray:
     return np.take_along_axis(top, np.argsort(-np.take_along_axis(near, top, 1), axis=1, kind="stable"), 1)
 
 
-def search_index(q_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, x: np.ndarray, pivots: np.ndarray, keep: int, rerank: int, k: int) -> pd.DataFrame:
+def search_index(q_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, x: np.ndarray, pivots: np.ndarray, long: float, keep: int, rerank: int, k: int) -> pd.DataFrame:
     """The answers of one block's index. Equal vectors are posted once and stand for all of their ids."""
     value, member = np.unique(x, axis=0, return_inverse=True)
     by_value = np.argsort(member, kind="stable")
     starts = np.searchsorted(member[by_value], np.arange(len(value) + 1))
-    scale = lambda v: v / np.abs(v).max(axis=1, keepdims=True)  # noqa: E731  the directions alone, without overflow
-    orders, asked = _nearest(scale(value), pivots, keep), _nearest(scale(q), pivots, keep)
+    level = np.c_[q / np.abs(q).max(axis=1, keepdims=True), np.zeros(len(q))]  # the directions alone, without overflow
+    orders, asked = _nearest(lifted(value, long), pivots, keep), _nearest(level, pivots, keep)
+    longer = np.flatnonzero(np.linalg.norm(np.clip(value / UNIT / long, -1e150, 1e150), axis=1) > 1 + 1e-9)
     # the inverted files: by pivot, the vectors that have it among their nearest, and its place in their order
     flat = orders.ravel()
     o = np.argsort(flat, kind="stable")
@@ -65,6 +89,7 @@ def search_index(q_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, x: np.ndarra
             nearer[posted[lo:hi]] += (keep - mine) - np.abs(place[lo:hi] - mine)
             nearer[posted[lo:hi]] += keep - place[lo:hi]
         chosen = np.argpartition(-nearer, rerank)[:rerank] if len(value) > rerank else np.arange(len(value))
+        chosen = np.union1d(chosen, longer)
         many = starts[chosen + 1] - starts[chosen]
         rows = by_value[np.repeat(starts[chosen], many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)]
         rows = rows[ids[rows] != q_ids[i]]
@@ -79,7 +104,7 @@ def permutation_search(vectors: DataFrame, is_query: Column, k: int = 20, pivots
     """(query_id, rank, vec_id, score): the k candidates of largest inner product that each query finds.
 
     is_query is over the column id. Candidates are all rows but those with the query's id. Of the defaults: each
-    block of 8192 reranks 640 vectors for a query, 8 %.
+    block of 8192 reranks 640 vectors for a query, 8 %, and those longer than M, 1 %.
 
     Vectors that are null, zero, empty, or hold null or non-finite components, and rows without an id take no part.
     Ties go to the smaller vec_id; a query with fewer candidates than k has all of them; vectors of other lengths
@@ -87,10 +112,12 @@ def permutation_search(vectors: DataFrame, is_query: Column, k: int = 20, pivots
     are not read.
     """
     rows = finite_rows(vectors, id_col, vector_col, zero=False)
-    known = fit_pivots(rows, pivots)  # pivots * length numbers for each length of vectors
-    sent = vectors.sparkSession.sparkContext.broadcast(known)
+    long = long_lengths(rows)  # a number for each length of vectors
+    known = fit_pivots(rows, pivots, long)  # pivots * (length + 1) numbers for each length of vectors
+    sent = vectors.sparkSession.sparkContext.broadcast((known, long))
 
     def run(q_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, x: np.ndarray) -> pd.DataFrame:
-        return search_index(q_ids, q, ids, x, sent.value[x.shape[1]], min(keep, pivots), rerank, k)
+        n = x.shape[1]
+        return search_index(q_ids, q, ids, x, sent.value[0][n], sent.value[1][n], min(keep, pivots), rerank, k)
 
     return search_blocks(rows, is_query, k, run, "double", block)
