@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from .backoff_lm import score_texts
 from .bpe import round_trip
 from .common import crc_of_id, scratch_dir
-from .licenses import TEMPLATES, scan_licenses
+from .licenses import TEMPLATES, find_passages, scan_licenses
 from .mixing import mix_sources
 from .ngram_join import jaccard_components
 from .permutation_index import permutation_search
@@ -82,13 +82,17 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_licenses(_table(spark, sf_dir, "documents"))
 
 
+def op10_license_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_passages(_table(spark, sf_dir, "documents"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op1_histogram_shards, op2_permutation_index, op3_ngram_jaccard, op4_backoff_lm, op5_mix_sources, op6_byte_bpe, op7_token_files, op8_toxicity, op9_pivot_table, op10_license_scan, pipeline)}
+QUERIES = {f.__name__: f for f in (op1_histogram_shards, op2_permutation_index, op3_ngram_jaccard, op4_backoff_lm, op5_mix_sources, op6_byte_bpe, op7_token_files, op8_toxicity, op9_pivot_table, op10_license_scan, op10_license_passages, pipeline)}
 
 _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 #: A-Z alone: DuckDB's lower() changes other letters too.
