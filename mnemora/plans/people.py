@@ -76,7 +76,7 @@ def char_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(None)
 def context_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     live = event_facts(spark, sf_dir).where("status = 'live'")
-    top = live.groupBy("speaker_id", "attribute").agg(F.slice(F.array_sort(F.collect_set(F.col("value").cast("string"))), 1, 8).alias("lines"))
+    top = live.groupBy("speaker_id", "attribute").agg(F.array_sort(F.collect_set(F.col("value").cast("string"))).alias("lines"))
     fill = F.when(F.col("attribute") == "purchase", 0).otherwise(1)
     blocks = top.select("speaker_id", fill.alias("fill"), (1 - fill).alias("place"), F.concat(F.col("attribute"), F.lit(":")).alias("title"), "lines")
     return cards.context_pack(blocks, "speaker_id", 120)
