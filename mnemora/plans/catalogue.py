@@ -176,6 +176,14 @@ def merge_target_asof(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joins.last_before(even, odd, ["window_tag"], "ts", "ts", "id", 7200).select("id", "found")
 
 
+@query(f"""WITH {EV}, l AS (SELECT id, ts, lag(id) OVER w AS before, lag(ts) OVER w AS before_ts FROM ev WINDOW w AS (PARTITION BY window_tag ORDER BY ts, id))
+  SELECT id, CASE WHEN ts - before_ts <= 7200 THEN before END AS found FROM l""")
+def merge_target_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    w = Window.partitionBy("window_tag").orderBy("ts", "id")
+    near = F.col("ts") - F.lag("ts").over(w) <= 7200
+    return event_timeline(spark, sf_dir).select("id", F.when(near, F.lag("id").over(w)).alias("found"))
+
+
 @query(f"""WITH {EV}, n AS (SELECT a.id, min(b.ts) AS nx FROM ev a LEFT JOIN ev b ON a.window_tag = b.window_tag AND a.speaker_id <> b.speaker_id AND (b.ts, b.id) > (a.ts, a.id) GROUP BY a.id)
   SELECT id FROM n JOIN ev USING (id) WHERE nx IS NULL OR nx - ts > 3600""")
 def unanswered_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
