@@ -1,37 +1,57 @@
 """Approximate nearest neighbours by a permutation index.
 
-A vector is represented by its nearest pivots in order. Each block of vectors posts them in an inverted file for
-each pivot, with the pivot's place. A query opens the files of its own nearest pivots and ranks what it finds there
-by the footrule distance between the two orders, where a pivot that is not among a vector's nearest counts as the
-place after them. The candidates of least distance are compared by their inner products, in double precision.
+A vector is represented by its nearest pivots in order. Vectors are dealt into cells by the nearest of some centres; a
+query opens the cells nearest to it. In a cell, every pivot has an inverted file of the vectors that have it among
+their nearest, with its place in their order. A query opens the files of its own nearest pivots and ranks what it finds
+there by the footrule distance between the two orders, where a pivot that is not among a vector's nearest counts as the
+place after them. Candidates within a distance are compared by their inner products, in double precision.
+
+How many cells are opened, and the distance, are not given but measured: for a bounded sample of the queries, the true
+nearest of all rows are found by brute force, and both are set so that the sample finds the wanted share of them. So
+vectors in groups cost little and recall holds at every size; vectors without any structure cost a share of all pairs.
 
 The largest inner product becomes the nearest direction by one more component: sqrt(M^2 - |x|^2) for a vector, and 0 for
 a query. All vectors then have the length M, and their products with the queries stay the same. Pivots are of that
 space, so a vector's length counts in its order. M is the length that one in a hundred exceeds, as a few very long
-vectors would else make all others alike; those longer than M are compared with every query.
+vectors would else make all others alike; those longer than M have a cell of their own, which all queries open, and
+are all compared.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from dataclasses import dataclass
+
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .vectors import BLOCK, best, finite_rows, search_blocks
-
+from .common import written
+from .vectors import BLOCK, answers, best, cells_for, finite_rows, placed_rows, routed_queries, sampled, search_cells, stacked
 
 #: Lengths are held in units of this, so that they do not overflow.
 UNIT = 2.0**64
+#: The cell of vectors longer than M.
+LONGER = -1
+
 
+@dataclass(frozen=True)
+class Index:
+    """What fits the vectors of one length: M, the pivots and the centres of the cells, all lifted."""
 
-def long_lengths(rows: DataFrame) -> dict[int, float]:
-    """The length M, in UNITs, for the vectors of each number of components."""
+    long: float
+    pivots: np.ndarray
+    centres: np.ndarray
+
+
+def long_lengths(rows: DataFrame) -> dict[int, tuple[float, int]]:
+    """The length M, in UNITs, and the number of rows, for the vectors of each number of components."""
     x = F.col("vector")
     most = F.array_max(F.transform(x, F.abs))
     length = most / UNIT * F.sqrt(F.aggregate(x, F.lit(0.0), lambda s, v: s + F.pow(v / F.col("_most"), 2)))
-    d = rows.withColumn("_most", most).groupBy(F.size("vector")).agg(F.percentile_approx(length, 0.99).alias("_length"))
-    return {n: max(m, 5e-324) for n, m in d.collect()}
+    d = rows.withColumn("_most", most).groupBy(F.size("vector")).agg(F.percentile_approx(length, 0.99).alias("_length"), F.count("*"))
+    return {n: (max(m, 5e-324), many) for n, m, many in d.collect()}
 
 
 def lifted(x: np.ndarray, long: float) -> np.ndarray:
@@ -41,83 +61,169 @@ def lifted(x: np.ndarray, long: float) -> np.ndarray:
     return np.c_[y, np.sqrt(np.maximum(1 - np.einsum("ij,ij->i", y, y), 0))]
 
 
-def fit_pivots(rows: DataFrame, pivots: int, long: dict[int, float], sample: int = 4096, seed: int = 2) -> dict[int, np.ndarray]:
-    """For each length of vectors, `pivots` distinct lifted vectors from a sample bounded by `sample` rows.
+def level(q: np.ndarray) -> np.ndarray:
+    """Queries in the lifted space: their directions alone, without overflow."""
+    return np.c_[q / np.abs(q).max(axis=1, keepdims=True), np.zeros(len(q))]
+
 
-    The sample has the rows whose vectors have the smallest hashes, so the same rows give the same pivots. Where
-    there are too few different vectors, random directions from `seed` make up the number.
+def is_longer(x: np.ndarray, long: float) -> np.ndarray:
+    return np.linalg.norm(np.clip(x / UNIT / long, -1e150, 1e150), axis=1) > 1 + 1e-9
+
+
+def fit_index(rows: DataFrame, pivots: int, block: int, sample: int = 4096, seed: int = 2) -> dict[int, Index]:
+    """An index for each length of vectors, with `pivots` distinct pivots and a centre for each cell.
+
+    Both are lifted vectors of the sample, the `sample` rows whose vectors have the smallest hashes, so the same rows
+    give the same index. Where there are too few different pivots, random directions from `seed` make up the number.
     """
-    found: dict[int, list] = {}
-    for (v,) in rows.select("vector").distinct().orderBy(F.xxhash64("vector"), "vector").limit(sample).collect():
-        found.setdefault(len(v), []).append(v)
-    out = {}
-    for n, vs in found.items():
-        x = np.unique(lifted(np.array(vs, np.float64), long[n]), axis=0)
+    long, out = long_lengths(rows), {}
+    for n, (_, x) in sampled(rows, sample).items():
+        m, many = long[n]
+        x = np.unique(lifted(x, m), axis=0)
         rng = np.random.default_rng(seed)
-        x = x[rng.permutation(len(x))[:pivots]]
-        more = rng.normal(size=(pivots - len(x), n + 1))
-        out[n] = np.concatenate([x, more / np.maximum(np.linalg.norm(more, axis=1, keepdims=True), 1e-300)])
+        mine, centres = (x[rng.permutation(len(x))[:k]] for k in (pivots, cells_for(many, block)))
+        more = rng.normal(size=(pivots - len(mine), n + 1))
+        out[n] = Index(m, np.concatenate([mine, more / np.linalg.norm(more, axis=1, keepdims=True)]), centres)
+    for n, (m, _) in long.items():
+        if n not in out:  # vectors of a length that the sample does not hold
+            more = np.random.default_rng(seed).normal(size=(pivots, n + 1))
+            more /= np.linalg.norm(more, axis=1, keepdims=True)
+            out[n] = Index(m, more, more[:1])
     return out
 
 
-def _nearest(x: np.ndarray, pivots: np.ndarray, keep: int) -> np.ndarray:
-    """The numbers of the nearest pivots of each vector, nearest first: those of largest cosine."""
+def nearest_pivots(x: np.ndarray, pivots: np.ndarray, keep: int) -> np.ndarray:
+    """The numbers of the nearest pivots of each lifted vector, nearest first: those of largest cosine."""
     near = x @ pivots.T
     top = np.argpartition(-near, min(keep, near.shape[1] - 1), axis=1)[:, :keep]
-    return np.take_along_axis(top, np.argsort(-np.take_along_axis(near, top, 1), axis=1, kind="stable"), 1)
-
-
-def search_index(q_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, x: np.ndarray, pivots: np.ndarray, long: float, keep: int, rerank: int, k: int) -> pd.DataFrame:
-    """The answers of one block's index. Equal vectors are posted once and stand for all of their ids."""
-    value, member = np.unique(x, axis=0, return_inverse=True)
-    by_value = np.argsort(member, kind="stable")
-    starts = np.searchsorted(member[by_value], np.arange(len(value) + 1))
-    level = np.c_[q / np.abs(q).max(axis=1, keepdims=True), np.zeros(len(q))]  # the directions alone, without overflow
-    orders, asked = _nearest(lifted(value, long), pivots, keep), _nearest(level, pivots, keep)
-    longer = np.flatnonzero(np.linalg.norm(np.clip(value / UNIT / long, -1e150, 1e150), axis=1) > 1 + 1e-9)
-    # the inverted files: by pivot, the vectors that have it among their nearest, and its place in their order
-    flat = orders.ravel()
-    o = np.argsort(flat, kind="stable")
-    posted, place = (o // orders.shape[1]).astype(np.int32), (o % orders.shape[1]).astype(np.int32)
-    at = np.searchsorted(flat[o], np.arange(len(pivots) + 1))
-    parts = []
+    return np.take_along_axis(top, np.argsort(-np.take_along_axis(near, top, 1), axis=1, kind="stable"), 1).astype(np.uint8)
+
+
+def inverted_files(orders: np.ndarray, pivots: int, keep: int) -> np.ndarray:
+    """For each pivot, of every vector how far its place is from the end of the vector's order; 0 where it is not in it."""
+    files = np.zeros((pivots, len(orders)), np.uint8)
+    files[orders, np.arange(len(orders))[:, None]] = keep - np.arange(orders.shape[1])
+    return files
+
+
+def nearness(files: np.ndarray, asked: np.ndarray, keep: int) -> np.ndarray:
+    """keep * (keep + 1) / 2 less half the footrule distance, of the vectors to a query with the order `asked`.
+
+    A pivot at the places a and b of two orders takes a + b + |a - b| = 2 * max(a, b) off the 2 * keep that it adds
+    where only one order has it, and nothing where none has; so the distance falls by 2 * min(keep - a, keep - b).
+    """
+    return np.minimum(files[asked], (keep - np.arange(len(asked), dtype=np.uint8))[:, None]).sum(axis=0, dtype=np.uint16)
+
+
+def measured(placed: DataFrame, index: dict[int, Index], k: int, keep: int, recall: float, queries: int) -> dict[int, tuple[int, int]]:
+    """For each length of vectors: how many cells to open, and the least nearness to compare.
+
+    The sample are the `queries` queries with the smallest hashes; the pass over all rows keeps the k best of each in
+    each partition. Of the true nearest of the sample, 1 - (1 - recall) / 2 lie in the cells that are opened, and as
+    many are within the distance.
+    """
+    asks = placed.where("asks").select("id", "length", "vector").orderBy(F.xxhash64("id", "vector"), "id").limit(queries).collect()
+    by: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+    for n in {r.length for r in asks}:
+        mine = [r for r in asks if r.length == n]
+        by[n] = (np.array([r.id for r in mine], np.int64), stacked([bytes(r.vector) for r in mine], n))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: dict[int, list] = {}
+        for b in batches:
+            for n, part in b.groupby("length"):
+                if n not in by:
+                    continue
+                ids, q = by[n]
+                x, own = stacked(part["vector"].tolist(), n), part["id"].to_numpy()
+                score = q @ x.T
+                score[ids[:, None] == own[None, :]] = -np.inf
+                top = np.argpartition(-score, min(k, len(own) - 1), axis=1)[:, :k]
+                got = np.take_along_axis(score, top, 1)
+                cell, orders = part["cell"].to_numpy()[top], np.array([np.frombuffer(e, np.uint8) for e in part["extra"]])[top]
+                old = held.get(n)
+                if old:
+                    got, cell, orders = (np.concatenate(p, axis=1) for p in zip(old, (got, cell, orders)))
+                    top = np.argsort(-got, axis=1)[:, :k]
+                    got, cell, orders = np.take_along_axis(got, top, 1), np.take_along_axis(cell, top, 1), np.take_along_axis(orders, top[:, :, None], 1)
+                held[n] = [got, cell, orders]
+        for n, (got, cell, orders) in held.items():
+            q = level(by[n][1])
+            asked = nearest_pivots(q, index[n].pivots, keep)
+            turn = np.argsort(np.argsort(-(q @ index[n].centres.T), axis=1, kind="stable"), axis=1)
+            for i in range(len(q)):
+                ok = np.isfinite(got[i])
+                near = nearness(inverted_files(orders[i], len(index[n].pivots), keep), asked[i], keep)
+                place = np.where(cell[i] == LONGER, -1, turn[i][np.maximum(cell[i], 0)])
+                yield pd.DataFrame({"length": n, "i": i, "score": got[i][ok], "place": place[ok], "near": near[ok].astype(np.int64)})
+
+    kinds = "length int, i int, score double, place int, near long"
+    true = placed.select("id", "length", "cell", "vector", "extra").mapInPandas(run, kinds)
+    rank = F.row_number().over(Window.partitionBy("length", "i").orderBy(F.desc("score")))
+    true = true.withColumn("rank", rank).where((F.col("rank") <= k) & (F.col("place") >= 0)).toPandas()  # queries * k rows
+    lost = (1 - recall) / 2
+    out = {}
+    for n in index:
+        t = true[true["length"] == n]
+        out[n] = (int(np.quantile(t["place"], 1 - lost, method="higher")) + 1, int(np.quantile(t["near"], lost, method="lower"))) if len(t) else (1, 0)
+    return out
+
+
+def search_files(q_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, x: np.ndarray, orders: np.ndarray, pivots: np.ndarray, keep: int, least: int, k: int) -> pd.DataFrame:
+    """The answers of one block's inverted files: of vectors that are near enough, and of the k nearest at least."""
+    asked, parts = nearest_pivots(level(q), pivots, keep), []
+    files = inverted_files(orders, len(pivots), keep)
     for i in range(len(q)):
-        # a file takes off what its pivot adds where it is missing: (keep - place in q) - |place in x - place in q|
-        nearer = np.zeros(len(value), np.int32)
-        for mine, p in enumerate(asked[i]):
-            lo, hi = at[p], at[p + 1]
-            nearer[posted[lo:hi]] += (keep - mine) - np.abs(place[lo:hi] - mine)
-            nearer[posted[lo:hi]] += keep - place[lo:hi]
-        chosen = np.argpartition(-nearer, rerank)[:rerank] if len(value) > rerank else np.arange(len(value))
-        chosen = np.union1d(chosen, longer)
-        many = starts[chosen + 1] - starts[chosen]
-        rows = by_value[np.repeat(starts[chosen], many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)]
+        near = nearness(files, asked[i], keep) if least else None
+        rows = np.flatnonzero(near >= least) if least else np.arange(len(ids))
+        if len(rows) <= k < len(ids):
+            rows = np.argpartition(-near.astype(np.int64), k)[: k + 1]
         rows = rows[ids[rows] != q_ids[i]]
         score = x[rows] @ q[i]
         top = best(ids[rows], score, k)
-        parts.append((np.full(len(top), q_ids[i]), ids[rows][top], score[top]))
-    a, b, c = (np.concatenate(p) for p in zip(*parts))
-    return pd.DataFrame({"query_id": a, "vec_id": b, "score": c})
+        parts.append((q_ids[i], ids[rows][top], score[top]))
+    return answers(parts)
 
 
-def permutation_search(vectors: DataFrame, is_query: Column, k: int = 20, pivots: int = 256, keep: int = 64, rerank: int = 640, block: int = BLOCK, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+def permutation_search(vectors: DataFrame, is_query: Column, k: int = 20, pivots: int = 256, keep: int = 64, recall: float = 0.95, sample: int = 256, block: int = BLOCK, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """(query_id, rank, vec_id, score): the k candidates of largest inner product that each query finds.
 
-    is_query is over the column id. Candidates are all rows but those with the query's id. Of the defaults: each
-    block of 8192 reranks 640 vectors for a query, 8 %, and those longer than M, 1 %.
+    is_query is over the column id. Candidates are all rows but those with the query's id. recall: the share of the true
+    nearest that is aimed at; it is met on a sample of `sample` queries. pivots: 256 at most. A cell of about `block`
+    vectors, or a block of it, is searched at once. A query opens further cells until they hold more than k vectors.
 
     Vectors that are null, zero, empty, or hold null or non-finite components, and rows without an id take no part.
     Ties go to the smaller vec_id; a query with fewer candidates than k has all of them; vectors of other lengths
     than the query's are no candidates; repeated rows count once; an empty table has an empty answer; other columns
     are not read.
     """
-    rows = finite_rows(vectors, id_col, vector_col, zero=False)
-    long = long_lengths(rows)  # a number for each length of vectors
-    known = fit_pivots(rows, pivots, long)  # pivots * (length + 1) numbers for each length of vectors
-    sent = vectors.sparkSession.sparkContext.broadcast((known, long))
-
-    def run(q_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, x: np.ndarray) -> pd.DataFrame:
+    if not (0 < keep <= pivots <= 256 and keep < 256):
+        raise ValueError("keep <= pivots <= 256, and keep < 256, as places and pivots are held in bytes")
+    rows = written(finite_rows(vectors, id_col, vector_col, zero=False).distinct(), "vectors")
+    index = fit_index(rows, pivots, block)  # for each length of vectors, pivots + CELLS vectors at most
+    sent = vectors.sparkSession.sparkContext.broadcast(index)
+
+    def place(n: int, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
+        own, y = sent.value[n], lifted(x, sent.value[n].long)
+        cell = np.where(is_longer(x, own.long), LONGER, np.argmax(y @ own.centres.T, axis=1))
+        return cell, np.zeros(len(x)), [o.tobytes() for o in nearest_pivots(y, own.pivots, keep)]
+
+    placed = placed_rows(rows, is_query, place)
+    held = {(r[0], r[1]): r[2] for r in placed.groupBy("length", "cell").count().collect()}  # a row for each cell
+    found = measured(placed, index, k, keep, recall, sample)
+
+    def route(n: int, ids: np.ndarray, q: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
+        turn = np.argsort(-(level(q) @ sent.value[n].centres.T), axis=1, kind="stable")
+        many = np.array([held.get((n, c), 0) for c in range(turn.shape[1])])
+        first = 1 + np.argmax(np.cumsum(many[turn], axis=1) > min(k, many.sum() - 1), axis=1)
+        return np.zeros(len(q)), [np.r_[LONGER, t[: max(f, found[n][0])]] for t, f in zip(turn, first)]
+
+    def run(cell: int, q_ids: np.ndarray, q: np.ndarray, _: np.ndarray, ids: np.ndarray, x: np.ndarray, extra: list[bytes]) -> pd.DataFrame:
         n = x.shape[1]
-        return search_index(q_ids, q, ids, x, sent.value[0][n], sent.value[1][n], min(keep, pivots), rerank, k)
+        return search_files(q_ids, q, ids, x, stacked_orders(extra), sent.value[n].pivots, keep, 0 if cell == LONGER else found[n][1], k)
+
+    return search_cells(placed, routed_queries(placed, route), k, run, "double", block)
+
 
-    return search_blocks(rows, is_query, k, run, "double", block)
+def stacked_orders(extra: list[bytes]) -> np.ndarray:
+    return np.frombuffer(b"".join(extra), np.uint8).reshape(len(extra), -1)

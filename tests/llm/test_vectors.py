@@ -53,7 +53,7 @@ def test_products_beyond_doubles_are_exact(spark):
 def test_index_finds_at_least_nine_of_ten(spark):
     rows = vectors(n=3000, dim=16)
     exact = brute(rows, lambda a, b: float(np.dot(np.float64(a), np.float64(b))), 20, False)
-    found = permutation_search(frame(spark, rows), F.expr(EVERY_20), k=20, pivots=128, keep=48, rerank=120, block=1500).collect()
+    found = permutation_search(frame(spark, rows), F.expr(EVERY_20), k=20, pivots=128, keep=48, block=500).collect()
     pairs = {(r.query_id, r.vec_id) for r in found}
     assert len(pairs & {(q, j) for q, _, j, _ in exact}) >= 0.9 * len(exact)
     value = {i: np.float64(v) for i, v in rows if i is not None and v is not None and None not in v}
@@ -68,3 +68,28 @@ def test_few_candidates_and_empty_tables(spark):
     assert [tuple(r) for r in permutation_search(frame(spark, rows), F.expr(EVERY_20)).collect()] == [(0, 1, 1, 0.5)]
     none = spark.createDataFrame([], SHAPE)
     assert permutation_search(none, F.expr(EVERY_20)).count() == exact_search(none, F.expr(EVERY_20)).count() == 0
+
+
+def test_groups_of_vectors_are_searched_in_few_cells(spark):
+    """Vectors in groups: both searches leave most pairs out, and the exact one finds what brute force finds."""
+    rng = np.random.default_rng(3)
+    centre = rng.normal(size=(40, 16))
+    rows = [(i, (centre[i % 40] + 0.05 * rng.normal(size=16)).astype(np.float32).tolist()) for i in range(4000)]
+    seen = spark.sparkContext.accumulator(0), spark.sparkContext.accumulator(0)
+    whole = lambda a, b: int(np.floor(64 * np.float64(a)) @ np.floor(64 * np.float64(b)))
+    got = {tuple(r) for r in exact_search(frame(spark, rows), F.expr(EVERY_20), k=20, block=100, seen=seen).collect()}
+    assert got == brute(rows, whole, 20, True)
+    pairs = 200 * 4000
+    assert seen[0].value < 0.05 * pairs and seen[1].value < 0.5 * pairs
+    exact = brute(rows, lambda a, b: float(np.dot(np.float64(a), np.float64(b))), 20, False)
+    found = permutation_search(frame(spark, rows), F.expr(EVERY_20), k=20, block=100).collect()
+    assert len({(r.query_id, r.vec_id) for r in found} & {(q, j) for q, _, j, _ in exact}) >= 0.9 * len(exact)
+
+
+@pytest.mark.parametrize("big", [1e15, 1e200, 1.7e308])
+def test_components_beyond_longs_keep_their_order(spark, big):
+    rows = [(0, [1.0, 0.0]), (1, [big, 5.0]), (2, [-big, 4.0]), (3, [2.0, 0.0])]
+    d = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = [(r.vec_id, r.score) for r in exact_search(d, F.expr("id = 0"), k=3).orderBy("rank").collect()]
+    top = min(int(min(64 * big, 1.7976931348623157e308)) * 64, 2**63 - 1)
+    assert got == [(1, top), (3, 64 * 128), (2, -top - (top == 2**63 - 1))]
