@@ -7,15 +7,18 @@ smoothing mass and h' the history without its first word:
 
     p(w | h) = (c(hw) + m * p(w | h')) / (c(h) + m),    failure weight of h: m / (c(h) + m)
 
-down to the base p(w) = (c(w) + 0.5) / (N + 0.5 * (V + 1)). The automaton grows with the corpus, so it is never in
-one place: texts are packed into blocks as numbers into the block's own word list; each block asks, once for each
-of its distinct n-grams, for its counts over all blocks; the answers are the part of the automaton that the block's
-texts can reach, and one left-to-right traversal over them carries the state and adds up the weights.
+down to the base p(w) = (c(w) + 0.5) / (N + 0.5 * (V + 1)). An arc exists where c(hw) > 0; where it does not, p is the
+failure weight times p(w | h'), so falling gives the same number. After an arc the state is the longest end of hw that
+training texts hold. The automaton grows with the corpus, so it is never in one place: texts are packed into blocks as
+numbers into the block's own word list; each block asks, once for each of its distinct n-grams, for its counts over
+all blocks; of the answers it builds the states and arcs that its texts can reach, and walks every text from left to
+right once, with the state carried from word to word and the weights added up.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -30,6 +33,8 @@ from .ngram_join import _batch, mixed
 
 #: Words that a block holds before it is closed; a longer text is a block of its own.
 BLOCK_WORDS = 1_200_000
+#: Words whose n-grams share a bucket, at most on average: the number of buckets grows with the corpus.
+BUCKET_WORDS = 8_000_000
 #: Stand for the end of a text and for what lies before its start; no word has these, as words are hashed to odd numbers.
 END, START = np.uint64(2), np.uint64(4)
 
@@ -146,39 +151,92 @@ def _answer(asked: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame(out, columns=["bucket", "block", "size", "keys", "counts"])
 
 
+@dataclass(frozen=True)
+class Automaton:
+    """What a block's texts can reach of the automaton. An arc's key is state * words + word; state 0 has all words."""
+
+    words: int
+    start: int
+    arcs: dict[int, int]
+    weight: list[float]
+    after: list[int]
+    failure: list[int]
+    cost: list[float]
+
+    def walk(self, tokens: list[int]) -> float:
+        """The log10 probability of a text: one pass from left to right that carries the state."""
+        state, total, find, n = self.start, 0.0, self.arcs.get, self.words
+        weight, after, failure, cost = self.weight, self.after, self.failure, self.cost
+        for t in tokens:
+            arc = find(state * n + t)
+            while arc is None:
+                total += cost[state]
+                state = failure[state]
+                arc = find(state * n + t)
+            total += weight[arc]
+            state = after[arc]
+        return total
+
+
+def build_automaton(words: np.ndarray, stream: np.ndarray, length: np.ndarray, counts: dict[int, np.ndarray], order: int, mass: float, n_train: float, n_words: float, n_texts: float) -> Automaton:
+    """The automaton over the n-grams of a block; counts[n]: the training counts of its distinct n-grams, by key.
+
+    States are numbered: 0 for no history, 1 .. order - 1 for texts' starts, then the histories that training texts
+    hold. The n-gram that ends at a token has the one that ends before it as its history.
+    """
+    first = np.cumsum(length, dtype=np.int64) - length
+    starts = np.zeros(len(stream), bool)
+    starts[first] = True
+    failure, cost = [np.r_[0, np.arange(order - 1)]], [np.r_[0.0, np.full(order - 1, np.log10(mass / (n_texts + mass)))]]
+    made, states = [], order
+    before = old_home = old_p = old_count = None
+    for n, g in enumerate(_grams(words, stream, length, order), 1):
+        _, at, inverse = np.unique(g, return_index=True, return_inverse=True)
+        c = counts[n].astype(np.float64)
+        if n == 1:
+            origin, last, p = np.zeros(len(c), np.int64), stream[at], (c + 0.5) / (n_train + 0.5 * (n_words + 1))
+            shorter, there = np.zeros(len(c), np.int64), np.ones(len(c), bool)
+        else:
+            opens = starts[at]
+            history, shorter_gram = before[np.maximum(at - 1, 0)], before[at]
+            p = (c + mass * old_p[shorter_gram]) / (np.where(opens, n_texts, old_count[history]) + mass)
+            origin, last, there = np.where(opens, n - 1, old_home[history]), stream[at], c > 0
+            shorter = old_home[shorter_gram]
+        home = shorter
+        if n < order:
+            home = np.where(c > 0, states + np.cumsum(c > 0) - 1, shorter)
+            failure.append(shorter[c > 0])
+            cost.append(np.log10(mass / (c[c > 0] + mass)))
+            states += int((c > 0).sum())
+        made.append((origin[there] * len(words) + last[there], np.log10(p[there]), home[there]))
+        before, old_home, old_p, old_count = inverse, home, p, c
+    keys, weight, after = (np.concatenate(x) for x in zip(*made))
+    return Automaton(len(words), order - 1, dict(zip(keys.tolist(), range(len(keys)))), weight.tolist(), after.tolist(), np.concatenate(failure).tolist(), np.concatenate(cost).tolist())
+
+
 def _traverse(rows: pd.DataFrame, answers: pd.DataFrame, order: int, mass: float, n_train: float, n_words: float, n_texts: float, buckets: int) -> pd.DataFrame:
     parts = []
     for r in rows.to_dict("records"):
         length, words, stream = _parts(r)
-        first = np.cumsum(length, dtype=np.int64) - length
-        place = np.arange(len(stream)) - np.repeat(first, length)
-        ends = first + length
+        ends = np.cumsum(length, dtype=np.int64)
         mine = answers[answers["block"] == r["block"]]
-
-        def sums(x: np.ndarray) -> np.ndarray:
-            return np.array([np.sum(x[a:b]) for a, b in zip(first, ends)], np.float64)
-
-        p = base = seen = None
-        history = np.full(len(stream), n_train)
+        counts = {}
         for n, g in enumerate(_grams(words, stream, length, order), 1):
-            keys, inverse = np.unique(g, return_inverse=True)
-            to = (mixed(keys) % np.uint64(buckets)).astype(np.int64)
-            o = np.argsort(to, kind="stable")
-            counts = np.zeros(len(keys), np.float64)
-            got = mine[mine["size"] == n].sort_values("bucket")["counts"]
-            counts[o] = np.frombuffer(b"".join(got), np.uint32)
-            c = counts[inverse]
-            if n == 1:
-                base, seen = sums(np.log10(c + 0.5)), sums(c > 0)
-                p = (c + 0.5) / (n_train + 0.5 * (n_words + 1))
-            else:
-                # the arc if there is one, else the failure arc: the sum is the same formula
-                p = (c + mass * p) / (history + mass)
-            # the state after a token: what its n-gram counts as a history
-            history = np.r_[0.0, c[:-1]]
-            history[place < 1] = n_texts
+            keys = np.unique(g)
+            o = np.argsort((mixed(keys) % np.uint64(buckets)).astype(np.int64), kind="stable")
+            counts[n] = np.zeros(len(keys), np.uint32)
+            counts[n][o] = np.frombuffer(b"".join(mine[mine["size"] == n].sort_values("bucket")["counts"]), np.uint32)
+        automaton = build_automaton(words, stream, length, counts, order, mass, n_train, n_words, n_texts)
+        of_word = np.zeros(len(words))
+        of_word[:] = counts[1]  # a word's key is the word, and words are sorted
+        base, seen = np.log10(of_word + 0.5)[stream], (of_word > 0)[stream]
+        tokens, n_base, n_seen, score = stream.tolist(), [], [], []
+        for a, b in zip(ends - length, ends):
+            n_base.append(np.sum(base[a:b]))
+            n_seen.append(int(np.sum(seen[a:b])))
+            score.append(automaton.walk(tokens[a:b]))
         known = np.frombuffer(r["known"], bool)
-        parts.append(pd.DataFrame({"row": pd.arrays.IntegerArray(np.frombuffer(r["row"], np.int64).copy(), ~known), "n_tokens": length.astype(np.int64), "n_known": seen.astype(np.int64), "base": base, "n_base": length.astype(np.int64), "score": sums(np.log10(p))}))
+        parts.append(pd.DataFrame({"row": pd.arrays.IntegerArray(np.frombuffer(r["row"], np.int64).copy(), ~known), "n_tokens": length.astype(np.int64), "n_known": n_seen, "base": n_base, "n_base": length.astype(np.int64), "score": score}))
     return pd.concat(parts)
 
 
@@ -193,12 +251,14 @@ def score_texts(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col
     A null text counts as empty, which is one end token. Null and repeated ids and repeated rows are scored row by
     row. Without training rows N and V are 0 and every token has probability 1. An empty table gives an empty
     table. Other columns are not read. N-grams are told apart by hashes of 56 bits and a bucket. A block's part of
-    the automaton is bounded by BLOCK_WORDS or its one text; a very common n-gram is asked for once by each block.
+    the automaton is bounded by BLOCK_WORDS or its one text; a very common n-gram is asked for once by each block, and
+    a block asks in one row for all of its n-grams of a bucket, so there are at most as many rows as n-grams.
     """
     spark = docs.sparkSession
-    k = buckets or 2 * partitions(spark)  # n-grams of a bucket are in memory together
     d = docs.select(F.col(id_col).cast("long").alias("row"), F.coalesce(train, F.lit(False)).alias("train"), F.col(text_col).alias("text"))
     blocks = written(d.mapInArrow(_blocks, BLOCKS), "lm-blocks")
+    many = blocks.agg(F.sum(F.octet_length("stream") / 4)).first()[0]
+    k = buckets or max(2 * partitions(spark), int(order * (many or 0)) // BUCKET_WORDS)  # n-grams of a bucket are in memory together
     asked = blocks.mapInArrow(lambda b: _ask(b, order, k), ASKED)
     answers = written(asked.groupBy("bucket").applyInPandas(_answer, ASKED), "lm-answers")
 

@@ -8,14 +8,18 @@ sets are compared.
 
 Flow: (1) shingles go to buckets by hash, packed, and are counted exactly; rows of documents are dealt by id and text,
 so that a class of very many copies has them everywhere; (2) shingles in two classes or more return to their class's
-bucket, where prefixes are cut; classes whose prefix holds only shingles of their own can have no
-partner; (3) classes that share a prefix shingle under the first order are gathered into connected parts, by star
-joins; (4) a part is compared in pairs of blocks of bounded size, and each task gives a star for each group that its
-links connect, not all links; (5) star joins over the links give the components.
+bucket, where prefixes are cut; classes whose prefix holds only shingles of their own can have no partner; (3) in rounds,
+every prefix shingle of the first order names a hub among its classes, and its other classes are compared with the hub:
+as many pairs as prefix shingles at most, which join most near copies into groups; (4) what is left are pairs of classes
+of different groups that share such a shingle and are of similar size: these are found by an equality join, salted where
+a shingle has many classes, and each is compared once. Pairs inside one group, which can add nothing, are never made.
+(5) Star joins over the links give the components. A comparison first asks for a common shingle under the second and
+third order, and then counts the whole sets' common shingles.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,8 +32,12 @@ from pyspark.sql import functions as F
 from .common import n_words, partitions, restored, sheltered, written
 from .components import connected_components
 
-#: Classes in a block; a task compares two blocks.
+#: Classes that are compared with one hub in a task.
 BLOCK = 512
+#: Shingles of the sets in one task of comparisons, on average, and bytes of text whose shingles share a bucket.
+BUNDLE, BUCKET_BYTES = 2_000_000, 64 << 20
+#: Rounds of hubs at most; they end when the pairs left are no more than PAIRS for each prefix shingle.
+ROUNDS, PAIRS = 6, 4
 _MIX = (0x9E3779B97F4A7C15, np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
 
 
@@ -147,12 +155,12 @@ def _count(rows: pd.DataFrame, buckets: int) -> pd.DataFrame:
 
 
 #: Rows of documents pass; every class that may have a partner gives one row.
-CLASSES = "kind int, a binary, b binary, c binary, d binary, fp long, n int, tokens binary, p1 binary, p2 binary, p3 binary"
+CLASSES = "kind int, a binary, b binary, c binary, d binary, fp long, n int, own int, tokens binary, p1 binary, p2 binary, p3 binary"
 
 
 def _prefixes(rows: pd.DataFrame, percent: int) -> pd.DataFrame:
     docs = rows[rows["kind"] == 0]
-    out = [(0, r.a, r.b, r.c, r.d, 0, 0, None, None, None, None) for r in docs.itertuples()]
+    out = [(0, r.a, r.b, r.c, r.d, 0, 0, 0, None, None, None, None) for r in docs.itertuples()]
     part = rows[rows["kind"] == 1]
     if len(part):
         known = rows[rows["kind"] == 2]
@@ -166,51 +174,98 @@ def _prefixes(rows: pd.DataFrame, percent: int) -> pd.DataFrame:
             if take > 0:
                 t, d = tokens[s : s + k], df[s : s + k]
                 orders = (np.lexsort((t, d)), np.lexsort((mixed(t, 1), d)), np.lexsort((mixed(t, 2), np.frexp(d)[1])))
-                out.append((1, None, None, None, None, int(fp[s].astype(np.int64)), n, t.tobytes(), *(t[o[:take]].tobytes() for o in orders)))
+                out.append((1, None, None, None, None, int(fp[s].astype(np.int64)), n, n - int(k), t.tobytes(), *(t[o[:take]].tobytes() for o in orders)))
     return pd.DataFrame(out, columns=[c.split()[0] for c in CLASSES.split(", ")])
 
 
-def _meet(prefixes: list[np.ndarray]) -> np.ndarray:
-    """Which sets of a few hundred share a shingle of their prefixes: a square of booleans."""
-    owner = np.repeat(np.arange(len(prefixes)), [len(p) for p in prefixes])
-    flat = np.concatenate(prefixes)
-    value, index, count = np.unique(flat, return_inverse=True, return_counts=True)
-    shared = count > 1
-    number = np.cumsum(shared) - 1
-    keep = shared[index]
-    owner, index = owner[keep], number[index[keep]]
-    out = np.zeros((len(prefixes), len(prefixes)), np.float32)
-    order = np.argsort(index, kind="stable")
-    owner, index = owner[order], index[order]
-    for s in range(0, int(shared.sum()), 2048):
-        lo, hi = np.searchsorted(index, (s, s + 2048))
-        m = np.zeros((len(prefixes), min(2048, int(shared.sum()) - s)), np.float32)
-        m[owner[lo:hi], index[lo:hi] - s] = 1
-        out += m @ m.T
-    return out > 0
-
-
-def _links(rows: pd.DataFrame, percent: int) -> pd.DataFrame:
-    """What the links between two blocks of a part, or within one, connect: each set and the first of its group."""
-    rows = rows.sort_values("fp")
-    fp, n = rows["fp"].to_numpy(), rows["n"].to_numpy().astype(np.int64)
-    block = rows["block"].to_numpy()
-    sets = [np.frombuffer(t, np.uint64) for t in rows["tokens"]]
-    pairs = 100 * np.minimum.outer(n, n) >= percent * np.maximum.outer(n, n)
-    for p in ("p1", "p2", "p3"):
-        pairs &= _meet([np.frombuffer(t, np.uint64) for t in rows[p]])
-    if (block != block[0]).any():
-        pairs &= block[:, None] != block[None, :]
-    root = np.arange(len(fp))
-    for i in range(1, len(fp)):
-        for j in np.flatnonzero(pairs[i, :i]):
-            if root[i] != root[j]:
-                common = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
-                if 100 * common >= percent * (n[i] + n[j] - common):
-                    low, high = sorted((root[i], root[j]))
-                    root[root == high] = low
-    hangs = root != np.arange(len(fp))
-    return pd.DataFrame({"a": fp[hangs], "b": fp[root[hangs]]}, dtype="int64")
+def _common(sets: list[bytes], hub: bytes) -> np.ndarray:
+    """How many values of each set the hub's set has."""
+    mine, flat = np.sort(np.frombuffer(hub, np.uint64)), np.frombuffer(b"".join(sets), np.uint64)
+    hit = mine[np.minimum(np.searchsorted(mine, flat), len(mine) - 1)] == flat
+    return np.bincount(np.repeat(np.arange(len(sets)), [len(x) // 8 for x in sets]), hit, len(sets)).astype(np.int64)
+
+
+def _links(hubs: pd.DataFrame, members: pd.DataFrame, percent: int) -> pd.DataFrame:
+    """Of the members of each hub those that link with it."""
+    own = {(h.hub, h.block): h for h in hubs.itertuples()}
+    out = []
+    for key, part in members.groupby(["hub", "block"]):
+        h, n = own[key], part["n"].to_numpy().astype(np.int64)
+        maybe = 100 * np.minimum(n, h.n) >= percent * np.maximum(n, h.n)
+        for p in ("p1", "p2", "p3"):  # a pair must meet under each order
+            at = np.flatnonzero(maybe)
+            if len(at):
+                maybe[at] = _common(part[p].iloc[at].tolist(), getattr(h, p)) > 0
+        at = np.flatnonzero(maybe)
+        if len(at):
+            common = _common(part["tokens"].iloc[at].tolist(), h.tokens)
+            at = at[100 * common >= percent * (n[at] + h.n - common)]
+            out.append(pd.DataFrame({"a": part["fp"].to_numpy()[at], "b": h.hub}))
+    return pd.concat(out) if out else pd.DataFrame({"a": [], "b": []}, dtype="int64")
+
+
+def similar(pairs: DataFrame, classes: DataFrame, percent: int, block: int) -> DataFrame:
+    """Of the distinct pairs (hub, fp) of classes those that link, as (a, b).
+
+    The members of a hub are cut into blocks, so a hub of very many has many tasks; small hubs share a task.
+    """
+    pairs = written(pairs, "join-pairs")
+    many = pairs.groupBy("hub").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks")).toDF("hub", "blocks")
+    total = pairs.join(classes.select("fp", "n"), "fp").agg(F.sum("n")).first()[0] or 0
+    bundle = F.pmod(F.xxhash64("hub", "block"), F.lit(1 + total // BUNDLE)).alias("bundle")
+    sets = classes.select("fp", "n", "tokens", "p1", "p2", "p3")
+    members = pairs.join(many, "hub").select("hub", "fp", F.pmod(F.xxhash64("fp"), "blocks").cast("int").alias("block")).join(sets, "fp").select("*", bundle)
+    hubs = many.toDF("hub", "blocks").select("hub", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block")).join(sets.toDF("hub", "n", "tokens", "p1", "p2", "p3"), "hub").select("*", bundle)
+    run = lambda h, m: _links(h, m, percent)
+    return written(hubs.groupBy("bundle").cogroup(members.groupBy("bundle")).applyInPandas(run, "a long, b long"), "join-links")
+
+
+def class_links(classes: DataFrame, percent: int, block: int = BLOCK) -> DataFrame:
+    """(node, component) of the classes that links connect. classes: (fp, n, own, tokens, p1, p2, p3)."""
+
+    def posted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            p = [np.frombuffer(x, np.int64) for x in b["p1"]]
+            many = [len(x) for x in p]
+            yield pd.DataFrame({"token": np.concatenate(p) if p else [], **{c: np.repeat(b[c].to_numpy(), many) for c in ("fp", "n", "own")}}).astype("int64")
+
+    posts = classes.select("fp", "n", "own", "p1").mapInPandas(posted, "token long, fp long, n long, own long")
+    shared = posts.groupBy("token").agg(F.count("*").alias("many")).where("many > 1").select("token")
+    posts = written(posts.join(shared, "token"), "join-posts")
+    links = parts = None
+    for turn in range(ROUNDS):
+        label = F.col("fp") if parts is None else F.coalesce("component", "fp")
+        d = posts if parts is None else posts.join(parts.withColumnRenamed("node", "fp"), "fp", "left")
+        d = d.select("token", "fp", "n", "own", label.alias("label"))
+        # what a shingle's classes would give in pairs across groups: the square of all less the squares of each
+        sizes = d.groupBy("token", "label").agg(F.count("*").cast("double").alias("k")).groupBy("token").agg(F.sum("k").alias("many"), F.sum(F.col("k") * F.col("k")).alias("same"), F.count("*").alias("labels"))
+        open_ = written(sizes.where("labels > 1").select("token", "many", ((F.col("many") * F.col("many") - F.col("same")) / 2).alias("across")), "join-open")
+        rows, across = open_.agg(F.sum("many"), F.sum("across")).first()
+        d = d.join(open_, "token")
+        if not rows and parts is not None:
+            return parts
+        if not rows or (turn and across <= PAIRS * rows):
+            break
+        # the first hub is the class with the fewest shingles of its own; later ones are drawn
+        order = F.struct("own", "fp", "label") if not turn else F.struct(F.xxhash64("fp", F.lit(turn)).alias("own"), "fp", "label")
+        hubs = d.groupBy("token").agg(F.min(order).alias("hub")).select("token", F.col("hub.fp").alias("hub"), F.col("hub.label").alias("hub_label"))
+        found = similar(d.join(hubs, "token").where("label != hub_label").select("hub", "fp").distinct(), classes, percent, block)
+        if found.isEmpty():
+            break
+        links = found if links is None else links.union(found)
+        parts = connected_components(links)
+    # pairs across groups: sizes within the threshold are in the same or the next class of sizes
+    unit = max(math.log(100 / percent) * (1 + 1e-9), 1e-3)
+    band = F.floor(F.log("n") / F.lit(unit))
+    d = d.select("token", "fp", "n", "label", band.alias("band"), F.ceil(F.col("many") / F.lit(block)).cast("int").alias("salts"))
+    a = d.select("token", F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1)).alias("band"), F.pmod(F.xxhash64("fp"), "salts").cast("int").alias("salt"), F.col("fp").alias("hub"), F.col("n").alias("hub_n"), F.col("label").alias("hub_label"))
+    b = d.select("token", "band", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), "fp", "n", "label")
+    near = 100 * F.least("n", "hub_n") >= percent * F.greatest("n", "hub_n")
+    pairs = a.join(b, ["token", "band", "salt"]).where((F.col("hub") < F.col("fp")) & (F.col("hub_label") != F.col("label")) & near).select("hub", "fp").distinct()
+    found = similar(pairs, classes, percent, block)
+    if links is None:
+        return connected_components(found)
+    return parts if found.isEmpty() else connected_components(links.union(found))
 
 
 def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK, buckets: int | None = None) -> DataFrame:
@@ -224,10 +279,12 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80, id_col: s
     id. A text of fewer than n words is one shingle. Null ids take part but give no component its id: a component
     with null ids only has a null id. Rows with the same id and other texts are rows of their own. An empty table
     gives an empty table. Columns besides id and text are not read. Shingles and classes are told apart by 64-bit
-    hashes. One very common shingle is one run in one bucket, without pairs; a very large class is one row.
+    hashes. A very long text is one set. One very common shingle is one run in one bucket, without pairs; a very large
+    class is one row.
     """
     spark = docs.sparkSession
-    k = buckets or partitions(spark)
+    size = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
+    k = buckets or max(partitions(spark), size // BUCKET_BYTES)  # the shingles of a bucket are in memory together
     d = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("key"), F.col(text_col).alias("text"))
     packed = d.mapInArrow(lambda b: _read(b, n, k), PACKED)
     counted = packed.groupBy("bucket").applyInPandas(lambda g: _count(g, k), PACKED)
@@ -242,23 +299,8 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80, id_col: s
                 yield pa.RecordBatch.from_arrays(own, schema=MEMBERS)
 
     members = both.where("kind = 0").select("a", "b", "c", "d").mapInArrow(rows, "id long, key long, n_shingles long, class long")
-    classes = both.where("kind = 1").select("fp", "n", "tokens", "p1", "p2", "p3")
-
-    def posted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            p = [np.frombuffer(x, np.int64) for x in b["p1"]]
-            yield pd.DataFrame({"token": np.concatenate(p) if p else [], "fp": np.repeat(b["fp"].to_numpy(), [len(x) for x in p])}).astype("int64")
-
-    posts = classes.select("fp", "p1").mapInPandas(posted, "token long, fp long")
-    least = posts.groupBy("token").agg(F.min("fp").alias("b"), F.count("*").alias("many")).where("many > 1").drop("many")
-    parts = connected_components(posts.join(least, "token").select(F.col("fp").alias("a"), "b"))
-    parts = written(parts, "join-parts")
-    blocks = parts.groupBy("component").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
-    placed = parts.join(blocks, "component").select(F.col("node").alias("fp"), "component", "blocks", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("block"))
-    others = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
-    sent = classes.join(placed, "fp").select("*", others).withColumn("one", F.least("block", "other")).withColumn("two", F.greatest("block", "other"))
-    links = sent.drop("other", "blocks").groupBy("component", "one", "two").applyInPandas(lambda g: _links(g, percent), "a long, b long")
-    linked = connected_components(links)
+    classes = both.where("kind = 1").select("fp", "n", "own", "tokens", "p1", "p2", "p3")
+    linked = class_links(classes, percent, block)
     # by class, of which a very large one is one row: its component, and the smallest id in that
     own = members.where("class is not null").groupBy("class").agg(F.min("id").alias("_own"))
     own = own.join(linked.withColumnRenamed("node", "class"), "class", "left").select("class", "_own", F.coalesce("component", "class").alias("component"))
