@@ -11,8 +11,10 @@ so that a class of very many copies has them everywhere; (2) shingles in two cla
 bucket, where prefixes are cut; classes whose prefix holds only shingles of their own can have no partner; (3) in rounds,
 every prefix shingle of the first order names a hub among its classes, and its other classes are compared with the hub:
 as many pairs as prefix shingles at most, which join most near copies into groups; (4) what is left are pairs of classes
-of different groups that share such a shingle and are of similar size: these are found by an equality join, salted where
-a shingle has many classes, and each is compared once. Pairs inside one group, which can add nothing, are never made.
+of different groups that share such a shingle, are of similar size, and differ by no more than the threshold allows in
+a bitmap that holds, for every class of shingle hashes, whether the set has an odd number of them (each shingle that one
+set alone has changes one bit): these are found by an equality join, salted where a shingle has many classes, and each is
+compared once. Pairs inside one group, which can add nothing, are never made.
 (5) Star joins over the links give the components. A comparison first asks for a common shingle under the second and
 third order, and then counts the whole sets' common shingles.
 """
@@ -38,6 +40,8 @@ BLOCK = 512
 BUNDLE, BUCKET_BYTES = 2_000_000, 64 << 20
 #: Rounds of hubs at most; they end when the pairs left are no more than PAIRS for each prefix shingle.
 ROUNDS, PAIRS = 6, 4
+#: Bits of a set's bitmap.
+BITMAP = 512
 _MIX = (0x9E3779B97F4A7C15, np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
 
 
@@ -65,6 +69,11 @@ def shingles(text: str | None, n: int) -> np.ndarray:
     return np.unique(mixed(out, width))
 
 
+def bitmap(tokens: np.ndarray) -> np.ndarray:
+    """For each class of shingles whether there is an odd number of them, in BITMAP bits."""
+    return np.packbits((np.bincount((tokens & np.uint64(BITMAP - 1)).astype(np.int64), minlength=BITMAP) & 1).astype(np.uint8))
+
+
 def prefix_length(n: np.ndarray | int, percent: int):
     """How many first shingles of n must meet those of a set that is similar by `percent` of 100 or more."""
     return n - (percent * n + 99) // 100 + 1
@@ -80,7 +89,7 @@ def _grouped(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return starts, np.diff(np.r_[starts, len(keys)])
 
 
-#: kind 0: rows of documents (ids and text hashes, n, class, whether the id is known); kind 1: shingles (class, count of its shingles here, shingles[, df]); kind 2: classes (class, n).
+#: kind 0: rows of documents (ids and text hashes, n, class, whether the id is known); kind 1: shingles (class, count of its shingles here, shingles[, df]); kind 2: classes (class, n, bitmap).
 PACKED = "bucket int, kind int, a binary, b binary, c binary, d binary"
 PACKED_ARROW = pa.schema([("bucket", pa.int32()), ("kind", pa.int32()), *((c, pa.binary()) for c in "abcd")])
 MEMBERS = pa.schema([("id", pa.int64()), ("key", pa.int64()), ("n_shingles", pa.int64()), ("class", pa.int64())])
@@ -105,7 +114,8 @@ def _read(batches: Iterator[pa.RecordBatch], n: int, buckets: int) -> Iterator[p
             home = (fp[first] % np.uint64(buckets)).astype(np.int64)
             for b in np.unique(home):
                 m = first[home == b]
-                rows.append((int(b), 2, *_pack(fp[m], size[m].astype(np.int32)), None, None))
+                maps = np.stack([bitmap(sets[i]) for i in m])
+                rows.append((int(b), 2, *_pack(fp[m], size[m].astype(np.int32), maps), None))
             tokens = np.concatenate([sets[i] for i in first])
             owner = np.repeat(np.arange(len(first)), size[first])
             to = (tokens >> np.uint64(40)) % np.uint64(buckets)
@@ -155,26 +165,26 @@ def _count(rows: pd.DataFrame, buckets: int) -> pd.DataFrame:
 
 
 #: Rows of documents pass; every class that may have a partner gives one row.
-CLASSES = "kind int, a binary, b binary, c binary, d binary, fp long, n int, own int, tokens binary, p1 binary, p2 binary, p3 binary"
+CLASSES = "kind int, a binary, b binary, c binary, d binary, fp long, n int, own int, bits array<long>, tokens binary, p1 binary, p2 binary, p3 binary"
 
 
 def _prefixes(rows: pd.DataFrame, percent: int) -> pd.DataFrame:
     docs = rows[rows["kind"] == 0]
-    out = [(0, r.a, r.b, r.c, r.d, 0, 0, 0, None, None, None, None) for r in docs.itertuples()]
+    out = [(0, r.a, r.b, r.c, r.d, 0, 0, 0, None, None, None, None, None) for r in docs.itertuples()]
     part = rows[rows["kind"] == 1]
     if len(part):
         known = rows[rows["kind"] == 2]
-        sizes = dict(zip(np.frombuffer(b"".join(known["a"]), np.uint64).tolist(), np.frombuffer(b"".join(known["b"]), np.int32).tolist()))
+        sizes = dict(zip(np.frombuffer(b"".join(known["a"]), np.uint64).tolist(), zip(np.frombuffer(b"".join(known["b"]), np.int32).tolist(), np.frombuffer(b"".join(known["c"]), np.int64).reshape(-1, BITMAP // 64))))
         fp, tokens, df = _unpack(part)
         order = np.lexsort((tokens, fp))
         fp, tokens, df = fp[order], tokens[order], df[order]
         for s, k in zip(*_grouped(fp)):
-            n = sizes[int(fp[s])]
+            n, bits = sizes[int(fp[s])]
             take = prefix_length(n, percent) - (n - k)  # shingles of its own come first
             if take > 0:
                 t, d = tokens[s : s + k], df[s : s + k]
                 orders = (np.lexsort((t, d)), np.lexsort((mixed(t, 1), d)), np.lexsort((mixed(t, 2), np.frexp(d)[1])))
-                out.append((1, None, None, None, None, int(fp[s].astype(np.int64)), n, n - int(k), t.tobytes(), *(t[o[:take]].tobytes() for o in orders)))
+                out.append((1, None, None, None, None, int(fp[s].astype(np.int64)), n, n - int(k), bits.tolist(), t.tobytes(), *(t[o[:take]].tobytes() for o in orders)))
     return pd.DataFrame(out, columns=[c.split()[0] for c in CLASSES.split(", ")])
 
 
@@ -221,7 +231,7 @@ def similar(pairs: DataFrame, classes: DataFrame, percent: int, block: int) -> D
 
 
 def class_links(classes: DataFrame, percent: int, block: int = BLOCK) -> DataFrame:
-    """(node, component) of the classes that links connect. classes: (fp, n, own, tokens, p1, p2, p3)."""
+    """(node, component) of the classes that links connect. classes: (fp, n, own, bits, tokens, p1, p2, p3)."""
 
     def posted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -232,6 +242,7 @@ def class_links(classes: DataFrame, percent: int, block: int = BLOCK) -> DataFra
     posts = classes.select("fp", "n", "own", "p1").mapInPandas(posted, "token long, fp long, n long, own long")
     shared = posts.groupBy("token").agg(F.count("*").alias("many")).where("many > 1").select("token")
     posts = written(posts.join(shared, "token"), "join-posts")
+    classes = written(classes.join(posts.select("fp").distinct(), "fp", "left_semi"), "join-active")
     links = parts = None
     for turn in range(ROUNDS):
         label = F.col("fp") if parts is None else F.coalesce("component", "fp")
@@ -257,10 +268,12 @@ def class_links(classes: DataFrame, percent: int, block: int = BLOCK) -> DataFra
     # pairs across groups: sizes within the threshold are in the same or the next class of sizes
     unit = max(math.log(100 / percent) * (1 + 1e-9), 1e-3)
     band = F.floor(F.log("n") / F.lit(unit))
-    d = d.select("token", "fp", "n", "label", band.alias("band"), F.ceil(F.col("many") / F.lit(block)).cast("int").alias("salts"))
-    a = d.select("token", F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1)).alias("band"), F.pmod(F.xxhash64("fp"), "salts").cast("int").alias("salt"), F.col("fp").alias("hub"), F.col("n").alias("hub_n"), F.col("label").alias("hub_label"))
-    b = d.select("token", "band", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), "fp", "n", "label")
+    d = d.join(classes.select("fp", "bits"), "fp").select("token", "fp", "n", "label", "bits", band.alias("band"), F.ceil(F.col("many") / F.lit(block)).cast("int").alias("salts"))
+    a = d.select("token", F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1)).alias("band"), F.pmod(F.xxhash64("fp"), "salts").cast("int").alias("salt"), F.col("fp").alias("hub"), F.col("n").alias("hub_n"), F.col("label").alias("hub_label"), F.col("bits").alias("hub_bits"))
+    b = d.select("token", "band", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), "fp", "n", "label", "bits")
     near = 100 * F.least("n", "hub_n") >= percent * F.greatest("n", "hub_n")
+    apart = sum((F.bit_count(F.get("bits", F.lit(i)).bitwiseXOR(F.get("hub_bits", F.lit(i)))) for i in range(BITMAP // 64)), F.lit(0))
+    near &= apart * (100 + percent) <= (F.col("n") + F.col("hub_n")) * (100 - percent)  # of shingles that one set alone has
     pairs = a.join(b, ["token", "band", "salt"]).where((F.col("hub") < F.col("fp")) & (F.col("hub_label") != F.col("label")) & near).select("hub", "fp").distinct()
     found = similar(pairs, classes, percent, block)
     if links is None:
@@ -299,7 +312,7 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80, id_col: s
                 yield pa.RecordBatch.from_arrays(own, schema=MEMBERS)
 
     members = both.where("kind = 0").select("a", "b", "c", "d").mapInArrow(rows, "id long, key long, n_shingles long, class long")
-    classes = both.where("kind = 1").select("fp", "n", "own", "tokens", "p1", "p2", "p3")
+    classes = both.where("kind = 1").select("fp", "n", "own", "bits", "tokens", "p1", "p2", "p3")
     linked = class_links(classes, percent, block)
     # by class, of which a very large one is one row: its component, and the smallest id in that
     own = members.where("class is not null").groupBy("class").agg(F.min("id").alias("_own"))
