@@ -17,6 +17,7 @@ right once, with the state carried from word to word and the weights added up.
 
 from __future__ import annotations
 
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -32,9 +33,11 @@ from .common import partitions, with_own, written
 from .ngram_join import _batch, mixed
 
 #: Words that a block holds before it is closed; a longer text is a block of its own.
-BLOCK_WORDS = 1_200_000
+BLOCK_WORDS = 600_000
 #: Words whose n-grams share a bucket, at most on average: the number of buckets grows with the corpus.
-BUCKET_WORDS = 8_000_000
+BUCKET_WORDS = 4_000_000
+#: Bytes by which n-grams of a bucket are told apart.
+KEY = 6
 #: Stand for the end of a text and for what lies before its start; no word has these, as words are hashed to odd numbers.
 END, START = np.uint64(2), np.uint64(4)
 
@@ -100,7 +103,8 @@ def _grams(words: np.ndarray, stream: np.ndarray, length: np.ndarray, order: int
 def _ask(batches: Iterator[pa.RecordBatch], order: int, buckets: int) -> Iterator[pa.RecordBatch]:
     schema = pa.schema([("bucket", pa.int32()), ("block", pa.int64()), ("size", pa.int32()), ("keys", pa.binary()), ("counts", pa.binary())])
     for b in batches:
-        for r in b.to_pylist():
+        for i in range(b.num_rows):  # a block is large: one at a time
+            r = b.slice(i, 1).to_pylist()[0]
             length, words, stream = _parts(r)
             used = np.repeat(np.frombuffer(r["train"], bool), length)
             for n, g in enumerate(_grams(words, stream, length, order), 1):
@@ -115,18 +119,17 @@ def _ask(batches: Iterator[pa.RecordBatch], order: int, buckets: int) -> Iterato
                 for k in range(buckets):
                     lo, hi = np.searchsorted(to, (k, k + 1))
                     if hi > lo:
-                        # 56 bits of a key, sorted: the bucket tells some of the rest
                         rows.append((k, r["block"], n, _short(keys[lo:hi]), all_[lo:hi].tobytes()))
                 yield _batch(rows, schema)
 
 
 def _short(keys: np.ndarray) -> bytes:
-    return keys.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :7].tobytes()
+    return keys.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :KEY].tobytes()
 
 
 def _long(data: bytes) -> np.ndarray:
-    out = np.zeros((len(data) // 7, 8), np.uint8)
-    out[:, :7] = np.frombuffer(data, np.uint8).reshape(-1, 7)
+    out = np.zeros((len(data) // KEY, 8), np.uint8)
+    out[:, :KEY] = np.frombuffer(data, np.uint8).reshape(-1, KEY)
     return out.view("<u8").reshape(-1)
 
 
@@ -153,26 +156,28 @@ def _answer(asked: pd.DataFrame) -> pd.DataFrame:
 
 @dataclass(frozen=True)
 class Automaton:
-    """What a block's texts can reach of the automaton. An arc's key is state * words + word; state 0 has all words."""
+    """What a block's texts can reach of the automaton: the states, with the length of their history, their failure
+    arc and its cost, and the arcs, with their weight and the state after them. wanted[d] has for each token of the
+    block the number of its arc from a history of d words, -1 where there is none."""
 
-    words: int
     start: int
-    arcs: dict[int, int]
-    weight: list[float]
-    after: list[int]
-    failure: list[int]
-    cost: list[float]
-
-    def walk(self, tokens: list[int]) -> float:
-        """The log10 probability of a text: one pass from left to right that carries the state."""
-        state, total, find, n = self.start, 0.0, self.arcs.get, self.words
-        weight, after, failure, cost = self.weight, self.after, self.failure, self.cost
-        for t in tokens:
-            arc = find(state * n + t)
-            while arc is None:
+    depth: array
+    failure: array
+    cost: array
+    weight: array
+    after: array
+    wanted: list[np.ndarray]
+
+    def walk(self, begin: int, end: int) -> float:
+        """The log10 probability of the text of these tokens: one pass from left to right that carries the state."""
+        state, total = self.start, 0.0
+        depth, failure, cost, weight, after = self.depth, self.failure, self.cost, self.weight, self.after
+        for arcs in zip(*(w[begin:end].tolist() for w in self.wanted)):
+            arc = arcs[depth[state]]
+            while arc < 0:
                 total += cost[state]
                 state = failure[state]
-                arc = find(state * n + t)
+                arc = arcs[depth[state]]
             total += weight[arc]
             state = after[arc]
         return total
@@ -188,30 +193,31 @@ def build_automaton(words: np.ndarray, stream: np.ndarray, length: np.ndarray, c
     starts = np.zeros(len(stream), bool)
     starts[first] = True
     failure, cost = [np.r_[0, np.arange(order - 1)]], [np.r_[0.0, np.full(order - 1, np.log10(mass / (n_texts + mass)))]]
-    made, states = [], order
+    depth, states, arcs, wanted, made = [np.arange(order)], order, 0, [], []
     before = old_home = old_p = old_count = None
     for n, g in enumerate(_grams(words, stream, length, order), 1):
-        _, at, inverse = np.unique(g, return_index=True, return_inverse=True)
+        _, at, gram = np.unique(g, return_index=True, return_inverse=True)
         c = counts[n].astype(np.float64)
         if n == 1:
-            origin, last, p = np.zeros(len(c), np.int64), stream[at], (c + 0.5) / (n_train + 0.5 * (n_words + 1))
-            shorter, there = np.zeros(len(c), np.int64), np.ones(len(c), bool)
+            p, shorter, there = (c + 0.5) / (n_train + 0.5 * (n_words + 1)), np.zeros(len(c), np.int64), np.ones(len(c), bool)
         else:
-            opens = starts[at]
-            history, shorter_gram = before[np.maximum(at - 1, 0)], before[at]
-            p = (c + mass * old_p[shorter_gram]) / (np.where(opens, n_texts, old_count[history]) + mass)
-            origin, last, there = np.where(opens, n - 1, old_home[history]), stream[at], c > 0
-            shorter = old_home[shorter_gram]
+            history = np.where(starts[at], n_texts, old_count[before[np.maximum(at - 1, 0)]])
+            p, shorter, there = (c + mass * old_p[before[at]]) / (history + mass), old_home[before[at]], c > 0
         home = shorter
         if n < order:
-            home = np.where(c > 0, states + np.cumsum(c > 0) - 1, shorter)
-            failure.append(shorter[c > 0])
-            cost.append(np.log10(mass / (c[c > 0] + mass)))
-            states += int((c > 0).sum())
-        made.append((origin[there] * len(words) + last[there], np.log10(p[there]), home[there]))
-        before, old_home, old_p, old_count = inverse, home, p, c
-    keys, weight, after = (np.concatenate(x) for x in zip(*made))
-    return Automaton(len(words), order - 1, dict(zip(keys.tolist(), range(len(keys)))), weight.tolist(), after.tolist(), np.concatenate(failure).tolist(), np.concatenate(cost).tolist())
+            held = c > 0
+            home = np.where(held, states + np.cumsum(held) - 1, shorter)
+            failure.append(shorter[held])
+            cost.append(np.log10(mass / (c[held] + mass)))
+            depth.append(np.full(int(held.sum()), n))
+            states += int(held.sum())
+        wanted.append(np.where(there, arcs + np.cumsum(there) - 1, -1)[gram].astype(np.int32))
+        arcs += int(there.sum())
+        made.append((np.log10(p[there]), home[there]))
+        before, old_home, old_p, old_count = gram, home, p, c
+    weight, after = (np.concatenate(x) for x in zip(*made))
+    whole, real = (lambda x: array("l", np.concatenate(x).astype(np.int64).tobytes())), (lambda x: array("d", np.concatenate(x).tobytes()))
+    return Automaton(order - 1, whole(depth), whole(failure), real(cost), real([weight]), whole([after]), wanted)
 
 
 def _traverse(rows: pd.DataFrame, answers: pd.DataFrame, order: int, mass: float, n_train: float, n_words: float, n_texts: float, buckets: int) -> pd.DataFrame:
@@ -230,11 +236,11 @@ def _traverse(rows: pd.DataFrame, answers: pd.DataFrame, order: int, mass: float
         of_word = np.zeros(len(words))
         of_word[:] = counts[1]  # a word's key is the word, and words are sorted
         base, seen = np.log10(of_word + 0.5)[stream], (of_word > 0)[stream]
-        tokens, n_base, n_seen, score = stream.tolist(), [], [], []
+        n_base, n_seen, score = [], [], []
         for a, b in zip(ends - length, ends):
             n_base.append(np.sum(base[a:b]))
             n_seen.append(int(np.sum(seen[a:b])))
-            score.append(automaton.walk(tokens[a:b]))
+            score.append(automaton.walk(a, b))
         known = np.frombuffer(r["known"], bool)
         parts.append(pd.DataFrame({"row": pd.arrays.IntegerArray(np.frombuffer(r["row"], np.int64).copy(), ~known), "n_tokens": length.astype(np.int64), "n_known": n_seen, "base": n_base, "n_base": length.astype(np.int64), "score": score}))
     return pd.concat(parts)
@@ -250,7 +256,7 @@ def score_texts(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col
 
     A null text counts as empty, which is one end token. Null and repeated ids and repeated rows are scored row by
     row. Without training rows N and V are 0 and every token has probability 1. An empty table gives an empty
-    table. Other columns are not read. N-grams are told apart by hashes of 56 bits and a bucket. A block's part of
+    table. Other columns are not read. N-grams are told apart by their bucket and hashes of 48 bits. A block's part of
     the automaton is bounded by BLOCK_WORDS or its one text; a very common n-gram is asked for once by each block, and
     a block asks in one row for all of its n-grams of a bucket, so there are at most as many rows as n-grams.
     """
