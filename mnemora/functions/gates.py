@@ -20,6 +20,11 @@ FIRST_PERSON = "(我|俺|咱|本人|主人)"
 RELATION = "(主人|owner|老公|老婆|男朋友|女朋友|男友|女友|未婚夫|未婚妻|爸爸|妈妈|父亲|母亲|儿子|女儿|哥哥|弟弟|姐姐|妹妹|老板|上司|领导|管理员|群主|admin)"
 EPISODE_CUE = "(去了|到了|见了|见到|碰到|参加|出差|旅游|旅行|搬家|买房|买车|买了|辞职|入职|面试|考试|挂科|毕业|住院|看病|手术|结婚|订婚|分手|离婚|生了|怀孕|领养|养了|报名|预约|约好|答应|决定|打算|计划|完成|办完|搞定|签了|开了|开始学|放弃了|聚会|聚餐|出去玩|过生日|过年|回家|回老家|加班|改口|纠正|记错|说错)"
 COMMAND = r"^[/／!！]"
+QUESTION = ("？", "?", "吗", "怎么", "为什么", "为啥", "能不能", "可不可以", "是否", "啥", "多少", "几点", "谁", "哪里", "哪儿", "如何")
+#: Of messages: whole short answers, marks that end a sentence, marks and words that go on.
+ACK_WORDS = ("好", "好的", "好嘞", "好的好的", "收到", "收到收到", "明白", "知道了", "了解", "可以", "行", "嗯", "嗯嗯", "哦", "哦哦", "哈哈", "嘿嘿", "没问题", "OK", "ok", "Ok", "okok")
+SENTENCE_END, GOES_ON = r"[。！？!?…~～.]$", "[，,、；;：:]$"
+GOES_ON_WORDS = ("然后", "而且", "但是", "因为", "所以", "就是", "那个", "这个", "还有", "以及", "如果", "虽然", "不过", "并且", "要是", "感觉", "觉得", "帮我", "你看看")
 LOOK_BACK = ((r"(刚才|刚刚|今天早|今晚|今天)", 1), (r"昨天", 2), (r"前天", 3), (r"(这周|本周|最近)", 7), (r"(上周|上星期)", 14), (r"上个月", 40))
 RANGE = r"(\d{4}\s*年|去年|前年|今年|本年|上个月|上月|这个月|本月|最近\s*\d+\s*(天|周|个?月|年)|(?<![\d年\-])(1[0-2]|0?[1-9])\s*月)"
 
@@ -60,12 +65,10 @@ def text_usable(text: Column, least: int = 2) -> Column:
     return F.when(F.length(t) < least, "too_short").when(t.rlike(r"^[/／!！]"), "command").when(~t.rlike(r"[\p{L}\p{N}]"), "no_content").otherwise("")
 
 
-def question_like(text: Column, markers: tuple[str, ...] = ()) -> Column:
+def question_like(text: Column, markers: tuple[str, ...] = QUESTION) -> Column:
+    """Whether a text holds one of the marks and words of questions."""
     t = F.trim(text_or_empty(text))
-    out = t.rlike("[?？]$")
-    for m in markers:
-        out = out | F.contains(t, F.lit(m))
-    return out
+    return F.exists(F.array(*map(F.lit, markers)), lambda m: F.contains(t, m))
 
 
 def in_targets(tag: Column, targets: list[str]) -> Column:
@@ -95,10 +98,29 @@ def reply_gate(enabled: Column, is_group: Column, is_self: Column, tag: Column,
 
 
 def incomplete(text: Column, short: int = 12) -> Column:
-    """Whether a message looks unfinished: short, without a final mark, ending on a joining mark or very short."""
+    """Whether a message looks unfinished: short, without a final mark, and ending on a mark or word that goes on, or very short."""
     t = F.trim(text_or_empty(text))
-    done = (t == "") | t.rlike(r"(?i)^(好|好的|好嘞|收到|明白|知道了|了解|可以|行|嗯|嗯嗯|哦|哦哦|哈哈|嘿嘿|没问题|ok|okok)$") | (F.length(t) > short) | t.rlike(r"[。.!！?？~～…]$")
-    return F.when(done, False).when(t.rlike(r"[,，、;；:：\-—]$"), True).otherwise(F.length(t) <= 6)
+    done = (t == "") | t.isin(*ACK_WORDS) | (F.length(t) > short) | t.rlike(SENTENCE_END)
+    return F.when(done, False).when(t.rlike(GOES_ON) | t.rlike(f"(?:{'|'.join(GOES_ON_WORDS)})$"), True).otherwise(F.length(t) <= 6)
+
+
+def capture_reason(enabled: Column, capture: Column, yielded: Column, owner: Column, platform: Column, platforms: list[str], place: Column, allowed: list[str]) -> Column:
+    """'' where a message is captured, else why not. platform: of the message, '' if unknown, which passes as do owners'.
+
+    place: its window, speaker and group in one text; allowed: parts one of which it must hold, none for all.
+    """
+    known = platform.isin(*platforms, "") if platforms else F.lit(True)
+    return F.when(~enabled, "disabled").when(~capture, "capture_off").when(yielded, "coexistence").when(~owner & ~known, F.concat(F.lit("platform:"), platform)).when(~in_targets(place, allowed), "whitelist").otherwise("")
+
+
+def relation_claim(attribute: Column, speaker: Column, blob: Column) -> Column:
+    """Whether a name or identity claims a relation that cannot be checked; the bot's own are defined, not claimed."""
+    return (speaker != "bot_self") & attribute.isin("identity", "name") & text_or_empty(blob).rlike(RELATION)
+
+
+def budget_reason(used: Column, hard: Column, soft: Column, urgent: Column, size: Column, cap: Column, fallback: Column) -> Column:
+    """'' where a call may go as it is, else what holds it back or moves it to another provider; limits of 0 do not hold."""
+    return F.when((hard > 0) & (used >= hard), "daily_token_limit").when((soft > 0) & (used >= soft) & ~urgent, "soft_token_limit").when((cap > 0) & (size > cap), F.when(fallback, "single_call_cap").otherwise("single_call_cap_no_fallback")).otherwise("")
 
 
 def fact_block_reason(status: Column, expires: Column, persona: Column, scope: Column, speaker: Column, name: Column, *, as_of: Column, ask_persona: str, asker: list[str], owners: list[str], query: str, isolation: str = "shared", route_name: str = "long_term", attribute: Column | None = None, updated: Column | None = None, private_origin: Column | None = None, private_session: bool = False) -> Column:

@@ -50,13 +50,22 @@ def fused_score(rrf: Column, text: Column, cos: Column, rec: Column, pinned: Col
     return rrf + 0.15 * text + 0.1 * cos + 0.05 * rec + 0.05 * flag(pinned) + 0.08 * flag(own) + 2.0 * flag(matched) - 0.1 * flag(stale)
 
 
-def event_score(text: Column, rec: Column, confidence: Column, weight: Column, pinned: Column, matched: Column) -> Column:
+def event_score(text: Column, age: Column, confidence: Column, weight: Column, pinned: Column, matched: Column, route: Column, ended_before: Column, linked: Column, link_weight: float = 0.0) -> Column:
+    """Of an episode, age days after its end; ended_before: whether it ended within the time asked for."""
     flag = lambda c: c.cast("int")
-    return text + 0.25 * rec + 0.2 * confidence + 0.25 * weight + 0.25 * flag(pinned) + 2.5 * flag(matched)
+    own = text + 0.25 / (1.0 + age / 14.0) + 0.2 * F.least(F.lit(1.0), confidence) + 0.25 * weight + 0.25 * flag(pinned) + 2.5 * flag(matched)
+    by_route = F.when((route == "current_status") & (age > 7), -0.4).when(route == "time_window", 0.15).when(route == "history", 0.15 + 0.1 * flag(ended_before)).otherwise(0.0)
+    return own + by_route + link_weight * flag(linked)
+
+
+def history_score(text: Column, age: Column, confidence: Column, pinned: Column, inside: Column, linked: Column, link_weight: float = 0.0) -> Column:
+    """Of a fact that is over, age days after its last change; inside: whether it held within the time asked for."""
+    flag = lambda c: c.cast("int")
+    return text + 0.2 / (1.0 + age / 30.0) + 0.1 * F.least(F.lit(1.0), confidence) + 0.2 * flag(pinned) + 0.05 * flag(inside) + link_weight * flag(linked)
 
 
 #: The dimensions of a judgement and their weights.
-JUDGE = {"relevance": 0.3, "willingness": 0.25, "timing": 0.25, "social": 0.2}
+JUDGE = {"relevance": 0.3, "willingness": 0.25, "social": 0.25, "timing": 0.2}
 
 
 def judge_score(values: Column) -> Column:

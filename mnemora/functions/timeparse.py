@@ -7,7 +7,13 @@ from datetime import UTC, datetime
 
 from .gates import HISTORY
 
+# Units in days, and the phrases by which times are told.
 DAYS = {"天": 1, "周": 7, "月": 30, "个月": 30, "年": 365}
+YEAR_MONTH, YEAR = r"(\d{4})\s*年\s*(\d{1,2})\s*月", r"(?<![\d\-])(\d{4})\s*年(?!\s*\d)"
+LAST_YEAR_MONTH, THIS_YEAR_MONTH = r"去年\s*(\d{1,2})\s*月", r"(?:今年|本年)\s*(\d{1,2})\s*月"
+YEAR_BEFORE_LAST, LAST_YEAR, THIS_YEAR = r"前年", r"去年", r"今年|本年"
+LAST_MONTH, THIS_MONTH = r"上个月|上月", r"这个月|本月"
+RECENT, MONTH = r"最近\s*(\d+)\s*(天|周|个?月|年)", r"(?<![\d年\-])(\d{1,2})\s*月"
 
 
 def _month(year: int, month: int) -> tuple[int, int]:
@@ -36,17 +42,17 @@ def parse_time_range(query: str, as_of: int) -> tuple[int, int, str]:
 
     last = now.year * 12 + now.month - 2
     rules = (
-        (r"(\d{4})\s*年\s*(\d{1,2})\s*月", lambda m: month(int(m[1]), int(m[2]))),
-        (r"(?<![\d\-])(\d{4})\s*年(?!\s*\d)", lambda m: year(int(m[1]))),
-        (r"去年\s*(\d{1,2})\s*月", lambda m: month(now.year - 1, int(m[1]))),
-        (r"(?:今年|本年)\s*(\d{1,2})\s*月", lambda m: month(now.year, int(m[1]))),
-        (r"前年", lambda m: year(now.year - 2)),
-        (r"去年", lambda m: year(now.year - 1)),
-        (r"今年|本年", lambda m: year(now.year)),
-        (r"上个月|上月", lambda m: month(last // 12, last % 12 + 1)),
-        (r"这个月|本月", lambda m: month(now.year, now.month)),
-        (r"最近\s*(\d+)\s*(天|周|个?月|年)", recent),
-        (r"(?<![\d年\-])(\d{1,2})\s*月", lambda m: month(now.year - (int(m[1]) > now.month), int(m[1]))),
+        (YEAR_MONTH, lambda m: month(int(m[1]), int(m[2]))),
+        (YEAR, lambda m: year(int(m[1]))),
+        (LAST_YEAR_MONTH, lambda m: month(now.year - 1, int(m[1]))),
+        (THIS_YEAR_MONTH, lambda m: month(now.year, int(m[1]))),
+        (YEAR_BEFORE_LAST, lambda m: year(now.year - 2)),
+        (LAST_YEAR, lambda m: year(now.year - 1)),
+        (THIS_YEAR, lambda m: year(now.year)),
+        (LAST_MONTH, lambda m: month(last // 12, last % 12 + 1)),
+        (THIS_MONTH, lambda m: month(now.year, now.month)),
+        (RECENT, recent),
+        (MONTH, lambda m: month(now.year - (int(m[1]) > now.month), int(m[1]))),
         (HISTORY, lambda m: (0, as_of, "当时")),
     )
     for pattern, make in rules:

@@ -30,6 +30,8 @@ facts AS (SELECT event_id AS id, '|' || user_id || '|self|' || event_type AS slo
   s AS created_at, s + k * 3600 AS updated_at, CASE WHEN k % 17 = 0 THEN s + 86400 ELSE 0 END AS expires_at FROM k)"""
 #: 2024-01-20 00:00 UTC, inside the month of the events table.
 AS_OF = 1705708800
+#: Marks and words of questions, of which a text holds one.
+ASKS = "|".join(m.replace("?", "[?]") for m in gates.QUESTION)
 TOKENS = r"list_filter(regexp_extract_all(lower({}), '[\p{{L}}\p{{N}}]+'), lambda t: length(t) <= 32)"
 
 
@@ -83,7 +85,7 @@ def route_classify(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(r"WITH " + TL + r""" SELECT id, CASE WHEN length(trim(content)) < 2 THEN 'too_short' WHEN regexp_matches(trim(content), '^[/／!！]') THEN 'command' WHEN NOT regexp_matches(trim(content), '[\p{L}\p{N}]') THEN 'no_content' ELSE '' END AS reason,
-  regexp_matches(trim(content), '[?？]$') AS question FROM tl""")
+  regexp_matches(content, '""" + ASKS + """') AS question FROM tl""")
 def candidate_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversation_timeline(spark, sf_dir).select("id", gates.text_usable(F.col("content")).alias("reason"), gates.question_like(F.col("content")).alias("question"))
 
@@ -106,7 +108,7 @@ def quiet_hours(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"""WITH {TL}, g AS (SELECT id, ts, window_tag, content, role, lag(ts) OVER (PARTITION BY window_tag ORDER BY ts, id) AS last FROM tl)
   SELECT id, CASE WHEN window_tag NOT LIKE '%GroupMessage%' THEN 'not_group' WHEN role = 'assistant' THEN 'self' WHEN length(trim(content)) < 2 THEN 'too_short' WHEN regexp_matches(trim(content), '^[/／!！]') THEN 'command'
-  WHEN ts - last < 60 THEN 'cooldown' WHEN contains(lower(content), 'the') THEN 'fire:name' WHEN regexp_matches(trim(content), '[?？]$') THEN 'fire:question' ELSE 'miss' END AS outcome FROM g""")
+  WHEN ts - last < 60 THEN 'cooldown' WHEN contains(lower(content), 'the') THEN 'fire:name' WHEN regexp_matches(content, '{ASKS}') THEN 'fire:question' ELSE 'miss' END AS outcome FROM g""")
 def reply_gate_funnel(spark: SparkSession, sf_dir: str) -> DataFrame:
     w = Window.partitionBy("window_tag").orderBy("ts", "id")
     tl = conversation_timeline(spark, sf_dir).withColumn("last", F.lag("ts").over(w))

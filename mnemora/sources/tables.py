@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -42,3 +42,30 @@ def event_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(k % 7 == 0, "owner").otherwise("person").alias("scope"), F.when(k % 11 == 0, "archived").when(k % 13 == 0, "superseded").otherwise("live").alias("status"),
         s.alias("created_at"), (s + k * 3600).alias("updated_at"), F.when(k % 17 == 0, s + 86400).otherwise(0).cast("long").alias("expires_at"),
     )
+
+
+def memory_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """event_facts with all that retrieval reads: texts, personas, windows, policies and links to what came after."""
+    f = event_facts(spark, sf_dir)
+    w = Window.partitionBy("slot_key").orderBy("created_at", "id")
+    private = F.concat(F.lit("qq:FriendMessage:"), "speaker_id")
+    return f.withColumn("superseded_by", F.lead("id").over(w)).select(
+        "id", "slot_key", "speaker_id", F.concat(F.lit("user"), "speaker_id").alias("speaker_name"), "attribute", F.col("value").cast("string").alias("value"),
+        F.concat("attribute", F.lit(" "), F.col("value").cast("string"), F.lit(" by user"), "speaker_id").alias("content"), "confidence", "importance", "pinned", "access_count", "scope", "status",
+        "created_at", "updated_at", "expires_at", "superseded_by", F.when(F.col("id") % 3 == 0, "p1").otherwise("").alias("persona_id"),
+        F.when(F.col("id") % 4 == 0, private).otherwise("qq:GroupMessage:1").alias("origin_window"), F.when(F.col("id") % 6 == 0, "uncertain").otherwise("mention").alias("mention_policy"),
+    )
+
+
+def event_episodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Episodes: a user's events of a day, with speakers, a window, and marks by the day's number."""
+    e = event_timeline(spark, sf_dir).withColumn("day", F.floor(F.col("ts") / 86400))
+    g = e.groupBy("speaker_id", "day").agg(F.min("id").alias("id"), F.min("ts").alias("start_ts"), F.max("ts").alias("end_ts"), F.min("kind").alias("kind"), F.count("*").alias("n"))
+    speaker = F.col("speaker_id").cast("string")
+    return g.select(
+        "id", "start_ts", "end_ts", F.concat("kind", F.lit(" day")).alias("title"), F.concat(F.col("n").cast("string"), F.lit(" events of user"), speaker).alias("summary"),
+        F.array(speaker, F.concat(F.lit("u"), (F.col("speaker_id") % 5).cast("string"))).alias("event_speakers"), F.concat(F.lit("qq:GroupMessage:"), "kind").alias("event_window"),
+        F.when(F.col("day") % 5 == 0, "owner").otherwise("person").alias("scope"), F.when(F.col("day") % 7 == 0, "archived").otherwise("live").alias("status"),
+        F.when(F.col("n") > 4, "needs_review").otherwise("").alias("review_status"), F.when(F.col("id") % 3 == 0, "p1").otherwise("").alias("persona_id"),
+        (F.col("n") / 10.0).alias("confidence"), F.lit(0.5).alias("importance"), (F.col("id") % 29 == 0).alias("pinned"),
+    )

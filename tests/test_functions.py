@@ -109,7 +109,7 @@ def test_cosine_of_odd_vectors_is_zero(spark):
 
 def test_judge_score_renormalises_over_known_dimensions(spark):
     d = spark.createDataFrame([({"relevance": "8", "timing": "x", "social": "20"},)], "m map<string,string>")
-    assert d.select(scores.judge_score(F.col("m")).alias("s")).first().s == pytest.approx((8 * 0.3 + 10 * 0.2) / 0.5)
+    assert d.select(scores.judge_score(F.col("m")).alias("s")).first().s == pytest.approx((8 * 0.3 + 10 * 0.25) / 0.55)
 
 
 def test_visibility_rules_in_order(spark):
