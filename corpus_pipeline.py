@@ -1,7 +1,11 @@
 """A training corpus from raw documents: toxic ones go, near copies go, sources are mixed, the rest is encoded.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet and read again as the
-next stage's docs. All stages but the last return the columns of documents.
+next stage's docs. All stages but the last return the columns of docs as they are, whatever their names.
+
+Null ids and texts, empty and very long texts, repeated rows and empty tables pass every stage: a null or empty text is
+scored, has no near copies, stays once in the mix, and has no ids; a row without an id is a row like any other, but a
+group of near copies keeps one that has an id if there is one.
 """
 
 from __future__ import annotations
@@ -12,9 +16,9 @@ from pyspark.sql import functions as F
 
 from mnemora.llm.bpe import round_trip
 from mnemora.llm.common import crc_of_id, written
-from mnemora.llm.mixing import mix_sources, repeated
+from mnemora.llm.mixing import mixture
 from mnemora.llm.ngram_join import first_of_each
-from mnemora.llm.toxicity import score_toxicity, train_classifier
+from mnemora.llm.toxicity import train_classifier, without_toxic
 
 #: Documents with this toxicity score or more are rejected, as in the operator's own query.
 TOXIC = 0.7
@@ -27,23 +31,22 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     model = train_classifier(docs, labels, crc_of_id(F.col("doc_id")) % 3 != 1)
-    kept = score_toxicity(docs, model).where(F.col("score") < TOXIC)
-    return kept.select(*docs.columns)
+    return without_toxic(docs, model, TOXIC)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents that share 80 % of their five-word shingles, directly or through others, the smallest id stays."""
-    return first_of_each(docs, n=5, percent=80).select(*docs.columns)
+    return first_of_each(docs, n=5, percent=80)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every row as often as the mix of sources takes it: once, twice or not at all. Rows without words stay once."""
-    return repeated(mix_sources(docs)).select(*docs.columns)
+    return mixture(docs)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The byte-level BPE ids of every text, as counts and digests, checked by decoding them."""
-    return round_trip(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    """The byte-level BPE ids of every text, with their number, their digest, and that of the bytes they decode to."""
+    return round_trip(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, with_ids=True)
 
 
 STAGES = [("toxicity", drop_toxic), ("near-copies", drop_near_copies), ("mix", mix), ("encode", encode)]

@@ -2,7 +2,7 @@
 
 A text is halved until the pieces are short; the pieces are encoded on their own; neighbours are joined up the
 tree by encoding a window round the seam again. The window grows on both sides until it ends where the tokens
-outside are proven to stand: no match of the split pattern goes on from a character that is not white space to one
+outside are proven to stand. White space is the proof, not a comparison of tokens, which could agree by chance: no match of the split pattern goes on from a character that is not white space to one
 that is, and the pattern looks at nothing before a match. So a match starts at every white space that follows
 another character, in the piece and in the joined text alike, and what lies beyond two such places is the same in
 both. Where a piece has no such place, the window takes all of it.
@@ -16,13 +16,14 @@ import hashlib
 import re
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Characters of a piece that is encoded directly.
-LEAF = 32768
+#: Characters of a piece that is encoded directly, and ids of one that is decoded directly.
+LEAF, LEAF_IDS = 512, 256
 #: Characters by which a window first reaches over the seam on either side.
 WINDOW = 64
 #: A white space after another character. Python's white space includes all that the split pattern calls so.
@@ -82,8 +83,11 @@ class TreeEncoder:
             reach *= 2
 
     def decode(self, ids: list[int]) -> bytes:
-        """The bytes of the tokens, joined; joining is associative, so any tree gives the same."""
-        return b"".join(map(self.bytes_of.__getitem__, ids))
+        """The bytes of the tokens: halves are decoded on their own and joined up the tree."""
+        if len(ids) <= LEAF_IDS:
+            return b"".join(map(self.bytes_of.__getitem__, ids))
+        half = len(ids) // 2
+        return self.decode(ids[:half]) + self.decode(ids[half:])
 
 
 @functools.cache
@@ -125,8 +129,8 @@ def _hex(data: bytes) -> str:
     return hashlib.sha256(data).hexdigest()
 
 
-def round_trip(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, n_tokens, ids_sha256, decoded_sha256): every text encoded and its ids decoded, in one pass and no exchange.
+def round_trip(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
+    """(id, n_tokens, ids_sha256, decoded_sha256[, ids]): every text encoded and its ids decoded, in one pass and no exchange.
 
     The digest of the ids is of their decimals joined by single spaces; that of the decoded bytes is of the bytes
     that the ids stand for. Nulls, empty and very long texts, repeated rows and an empty table: as encode_frame.
@@ -136,15 +140,20 @@ def round_trip(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "do
         e = encoder(ranks_path, pattern)
         decimal: Callable[[int], bytes] = [b"%d" % i for i in range(len(e.bytes_of))].__getitem__
         for b in batches:
-            n, coded, plain = [], [], []
+            n, coded, plain, kept = [], [], [], []
             for t in b["text"].to_pylist():
                 ids = e.encode(t or "")
                 n.append(len(ids))
                 coded.append(_hex(b" ".join(map(decimal, ids))))
                 plain.append(_hex(e.decode(ids)))
+                if with_ids:
+                    kept.append(np.array(ids, np.int32))
             columns = [b["id"], pa.array(n, pa.int64()), pa.array(coded, pa.string()), pa.array(plain, pa.string())]
-            yield pa.RecordBatch.from_arrays(columns, ["id", "n_tokens", "ids_sha256", "decoded_sha256"])
+            if with_ids:
+                columns.append(pa.array(kept, pa.list_(pa.int32())))
+            yield pa.RecordBatch.from_arrays(columns, ["id", "n_tokens", "ids_sha256", "decoded_sha256", "ids"][: len(columns)])
 
     kind = docs.select(id_col).schema[0].dataType.simpleString()
     d = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    return d.mapInArrow(run, f"id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string").withColumnRenamed("id", id_col)
+    more = ", ids array<int>" if with_ids else ""
+    return d.mapInArrow(run, f"id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string{more}").withColumnRenamed("id", id_col)

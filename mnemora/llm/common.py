@@ -15,10 +15,13 @@ WORD = r"[^\x20\x09-\x0D]+"
 def scratch_dir(spark: SparkSession) -> str:
     """The folder in spark.checkpoint.dir, which driver and executors share.
 
-    Where the setting is unset, as in tests on one machine, a temporary folder is made and set.
+    Where the setting is unset and all runs on one machine, as in tests, a temporary folder is made and set; elsewhere
+    it is an error, as executors would write to disks of their own.
     """
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="mnemora-")
         spark.sparkContext.setCheckpointDir(root)
     return root.rstrip("/")

@@ -14,34 +14,50 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import n_words, restored, sheltered, written
+from .common import n_words, partitions, restored, sheltered, written
 
 #: Bits of the hash by which each round refines.
 BITS = 12
 ROUNDS = 5
 
 
+def ranked_sources(by: DataFrame) -> DataFrame:
+    """by (source, ...) with _rank from 0, by code point, null last; no task holds all sources.
+
+    Sources are dealt by ranges of their order; a source's rank is the number of those in the ranges before its own,
+    of which there are as many as partitions, and its place in its range.
+    """
+    order = F.col("source").asc_nulls_last()
+    dealt = by.repartitionByRange(partitions(by.sparkSession), order).withColumn("_range", F.spark_partition_id())
+    dealt = written(dealt, "mix-ranges")
+    before, table = 0, []
+    for part, n in sorted(dealt.groupBy("_range").count().collect()):
+        table.append((part, before))
+        before += n
+    bases = F.broadcast(by.sparkSession.createDataFrame(table, "_range int, _base long"))  # a row for each partition
+    place = F.row_number().over(Window.partitionBy("_range").orderBy(order))
+    return dealt.withColumn("_place", place).join(bases, "_range").withColumn("_rank", F.col("_base") + F.col("_place") - 1).drop("_range", "_place", "_base")
+
+
 def source_targets(sizes: DataFrame, weights: Sequence[float] = (5, 2, 1), share: float = 1.5, most: float = 2.0) -> DataFrame:
     """sizes (source, size) -> (source, source_size, target).
 
     Sources by code point, null last, weigh `weights`, repeated. Targets share `share` of all sizes by weight; none
     is above `most` times its source's size, and the excess is shared again by weight. So every target is
-    min(most * size, level * weight) for one level, which running sums over the sources in the order of
-    most * size / weight give: those before the level are full, those after it are not.
+    min(most * size, level * weight) for one level. Each round sums the caps of the sources that the level fills and
+    the weights of the others, which gives the next, higher level, until no more are filled.
     """
-    by = sizes.groupBy("source").agg(F.sum("size").alias("source_size"))
-    rank = F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1
-    weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (rank % len(weights) + 1).cast("int"))
-    d = by.withColumn("_weight", weight).withColumn("_cap", most * F.col("source_size"))
-    order = Window.orderBy(F.col("_cap") / F.col("_weight"), F.col("source").asc_nulls_last())
-    before, whole = order.rowsBetween(Window.unboundedPreceding, -1), Window.partitionBy()
-    left = share * F.sum("source_size").over(whole) - F.coalesce(F.sum("_cap").over(before), F.lit(0.0))
-    heavy = F.sum("_weight").over(whole) - F.coalesce(F.sum("_weight").over(before), F.lit(0.0))
-    d = d.withColumn("_level", left / heavy)
-    # the level of the first source that is not full holds for all after it
-    first = F.first(F.when(F.col("_level") * F.col("_weight") <= F.col("_cap"), F.col("_level")), ignorenulls=True)
-    level = first.over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    return d.select("source", "source_size", F.coalesce(F.least(F.col("_cap"), level * F.col("_weight")), F.col("_cap")).alias("target"))
+    d = ranked_sources(sizes.groupBy("source").agg(F.sum("size").alias("source_size")))
+    weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.col("_rank") % len(weights) + 1).cast("int"))
+    d = written(d.select("source", "source_size", weight.alias("_weight"), (most * F.col("source_size")).alias("_cap")), "mix-weights")
+    level, filled = 0.0, -1
+    while True:
+        full = F.col("_cap") <= F.lit(level) * F.col("_weight")
+        n, total, caps, heavy = d.agg(F.count(F.when(full, 1)), F.sum("source_size"), F.sum(F.when(full, F.col("_cap"))), F.sum(F.when(~full, F.col("_weight")))).first()
+        if n == filled or not heavy:
+            break
+        level, filled = (share * total - (caps or 0.0)) / heavy, n
+    return d.select("source", "source_size", F.least(F.col("_cap"), F.lit(level) * F.col("_weight")).alias("target") if heavy else F.col("_cap").alias("target"))
 
 
 def _bits(n: int) -> Column:
@@ -70,15 +86,8 @@ def thresholds(rows: DataFrame, budgets: DataFrame) -> DataFrame:
     return open_.select("source", (F.col("_cell") + nearer.cast("long")).alias("_bound"))
 
 
-def mix_sources(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), share: float = 1.5, most: float = 2.0, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """docs with `size`, `source_size`, `target` and `taken`: how many of a row's words the mix takes.
-
-    size: words of the text, 0 for null. A row is taken whole, some times: target / source_size times rounded
-    down, and once more if its hash is below its source's threshold; never above `most`, rounded up. The hash is
-    of id and text, so reruns agree, rows equal in both are taken alike, and a null id is like any other. A null
-    source is a source. A source without words has target 0. An empty table gives an empty table. Columns named
-    size, source_size, target or taken are replaced.
-    """
+def _planned(docs: DataFrame, weights: Sequence[float], share: float, most: float, id_col: str, text_col: str, source_col: str) -> DataFrame:
+    """docs, sheltered, with size, source_size, target, and _passes: how often a row is taken."""
     d, (doc_id, text, origin) = sheltered(docs, id_col, text_col, source_col)
     source, size = F.col(origin), n_words(F.col(text))
     hashed = F.xxhash64(F.col(doc_id), F.col(text), F.lit(5))
@@ -92,12 +101,29 @@ def mix_sources(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), share: fl
     plan = written(plan.select(F.col("source").alias("_s"), "_times", "_bound", "source_size", "target"), "mix-plan")
     joined = d.withColumns({"size": size, "_hash": hashed}).join(plan, source.eqNullSafe(F.col("_s")))
     below = F.coalesce(_bits(ROUNDS * BITS) < F.col("_bound"), F.lit(False)).cast("int")
-    own = {"size": F.col("size"), "source_size": F.col("source_size"), "target": F.col("target"), "taken": F.col("size") * (F.col("_times") + below)}
-    return restored(joined, docs.columns, own)
+    return joined.withColumn("_passes", F.col("_times") + below)
 
 
-def repeated(mixed: DataFrame) -> DataFrame:
-    """The rows of a mix, each as often as it is taken; rows without words are kept once, as no budget counts them."""
-    d, (size, taken) = sheltered(mixed, "size", "taken")
-    times = F.when(F.col(size) > 0, (F.col(taken) / F.col(size)).cast("int")).otherwise(1)
-    return restored(d.select("*", F.explode(F.array_repeat(F.lit(1), times)).alias("_copy")), mixed.columns, {})
+def mix_sources(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), share: float = 1.5, most: float = 2.0, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+    """docs with `size`, `source_size`, `target` and `taken`: how many of a row's words the mix takes.
+
+    size: words of the text, 0 for null. A row is taken whole, some times: target / source_size times rounded
+    down, and once more if its hash is below its source's threshold; never above `most`, rounded up. The hash is
+    of id and text, so reruns agree, rows equal in both are taken alike, and a null id is like any other. A null
+    source is a source. A source without words has target 0. A very long text is taken whole or not, so a source misses
+    its target by half of it at most. An empty table gives an empty table. Columns named size, source_size, target or
+    taken are replaced.
+    """
+    planned = _planned(docs, weights, share, most, id_col, text_col, source_col)
+    own = {"size": F.col("size"), "source_size": F.col("source_size"), "target": F.col("target"), "taken": F.col("size") * F.col("_passes")}
+    return restored(planned, docs.columns, own)
+
+
+def mixture(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), share: float = 1.5, most: float = 2.0, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+    """The rows of docs, each as often as the mix takes it; rows without words once, as no budget counts them.
+
+    Columns stay as they are, whatever their names; all else as mix_sources.
+    """
+    planned = _planned(docs, weights, share, most, id_col, text_col, source_col)
+    times = F.when(F.col("size") > 0, F.col("_passes")).otherwise(1)
+    return restored(planned.select("*", F.explode(F.array_repeat(F.lit(1), times)).alias("_copy")), docs.columns, {})

@@ -11,13 +11,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import restored, sheltered, utf8_bytes, written
+from .common import partitions, restored, sheltered, utf8_bytes, written
 
 #: Bytes that each row takes besides its text.
 ROW_BYTES = 16
 #: The 128 bits of a key are read in digits of this many bits; the first cells have two digits.
 DIGIT = 8
 DIGITS, FIRST = 128 // DIGIT, 2
+#: Parts for each shuffle partition at least, so that tasks are of like size.
+PARTS_EACH = 8
 
 
 def _prefix(n: int) -> Column:
@@ -26,20 +28,21 @@ def _prefix(n: int) -> Column:
     return F.substring(whole, 1, n * DIGIT // 4)
 
 
-def find_splitters(keys: DataFrame, sums: dict[str, int], parts: int, tolerance: float) -> list[str]:
+def find_splitters(keys: DataFrame, sums: dict[str, int], parts: int, per_shard: int, tolerance: float) -> list[str]:
     """parts - 1 ascending keys that cut the rows of keys (_k1, _k2, size) into near equal parts.
 
     sums: the bytes in each first cell. A row belongs above a splitter if its key is not less.
 
-    A splitter may be off by `tolerance` of a part's share. Each round sums the bytes of the cells that still hold
-    a wanted splitter, at most (parts - 1) * 2**DIGIT sums, whatever the number of rows; a cell that no digit is
+    A splitter between shards, which is every per_shard-th, may be off by `tolerance` of a shard's share, one inside a
+    shard by half of a part's. Each round sums the bytes of the cells that still hold a wanted splitter, at most
+    2**DIGIT sums for each, whatever the number of rows; a cell that no digit is
     left to cut holds one row, or rows equal in text and id, and is taken at its nearer edge. An edge between
     different texts is preferred where it is within the tolerance, so nearly all copies stay together; a group
     of copies that is too large for that is cut inside.
     """
     total = sum(sums.values())
     wanted = [total * i / parts for i in range(1, parts)]
-    slack = tolerance * total / parts
+    slack = [tolerance * total * per_shard / parts if i % per_shard == 0 else total / parts / 2 for i in range(1, parts)]
     found: dict[int, str] = {}
     # every open splitter: the cell that holds it and the bytes below that cell
     cells: dict[str, int] = {}
@@ -51,7 +54,7 @@ def find_splitters(keys: DataFrame, sums: dict[str, int], parts: int, tolerance:
         for p, b in ordered:
             while i is not None and wanted[i] <= edge + b:
                 low, high = wanted[i] - edge, edge + b - wanted[i]
-                if min(low, high) <= slack or last:
+                if min(low, high) <= slack[i] or last:
                     found[i] = p if low <= high else p + "~"
                 else:
                     where[i], cells[p] = p, edge
@@ -75,15 +78,15 @@ def find_splitters(keys: DataFrame, sums: dict[str, int], parts: int, tolerance:
     return sorted(found.values())
 
 
-def histogram_shards(docs: DataFrame, shards: int = 40, id_col: str = "doc_id", text_col: str = "text", tolerance: float = 0.01, part_bytes: int = 256 << 20, most_parts: int = 4096) -> DataFrame:
+def histogram_shards(docs: DataFrame, shards: int = 40, id_col: str = "doc_id", text_col: str = "text", tolerance: float = 0.01, part_bytes: int = 128 << 20, most_parts: int = 16384) -> DataFrame:
     """docs with `size`, `shard` (0 to shards - 1, near equal in bytes) and `slot` (gapless in a shard, from 0).
 
     A row's size is the UTF-8 bytes of its text (null: none) plus ROW_BYTES. Shards follow the order of the keys,
     and so do the slots inside a shard. A shard is cut into parts of about part_bytes (more, where all shards
-    would have over most_parts parts), which are the tasks of the one exchange; a slot is the rows of the shard's
-    parts before it plus the rank inside the part.
+    would have over most_parts parts; less, so that there are PARTS_EACH parts for each shuffle partition), which are
+    what the one exchange deals; a slot is the rows of the shard's parts before it plus the rank inside the part.
 
-    Null texts count as empty; null ids hash like any value; rows that are equal in text and id get neighbouring
+    A very long text is one row, and its shard is off by half of it at most. Null texts count as empty; null ids hash like any value; rows that are equal in text and id get neighbouring
     slots in no set order; an empty table gives an empty table; columns named size, shard or slot are replaced.
     """
     spark = docs.sparkSession
@@ -93,8 +96,9 @@ def histogram_shards(docs: DataFrame, shards: int = 40, id_col: str = "doc_id",
     keys = written(keyed.select("_k1", "_k2", "size"), "shard-keys")
     cells = dict(keys.groupBy(_prefix(FIRST).alias("p")).agg(F.sum("size")).collect())
     total = sum(cells.values())
-    per_shard = max(1, min(-(-total // (shards * part_bytes)), most_parts // shards))
-    cuts = find_splitters(keys, cells, shards * per_shard, tolerance)
+    wanted = max(-(-total // (shards * part_bytes)), -(-PARTS_EACH * partitions(spark) // shards))
+    per_shard = max(1, min(wanted, most_parts // shards))
+    cuts = find_splitters(keys, cells, shards * per_shard, per_shard, tolerance)
     # by first cell: the splitters below it, and those inside it
     width, inside = FIRST * DIGIT // 4, {}
     for c in cuts:

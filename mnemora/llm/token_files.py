@@ -2,12 +2,15 @@
 
 A data set is a folder with a part for each partition of the writer, in ascending order of document ids:
 
-    part-00000.bin   token ids, unsigned little-endian, 16 bits if the vocabulary fits, else 32
-    part-00000.idx   int64: documents, those of them with a null id; the ids of the documents; the offset of each in
-                     the .bin, in ids, and the end
-    base.json        for each part its documents and ids, and the sums of those before it
-
-The place of a document in the whole is its part's base plus its offset; a reader maps the files into memory.
+    part-00000-<name>.bin   token ids, unsigned little-endian, 16 bits if the vocabulary fits, else 32
+    part-00000-<name>.idx   int64: documents, those of them with a null id; the ids of the documents; the offset of
+                            each in the .bin, in ids, and the end
+    base.json               for each part its name, its documents and ids, and the sums of those before it
+
+The place of a document in the whole is its part's base plus its offset; a reader maps the files into memory, or reads
+stretches of them where the store is not mounted. Every attempt of a task writes files of its own name, and base.json,
+written last, names those of the attempt that Spark took: nothing is renamed or overwritten, so tasks may run again, or
+twice, on any store.
 """
 
 from __future__ import annotations
@@ -17,7 +20,7 @@ import re
 import uuid
 import zlib
 from collections.abc import Callable, Iterator
-from itertools import accumulate
+from itertools import accumulate, islice
 
 import numpy as np
 import pyarrow as pa
@@ -28,28 +31,29 @@ from pyspark.sql import functions as F
 
 from .common import partitions
 
-PARTS = "part int, documents long, ids long"
+PARTS = "part int, documents long, ids long, name string"
+#: Documents that a reader holds at once.
+READ_ROWS = 4096
 
 
 def _store(uri: str) -> tuple[fs.FileSystem, str]:
     return fs.FileSystem.from_uri(uri if "://" in uri else f"file://{uri}")
 
 
-def _put(store: fs.FileSystem, path: str, data: bytes) -> None:
-    """Whole or not at all: a task that runs again, or twice, leaves the same file."""
-    own = f"{path}.{uuid.uuid4().hex}"
-    with store.open_output_stream(own) as out:
-        out.write(data)
-    store.move(own, path)
+def _put(store: fs.FileSystem, path: str, *data: bytes) -> None:
+    with store.open_output_stream(path) as out:
+        for d in data:
+            out.write(d)
 
 
 def write_token_files(docs: DataFrame, encode: Callable[[], Callable[[list[str]], list[np.ndarray]]], end_id: int, vocabulary: int, folder: str, id_col: str = "doc_id", text_col: str = "text", parts: int | None = None) -> list[tuple[int, int, int]]:
     """Writes the ids of every whole text of docs, end_id after each, and returns (part, documents, ids).
 
     encode() makes, in each task, the function from texts to arrays of ids. Rows go to parts by ranges of ids, rows
-    with the same id by the hash of their text; null ids come first; equal rows follow each other. Null texts count
-    as empty and have the end id alone. An empty table gives a data set of no documents. A part's ids are held in
-    memory until they are written, so `parts` (spark.sql.shuffle.partitions) sets the memory of a task.
+    with the same id by the hash of their text; null ids come first; equal rows follow each other, in one part. Null
+    texts count as empty and have the end id alone; very long texts are encoded whole. An empty table gives a data set
+    of no documents; columns besides id and text are not read. A part's ids are held in memory until they are written,
+    so `parts` (spark.sql.shuffle.partitions) sets the memory of a task.
     """
     spark = docs.sparkSession
     store, root = _store(folder)
@@ -69,18 +73,19 @@ def write_token_files(docs: DataFrame, encode: Callable[[], Callable[[list[str]]
         if sizes:
             part = TaskContext.get().partitionId()
             own, at = _store(folder)
+            name = f"part-{part:05d}-{uuid.uuid4().hex}"
             head = np.array([len(sizes), nulls], np.int64)
             offsets = np.cumsum([0, *sizes], dtype=np.int64)
-            _put(own, f"{at}/part-{part:05d}.bin", b"".join(data))
-            _put(own, f"{at}/part-{part:05d}.idx", np.concatenate([head, *ids, offsets]).astype("<i8").tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([len(sizes)], pa.int64()), pa.array([int(offsets[-1])], pa.int64())], ["part", "documents", "ids"])
-
-    made = sorted(tuple(r) for r in d.mapInArrow(run, PARTS).collect())
-    bases = list(accumulate((n for _, _, n in made), initial=0))
-    rows = list(accumulate((n for _, n, _ in made), initial=0))
-    meta = {"dtype": np.dtype(kind).name, "parts": [{"part": p, "documents": n, "ids": k, "document_base": r, "id_base": b} for (p, n, k), r, b in zip(made, rows, bases)]}
+            _put(own, f"{at}/{name}.bin", *data)
+            _put(own, f"{at}/{name}.idx", np.concatenate([head, *ids, offsets]).astype("<i8").tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([len(sizes)], pa.int64()), pa.array([int(offsets[-1])], pa.int64()), pa.array([name])], ["part", "documents", "ids", "name"])
+
+    made = sorted(tuple(r) for r in d.mapInArrow(run, PARTS).collect())  # a row for each part
+    bases = list(accumulate((k for _, _, k, _ in made), initial=0))
+    rows = list(accumulate((n for _, n, _, _ in made), initial=0))
+    meta = {"dtype": np.dtype(kind).name, "parts": [{"part": p, "name": name, "documents": n, "ids": k, "document_base": r, "id_base": b} for (p, n, k, name), r, b in zip(made, rows, bases)]}
     _put(store, f"{root}/base.json", json.dumps(meta).encode())
-    return made
+    return [(p, n, k) for p, n, k, _ in made]
 
 
 class TokenFiles:
@@ -92,21 +97,26 @@ class TokenFiles:
             meta = json.loads(f.read())
         self.dtype, self.parts = np.dtype(meta["dtype"]), meta["parts"]
 
-    def _map(self, name: str, dtype: np.dtype) -> np.ndarray:
+    def _reader(self, name: str, dtype: np.dtype) -> Callable[[int, int], np.ndarray]:
+        """From two places in a file, counted in numbers, to the numbers between them."""
         path = f"{self.root}/{name}"
         if isinstance(self.store, fs.LocalFileSystem):
-            return np.memmap(path, dtype, "r")
-        with self.store.open_input_file(path) as f:
-            return np.frombuffer(f.read(), dtype)
+            whole = np.memmap(path, dtype, "r")
+            return lambda a, b: whole[a:b]
+        file = self.store.open_input_file(path)
+        return lambda a, b: np.frombuffer(file.read_at((b - a) * dtype.itemsize, a * dtype.itemsize), dtype)
 
     def documents(self, part: int) -> Iterator[tuple[int | None, int, np.ndarray]]:
         """(id, start in the whole data set, token ids) of each document of a part, in order."""
         entry = next(p for p in self.parts if p["part"] == part)
-        index, data = self._map(f"part-{part:05d}.idx", np.dtype("<i8")), self._map(f"part-{part:05d}.bin", self.dtype)
-        n, nulls = int(index[0]), int(index[1])
-        ids, offsets = index[2 : 2 + n], index[2 + n :]
-        for k in range(n):
-            yield (None if k < nulls else int(ids[k])), entry["id_base"] + int(offsets[k]), data[offsets[k] : offsets[k + 1]]
+        index, data = self._reader(f"{entry['name']}.idx", np.dtype("<i8")), self._reader(f"{entry['name']}.bin", self.dtype)
+        n, nulls = map(int, index(0, 2))
+        for s in range(0, n, READ_ROWS):
+            e = min(s + READ_ROWS, n)
+            ids, offsets = index(2 + s, 2 + e), index(2 + n + s, 3 + n + e)
+            tokens = data(int(offsets[0]), int(offsets[-1]))
+            for k in range(e - s):
+                yield (None if s + k < nulls else int(ids[k])), entry["id_base"] + int(offsets[k]), tokens[offsets[k] - offsets[0] : offsets[k + 1] - offsets[0]]
 
 
 def read_token_files(spark, folder: str, id_col: str = "doc_id") -> DataFrame:
@@ -121,8 +131,9 @@ def read_token_files(spark, folder: str, id_col: str = "doc_id") -> DataFrame:
         files = TokenFiles(folder)
         for b in batches:
             for part in b["part"].to_pylist():
-                found = [(i, s, len(x), zlib.crc32(x.astype("<u4").tobytes())) for i, s, x in files.documents(part)]
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found)], ["id", "start", "n_tokens", "ids_crc32"])
+                rows = ((i, s, len(x), zlib.crc32(x.astype("<u4").tobytes())) for i, s, x in files.documents(part))
+                while found := list(islice(rows, READ_ROWS)):
+                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found)], ["id", "start", "n_tokens", "ids_crc32"])
 
     frame = spark.createDataFrame(parts, "part int").repartition(max(1, len(parts)))
     return frame.mapInArrow(run, "id long, start long, n_tokens long, ids_crc32 long").withColumnRenamed("id", id_col)

@@ -3,7 +3,7 @@ from collections import defaultdict
 import pytest
 from conftest import words_of
 
-from mnemora.llm.mixing import mix_sources, repeated
+from mnemora.llm.mixing import mix_sources, mixture
 
 
 def targets(sizes, weights=(5, 2, 1), share=1.5, most=2.0):
@@ -50,9 +50,15 @@ def test_a_source_of_a_third_of_all_rows(spark):
 
 
 def test_rows_are_repeated_as_taken(spark, docs):
-    mixed = mix_sources(docs)
-    words = sum(len(words_of(r.text)) for r in repeated(mixed).collect())
-    assert words == sum(r.taken for r in mixed.collect())
+    got, mixed = mixture(docs), mix_sources(docs).collect()
+    assert got.columns == docs.columns and {r.taken for r in got.collect()} == {"x"}  # a column that clashes stays
+    assert sum(len(words_of(r.text)) for r in got.collect()) == sum(r.taken for r in mixed)
+
+
+def test_very_many_sources(spark):
+    rows = [(i, "a b c " * (i % 5 + 1), f"site{i // 2}") for i in range(1200)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    check(mix_sources(d), rows)
 
 
 def test_empty_tables_and_no_words(spark, empty):
