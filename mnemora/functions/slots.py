@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import normalize_slot, text_or_empty
+from .text import DOMAIN_CUES, TOPIC_PARTICLES, detect_domain, normalize_slot, text_or_empty
 
 # The names by which attributes and subjects go.
 ATTRIBUTES = {
@@ -21,6 +21,8 @@ ATTRIBUTES = {
 }
 SELF = ("用户", "user", "self", "我", "俺", "咱", "本人", "说话人", "当前用户", "主人")
 BOT = ("bot", "机器人", "助手", "你")
+NEGATED, NOT_LIKED = "(不喜欢|没喜欢|不再喜欢)", "不喜欢"
+LIKED_THING = r"(?:不再喜欢|不喜欢|没喜欢|喜欢|讨厌|受不了)(?:听|喝|吃|看|玩)?(.+?)(?:[，。！!？?\s]|$)"
 KINDS = {"likes": "preference", "dislikes": "preference", "name": "identity", "identity": "identity", "habit": "habit", "promise": "promise", "status": "status", "note": "note"}
 
 
@@ -36,6 +38,27 @@ def canonical_attribute(raw: Column) -> Column:
     return F.when(text == "", "note").otherwise(found)
 
 
+def applied(attribute: Column, value: Column, content: Column, plain: Column, topic: Column, subject: Column, speaker: Column, name: Column) -> Column:
+    """struct<attribute, value, subject, kind, topic>: a claim in its usual slot.
+
+    What is not liked is a like of its opposite: 不 before the thing, which is found after the verb and loses final
+    particles. Likes and dislikes have a domain: the one given, else that of the claim's own words.
+    """
+    attr, said, v = canonical_attribute(attribute), text_or_empty(content), text_or_empty(value)
+    near = F.rlike(said, F.concat(F.lit(f"{NOT_LIKED}[^，。！!？?]{{0,6}}\\Q"), v, F.lit("\\E")))
+    negated = v.rlike(NEGATED) | (attr.isin("dislikes", "note") & said.rlike(NEGATED)) | ((attr == "likes") & (v != "") & ~v.startswith("不") & near)
+    fold = negated & attr.isin("likes", "dislikes", "note")
+    whole = F.when(v != "", v).otherwise(said)
+    thing = F.regexp_replace(F.coalesce(F.nullif(F.trim(F.regexp_extract(whole, LIKED_THING, 1)), F.lit("")), whole), f"[{TOPIC_PARTICLES}]+$", "")
+    opposite = F.when(thing == "", v).when(thing.startswith("不"), thing).otherwise(F.concat(F.lit("不"), thing))
+    name_of = F.when(fold, "likes").otherwise(attr)
+    own = F.when(fold, opposite).otherwise(v)
+    given = F.trim(text_or_empty(topic))
+    clue = F.when(F.trim(text_or_empty(plain)) != "", F.trim(plain)).otherwise(said)
+    domain = F.when(given.isin(*DOMAIN_CUES), given).otherwise(detect_domain(clue, v))
+    return F.struct(name_of.alias("attribute"), own.alias("value"), canonical_subject(subject, speaker, name).alias("subject"), fact_kind(name_of).alias("kind"), F.when(name_of.isin("likes", "dislikes"), domain).otherwise("").alias("topic"))
+
+
 def canonical_subject(raw: Column, speaker: Column, name: Column) -> Column:
     """bot, self, or the first 40 characters of another."""
     text, key = F.trim(text_or_empty(raw)), normalize_slot(raw)

@@ -75,3 +75,9 @@ def episodes(rows: DataFrame, keys: list[str], cue: str, least: int) -> DataFram
     )
     worthy = (F.col("user_messages") > 0) & ~F.col("_low") & ((F.col("user_messages") >= least) | F.col("cue"))
     return d.withColumn("kind", F.when(F.col("cue"), "life").otherwise("talk")).withColumn("worthy", worthy).drop("_low", "cue")
+
+
+def idle(timeline: DataFrame, key: str, since: Column, now: int, seconds: int) -> DataFrame:
+    """(key, since, last_ts, idle): messages after a moment, the last one's time, and whether silence has lasted `seconds`."""
+    g = timeline.groupBy(key).agg(F.count(F.when(F.col("ts") > since, 1)).alias("since"), F.max("ts").alias("last_ts"))
+    return g.withColumn("idle", now - F.col("last_ts") >= seconds)

@@ -29,5 +29,9 @@ def contains_any(rows: DataFrame, word: str, columns: Sequence[str]) -> DataFram
     return rows.where(hit)
 
 
+def without_vector(rows: DataFrame, vector_col: str) -> DataFrame:
+    return rows.where(F.col(vector_col).isNull() | (F.size(vector_col) == 0))
+
+
 def overlapping(rows: DataFrame, start: int, end: int, start_col: str = "start_ts", end_col: str = "end_ts") -> DataFrame:
     return rows.where((F.col(end_col) >= start) & (F.col(start_col) <= end))

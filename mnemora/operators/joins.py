@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from mnemora.functions.text import tokens
+from mnemora.storage import written
 
 
 def with_count(left: DataFrame, right: DataFrame, on: tuple[str, str], name: str) -> DataFrame:
@@ -38,15 +39,20 @@ def resolve_chain(links: DataFrame, key: str, target: str, hops: int) -> DataFra
     return d
 
 
-def closure(spark: SparkSession, links: DataFrame, key: str, target: str, depth: int) -> DataFrame:
-    """(key, reached, depth): all that is reached by 1 to depth links, by recursive SQL."""
-    links.select(F.col(key).alias("k"), F.col(target).alias("t")).createOrReplaceTempView("_closure_links")
-    return spark.sql(
-        f"""WITH RECURSIVE walk(k, t, d) AS (
-              SELECT k, t, 1 FROM _closure_links
-              UNION ALL SELECT w.k, l.t, w.d + 1 FROM walk w JOIN _closure_links l ON w.t = l.k WHERE w.d < {int(depth)})
-            SELECT k AS {key}, t AS reached, min(d) AS depth FROM walk GROUP BY k, t"""
-    )
+def closure(links: DataFrame, key: str, target: str, depth: int) -> DataFrame:
+    """(key, reached, depth): all that is reached by 1 to depth links, with the fewest.
+
+    Each round joins what the last one found with the links, and keeps what is new: distinct pairs, however many ways
+    lead there. A round's pairs are written, so the plan does not grow.
+    """
+    step = written(links.select(F.col(key).alias("k"), F.col(target).alias("t")).distinct(), "links")
+    front = reached = step.select("k", "t", F.lit(1).alias("d"))
+    onward = step.select(F.col("k").alias("t"), F.col("t").alias("u"))
+    for d in range(2, depth + 1):
+        more = front.join(onward, "t").select("k", F.col("u").alias("t")).distinct()
+        front = written(more.join(reached.select("k", "t"), ["k", "t"], "left_anti").select("k", "t", F.lit(d).alias("d")), "closure")
+        reached = reached.unionByName(front)
+    return reached.select(F.col("k").alias(key), F.col("t").alias("reached"), F.col("d").alias("depth"))
 
 
 def last_before(rows: DataFrame, other: DataFrame, keys: list[str], ts: str, other_ts: str, other_id: str, within: int) -> DataFrame:

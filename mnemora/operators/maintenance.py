@@ -30,6 +30,37 @@ def faded(facts: DataFrame, as_of: int, threshold: float = 0.12, least_days: int
     return facts.where((F.col("status") == "live") & ~F.col("pinned") & old).withColumn("weight", weight).where(F.col("weight") < threshold)
 
 
+def compacted(facts: DataFrame, as_of: int, days: int = 90) -> DataFrame:
+    """Superseded facts past their time for rollback, which may be deleted."""
+    return facts.where((F.col("status") == "superseded") & (F.col("updated_at") < as_of - max(1, days) * 86400))
+
+
+def low_value(facts: DataFrame, as_of: int, days: int = 30, sure: float = 0.45) -> DataFrame:
+    """Live facts that are unsure, old, hardly used, not pinned and no correction, which may be archived."""
+    return facts.where((F.col("status") == "live") & ~F.col("pinned") & (F.col("confidence") <= sure) & (F.col("updated_at") < as_of - max(1, days) * 86400) & (F.col("access_count") <= 1) & ~F.col("explicit_correction"))
+
+
+def faded_episodes(episodes: DataFrame, as_of: int, threshold: float = 0.12, days: int = 90, half_life: float = 30.0) -> DataFrame:
+    """Live, unpinned episodes that ended `days` ago and whose decayed weight is below the threshold, with the weight."""
+    weight = decay_weight(F.col("importance"), F.col("confidence"), F.col("pinned"), F.lit(0), F.col("end_ts"), F.lit(as_of), half_life)
+    return episodes.where((F.col("status") == "live") & ~F.col("pinned") & (F.col("end_ts") < as_of - max(1, days) * 86400)).withColumn("weight", weight).where(F.col("weight") < threshold)
+
+
+def rare_terms(terms: DataFrame, as_of: int, days: int = 30) -> DataFrame:
+    """terms (term, persona_id, count, last_seen) that some persona used once, long ago: pruned for all personas."""
+    old = terms.where((F.col("count") <= 1) & (F.col("last_seen") < as_of - max(1, days) * 86400)).select("term").distinct()
+    return terms.join(old, "term", "left_semi")
+
+
+def recalled(log: DataFrame, keys: Sequence[str], as_of: int, keep: int) -> DataFrame:
+    """(keys, last_ts): when each was last shown, for those shown within `keep` seconds."""
+    return log.groupBy(*keys).agg(F.max("ts").alias("last_ts")).where(F.col("last_ts") >= as_of - keep)
+
+
+def expired_drafts(drafts: DataFrame, as_of: int, ttl: int = 14 * 86400) -> DataFrame:
+    return drafts.where((F.col("created_at") > 0) & (as_of - F.col("created_at") > ttl))
+
+
 def retained(timeline: DataFrame, protected: DataFrame, cutoff: int, id_col: str = "id") -> DataFrame:
     """What a clean-up of the timeline keeps: rows from the cutoff on, and older ones that are referred to."""
     young = timeline.where(F.col("ts") >= cutoff)

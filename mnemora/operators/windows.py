@@ -10,11 +10,44 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
+#: Seconds of a slice of time: a key with very many rows is ordered slice by slice, in as many tasks.
+SLICE = 86400
+
+
+def _with_heads(rows: DataFrame, heads: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """rows with what heads has for their key and slice; null keys meet null keys."""
+    by = [*keys, "_slice"]
+    named = heads.withColumnsRenamed({k: f"_h{i}" for i, k in enumerate(by)})
+    same = [F.col(k).eqNullSafe(F.col(f"_h{i}")) for i, k in enumerate(by)]
+    return rows.join(named, same).drop(*[f"_h{i}" for i in range(len(by))])
+
+
 def sessions_by_gap(rows: DataFrame, keys: Sequence[str], gap: int, ts: str = "ts", tie: str = "id") -> DataFrame:
-    """rows with `session`, from 1 in each key: a new one starts where more than `gap` seconds passed."""
-    w = Window.partitionBy(*keys).orderBy(ts, tie)
-    new = F.coalesce((F.col(ts) - F.lag(ts).over(w) > gap).cast("int"), F.lit(1))
-    return rows.withColumn("_new", new).withColumn("session", F.sum("_new").over(w)).drop("_new")
+    """rows with `session`, from 1 in each key: a new one starts where more than `gap` seconds passed.
+
+    A key's rows are ordered within slices of time; what a slice starts with comes from the ends of those before it,
+    a row for each slice.
+    """
+    d = rows.withColumn("_slice", F.floor(F.col(ts) / SLICE))
+    w = Window.partitionBy(*keys, "_slice").orderBy(ts, tie)
+    d = d.withColumn("_new", F.coalesce((F.col(ts) - F.lag(ts).over(w) > gap).cast("int"), F.lit(0)))
+    ends = d.groupBy(*keys, "_slice").agg(F.min(ts).alias("_first"), F.max(ts).alias("_last"), F.sum("_new").alias("_more"))
+    k = Window.partitionBy(*keys).orderBy("_slice")
+    opens = F.coalesce((F.col("_first") - F.lag("_last").over(k) > gap).cast("int"), F.lit(1))
+    heads = ends.withColumn("_opens", opens).withColumn("_base", F.sum(F.col("_opens") + F.col("_more")).over(k) - F.col("_more"))
+    out = _with_heads(d, heads.select(*keys, "_slice", "_base"), keys)
+    return out.withColumn("session", F.col("_base") + F.sum("_new").over(w)).drop("_new", "_slice", "_base")
+
+
+def with_previous(rows: DataFrame, keys: Sequence[str], columns: Sequence[str], ts: str = "ts", tie: str = "id") -> DataFrame:
+    """rows with `previous`, a struct of these columns of the row before in the key, by (ts, tie); slice by slice."""
+    d = rows.withColumn("_slice", F.floor(F.col(ts) / SLICE))
+    kept = F.struct(*columns)
+    inner = F.lag(kept).over(Window.partitionBy(*keys, "_slice").orderBy(ts, tie))
+    ends = d.groupBy(*keys, "_slice").agg(F.max(F.struct(F.col(ts).alias("_t"), F.col(tie).alias("_i"), kept.alias("_kept"))).alias("_end"))
+    heads = ends.withColumn("_before", F.lag("_end._kept").over(Window.partitionBy(*keys).orderBy("_slice"))).drop("_end")
+    out = _with_heads(d.withColumn("_inner", inner), heads, keys)
+    return out.withColumn("previous", F.coalesce("_inner", "_before")).drop("_inner", "_before", "_slice")
 
 
 def sessions_by_gap_and_span(rows: DataFrame, keys: Sequence[str], gap: int, span: int, ts: str = "ts", tie: str = "id") -> DataFrame:

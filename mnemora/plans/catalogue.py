@@ -149,7 +149,7 @@ def entity_containment(spark: SparkSession, sf_dir: str) -> DataFrame:
   SELECT k AS n_nationkey, t AS reached, min(d) AS depth FROM walk GROUP BY k, t""")
 def alias_closure(spark: SparkSession, sf_dir: str) -> DataFrame:
     links = table(spark, sf_dir, "nation").where("n_nationkey > 0").withColumn("up", F.floor(F.col("n_nationkey") / 2).cast("int"))
-    return joins.closure(spark, links, "n_nationkey", "up", 4)
+    return joins.closure(links, "n_nationkey", "up", 4)
 
 
 @query(f"""WITH {FACTS}, c AS (SELECT *, lead(id) OVER (PARTITION BY slot_key ORDER BY created_at, id) AS nx FROM facts),
@@ -181,9 +181,8 @@ def merge_target_asof(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""WITH {EV}, l AS (SELECT id, ts, lag(id) OVER w AS before, lag(ts) OVER w AS before_ts FROM ev WINDOW w AS (PARTITION BY window_tag ORDER BY ts, id))
   SELECT id, CASE WHEN ts - before_ts <= 7200 THEN before END AS found FROM l""")
 def merge_target_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    w = Window.partitionBy("window_tag").orderBy("ts", "id")
-    near = F.col("ts") - F.lag("ts").over(w) <= 7200
-    return event_timeline(spark, sf_dir).select("id", F.when(near, F.lag("id").over(w)).alias("found"))
+    d = windows.with_previous(event_timeline(spark, sf_dir), ["window_tag"], ["id", "ts"])
+    return d.select("id", F.when(F.col("ts") - F.col("previous.ts") <= 7200, F.col("previous.id")).alias("found"))
 
 
 @query(f"""WITH {EV}, n AS (SELECT a.id, min(b.ts) AS nx FROM ev a LEFT JOIN ev b ON a.window_tag = b.window_tag AND a.speaker_id <> b.speaker_id AND (b.ts, b.id) > (a.ts, a.id) GROUP BY a.id)

@@ -6,7 +6,6 @@ sink's table, so that a job can be queried and compared with its batch twin.
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Iterator
 from typing import Any
@@ -17,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from mnemora.functions.text import terms
+from mnemora.storage import shared_dir
 
 
 def stream_of(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -36,22 +36,21 @@ def events(spark: SparkSession, sf_dir: str) -> DataFrame:
 def drained(stream: DataFrame, mode: str) -> DataFrame:
     """Runs a stream until its present input is used up, and returns what the sink holds.
 
-    append goes to a Parquet sink; update and complete replace the sink's table with each batch's rows, which is
-    the whole result for complete, and for update where all input is one batch or keys are written once.
+    append goes to a Parquet sink. In update each batch has a folder named by its number, in complete all batches have
+    one: it is overwritten, so a batch that runs again changes nothing. In update a key has a row for each batch.
     """
     spark = stream.sparkSession
-    root = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='mnemora-stream-')}"
-    at = f"{root.rstrip('/')}/mnemora/stream-{uuid.uuid4().hex}"
+    at = f"{shared_dir(spark)}/mnemora/stream-{uuid.uuid4().hex}"
     out = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{at}/state").trigger(availableNow=True)
     if mode == "append":
         out.format("parquet").start(f"{at}/rows").awaitTermination()
         return spark.read.schema(stream.schema).parquet(f"{at}/rows")
 
     def replace(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite" if mode == "complete" or number == 0 else "append").parquet(f"{at}/rows")
+        batch.write.mode("overwrite").parquet(f"{at}/rows/{'all' if mode == 'complete' else f'batch-{number}'}")
 
     out.foreachBatch(replace).start().awaitTermination()
-    return spark.read.schema(stream.schema).parquet(f"{at}/rows")
+    return spark.read.schema(stream.schema).parquet(f"{at}/rows/*")
 
 
 def deduplicated(rows: DataFrame, keys: list[str], within: str = "10 minutes") -> DataFrame:
