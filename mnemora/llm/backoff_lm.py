@@ -18,7 +18,7 @@ right once, with the state carried from word to word and the weights added up.
 from __future__ import annotations
 
 from array import array
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -183,8 +183,8 @@ class Automaton:
         return total
 
 
-def build_automaton(words: np.ndarray, stream: np.ndarray, length: np.ndarray, counts: dict[int, np.ndarray], order: int, mass: float, n_train: float, n_words: float, n_texts: float) -> Automaton:
-    """The automaton over the n-grams of a block; counts[n]: the training counts of its distinct n-grams, by key.
+def build_automaton(words: np.ndarray, stream: np.ndarray, length: np.ndarray, counted: Callable[[int, np.ndarray], np.ndarray], order: int, mass: float, n_train: float, n_words: float, n_texts: float) -> Automaton:
+    """The automaton over the n-grams of a block; counted(n, keys): the training counts of its distinct n-grams, by key.
 
     States are numbered: 0 for no history, 1 .. order - 1 for texts' starts, then the histories that training texts
     hold. The n-gram that ends at a token has the one that ends before it as its history.
@@ -196,8 +196,9 @@ def build_automaton(words: np.ndarray, stream: np.ndarray, length: np.ndarray, c
     depth, states, arcs, wanted, made = [np.arange(order)], order, 0, [], []
     before = old_home = old_p = old_count = None
     for n, g in enumerate(_grams(words, stream, length, order), 1):
-        _, at, gram = np.unique(g, return_index=True, return_inverse=True)
-        c = counts[n].astype(np.float64)
+        keys, gram = (words, stream) if n == 1 else np.unique(g, return_inverse=True)
+        c, at = counted(n, keys).astype(np.float64), np.empty(len(keys), np.int64)
+        at[gram] = np.arange(len(gram))  # a token that each ends at
         if n == 1:
             p, shorter, there = (c + 0.5) / (n_train + 0.5 * (n_words + 1)), np.zeros(len(c), np.int64), np.ones(len(c), bool)
         else:
@@ -226,15 +227,15 @@ def _traverse(rows: pd.DataFrame, answers: pd.DataFrame, order: int, mass: float
         length, words, stream = _parts(r)
         ends = np.cumsum(length, dtype=np.int64)
         mine = answers[answers["block"] == r["block"]]
-        counts = {}
-        for n, g in enumerate(_grams(words, stream, length, order), 1):
-            keys = np.unique(g)
+
+        def counted(n: int, keys: np.ndarray) -> np.ndarray:
+            out = np.zeros(len(keys), np.uint32)
             o = np.argsort((mixed(keys) % np.uint64(buckets)).astype(np.int64), kind="stable")
-            counts[n] = np.zeros(len(keys), np.uint32)
-            counts[n][o] = np.frombuffer(b"".join(mine[mine["size"] == n].sort_values("bucket")["counts"]), np.uint32)
-        automaton = build_automaton(words, stream, length, counts, order, mass, n_train, n_words, n_texts)
-        of_word = np.zeros(len(words))
-        of_word[:] = counts[1]  # a word's key is the word, and words are sorted
+            out[o] = np.frombuffer(b"".join(mine[mine["size"] == n].sort_values("bucket")["counts"]), np.uint32)
+            return out
+
+        automaton = build_automaton(words, stream, length, counted, order, mass, n_train, n_words, n_texts)
+        of_word = counted(1, words)
         base, seen = np.log10(of_word + 0.5)[stream], (of_word > 0)[stream]
         n_base, n_seen, score = [], [], []
         for a, b in zip(ends - length, ends):
