@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from mnemora.functions import gates, scores, text, timeparse
 from mnemora.operators import aggregates, filters, joins, maintenance, retrieval, windows
 from mnemora.sources import jsonl
+from mnemora.storage import written
 from mnemora.sources.tables import conversation_timeline, event_facts, event_timeline, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -253,6 +254,18 @@ def keyed_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 
+_SPLIT: dict[tuple[str, tuple[str, ...]], DataFrame] = {}
+
+
+def tokens_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The tokens of the documents, written once in a session for all queries that search words in the same files."""
+    docs = table(spark, sf_dir, "documents")
+    key = (spark.sparkContext.applicationId, tuple(sorted(docs.inputFiles())))
+    if key not in _SPLIT:
+        _SPLIT[key] = written(retrieval.tokenised(docs), "tokens")
+    return _SPLIT[key]
+
+
 _BM25 = f"""q AS (SELECT DISTINCT item_id, unnest({TOKENS.format("text")}) AS term FROM benchmark), terms AS (SELECT DISTINCT term FROM q),
 d AS (SELECT doc_id, {TOKENS.format("text")} AS t FROM documents), total AS (SELECT count(*) AS n, avg(len(t)) AS avgdl FROM d),
 tf AS (SELECT doc_id, dl, term, count(*) AS tf FROM (SELECT doc_id, len(t) AS dl, unnest(t) AS term FROM d) JOIN terms USING (term) GROUP BY ALL),
@@ -262,15 +275,15 @@ s AS (SELECT item_id, doc_id, sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.5
 
 @query(f"WITH {_BM25} SELECT item_id, doc_id, round(score, 6) AS score, row_number() OVER (PARTITION BY item_id ORDER BY round(score, 6) DESC, doc_id)::INT AS rank FROM s QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY round(score, 6) DESC, doc_id) <= 10")
 def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = retrieval.bm25(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).withColumn("score", F.round("score", 6))
+    s = retrieval.bm25(tokens_of(spark, sf_dir), table(spark, sf_dir, "benchmark")).withColumn("score", F.round("score", 6))
     return retrieval.ranked(s, "item_id", "doc_id", 10)
 
 
 @query(f"WITH {_BM25} SELECT term, df, round(ln(1 + (n - df + 0.5) / (df + 0.5)), 6) AS idf FROM df, total")
 def idf_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs, q = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
+    docs, q = tokens_of(spark, sf_dir), table(spark, sf_dir, "benchmark")
     wanted = q.select(F.explode(text.tokens(F.col("text"))).alias("term")).distinct()
-    split = docs.select("doc_id", F.explode_outer(F.array_distinct(text.tokens(F.col("text")))).alias("term"))
+    split = docs.select("_d", F.explode_outer(F.array_distinct("_t")).alias("term"))
     df = split.join(wanted, "term", "left_semi").groupBy("term").agg(F.count("*").alias("df"))
     n = F.broadcast(docs.agg(F.count("*").alias("n")))  # one row
     return df.join(n, how="cross").select("term", "df", F.round(F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)), 6).alias("idf"))
@@ -288,10 +301,7 @@ def keyword_score_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
   row_number() OVER (PARTITION BY query_id ORDER BY round(list_cosine_similarity(v::DOUBLE[], embedding::DOUBLE[]), 6) DESC, vec_id)::INT AS rank
   FROM q, embeddings QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY round(list_cosine_similarity(v::DOUBLE[], embedding::DOUBLE[]), 6) DESC, vec_id) <= 10""")
 def cosine_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = table(spark, sf_dir, "embeddings")
-    q = e.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
-    s = q.join(e, how="cross").select("query_id", "vec_id", F.round(scores.cosine(F.col("q"), F.col("embedding")), 6).alias("score"))
-    return retrieval.ranked(s, "query_id", "vec_id", 10)
+    return retrieval.nearest_by_cosine(table(spark, sf_dir, "embeddings"), F.col("id") % 50 == 0, 10)
 
 
 _FUSED = f"""{_BM25}, a AS (SELECT item_id, doc_id, row_number() OVER (PARTITION BY item_id ORDER BY round(score, 6) DESC, doc_id) AS rank FROM s QUALIFY rank <= 32),
@@ -300,10 +310,10 @@ r AS (SELECT item_id, doc_id, sum(1.0::DOUBLE / (60 + rank)) AS rrf FROM (FROM a
 
 
 def _two_lists(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    docs, q = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
+    docs, q = tokens_of(spark, sf_dir), table(spark, sf_dir, "benchmark")
     one = retrieval.bm25(docs, q).withColumn("score", F.round("score", 6))
     words = q.select("item_id", F.explode(F.array_distinct(text.tokens(F.col("text")))).alias("term"))
-    hits = docs.select("doc_id", F.explode_outer(F.array_distinct(text.tokens(F.col("text")))).alias("term")).join(words, "term").groupBy("item_id", "doc_id").agg(F.count("*").alias("score"))
+    hits = docs.select(F.col("_d").alias("doc_id"), F.explode_outer(F.array_distinct("_t")).alias("term")).join(words, "term").groupBy("item_id", "doc_id").agg(F.count("*").alias("score"))
     return retrieval.ranked(one, "item_id", "doc_id", 32), retrieval.ranked(hits, "item_id", "doc_id", 32)
 
 
@@ -342,9 +352,9 @@ def fused_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(None)
 def mmr_select(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    top = retrieval.ranked(retrieval.bm25(docs, table(spark, sf_dir, "benchmark")), "item_id", "doc_id", 32)
-    terms = docs.join(top.select("doc_id").distinct(), "doc_id", "left_semi").select("doc_id", F.array_distinct(text.tokens(F.col("text"))).alias("terms"))
+    docs = tokens_of(spark, sf_dir)
+    top = written(retrieval.ranked(retrieval.bm25(docs, table(spark, sf_dir, "benchmark")).withColumn("score", F.round("score", 6)), "item_id", "doc_id", 32), "top")
+    terms = docs.withColumnRenamed("_d", "doc_id").join(top.select("doc_id").distinct(), "doc_id", "left_semi").select("doc_id", F.array_distinct("_t").alias("terms"))
     return retrieval.mmr(top.join(terms, "doc_id"), "item_id", "doc_id", "terms", "score", 16)
 
 

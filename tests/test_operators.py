@@ -75,7 +75,7 @@ def test_resolve_chain_stops_at_its_end_and_at_loops(spark):
 
 def test_closure_is_bounded(spark):
     links = spark.createDataFrame([(1, 2), (2, 3), (3, 1)], "k int, t int")
-    assert rows_of(joins.closure(spark, links, "k", "t", 2), "k", "reached", "depth") == [(1, 2, 1), (1, 3, 2), (2, 1, 2), (2, 3, 1), (3, 1, 1), (3, 2, 2)]
+    assert rows_of(joins.closure(links, "k", "t", 2), "k", "reached", "depth") == [(1, 2, 1), (1, 3, 2), (2, 1, 2), (2, 3, 1), (3, 1, 1), (3, 2, 2)]
 
 
 def test_last_before_takes_the_newest_within_reach(spark):
@@ -88,7 +88,7 @@ def test_last_before_takes_the_newest_within_reach(spark):
 def test_bm25_prefers_rare_terms_and_short_documents(spark):
     docs = spark.createDataFrame([(1, "cat dog"), (2, "cat cat cat bird bird bird"), (3, "dog bird dog"), (4, None)], "doc_id long, text string")
     q = spark.createDataFrame([(0, "cat cat")], "item_id long, text string")
-    got = {r.doc_id: r.score for r in retrieval.bm25(docs, q).collect()}
+    got = {r.doc_id: r.score for r in retrieval.bm25(retrieval.tokenised(docs), q).collect()}
     assert set(got) == {1, 2}
     import math
 
@@ -218,7 +218,7 @@ def test_navigate_asks_with_the_first_new_hit(spark):
     got = sorted(tuple(r) for r in retrieval.navigate(docs, asked, steps=3, each=1).select("item_id", "step", "rank", "doc_id").collect())
 
     def best(text, seen):
-        scores = retrieval.bm25(docs, spark.createDataFrame([(0, text)], "item_id long, text string")).collect()
+        scores = retrieval.bm25(retrieval.tokenised(docs), spark.createDataFrame([(0, text)], "item_id long, text string")).collect()
         left = sorted((-round(s.score, 6), s.doc_id) for s in scores if s.doc_id not in seen)
         return left[0][1] if left else None
 
