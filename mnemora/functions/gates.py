@@ -25,6 +25,7 @@ QUESTION = ("？", "?", "吗", "怎么", "为什么", "为啥", "能不能", "
 ACK_WORDS = ("好", "好的", "好嘞", "好的好的", "收到", "收到收到", "明白", "知道了", "了解", "可以", "行", "嗯", "嗯嗯", "哦", "哦哦", "哈哈", "嘿嘿", "没问题", "OK", "ok", "Ok", "okok")
 SENTENCE_END, GOES_ON = r"[。！？!?…~～.]$", "[，,、；;：:]$"
 GOES_ON_WORDS = ("然后", "而且", "但是", "因为", "所以", "就是", "那个", "这个", "还有", "以及", "如果", "虽然", "不过", "并且", "要是", "感觉", "觉得", "帮我", "你看看")
+WAITS = ("turn_not_open", "probability_miss", "keyword_miss", "no_keywords", "low_info", "memory_miss", "judge_below", "judge_unparsed", "mode_miss")
 LOOK_BACK = ((r"(刚才|刚刚|今天早|今晚|今天)", 1), (r"昨天", 2), (r"前天", 3), (r"(这周|本周|最近)", 7), (r"(上周|上星期)", 14), (r"上个月", 40))
 RANGE = r"(\d{4}\s*年|去年|前年|今年|本年|上个月|上月|这个月|本月|最近\s*\d+\s*(天|周|个?月|年)|(?<![\d年\-])(1[0-2]|0?[1-9])\s*月)"
 
@@ -113,6 +114,11 @@ def capture_reason(enabled: Column, capture: Column, yielded: Column, owner: Col
     return F.when(~enabled, "disabled").when(~capture, "capture_off").when(yielded, "coexistence").when(~owner & ~known, F.concat(F.lit("platform:"), platform)).when(~in_targets(place, allowed), "whitelist").otherwise("")
 
 
+def worth_waiting(reason: Column) -> Column:
+    """Whether a message that got no reply may get one later: what it said was against it, not a rule."""
+    return reason.isin(*WAITS)
+
+
 def relation_claim(attribute: Column, speaker: Column, blob: Column) -> Column:
     """Whether a name or identity claims a relation that cannot be checked; the bot's own are defined, not claimed."""
     return (speaker != "bot_self") & attribute.isin("identity", "name") & text_or_empty(blob).rlike(RELATION)

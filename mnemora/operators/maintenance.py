@@ -80,6 +80,14 @@ def renamed(rows: DataFrame, aliases: DataFrame, column: str = "speaker_id") ->
     return d.select(*rows.columns)
 
 
+def renamed_elements(rows: DataFrame, aliases: DataFrame, id_col: str, column: str) -> DataFrame:
+    """(id, column): an array of ids of each row with canonical ids in place of aliases, in order."""
+    a = aliases.select(F.col("alias").alias("_e"), F.col("canonical").alias("_canonical"))
+    d = rows.select(id_col, F.posexplode_outer(column).alias("_p", "_e")).join(a, "_e", "left")
+    g = d.groupBy(id_col).agg(F.array_sort(F.collect_list(F.when(F.col("_p").isNotNull(), F.struct("_p", F.coalesce("_canonical", "_e").alias("_e"))))).alias("_l"))
+    return g.select(id_col, F.transform("_l", lambda x: x["_e"]).alias(column))
+
+
 def counters(log: DataFrame, key: str, ts: str) -> DataFrame:
     """Access counters as the sum of a log: (key, access_count, last_accessed)."""
     return log.groupBy(key).agg(F.count("*").alias("access_count"), F.max(ts).alias("last_accessed"))

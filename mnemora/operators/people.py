@@ -70,3 +70,17 @@ def effective_settings(defaults: DataFrame, raw: DataFrame, preset: DataFrame) -
     own = lambda d, name: d.select("key", F.col("value").alias(name))
     d = own(defaults, "_d").join(own(raw, "_r"), "key", "full_outer").join(own(preset, "_p"), "key", "full_outer")
     return d.select("key", F.coalesce("_p", "_r", "_d").alias("value"))
+
+
+def coerced(raw: Column, kind: Column) -> Column:
+    """A setting's text in the usual form of its kind: bool, int, float, else text; null where it is none."""
+    t = F.trim(F.coalesce(raw, F.lit("")))
+    flag = F.when(F.lower(t).isin("1", "true", "yes", "on"), "true").when(F.lower(t).isin("0", "false", "no", "off", ""), "false")
+    number = t.try_cast("double")
+    return F.when(kind == "bool", flag).when(kind == "int", number.cast("long").cast("string")).when(kind == "float", number.cast("string")).otherwise(t)
+
+
+def group_roles(members: DataFrame, key: str) -> DataFrame:
+    """(key, owner, admins): the first owner of each group and all its admins, in order. members: key, member, role."""
+    named = members.groupBy(key).agg(F.min(F.when(F.col("role") == "owner", F.col("member"))).alias("owner"), F.array_sort(F.collect_list(F.when(F.col("role") == "admin", F.col("member")))).alias("admins"))
+    return named
