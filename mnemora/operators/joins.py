@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from mnemora.functions.text import tokens
+from mnemora.functions.text import jaccard, normalize_slot, tokens
 from mnemora.storage import written
 
 
@@ -26,6 +26,36 @@ def mentions(texts: DataFrame, names: DataFrame, id_col: str, text_col: str, nam
     return t.join(n, "_token").select(id_col, "name")
 
 
+def names_within(texts: DataFrame, names: DataFrame, id_col: str, text_col: str, name_col: str) -> DataFrame:
+    """(id, name): names of two characters or more that occur anywhere in a text, in normal form, within words too.
+
+    A name's first two characters are its key: each text's distinct pairs of characters meet the names by equality, and
+    only those that meet are looked for in the text. Names of several words or ideographs are found like any other.
+    """
+    n = names.select(F.col(name_col).alias("name"), normalize_slot(F.col(name_col)).alias("_n")).where(F.length("_n") >= 2).distinct().withColumn("_key", F.substring("_n", 1, 2))
+    t = texts.select(id_col, normalize_slot(F.col(text_col)).alias("_t")).where(F.length("_t") >= 2)
+    pairs = F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("_t") - 1), lambda i: F.substr("_t", i, F.lit(2))))
+    return t.withColumn("_key", F.explode(pairs)).join(n, "_key").where(F.contains("_t", "_n")).select(id_col, "name")
+
+
+def similar_pairs(rows: DataFrame, id_col: str, terms_col: str, threshold: float) -> DataFrame:
+    """(a, b, similarity): pairs of rows whose sets of terms have this Jaccard similarity or more, a before b.
+
+    Terms are ordered from rare to common; of n terms the first n - ceil(threshold * n) + 1 must have one in common with
+    a similar row's, so only rows that share one of these meet, by equality. Rows without terms have no partner.
+    """
+    d = rows.select(F.col(id_col).alias("_i"), F.array_distinct(terms_col).alias("_s")).where(F.size("_s") > 0)
+    each = d.select("_i", F.size("_s").alias("_n"), F.explode("_s").alias("_w"))
+    rare = each.groupBy("_w").agg(F.count("*").alias("_df"))
+    place = F.row_number().over(Window.partitionBy("_i").orderBy("_df", "_w"))
+    head = each.join(rare, "_w").withColumn("_p", place).where(F.col("_p") <= F.col("_n") - F.ceil(threshold * F.col("_n") - 1e-9) + 1)
+    a = head.select("_w", F.col("_i").alias("a"), F.col("_n").alias("_na"))
+    b = head.select("_w", F.col("_i").alias("b"), F.col("_n").alias("_nb"))
+    met = a.join(b, "_w").where((F.col("a") < F.col("b")) & (F.least("_na", "_nb") >= threshold * F.greatest("_na", "_nb") - 1e-9)).select("a", "b").distinct()
+    full = met.join(d.select(F.col("_i").alias("a"), F.col("_s").alias("_sa")), "a").join(d.select(F.col("_i").alias("b"), F.col("_s").alias("_sb")), "b")
+    return full.withColumn("similarity", jaccard(F.col("_sa"), F.col("_sb"))).where(F.col("similarity") >= threshold - 1e-9).select("a", "b", "similarity")
+
+
 def resolve_chain(links: DataFrame, key: str, target: str, hops: int) -> DataFrame:
     """(key, resolved, hops): follows key -> target up to `hops` times and stops where the chain ends.
 

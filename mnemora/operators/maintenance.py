@@ -88,6 +88,20 @@ def renamed_elements(rows: DataFrame, aliases: DataFrame, id_col: str, column: s
     return g.select(id_col, F.transform("_l", lambda x: x["_e"]).alias(column))
 
 
+def changed(base: DataFrame, log: DataFrame, columns: Sequence[str], id_col: str = "id", order: Sequence[str] = ("ts", "change")) -> DataFrame:
+    """base as a log of changes leaves it: rows (id, op, order, columns), op one of insert, update, delete.
+
+    Of each column the newest value that is not null holds; a row whose last insert or delete is a delete is gone. The
+    log is summed before it is exchanged, so a row that changes very often costs as much as one that changes once.
+    """
+    at = F.struct(*order)
+    start = base.select(F.col(id_col), *columns, F.lit("insert").alias("op"), *[F.lit(None).cast(log.schema[c].dataType).alias(c) for c in order])
+    both = start.unionByName(log.select(id_col, *columns, "op", *order))
+    newest = [F.max(F.when(F.col(c).isNotNull(), F.struct(at.alias("at"), F.col(c).alias("v"))))["v"].alias(c) for c in columns]
+    last = F.max(F.when(F.col("op").isin("insert", "delete"), F.struct(at.alias("at"), F.col("op").alias("v"))))["v"].alias("_last")
+    return both.groupBy(id_col).agg(*newest, last).where("_last = 'insert'").drop("_last")
+
+
 def counters(log: DataFrame, key: str, ts: str) -> DataFrame:
     """Access counters as the sum of a log: (key, access_count, last_accessed)."""
     return log.groupBy(key).agg(F.count("*").alias("access_count"), F.max(ts).alias("last_accessed"))

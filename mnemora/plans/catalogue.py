@@ -138,10 +138,10 @@ def entity_semi(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "orders").join(named, "o_custkey", "left_semi").select("o_orderkey")
 
 
-@query(f"""WITH names AS (SELECT DISTINCT unnest({TOKENS.format("text")}[1:3]) AS name FROM benchmark),
+@query(f"""WITH names AS (SELECT DISTINCT unnest({TOKENS.format("text")}) AS name FROM benchmark),
   t AS (SELECT DISTINCT conv_id * 1000 + turn AS id, unnest({TOKENS.format("text")}) AS tok FROM conversations) SELECT id, name FROM t JOIN names ON tok = name""")
 def entity_containment(spark: SparkSession, sf_dir: str) -> DataFrame:
-    names = table(spark, sf_dir, "benchmark").select(F.explode(F.slice(text.tokens(F.col("text")), 1, 3)).alias("name")).distinct()
+    names = table(spark, sf_dir, "benchmark").select(F.explode(text.tokens(F.col("text"))).alias("name")).distinct()
     return joins.mentions(conversation_timeline(spark, sf_dir), names, "id", "content", "name")
 
 

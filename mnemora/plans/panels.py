@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from mnemora.functions import gates, matching, visibility
-from mnemora.operators import aggregates, cards, maintenance, people, windows
+from mnemora.functions.text import tokens
+from mnemora.operators import aggregates, cards, joins, maintenance, people, windows
 from mnemora.sources.tables import conversation_timeline, event_episodes, event_facts, event_timeline, table
 
-from .catalogue import AS_OF, EV, FACTS, TL, query
+from .catalogue import AS_OF, EV, FACTS, TL, TOKENS, query
 from .frames import matrix
 from .requests import _EPISODES
 
@@ -133,3 +135,40 @@ def episode_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     line = F.concat(F.when(F.col("role") == "assistant", "我(Bot)").otherwise(F.col("speaker_id")), F.lit(": "), F.trim("content"))
     rows = conversation_timeline(spark, sf_dir).groupBy("window_tag").agg(F.array_sort(F.collect_list(F.struct("ts", "id", line.alias("line")))).alias("_l"))
     return rows.select("window_tag", F.array_join(F.transform("_l", lambda x: x["line"]), "\n").alias("lines"))
+
+
+@query(f"""WITH {FACTS}, log AS (SELECT id, CASE WHEN id % 9 = 0 THEN 'delete' ELSE 'update' END AS op, created_at AS ts, 1 AS change, CASE WHEN id % 4 = 0 THEN 'archived' END AS status, CASE WHEN id % 5 = 0 THEN true END AS pinned FROM facts
+    UNION ALL SELECT id, CASE WHEN id % 18 = 0 THEN 'insert' ELSE 'update' END, created_at, 2, CASE WHEN id % 8 = 0 THEN 'live' END, NULL FROM facts)
+  SELECT f.id, coalesce(arg_max(l.status, (ts, change)) FILTER (WHERE l.status IS NOT NULL), f.status) AS status, coalesce(arg_max(l.pinned, (ts, change)) FILTER (WHERE l.pinned IS NOT NULL), f.pinned) AS pinned
+  FROM facts f JOIN log l USING (id) GROUP BY f.id, f.status, f.pinned HAVING coalesce(arg_max(op, (ts, change)) FILTER (WHERE op IN ('insert', 'delete')), 'insert') = 'insert'""")
+def fact_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Facts after updates, archivings, restorations, pins and deletions, as a fold over the log of them."""
+    f, i = event_facts(spark, sf_dir), F.col("id")
+    none = F.lit(None)
+    one = f.select("id", F.when(i % 9 == 0, "delete").otherwise("update").alias("op"), F.col("created_at").alias("ts"), F.lit(1).alias("change"), F.when(i % 4 == 0, "archived").alias("status"), F.when(i % 5 == 0, True).alias("pinned"))
+    two = f.select("id", F.when(i % 18 == 0, "insert").otherwise("update").alias("op"), F.col("created_at").alias("ts"), F.lit(2).alias("change"), F.when(i % 8 == 0, "live").alias("status"), none.cast("boolean").alias("pinned"))
+    return maintenance.changed(f, one.unionByName(two), ["status", "pinned"])
+
+
+@query("SELECT o_orderkey AS id, try_cast(o_orderpriority AS INT) AS importance, 'live' AS status, coalesce(o_totalprice, 0.5)::DOUBLE AS confidence, ''::VARCHAR AS persona_id FROM orders")
+def schema_upgrade(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Old rows in the present shape: missing columns and values that do not parse get defaults."""
+    old = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_orderpriority").alias("importance"), F.col("o_totalprice").alias("confidence"))
+    shape = T.StructType([T.StructField("id", T.LongType()), T.StructField("importance", T.IntegerType()), T.StructField("status", T.StringType()), T.StructField("confidence", T.DoubleType()), T.StructField("persona_id", T.StringType())])
+    return maintenance.schema_upgraded(old, shape, {"status": F.lit("live"), "confidence": F.lit(0.5), "persona_id": F.lit("")})
+
+
+@query(f"""WITH n AS (SELECT DISTINCT name FROM (SELECT unnest({TOKENS.format("text")}) AS name FROM benchmark) WHERE length(name) >= 5), t AS (SELECT conv_id * 1000 + turn AS id, regexp_replace(lower(trim(text)), '[\\s　,，.。!！?？、~～''"“”‘’]+', '', 'g') AS t FROM conversations)
+  SELECT id, name FROM t JOIN n ON contains(t, name)""")
+def name_containment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names within texts, inside of words too."""
+    names = table(spark, sf_dir, "benchmark").select(F.explode(tokens(F.col("text"))).alias("name")).where(F.length("name") >= 5)
+    return joins.names_within(conversation_timeline(spark, sf_dir), names, "id", "content", "name")
+
+
+@query(f"""WITH d AS (SELECT conv_id * 1000 + turn AS id, list_distinct({TOKENS.format("text")}) AS s FROM conversations)
+  SELECT x.id AS a, y.id AS b, round(len(list_intersect(x.s, y.s)) / len(list_distinct(x.s || y.s))::DOUBLE, 6) AS similarity FROM d x JOIN d y ON x.id < y.id AND len(x.s) > 0 AND len(y.s) > 0 AND len(list_intersect(x.s, y.s)) >= 0.2 * len(list_distinct(x.s || y.s))""")
+def similar_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Messages that share a fifth of their words or more."""
+    d = conversation_timeline(spark, sf_dir).select("id", tokens(F.col("content")).alias("s"))
+    return joins.similar_pairs(d, "id", "s", 0.2).select("a", "b", F.round("similarity", 6).alias("similarity"))
