@@ -186,16 +186,20 @@ def folded_preferences(facts: DataFrame) -> DataFrame:
 
     facts: live ones, with id, speaker_id, persona_id, attribute, value, content, topic, pinned. The first like (by
     id) whose topic the other mentions decides: personas and domains must not differ, and only what has the same
-    polarity is folded; pinned facts stay. An equality join by speaker, with the mention as its condition.
+    polarity is folded; pinned facts stay. An equality join by speaker and the first two characters of a topic, which
+    are among the pairs of characters of what mentions it, with the mention as its condition.
     """
-    likes = facts.where("attribute = 'likes'").select("speaker_id", F.col("id").alias("keeper"), F.col("persona_id").alias("_p"), F.col("value").alias("_v"), F.col("topic").alias("_t"), topic_key(F.col("value")).alias("_key"))
+    likes = facts.where("attribute = 'likes'").select("speaker_id", F.col("id").alias("keeper"), F.col("persona_id").alias("_p"), F.col("value").alias("_v"), F.col("topic").alias("_t"), topic_key(F.col("value")).alias("_key")).withColumn("_two", F.substring("_key", 1, 2))
     others = facts.where(F.col("attribute").isin("dislikes", "note") & ~F.col("pinned"))
     value, content = normalize_slot(F.col("value")), normalize_slot(F.col("content"))
     verbs = "(喜欢|讨厌|爱喝|爱吃|受不了|习惯|怕)"
     says = lambda c: F.contains(c, F.col("_key")) & ((F.length("_key") >= 2) | c.rlike(verbs))
     agree = lambda a, b: (F.coalesce(a, F.lit("")) == "") | (F.coalesce(b, F.lit("")) == "") | (a == b)
     domain = F.coalesce(F.nullif(F.col("topic"), F.lit("")), detect_domain(F.col("content"), F.col("_v")))
-    met = others.join(likes, "speaker_id").where((F.col("_key") != "") & (says(value) | says(content)) & agree(F.col("_p"), F.col("persona_id")) & agree(F.col("_t"), domain))
+    both = F.concat_ws(" ", value, content)
+    parts = F.array_distinct(F.flatten(F.transform(F.sequence(F.lit(1), F.length(both)), lambda i: F.array(F.substr(both, i, F.lit(1)), F.substr(both, i, F.lit(2))))))
+    keyed = others.where(F.length(both) > 0).withColumn("_two", F.explode(parts))
+    met = keyed.join(likes, ["speaker_id", "_two"]).where((F.col("_key") != "") & (says(value) | says(content)) & agree(F.col("_p"), F.col("persona_id")) & agree(F.col("_t"), domain))
     first = F.row_number().over(Window.partitionBy("id").orderBy("keeper"))
     negative = (F.col("attribute") == "dislikes") | F.concat(value, F.lit(" "), content).rlike("(不喜欢|没喜欢|不再喜欢|不爱|讨厌|受不了)")
     d = met.withColumn("_n", first).where("_n = 1")

@@ -18,7 +18,7 @@ def upcoming_birthdays(members: DataFrame, today: Column, days: int, month: str
 def resolved_members(asked: DataFrame, members: DataFrame, text: str = "asked", id_col: str = "member_id", names: tuple[str, ...] = ("name",)) -> DataFrame:
     """(asked, member_id, tier, ambiguous): id, then whole name, then part of a name; all of the best tier.
 
-    Only the few texts that are asked for meet the members, so the join compares texts with names.
+    The texts that are asked for are compared with all names, as parts of names have no key: Spark sends the smaller side.
     """
     a = asked.select(text).distinct().withColumn("_a", F.lower(F.trim(text)))
     whole, part = F.lit(False), F.lit(False)
@@ -26,7 +26,7 @@ def resolved_members(asked: DataFrame, members: DataFrame, text: str = "asked",
         low = F.lower(F.coalesce(F.col(n), F.lit("")))
         whole, part = whole | (low == F.col("_a")), part | F.contains(low, F.col("_a"))
     tier = F.when(F.col(id_col).cast("string") == F.col("_a"), 0).when(whole, 1).when(part, 2)
-    met = members.join(F.broadcast(a), (F.col("_a") != "") & tier.isNotNull())  # the texts of one request
+    met = members.join(a, (F.col("_a") != "") & tier.isNotNull())
     best = met.withColumn("tier", tier).withColumn("_best", F.min("tier").over(Window.partitionBy(text))).where("tier = _best")
     return best.withColumn("ambiguous", F.count("*").over(Window.partitionBy(text)) > 1).select(text, id_col, "tier", "ambiguous")
 

@@ -50,6 +50,15 @@ def with_previous(rows: DataFrame, keys: Sequence[str], columns: Sequence[str],
     return out.withColumn("previous", F.coalesce("_inner", "_before")).drop("_inner", "_before", "_slice")
 
 
+def numbered(rows: DataFrame, keys: Sequence[str], flag: str, name: str, ts: str = "ts", tie: str = "id") -> DataFrame:
+    """rows with `name`: the running sum of a 0/1 column in each key, by (ts, tie). Slices are summed, then offset."""
+    d = rows.withColumn("_slice", F.floor(F.col(ts) / SLICE))
+    sums = d.groupBy(*keys, "_slice").agg(F.sum(flag).alias("_sum"))
+    heads = sums.withColumn("_base", F.sum("_sum").over(Window.partitionBy(*keys).orderBy("_slice")) - F.col("_sum"))
+    within = F.sum(flag).over(Window.partitionBy(*keys, "_slice").orderBy(ts, tie))
+    return _with_heads(d.withColumn("_in", within), heads.drop("_sum"), keys).withColumn(name, F.col("_base") + F.col("_in")).drop("_base", "_in", "_slice")
+
+
 def sessions_by_gap_and_span(rows: DataFrame, keys: Sequence[str], gap: int, span: int, ts: str = "ts", tie: str = "id") -> DataFrame:
     """As sessions_by_gap, and no session lasts longer than `span` from its first row.
 
@@ -169,9 +178,9 @@ def answered_pairs(rows: DataFrame, window: str = "window_tag", gap: int = 90, t
 
 def unanswered(rows: DataFrame, wait: int, window: str = "window_tag", speaker: str = "speaker_id", ts: str = "ts", tie: str = "id") -> DataFrame:
     """Rows after which nobody else spoke in their window within `wait` seconds."""
-    runs = Window.partitionBy(window).orderBy(ts, tie)
-    turn = F.coalesce((F.col(speaker) != F.lag(speaker).over(runs)).cast("int"), F.lit(0))
-    d = rows.withColumn("_run", turn).withColumn("_run", F.sum("_run").over(runs))
+    before = with_previous(rows, [window], [speaker], ts, tie)
+    turn = F.coalesce((F.col(speaker) != F.col(f"previous.{speaker}")).cast("int"), F.lit(0))
+    d = numbered(before.withColumn("_turn", turn).drop("previous"), [window], "_turn", "_run", ts, tie).drop("_turn")
     # the next row by another speaker is the first row of the next run
     starts = d.groupBy(window, "_run").agg(F.min(ts).alias("_next")).withColumn("_run", F.col("_run") - 1)
     joined = d.join(starts, [window, "_run"], "left")
