@@ -146,12 +146,12 @@ def test_scores_of_characters_equal_plain_python():
 
 
 def test_held_out_toxic_documents(spark):
-    """On all held-out labelled rows of a larger table."""
+    """On all held-out labelled rows of a larger table, which has some 40 toxic rows to learn from: most, and no clean one."""
     data = "/root/testdata/sf0.01"
     got = {r.doc_id: r.predicted for r in queries.QUERIES["op8_toxicity"](spark, data).where("held_out").collect()}
     toxic = {r.doc_id: r.toxic for r in spark.read.parquet(f"{data}/labels.parquet").collect() if r.toxic is not None}
-    known = [(toxic[i], p) for i, p in got.items() if i in toxic]
-    assert np.mean([a == b for a, b in known]) >= 0.97
+    found = [p for i, p in got.items() if toxic.get(i) == 1]
+    assert np.mean(found) >= 0.7 and not any(p for i, p in got.items() if toxic.get(i) == 0)
 
 
 @pytest.mark.parametrize("name", [n for n, _ in corpus_pipeline.STAGES])
