@@ -14,7 +14,7 @@ from mnemora.functions import gates, scores, text, timeparse
 from mnemora.operators import aggregates, filters, joins, maintenance, retrieval, windows
 from mnemora.sources import jsonl
 from mnemora.storage import written
-from mnemora.sources.tables import conversation_timeline, event_facts, event_timeline, table
+from mnemora.sources.tables import conversation_timeline, event_facts, event_timeline, spread, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -231,13 +231,13 @@ def usage_by_task(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT lang, term, count(*) AS n FROM (SELECT lang, unnest(regexp_extract_all(lower(text), '[A-Za-z]{2,16}|[一-鿿]{2,8}')) AS term FROM documents) GROUP BY ALL")
 def term_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return aggregates.term_counts(table(spark, sf_dir, "documents"), "text", "lang")
+    return aggregates.term_counts(spread(table(spark, sf_dir, "documents").select("text", "lang")), "text", "lang")
 
 
 @query("""WITH c AS (SELECT source, term, count(*) AS n FROM (SELECT source, unnest(regexp_extract_all(lower(text), '[A-Za-z]{2,16}|[一-鿿]{2,8}')) AS term FROM documents) GROUP BY ALL)
   SELECT term, sum(n)::BIGINT AS n, count(DISTINCT source) AS spread FROM c GROUP BY term HAVING sum(n) >= 4 AND count(DISTINCT source) < 4 AND sum(n) / (SELECT sum(n) FROM c) <= 0.25 ORDER BY n DESC, term LIMIT 20""")
 def hot_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    counts = aggregates.term_counts(table(spark, sf_dir, "documents"), "text", "source")
+    counts = aggregates.term_counts(spread(table(spark, sf_dir, "documents").select("text", "source")), "text", "source")
     return aggregates.hot_terms(counts, "source", 4, 0.25, 4, 20)
 
 
@@ -262,7 +262,7 @@ def tokens_of(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     key = (spark.sparkContext.applicationId, tuple(sorted(docs.inputFiles())))
     if key not in _SPLIT:
-        _SPLIT[key] = written(retrieval.tokenised(docs), "tokens")
+        _SPLIT[key] = written(retrieval.tokenised(spread(docs.select("doc_id", "text"))), "tokens")
     return _SPLIT[key]
 
 

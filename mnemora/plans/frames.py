@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from mnemora.functions import extraction, gates, matching, scores, slots, text, visibility
 from mnemora.operators import people
+from mnemora.sources import transcript
 
 from .catalogue import query
 
@@ -173,6 +174,17 @@ def speak_matrix() -> dict[str, Column]:
     return {k: s[k] for k in ("target", "value", "content")}
 
 
+_LINES = ("noise", "小明：2024-03-01 10:00:00", "", "你好", "在吗", "", "丢掉", "小王: 03-02 11:00:00", "早", "发送者：小红", "时间：2024-03-03 08:00:00", "内容：第一行", "第二行", "", "又丢掉", "发送者：机器人", "消息：收到", "小明：99-99", "怪", "消息：2024-03-04", "x", "小刚: 3-5", "")
+
+
+@query(stated("message, name, speaker_id, ts, role, content", (
+    (1, "小明", "小明", 1709287200, "user", "你好\n在吗"), (2, "小王", "小王", 1709377200, "user", "早"), (3, "小红", "小红", 1709452800, "user", "第一行\n第二行"), (4, "机器人", "bot_self", 1709452800, "assistant", "收到"), (5, "小明", "小明", 1709452800, "user", "怪"),
+)))
+def transcript_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = spark.createDataFrame([("f", k, t) for k, t in enumerate(_LINES)], "file string, line int, text string")
+    return transcript.messages(d, 2024, ("机器人",)).select("message", "name", "speaker_id", "ts", "role", "content")
+
+
 @matrix("t string", (
     ("记住我住上海", True), ("帮我记一下她的电话", True), ("我喜欢猫", True), ("他喜欢猫", False), ("", False), ("改口，以后叫他老王", False), ("叫我小王", True),
 ), 1, "directive")

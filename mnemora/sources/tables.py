@@ -14,6 +14,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(rows: DataFrame) -> DataFrame:
+    """A table of fewer pieces than there are cores, dealt to all of them before its texts are worked on; others as they are."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(cores) if rows.rdd.getNumPartitions() < 2 * cores else rows
+
+
 def conversation_timeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Messages (id, ts, window_tag, speaker_id, role, content): even conversations are groups, odd ones private."""
     c = table(spark, sf_dir, "conversations")
