@@ -24,6 +24,8 @@ from pyspark.sql import functions as F
 
 #: Characters of a piece that is encoded directly, and ids of one that is decoded directly.
 LEAF, LEAF_IDS = 512, 256
+#: Rows of a batch that are held with their ids at once.
+ROWS = 1024
 #: Characters by which a window first reaches over the seam on either side.
 WINDOW = 64
 #: A white space after another character. Python's white space includes all that the split pattern calls so.
@@ -105,7 +107,7 @@ def encode_frame(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         e = encoder(ranks_path, pattern)
-        for b in batches:
+        for b in (b.slice(s, ROWS) for b in batches for s in range(0, b.num_rows, ROWS)):
             ids = pa.array([e.encode(t or "") for t in b["text"].to_pylist()], pa.list_(pa.int32()))
             yield pa.RecordBatch.from_arrays([b["id"], ids], ["id", "ids"])
 
@@ -139,7 +141,7 @@ def round_trip(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "do
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         e = encoder(ranks_path, pattern)
         decimal: Callable[[int], bytes] = [b"%d" % i for i in range(len(e.bytes_of))].__getitem__
-        for b in batches:
+        for b in (b.slice(s, ROWS) for b in batches for s in range(0, b.num_rows, ROWS)):
             n, coded, plain, kept = [], [], [], []
             for t in b["text"].to_pylist():
                 ids = e.encode(t or "")
