@@ -205,27 +205,49 @@ def ranked_episodes(requests: DataFrame, episodes: DataFrame, limit: int) -> Dat
     return d.where(c("rank") <= limit).select("request_id", "id", "score", "rank")
 
 
-#: The blocks of a pack in the order in which they are shown, with their titles.
-TITLES = {"core": "【核心】", "related": "【本轮相关】", "uncertain": "【不确定】只能带不确定感。"}
+# The blocks of a pack in the order in which they are filled, with the place where each is shown and its title.
+BLOCKS = {
+    "history": (4, "【当时】当时 的状态；这是过去，可能已被更新，不要当现状说。"), "events": (5, "【事件】按时间回忆用；可能不完整，不要当逐字记录。"), "core": (6, "【核心】"), "related": (7, "【本轮相关】"),
+    "promises": (8, "【约定】相关时才提，不要催。"), "statuses": (9, "【近况】可能已过期，只作参考。"), "uncertain": (10, "【不确定】只能带不确定感。"),
+}
+#: What asks for promises, and for how someone is.
+PROMISE_CUE = "(约定|说好|答应|约好|计划|提醒|别忘了|记得|上次说|办了吗|完成了吗)"
+STATUS_CUE = "(近况|最近|这几天|状态|还好吗|怎么样|身体|加班|熬夜|感冒|发烧|失眠|出差|请假)"
+TITLES = {k: title for k, (_, title) in BLOCKS.items()}
 
 
-def packs(found: DataFrame, budget: int = 1000, head: str = "<memory>", tail: str = "</memory>") -> DataFrame:
-    """(request_id, pack): the lines of each request's buckets as one text of at most `budget` characters.
+def blocks(found: DataFrame) -> DataFrame:
+    """What `bundles` found, with `block`: related promises and statuses have blocks of their own, if they are called for.
 
-    Buckets are filled in the order of TITLES; a line that does not fit is passed over, a bucket without lines goes, and
-    a request without buckets has no pack. found: of `bundles`, with a column line.
+    They are where the route looks back, the query has their cue, or it says what one of them is about; else they go.
     """
-    order = F.create_map(*[F.lit(x) for kv in zip(TITLES, range(len(TITLES))) for x in kv])
-    title = F.create_map(*[F.lit(x) for kv in TITLES.items() for x in kv])
-    rows = found.groupBy("request_id").agg(F.array_sort(F.collect_list(F.struct(order[F.col("bucket")].alias("place"), F.col("position").alias("position"), title[F.col("bucket")].alias("title"), F.col("line").alias("line")))).alias("_rows"))
+    kind = F.when(F.col("bucket") != "related", F.col("bucket")).when(F.col("attribute") == "promise", "promises").when(F.col("attribute") == "status", "statuses").otherwise("related")
+    d = found.withColumn("block", kind)
+    q = F.col("query")
+    said = matching.says(q, F.array("value")) & ~(gates.question_like(q) & matching.richer(F.col("content"), F.col("value")))
+    any_said = F.max(said.cast("int")).over(Window.partitionBy("request_id", "block")) == 1
+    promises = F.col("route").isin("recall", "time_window") | q.rlike(PROMISE_CUE) | any_said
+    statuses = F.col("route").isin("current_status", "recall", "time_window") | q.rlike(STATUS_CUE) | any_said
+    return d.withColumn("_called", F.when(F.col("block") == "promises", promises).when(F.col("block") == "statuses", statuses).otherwise(True)).where("_called").drop("_called")
+
+
+def packs(lines: DataFrame, budget: int = 1000, head: str = "<memory>", tail: str = "</memory>") -> DataFrame:
+    """(request_id, pack): the lines (request_id, block, position, line) of each request as one text within the budget.
+
+    Blocks are filled in the order of BLOCKS and shown in that of their places; a line that does not fit is passed over,
+    a block without lines goes, and a request without blocks has no pack.
+    """
+    of = lambda values: F.create_map(*[F.lit(x) for kv in zip(BLOCKS, values) for x in kv])[F.col("block")]
+    row = F.struct(of(range(len(BLOCKS))).alias("fill"), F.col("position").alias("position"), of([p for p, _ in BLOCKS.values()]).alias("place"), of([t for _, t in BLOCKS.values()]).alias("title"), F.col("line").alias("line"))
+    rows = lines.groupBy("request_id").agg(F.array_sort(F.collect_list(row)).alias("_rows"))
 
     def add(done: Column, r: Column) -> Column:
-        block = done["place"] == r["place"]
-        piece = F.when(block, r["line"]).otherwise(F.concat_ws("\n", r["title"], r["line"]))
+        piece = F.when(done["fill"] == r["fill"], r["line"]).otherwise(F.concat_ws("\n", r["title"], r["line"]))
         used = done["used"] + 1 + F.length(piece)
-        fits = used + 1 + len(tail) <= budget
-        return F.when(fits, F.struct(F.array_append(done["kept"], piece).alias("kept"), used.alias("used"), r["place"].alias("place"))).otherwise(done)
+        kept = F.struct(r["place"].alias("place"), r["fill"].alias("fill"), r["position"].alias("position"), piece.alias("piece"))
+        return F.when(used + 1 + len(tail) <= budget, F.struct(F.array_append(done["kept"], kept).alias("kept"), used.alias("used"), r["fill"].alias("fill"))).otherwise(done)
 
-    start = F.struct(F.array().cast("array<string>").alias("kept"), F.lit(len(head)).alias("used"), F.lit(-1).alias("place"))
-    kept = F.aggregate("_rows", start, add)["kept"]
-    return rows.withColumn("_kept", kept).where(F.size("_kept") > 0).select("request_id", F.concat_ws("\n", F.lit(head), F.array_join("_kept", "\n"), F.lit(tail)).alias("pack"))
+    start = F.struct(F.array().cast("array<struct<place:int,fill:int,position:int,piece:string>>").alias("kept"), F.lit(len(head)).alias("used"), F.lit(-1).alias("fill"))
+    kept = F.array_sort(F.aggregate("_rows", start, add)["kept"])
+    shown = F.array_join(F.transform("_kept", lambda x: x["piece"]), "\n")
+    return rows.withColumn("_kept", kept).where(F.size("_kept") > 0).select("request_id", F.concat_ws("\n", F.lit(head), shown, F.lit(tail)).alias("pack"))

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from mnemora.operators import flow, requests, retrieval, windows
-from mnemora.plans import catalogue, streams  # noqa: F401  registers queries
+from mnemora.plans import catalogue, people, streams  # noqa: F401  registers queries
 from mnemora.plans.requests import AS_OF, ASKED, asked
 from mnemora.sources.tables import memory_facts
 
@@ -68,6 +68,20 @@ def test_packs_keep_to_their_budget(spark):
     assert 6 not in {r.request_id for r in catalogue.QUERIES["retrieve_bundle"](spark, DATA).collect()}  # a greeting
 
 
+def test_promises_and_statuses_are_packed_when_called_for(spark):
+    shape = "request_id int, query string, route string, bucket string, attribute string, value string, content string, position int"
+    rows = [(1, "随便聊聊", "long_term"), (2, "我们约好了什么", "long_term"), (3, "身体怎么样", "long_term"), (4, "那天", "time_window"), (5, "周五见面的事", "long_term")]
+    found = spark.createDataFrame([(*r, "related", a, v, v, i) for r in rows for i, (a, v) in enumerate([("promise", "周五见面"), ("status", "感冒了"), ("note", "养猫")], 1)], shape)
+    got = defaultdict(set)
+    for r in requests.blocks(found).collect():
+        got[r.request_id].add(r.block)
+    assert got == {1: {"related"}, 2: {"related", "promises"}, 3: {"related", "statuses"}, 4: {"related", "promises", "statuses"}, 5: {"related", "promises"}}
+    lines = requests.blocks(found).withColumn("line", F.concat(F.lit("- "), "value"))
+    packs = {r.request_id: r.pack for r in requests.packs(lines, 200).collect()}
+    assert packs[1] == "<memory>\n【本轮相关】\n- 养猫\n</memory>" and packs[4].index("【约定】") < packs[4].index("【近况】")
+    assert requests.packs(lines, 20).count() == 0
+
+
 def test_lately_injected_facts_are_left_out(spark):
     facts = memory_facts(spark, DATA)
     first = requests.bundles(asked(spark), facts, AS_OF)
