@@ -22,5 +22,5 @@ def shared_dir(spark: SparkSession) -> str:
 def written(df: DataFrame, name: str) -> DataFrame:
     """Cuts the lineage of df: writes it as Parquet into the shared folder and reads it back."""
     path = f"{shared_dir(df.sparkSession)}/mnemora/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
