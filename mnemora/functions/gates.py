@@ -105,6 +105,19 @@ def incomplete(text: Column, short: int = 12) -> Column:
     return F.when(done, False).when(t.rlike(GOES_ON) | t.rlike(f"(?:{'|'.join(GOES_ON_WORDS)})$"), True).otherwise(F.length(t) <= 6)
 
 
+def held_back(text: Column, kind: Column, scope: str, image: Column, mentioned: Column, awake: Column, names: list[str], short: int = 12) -> Column:
+    """Whether a message waits for more: in scope (both, group, private), plain text, to nobody's name, and unfinished."""
+    t = F.trim(text_or_empty(text))
+    away = ((kind == "private") & F.lit(scope == "group")) | ((kind != "private") & F.lit(scope == "private"))
+    called = F.exists(F.array(*[F.lit(n.lower()) for n in names]), lambda n: F.contains(F.lower(t), n)) if names else F.lit(False)
+    return ~away & (t != "") & ~t.rlike(COMMAND) & ~image & ~mentioned & ~awake & ~called & incomplete(text, short)
+
+
+def term_counts_from(owner: Column, scope: str) -> Column:
+    """Whether a speaker's words are counted as terms: everybody's, or the owner's alone."""
+    return owner if scope in ("owner", "owner_only", "master") else F.lit(True)
+
+
 def capture_reason(enabled: Column, capture: Column, yielded: Column, owner: Column, platform: Column, platforms: list[str], place: Column, allowed: list[str]) -> Column:
     """'' where a message is captured, else why not. platform: of the message, '' if unknown, which passes as do owners'.
 

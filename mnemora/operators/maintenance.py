@@ -88,6 +88,13 @@ def renamed_elements(rows: DataFrame, aliases: DataFrame, id_col: str, column: s
     return g.select(id_col, F.transform("_l", lambda x: x["_e"]).alias(column))
 
 
+def backfilled(rows: DataFrame, made: DataFrame, id_col: str, column: str, made_col: str) -> DataFrame:
+    """rows with `column` filled from made (id, made_col) where it is null or empty, and whether it was: `filled`."""
+    none = F.col(column).isNull() | (F.size(column) == 0)
+    d = rows.join(made.select(F.col(id_col), F.col(made_col).alias("_made")), id_col, "left")
+    return d.withColumn("filled", none & F.col("_made").isNotNull()).withColumn(column, F.when(F.col("filled"), F.col("_made")).otherwise(F.col(column))).drop("_made")
+
+
 def changed(base: DataFrame, log: DataFrame, columns: Sequence[str], id_col: str = "id", order: Sequence[str] = ("ts", "change")) -> DataFrame:
     """base as a log of changes leaves it: rows (id, op, order, columns), op one of insert, update, delete.
 

@@ -6,9 +6,9 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from mnemora.functions import gates, matching, visibility
+from mnemora.functions import gates, matching, scores, visibility
 from mnemora.functions.text import tokens
-from mnemora.operators import aggregates, cards, joins, maintenance, people, windows
+from mnemora.operators import aggregates, cards, filters, joins, maintenance, people, windows
 from mnemora.sources.tables import conversation_timeline, event_episodes, event_facts, event_timeline, table
 
 from .catalogue import AS_OF, EV, FACTS, TL, TOKENS, query
@@ -172,3 +172,54 @@ def similar_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Messages that share a fifth of their words or more."""
     d = conversation_timeline(spark, sf_dir).select("id", tokens(F.col("content")).alias("s"))
     return joins.similar_pairs(d, "id", "s", 0.2).select("a", "b", F.round("similarity", 6).alias("similarity"))
+
+
+@matrix("t string, kind string, image boolean, mentioned boolean, awake boolean, owner boolean", (
+    ("我想说", "group", False, False, False, True, True, False, True, True), ("我想说", "private", False, False, False, False, True, True, True, False), ("我想说", "group", True, False, False, False, False, False, True, False), ("我想说", "group", False, True, False, False, False, False, True, False), ("我想说", "group", False, False, True, False, False, False, True, False),
+    ("小萨在吗", "group", False, False, False, True, False, False, True, True), ("/我想", "group", False, False, False, False, False, False, True, False), ("", "group", False, False, False, False, False, False, True, False), ("好的", "private", False, False, False, False, False, False, True, False), ("今天的天气很好，", "private", False, False, False, False, True, True, True, False),
+), 6, "held, private_only, everybody, owner_only")
+def hold_matrix() -> dict[str, Column]:
+    held = lambda scope: gates.held_back(_c("t"), _c("kind"), scope, _c("image"), _c("mentioned"), _c("awake"), ["小萨", "Bot"])
+    return {"held": held("both"), "private_only": held("private"), "everybody": gates.term_counts_from(_c("owner"), "all"), "owner_only": gates.term_counts_from(_c("owner"), "owner")}
+
+
+@query(f"""WITH {FACTS} SELECT id, attribute, value::VARCHAR AS value, status, pinned, CASE WHEN status <> 'live' THEN updated_at ELSE 0 END AS valid_to,
+  round(CASE WHEN pinned THEN greatest(base, 1.0) ELSE base * pow(0.5, greatest(0.0, ({AS_OF} - greatest(updated_at, created_at)) / 86400.0::DOUBLE) / (30.0 * least(1.0 + 0.5 * access_count, 3.0))) END, 3) AS weight FROM (SELECT *, CASE WHEN importance > 0 THEN importance ELSE confidence END AS base FROM facts)""")
+def fact_views(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Facts as a panel shows them: with their present weight, and until when they held."""
+    f = event_facts(spark, sf_dir)
+    weight = scores.decay_weight(_c("importance"), _c("confidence"), _c("pinned"), _c("access_count"), F.greatest("updated_at", "created_at"), F.lit(AS_OF))
+    return f.select("id", "attribute", F.col("value").cast("string").alias("value"), "status", "pinned", F.when(_c("status") != "live", _c("updated_at")).otherwise(0).alias("valid_to"), F.round(weight, 3).alias("weight"))
+
+
+@query(f"""WITH {_EPISODES} SELECT id, title, summary, status, CASE WHEN review THEN 'needs_review' ELSE '' END AS review_status, array_to_string(speakers, ',') AS speakers, end_ts - start_ts AS seconds, round(CASE WHEN pinned THEN 1.0 ELSE 0.5 * pow(0.5, greatest(0.0, ({AS_OF} - end_ts) / 86400.0::DOUBLE) / 30.0) END, 3) AS weight FROM episodes""")
+def episode_views(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = event_episodes(spark, sf_dir)
+    weight = scores.decay_weight(_c("importance"), _c("confidence"), _c("pinned"), F.lit(0), _c("end_ts"), F.lit(AS_OF))
+    return e.select("id", "title", "summary", "status", "review_status", F.array_join("event_speakers", ",").alias("speakers"), (_c("end_ts") - _c("start_ts")).alias("seconds"), F.round(weight, 3).alias("weight"))
+
+
+@query(f"""WITH {FACTS}, n AS (SELECT * FROM facts ORDER BY updated_at DESC, id DESC LIMIT 200) SELECT 'by_scope' AS list, id FROM n WHERE status = 'live' AND scope = 'owner'
+  UNION ALL SELECT 'search', id FROM (SELECT id FROM facts WHERE scope = 'owner' AND (contains(attribute, 'sign') OR contains(value::VARCHAR, 'sign')) ORDER BY updated_at DESC, id DESC LIMIT 40)""")
+def panel_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The newest 200 facts, filtered; and a search of the owner's facts."""
+    f = event_facts(spark, sf_dir)
+    order = [F.desc("updated_at"), F.desc("id")]
+    first = f.orderBy(*order).limit(200).where("status = 'live' and scope = 'owner'").select(F.lit("by_scope").alias("list"), "id")
+    own = filters.contains_any(f.where("scope = 'owner'").withColumn("value", F.col("value").cast("string")), "sign", ["attribute", "value"])
+    return first.unionByName(own.orderBy(*order).limit(40).select(F.lit("search").alias("list"), "id"))
+
+
+@query("SELECT strftime(o_orderdate, '%Y-%m-%d') AS day, sum(o_custkey)::BIGINT AS used, CASE WHEN sum(o_custkey) >= 4000 THEN 'daily_token_limit' WHEN sum(o_custkey) >= 2000 THEN 'soft_token_limit' ELSE '' END AS reason FROM orders GROUP BY 1")
+def token_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of each day, and what holds back a call that is not urgent."""
+    used = table(spark, sf_dir, "orders").groupBy(F.date_format("o_orderdate", "yyyy-MM-dd").alias("day")).agg(F.sum("o_custkey").alias("used"))
+    return used.withColumn("reason", gates.budget_reason(_c("used"), F.lit(4000), F.lit(2000), F.lit(False), F.lit(0), F.lit(0), F.lit(False)))
+
+
+@query("SELECT vec_id, list_aggregate(coalesce(CASE WHEN vec_id % 97 <> 0 THEN embedding END, [vec_id::FLOAT, 1.0::FLOAT]), 'count')::INT AS size, vec_id % 97 = 0 AS filled FROM embeddings")
+def vector_backfill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows without a vector get the one that was made for them since; every 97th is emptied here, as the table has none."""
+    e = table(spark, sf_dir, "embeddings").withColumn("embedding", F.when(_c("vec_id") % 97 != 0, _c("embedding")))
+    made = e.where("embedding is null").select("vec_id", F.array(_c("vec_id").cast("float"), F.lit(1.0).cast("float")).alias("vector"))
+    return maintenance.backfilled(e.select("vec_id", "embedding"), made, "vec_id", "embedding", "vector").select("vec_id", F.size("embedding").alias("size"), "filled")
