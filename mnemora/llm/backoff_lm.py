@@ -35,7 +35,9 @@ from .ngram_join import _batch, mixed
 #: Words that a block holds before it is closed; a longer text is a block of its own.
 BLOCK_WORDS = 600_000
 #: Words whose n-grams share a bucket, at most on average: the number of buckets grows with the corpus.
-BUCKET_WORDS = 4_000_000
+BUCKET_WORDS = 2_000_000
+#: Blocks of a task in which texts are scored.
+BLOCKS_EACH = 4
 #: Bytes by which n-grams of a bucket are told apart.
 KEY = 6
 #: Stand for the end of a text and for what lies before its start; no word has these, as words are hashed to odd numbers.
@@ -264,10 +266,12 @@ def score_texts(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col
     spark = docs.sparkSession
     d = docs.select(F.col(id_col).cast("long").alias("row"), F.coalesce(train, F.lit(False)).alias("train"), F.col(text_col).alias("text"))
     blocks = written(d.mapInArrow(_blocks, BLOCKS), "lm-blocks")
-    many = blocks.agg(F.sum(F.octet_length("stream") / 4)).first()[0]
-    k = buckets or max(2 * partitions(spark), int(order * (many or 0)) // BUCKET_WORDS)  # n-grams of a bucket are in memory together
+    n_blocks, words = blocks.agg(F.count("*"), F.sum(F.octet_length("stream") / 4)).first()
+    k = buckets or max(partitions(spark), int(order * (words or 0)) // BUCKET_WORDS)  # n-grams of a bucket are in memory together
+    # as many tasks as buckets, and one for every few blocks: a task's rows are in memory together too
+    by_block = max(partitions(spark), n_blocks // BLOCKS_EACH)
     asked = blocks.mapInArrow(lambda b: _ask(b, order, k), ASKED)
-    answers = written(asked.groupBy("bucket").applyInPandas(_answer, ASKED), "lm-answers")
+    answers = written(asked.repartition(k, "bucket").groupBy("bucket").applyInPandas(_answer, ASKED), "lm-answers")
 
     def totals(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -281,7 +285,8 @@ def score_texts(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col
     n_train, n_distinct = answers.where("block = -1").select("counts").mapInPandas(totals, "n double, v double").agg(F.sum("n"), F.sum("v")).first()
     n_texts = blocks.select("train").mapInPandas(texts, "t double").agg(F.sum("t")).first()[0]
     n_train, n_distinct, n_texts = n_train or 0.0, n_distinct or 0.0, n_texts or 0.0
-    scored = blocks.groupBy("block").cogroup(answers.where("block >= 0").groupBy("block")).applyInPandas(lambda a, b: _traverse(a, b, order, mass, n_train, n_distinct, n_texts, k), SCORED)
+    both = [d.repartition(by_block, "block").groupBy("block") for d in (blocks, answers.where("block >= 0"))]
+    scored = both[0].cogroup(both[1]).applyInPandas(lambda a, b: _traverse(a, b, order, mass, n_train, n_distinct, n_texts, k), SCORED)
     total = np.log10(n_train + 0.5 * (n_distinct + 1))
     own = {"train_tokens": F.lit(int(n_train)).cast("long"), "base_score": F.col("base") - F.col("n_base") * F.lit(float(total))}
     return with_own(scored, own).select(F.col("row").alias(id_col), "n_tokens", "n_known", "train_tokens", "base_score", "score")

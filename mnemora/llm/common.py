@@ -28,9 +28,12 @@ def scratch_dir(spark: SparkSession) -> str:
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
-    """Cuts the lineage of df: writes it as Parquet into the shared folder and reads it back."""
+    """Cuts the lineage of df: writes it as Parquet into the shared folder and reads it back.
+
+    As zstd, since the buffers of snappy lie outside the heap and grow with the largest cells.
+    """
     path = f"{scratch_dir(df.sparkSession)}/mnemora/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
