@@ -19,6 +19,7 @@ import json
 import re
 import uuid
 import zlib
+from array import array
 from collections.abc import Callable, Iterator
 from itertools import accumulate, islice
 
@@ -152,6 +153,11 @@ _LETTERS = _byte_letters()
 PLAIN = re.compile(r"([A-Za-z\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u00FF]+)([.,]*)")
 
 
+def _packed(ids: list[int]) -> bytes:
+    """Ids as 32-bit numbers; an array costs less than numpy's for a few."""
+    return array("I", ids).tobytes()
+
+
 class WordTokenizer:
     """Encodes texts with a tokenizers-library model that never joins across ASCII white space.
 
@@ -170,13 +176,13 @@ class WordTokenizer:
         self.most, self.most_plain, self.longest = most, most_plain, longest
 
     def _chain(self, words: list[str]) -> list[bytes]:
-        return [np.array(e.ids, np.uint32).tobytes() for e in self.whole.encode_batch_fast(words, add_special_tokens=False)]
+        return [_packed(e.ids) for e in self.whole.encode_batch_fast(words, add_special_tokens=False)]
 
     def _plain(self, letters: str) -> bytes:
         found = self.plain.get(letters)
         if found is None:
             name = letters if letters.isascii() else "".join(map(_LETTERS.__getitem__, letters.encode()))
-            found = np.array([t.id for t in self.model.tokenize(name)], np.uint32).tobytes()
+            found = _packed([t.id for t in self.model.tokenize(name)])
             if len(letters) <= self.longest:
                 if len(self.plain) >= self.most_plain:
                     self.plain.clear()
@@ -184,13 +190,18 @@ class WordTokenizer:
         return found
 
     def _learn(self, words: list[bytes]) -> dict[bytes, bytes]:
-        out, rest = {}, []
+        out, rest, plain = {}, [], self.plain.get
         for w in words:
-            if m := PLAIN.fullmatch(w.decode()):
-                tail = m[2] and (self.plain.get(m[2]) or self.plain.setdefault(m[2], self._chain([m[2]])[0]))
-                out[w] = self._plain(m[1].lower()) + (tail or b"")
+            letters = w.rstrip(b".,")
+            if letters.isalpha():  # of bytes: ASCII letters alone, most of all words
+                marks, letters = w[len(letters) :].decode(), letters.lower().decode()
+            elif m := PLAIN.fullmatch(w.decode()):
+                letters, marks = m[1].lower(), m[2]
             else:
                 rest.append(w)
+                continue
+            found = plain(letters) or self._plain(letters)
+            out[w] = found + (plain(marks) or self.plain.setdefault(marks, self._chain([marks])[0])) if marks else found
         out.update(zip(rest, self._chain([w.decode() for w in rest])))
         return out
 
