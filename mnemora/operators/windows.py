@@ -63,24 +63,28 @@ def sessions_by_gap_and_span(rows: DataFrame, keys: Sequence[str], gap: int, spa
     """As sessions_by_gap, and no session lasts longer than `span` from its first row.
 
     Where a session ends depends on where it began, so this is a fold. The gaps alone cut the rows into pieces
-    that do not depend on each other; only pieces longer than the span go through the fold, each on its own.
+    that do not depend on each other; only pieces longer than the span go through the fold: their rows stream by in
+    order, and one time is held.
     """
     pieces = sessions_by_gap(rows, keys, gap, ts, tie).withColumnRenamed("session", "_piece")
     by = [*keys, "_piece"]
     w = Window.partitionBy(*by)
     pieces = pieces.withColumn("_long", F.max(ts).over(w) - F.min(ts).over(w) > span)
 
-    def fold(piece: pd.DataFrame) -> pd.DataFrame:
-        piece = piece.sort_values([ts, tie])
-        part, start, out = 0, None, []
-        for t in piece[ts]:
-            if start is None or t - start > span:
-                part, start = part + 1, t
-            out.append(part)
-        return piece.assign(_part=out)
+    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        part, start = 0, 0
+        for batch in batches:
+            out = []
+            for t, opens in zip(batch[ts], batch["_opens"]):
+                if opens or t - start > span:
+                    part, start = 1 if opens else part + 1, t
+                out.append(part)
+            yield batch.drop(columns="_opens").assign(_part=out)
 
     shape = T.StructType([*pieces.schema.fields, T.StructField("_part", T.LongType())])
-    long = pieces.where("_long").groupBy(*by).applyInPandas(fold, shape)
+    opens = F.row_number().over(w.orderBy(ts, tie)) == 1
+    ordered = pieces.where("_long").withColumn("_opens", opens).repartition(*by).sortWithinPartitions(*by, ts, tie)
+    long = ordered.mapInPandas(fold, shape)
     both = pieces.where("not _long").withColumn("_part", F.lit(1).cast("long")).unionByName(long)
     order = Window.partitionBy(*keys).orderBy("_piece", "_part")
     return both.withColumn("session", F.dense_rank().over(order).cast("long")).drop("_piece", "_part", "_long")
