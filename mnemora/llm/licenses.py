@@ -117,8 +117,9 @@ def scan_licenses(docs: DataFrame, templates: dict[str, list[str]] = TEMPLATES,
     Since a match has a known share of its template's bigrams, it has one at least of any set that leaves out fewer;
     texts without any of these bigrams are passed over, and no match is lost by that.
 
-    A null or empty text, and lines without letters or digits, match nothing; repeated rows each give theirs; a null
-    id stays null; an empty table gives an empty table; other columns are not read.
+    A null or empty text, and lines without letters or digits, match nothing; a very long line is one line, and fits no
+    template; repeated rows each give theirs; a null id stays null; an empty table gives an empty table; other columns
+    are not read. Templates are a list given in code: their bigrams are literals of the plan.
     """
     shapes = template_rows(docs.sparkSession, templates, percent)
     if not shapes:
@@ -157,8 +158,9 @@ def find_passages(docs: DataFrame, templates: dict[str, list[str]] = PASSAGES, p
 
     Runs are compared only from places where enough of the template's bigrams follow within that length, so other
     texts cost one look at each bigram, and no match is lost by that. Texts are scanned in one pass without an exchange.
-    A null or empty text matches nothing; repeated rows each give theirs; a null id stays null; an empty table gives an
-    empty table; other columns are not read.
+    A null or empty text matches nothing; a very long text is scanned whole; repeated rows each give theirs; a null id
+    stays null; an empty table gives an empty table; other columns are not read. Templates are a list given in code:
+    their bigrams are literals of the plan.
     """
     given = [(name, k, text) for name, texts in templates.items() for k, text in enumerate(texts)]
     plain = docs.sparkSession.createDataFrame(given, "license string, template int, _text string").select("license", "template", F.split(normalised(F.col("_text")), " ").alias("_w"))

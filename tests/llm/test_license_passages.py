@@ -81,3 +81,16 @@ def test_the_query_finds_all_that_the_lines_have(spark):
     key = lambda q: {(r.doc_id, r.license, r.template) for r in QUERIES[q](spark, str(DATA)).collect()}
     lines, passages = key("op10_license_scan"), key("op10_license_passages")
     assert lines and lines <= passages
+
+
+def test_whole_licences_are_found(spark):
+    """Wrapped over lines, with a holder and a year, between other words."""
+    from mnemora.llm.licenses import WHOLE
+
+    holder = WHOLE["MIT"][0].replace("Copyright (c).", "Copyright (c) 2021 Somebody Else.")
+    words = f"some code here {holder} and more of it".split()
+    text = "\n".join(" ".join(words[i : i + 9]) for i in range(0, len(words), 9))
+    d = spark.createDataFrame([(1, text), (2, "nothing of the kind in here at all")], "doc_id long, text string")
+    got = find_passages(d).collect()
+    assert {r.doc_id for r in got} == {1} and {r.license for r in got} == {"MIT"}
+    assert max(r.size_template for r in got) > 100 and max(r.dice for r in got if r.size_template > 100) > 0.95
