@@ -45,8 +45,8 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The byte-level BPE ids of every text, with their number, their digest, and that of the bytes they decode to."""
-    return round_trip(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, with_ids=True)
+    """The byte-level BPE ids of every text, as counts and digests, checked by decoding them; encode_frame gives the ids."""
+    return round_trip(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
 STAGES = [("toxicity", drop_toxic), ("near-copies", drop_near_copies), ("mix", mix), ("encode", encode)]

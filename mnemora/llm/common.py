@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 
@@ -37,6 +38,14 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def give_back() -> None:
+    """Returns what a worker has freed to the system: workers live on, and would hold it through later stages."""
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 def with_own(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
     """df with these columns; columns of df with the same names (in any case) give way."""
     mine = {c.lower() for c in columns}

@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import n_words, partitions, restored, sheltered, written
+from .common import give_back, n_words, partitions, restored, sheltered, written
 from .components import connected_components
 
 #: Classes that are compared with one hub in a task.
@@ -40,6 +40,8 @@ BLOCK = 512
 BUNDLE, BUCKET_BYTES = 2_000_000, 64 << 20
 #: Rounds of hubs at most; they end when the pairs left are no more than PAIRS for each prefix shingle.
 ROUNDS, PAIRS = 6, 4
+#: Rows of documents whose shingles are in memory at once.
+ROWS = 2500
 #: Bits of a set's bitmap.
 BITMAP = 512
 _MIX = (0x9E3779B97F4A7C15, np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
@@ -96,7 +98,7 @@ MEMBERS = pa.schema([("id", pa.int64()), ("key", pa.int64()), ("n_shingles", pa.
 
 
 def _read(batches: Iterator[pa.RecordBatch], n: int, buckets: int) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in (b.slice(s, ROWS) for b in batches for s in range(0, b.num_rows, ROWS)):
         ids, known = batch["id"].fill_null(0).to_numpy(), batch["id"].is_valid().to_numpy(zero_copy_only=False)
         keys = batch["key"].to_numpy()
         sets = [shingles(t, n) for t in batch["text"].to_pylist()]
@@ -125,6 +127,7 @@ def _read(batches: Iterator[pa.RecordBatch], n: int, buckets: int) -> Iterator[p
                 at, count = _grouped(owner[s : s + k])
                 rows.append((int(to[s]), 1, *_pack(fp[first][owner[s : s + k][at]], count.astype(np.uint32), tokens[s : s + k]), None))
         yield _batch(rows, PACKED_ARROW)
+    give_back()
 
 
 def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
@@ -242,7 +245,8 @@ def class_links(classes: DataFrame, percent: int, block: int = BLOCK) -> DataFra
     posts = classes.select("fp", "n", "own", "p1").mapInPandas(posted, "token long, fp long, n long, own long")
     shared = posts.groupBy("token").agg(F.count("*").alias("many")).where("many > 1").select("token")
     posts = written(posts.join(shared, "token"), "join-posts")
-    classes = written(classes.join(posts.select("fp").distinct(), "fp", "left_semi"), "join-active")
+    active = written(posts.select("fp").distinct(), "join-active-ids")  # written first, so that Spark knows its size when it plans the join
+    classes = written(classes.join(active, "fp", "left_semi"), "join-active")
     links = parts = None
     for turn in range(ROUNDS):
         label = F.col("fp") if parts is None else F.coalesce("component", "fp")
@@ -301,7 +305,13 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80, id_col: s
     d = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("key"), F.col(text_col).alias("text"))
     packed = d.mapInArrow(lambda b: _read(b, n, k), PACKED)
     counted = packed.groupBy("bucket").applyInPandas(lambda g: _count(g, k), PACKED)
-    both = written(counted.groupBy("bucket").applyInPandas(lambda g: _prefixes(g, percent), CLASSES), "join-classes")
+
+    def cut(g: pd.DataFrame) -> pd.DataFrame:
+        out = _prefixes(g, percent)
+        give_back()
+        return out
+
+    both = written(counted.groupBy("bucket").applyInPandas(cut, CLASSES), "join-classes")
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

@@ -167,7 +167,6 @@ def test_stages_on_odd_rows(spark, tmp_path, name):
     assert stage(spark, given.limit(0), str(tmp_path)).count() == 0
     if name == "encode":
         assert out.count() == len(rows) and {r.n_tokens for r in out.where("doc_id in (900, 901)").collect()} == {0}
-        assert all(len(r.ids) == r.n_tokens for r in out.collect())
         return
     assert out.columns == given.columns and out.dtypes == given.dtypes
     got = out.collect()
