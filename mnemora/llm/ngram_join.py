@@ -269,16 +269,17 @@ def class_links(classes: DataFrame, percent: int, block: int = BLOCK) -> DataFra
             break
         links = found if links is None else links.union(found)
         parts = connected_components(links)
-    # pairs across groups: sizes within the threshold are in the same or the next class of sizes
+    # pairs across groups: of two sizes within the threshold the larger is in the same or the next band of sizes
     unit = max(math.log(100 / percent) * (1 + 1e-9), 1e-3)
     band = F.floor(F.log("n") / F.lit(unit))
-    d = d.join(classes.select("fp", "bits"), "fp").select("token", "fp", "n", "label", "bits", band.alias("band"), F.ceil(F.col("many") / F.lit(block)).cast("int").alias("salts"))
-    a = d.select("token", F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1)).alias("band"), F.pmod(F.xxhash64("fp"), "salts").cast("int").alias("salt"), F.col("fp").alias("hub"), F.col("n").alias("hub_n"), F.col("label").alias("hub_label"), F.col("bits").alias("hub_bits"))
+    bits = written(classes.select("fp", "bits"), "join-bits")  # a slim table, whose size Spark knows
+    d = d.join(bits, "fp").select("token", "fp", "n", "label", "bits", band.alias("band"), F.ceil(F.col("many") / F.lit(block)).cast("int").alias("salts"))
+    a = d.select("token", F.explode(F.array(F.col("band"), F.col("band") + 1)).alias("band"), F.pmod(F.xxhash64("fp"), "salts").cast("int").alias("salt"), F.col("fp").alias("hub"), F.col("n").alias("hub_n"), F.col("label").alias("hub_label"), F.col("bits").alias("hub_bits"))
     b = d.select("token", "band", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), "fp", "n", "label", "bits")
     near = 100 * F.least("n", "hub_n") >= percent * F.greatest("n", "hub_n")
     apart = sum((F.bit_count(F.get("bits", F.lit(i)).bitwiseXOR(F.get("hub_bits", F.lit(i)))) for i in range(BITMAP // 64)), F.lit(0))
     near &= apart * (100 + percent) <= (F.col("n") + F.col("hub_n")) * (100 - percent)  # of shingles that one set alone has
-    pairs = a.join(b, ["token", "band", "salt"]).where((F.col("hub") < F.col("fp")) & (F.col("hub_label") != F.col("label")) & near).select("hub", "fp").distinct()
+    pairs = a.join(b, ["token", "band", "salt"]).where((F.struct("hub_n", "hub") < F.struct(F.col("n").alias("hub_n"), F.col("fp").alias("hub"))) & (F.col("hub_label") != F.col("label")) & near).select("hub", "fp").distinct()
     found = similar(pairs, classes, percent, block)
     if links is None:
         return connected_components(found)
