@@ -41,7 +41,7 @@ BUNDLE, BUCKET_BYTES = 2_000_000, 64 << 20
 #: Rounds of hubs at most; they end when the pairs left are no more than PAIRS for each prefix shingle.
 ROUNDS, PAIRS = 6, 4
 #: Rows of documents whose shingles are in memory at once.
-ROWS = 2500
+ROWS = 10_000
 #: Bits of a set's bitmap.
 BITMAP = 512
 _MIX = (0x9E3779B97F4A7C15, np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
