@@ -11,7 +11,9 @@ from pyspark.sql import functions as F
 from .backoff_lm import score_texts
 from .bpe import round_trip
 from .common import crc_of_id, scratch_dir
+from .decontamination import find_contamination
 from .licenses import TEMPLATES, find_passages, scan_licenses
+from .merkle import folded_root, leaf_digest, merkle_manifest, path_digest
 from .mixing import mix_sources
 from .ngram_join import jaccard_components
 from .permutation_index import permutation_search
@@ -19,6 +21,7 @@ from .pivot_table import exact_search
 from .sharding import histogram_shards
 from .token_files import read_token_files, word_tokenizer, write_token_files
 from .toxicity import score_toxicity, train_classifier
+from .whitening import whiten
 
 
 def _every_20th() -> Column:
@@ -86,13 +89,34 @@ def op10_license_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_passages(_table(spark, sf_dir, "documents"))
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = F.col
+    upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+    changed = F.when(crc_of_id(c("doc_id")) % 3 == 0, leaf_digest(c("doc_id"), c("source"), c("lang"), c("n_chars"), F.translate("text", upper, lower)))
+    found = merkle_manifest(_table(spark, sf_dir, "documents"), carry={"changed": changed})
+    shown = found.select("doc_id", "leaf", "subroot", "root", path_digest(c("path")).alias("proof_sha256"), folded_root(F.coalesce("changed", "leaf"), c("path")).alias("folded_root"))
+    return shown.withColumn("verified", c("folded_root") == c("root"))
+
+
+def op12_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = find_contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), size=10)
+    ids = F.sha2(F.array_join("items", ",").cast("binary"), 256)
+    return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), ids.alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    each = whiten(_table(spark, sf_dir, "embeddings"), components=32).select("*", F.posexplode("whitened").alias("_at", "_z"))
+    component = F.col("_at") + 1
+    return each.select("vec_id", component.alias("component"), "n", F.expr("try_cast(deviation AS BIGINT)").alias("deviation"), F.col("_z").alias("whitened"), F.element_at("explained", component).alias("explained"), "identity_error")
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op1_histogram_shards, op2_permutation_index, op3_ngram_jaccard, op4_backoff_lm, op5_mix_sources, op6_byte_bpe, op7_token_files, op8_toxicity, op9_pivot_table, op10_license_scan, op10_license_passages, pipeline)}
+QUERIES = {f.__name__: f for f in (op1_histogram_shards, op2_permutation_index, op3_ngram_jaccard, op4_backoff_lm, op5_mix_sources, op6_byte_bpe, op7_token_files, op8_toxicity, op9_pivot_table, op10_license_scan, op10_license_passages, op11_merkle_manifest, op12_decontamination, op13_whitening, pipeline)}
 
 _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 #: A-Z alone: DuckDB's lower() changes other letters too.
@@ -122,7 +146,54 @@ met AS (SELECT doc_id, line, license, template, len(list_intersect(sets.g, t.g))
 SELECT doc_id, line::INT AS line, license, template, common::INT AS common, a::INT AS size_line, b::INT AS size_template, 2.0 * common / (a + b)::DOUBLE AS dice FROM met WHERE 200 * common >= 80 * (a + b)"""
 
 
+def _merkle_sql() -> str:
+    text = lambda c: f"CASE WHEN {c} IS NULL THEN '-' ELSE strlen({c}::VARCHAR) || ':' || {c}::VARCHAR END"
+    leaf = lambda t: "sha256(" + " || ".join(map(text, ("doc_id", "source", "lang", "n_chars"))) + f" || {text(t)})"
+    # a forest, level by level: hash of the nodes of each run, until one is left
+    up = lambda name, start: f"""{name} AS (
+  SELECT tree, 0 AS level, idx, h, n FROM {start}
+  UNION ALL
+  SELECT tree, level + 1, idx // 8, sha256(string_agg(h, '' ORDER BY idx)), (max(n) + 7) // 8 FROM {name} WHERE n > 1 GROUP BY tree, level, idx // 8)"""
+    # of each node of a level: its run's nodes to the left and to the right
+    sides = lambda name, out: f"""{out} AS (
+  SELECT a.tree, a.level, a.idx, coalesce(string_agg(b.h, '' ORDER BY b.idx) FILTER (WHERE b.idx < a.idx), '') AS l, coalesce(string_agg(b.h, '' ORDER BY b.idx) FILTER (WHERE b.idx > a.idx), '') AS r
+  FROM {name} a JOIN {name} b ON a.tree = b.tree AND a.level = b.level AND a.idx // 8 = b.idx // 8 WHERE a.n > 1 GROUP BY ALL)"""
+    return f"""WITH RECURSIVE {_CRC},
+rows_ AS (SELECT *, row_number() OVER () AS row_id, coalesce('=' || lang, '') AS tree, {leaf("text")} AS leaf, CASE WHEN crc % 3 = 0 THEN {leaf("low")} ELSE {leaf("text")} END AS shown
+  FROM (SELECT *, {_LOWER_AZ.format("text")} AS low FROM documents LEFT JOIN crc USING (doc_id))),
+leaves AS (SELECT row_id, doc_id, tree, leaf AS h, shown, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, leaf) - 1 AS idx, count(*) OVER (PARTITION BY tree) AS n FROM rows_),
+{up("t", "leaves")}, {sides("t", "s")},
+subroots AS (SELECT '' AS tree, tree AS name, h, row_number() OVER (ORDER BY tree) - 1 AS idx, count(*) OVER () AS n FROM t WHERE n = 1),
+{up("u", "subroots")}, {sides("u", "v")},
+top AS (SELECT h AS root FROM u WHERE n = 1),
+steps AS (
+  SELECT row_id, level, l, r FROM leaves x JOIN s ON s.tree = x.tree AND s.idx = x.idx // (8 ** level)::BIGINT
+  UNION ALL
+  SELECT row_id, 1000 + level, l, r FROM leaves x JOIN subroots y ON y.name = x.tree JOIN v ON v.idx = y.idx // (8 ** level)::BIGINT),
+paths AS (SELECT row_id, string_agg(l || r, '' ORDER BY level) AS proof, list(l || '|' || r ORDER BY level) AS p FROM steps GROUP BY row_id)
+SELECT doc_id, leaf, subroot, root, proof_sha256, folded_root, folded_root = root AS verified FROM (
+  SELECT x.doc_id, x.h AS leaf, y.h AS subroot, root, sha256(coalesce(proof, '')) AS proof_sha256,
+    list_reduce(list_prepend(shown, coalesce(p, [])), lambda a, b: sha256(split_part(b, '|', 1) || a || split_part(b, '|', 2))) AS folded_root
+  FROM leaves x JOIN subroots y ON y.name = x.tree LEFT JOIN paths USING (row_id), top)"""
+
+
+def _decontamination_sql() -> str:
+    words = lambda t: f"regexp_extract_all({_LOWER_AZ.format(f"coalesce({t}, '')")}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+    return f"""WITH items AS (SELECT item_id, {words("text")} AS w FROM benchmark),
+windows AS (SELECT DISTINCT item_id, size, array_to_string(w[i:i + size - 1], ' ') AS x FROM (
+  SELECT item_id, w, least(len(w), 10) AS size, unnest(range(1, greatest(len(w) - 9, 1) + 1)) AS i FROM items WHERE len(w) > 0)),
+docs AS (SELECT row_number() OVER () AS row_id, doc_id, {words("text")} AS w FROM documents),
+places AS (SELECT row_id, size, unnest(range(1, len(w) - size + 2)) AS i, w FROM docs, (SELECT DISTINCT size FROM windows) WHERE len(w) >= size),
+found AS (SELECT row_id, i, windows.size AS size, item_id FROM places JOIN windows ON places.size = windows.size AND array_to_string(w[i:i + places.size - 1], ' ') = x),
+hits AS (SELECT row_id, count(DISTINCT k) AS n_hit FROM (SELECT row_id, unnest(range(i, i + size)) AS k FROM found) GROUP BY row_id),
+named AS (SELECT row_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS ids FROM (SELECT DISTINCT row_id, item_id::VARCHAR AS item FROM found WHERE item_id IS NOT NULL) GROUP BY row_id)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(ids, '')) AS items_sha256, n_hit IS NOT NULL AS contaminated
+FROM docs LEFT JOIN hits USING (row_id) LEFT JOIN named USING (row_id)"""
+
+
 ORACLE = {
+    "op11_merkle_manifest": _merkle_sql(),
+    "op12_decontamination": _decontamination_sql(),
     "op9_pivot_table": """WITH q AS (
   SELECT DISTINCT vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)) AS v FROM embeddings
   WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0)

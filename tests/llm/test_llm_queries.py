@@ -19,7 +19,7 @@ pytestmark = pytest.mark.skipif(not DATA.exists(), reason="no test data")
 
 def duck(sql):
     c = duckdb.connect()
-    for t in ("documents", "embeddings"):
+    for t in ("documents", "embeddings", "benchmark"):
         c.execute(f"create view {t} as select * from read_parquet('{DATA}/{t}.parquet')")
     cur = c.execute(sql)
     return [d[0] for d in cur.description], cur.fetchall()
