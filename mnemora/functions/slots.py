@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import DOMAIN_CUES, TOPIC_PARTICLES, detect_domain, normalize_slot, text_or_empty
+from .text import TOPIC_PARTICLES, detect_domain, let, normalize_domain, normalize_slot, text_or_empty
 
 # The names by which attributes and subjects go.
 ATTRIBUTES = {
@@ -28,14 +28,17 @@ KINDS = {"likes": "preference", "dislikes": "preference", "name": "identity", "i
 
 def canonical_attribute(raw: Column) -> Column:
     """The usual name: of the whole, of the whole without - and _, of the first alias within it or around it; else itself."""
-    text = F.trim(text_or_empty(raw))
     aliases = [(a, name) for name, found in ATTRIBUTES.items() for a in found]
     known = F.create_map(*[F.lit(x) for kv in aliases for x in kv])
-    part = F.filter(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(n).alias("n")) for a, n in aliases]), lambda x: F.contains(text, x["a"]) | F.contains(x["a"], text))
-    key = normalize_slot(text)
-    compact = normalize_slot(F.translate(text, "_-", ""))
-    found = F.coalesce(F.try_element_at(known, key), F.try_element_at(known, compact), F.get(part, F.lit(0))["n"], F.nullif(key, F.lit("")), F.lit("note"))
-    return F.when(text == "", "note").otherwise(found)
+    named = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(n).alias("n")) for a, n in aliases])
+
+    def find(text: Column) -> Column:
+        part = F.filter(named, lambda x: F.contains(text, x["a"]) | F.contains(x["a"], text))
+        compact = normalize_slot(F.translate(text, "_-", ""))
+        found = let(normalize_slot(text), lambda key: F.coalesce(F.try_element_at(known, key), F.try_element_at(known, compact), F.get(part, F.lit(0))["n"], F.nullif(key, F.lit("")), F.lit("note")))
+        return F.when(text == "", "note").otherwise(found)
+
+    return let(F.trim(text_or_empty(raw)), find)
 
 
 def applied(attribute: Column, value: Column, content: Column, plain: Column, topic: Column, subject: Column, speaker: Column, name: Column) -> Column:
@@ -44,19 +47,21 @@ def applied(attribute: Column, value: Column, content: Column, plain: Column, to
     What is not liked is a like of its opposite: 不 before the thing, which is found after the verb and loses final
     particles. Likes and dislikes have a domain: the one given, else that of the claim's own words.
     """
-    attr, said, v = canonical_attribute(attribute), text_or_empty(content), text_or_empty(value)
+    said, v = text_or_empty(content), text_or_empty(value)
     near = F.rlike(said, F.concat(F.lit(f"{NOT_LIKED}[^，。！!？?]{{0,6}}\\Q"), v, F.lit("\\E")))
-    negated = v.rlike(NEGATED) | (attr.isin("dislikes", "note") & said.rlike(NEGATED)) | ((attr == "likes") & (v != "") & ~v.startswith("不") & near)
-    fold = negated & attr.isin("likes", "dislikes", "note")
     whole = F.when(v != "", v).otherwise(said)
     thing = F.regexp_replace(F.coalesce(F.nullif(F.trim(F.regexp_extract(whole, LIKED_THING, 1)), F.lit("")), whole), f"[{TOPIC_PARTICLES}]+$", "")
-    opposite = F.when(thing == "", v).when(thing.startswith("不"), thing).otherwise(F.concat(F.lit("不"), thing))
-    name_of = F.when(fold, "likes").otherwise(attr)
-    own = F.when(fold, opposite).otherwise(v)
-    given = F.trim(text_or_empty(topic))
+    opposite = let(thing, lambda t: F.when(t == "", v).when(t.startswith("不"), t).otherwise(F.concat(F.lit("不"), t)))
     clue = F.when(F.trim(text_or_empty(plain)) != "", F.trim(plain)).otherwise(said)
-    domain = F.when(given.isin(*DOMAIN_CUES), given).otherwise(detect_domain(clue, v))
-    return F.struct(name_of.alias("attribute"), own.alias("value"), canonical_subject(subject, speaker, name).alias("subject"), fact_kind(name_of).alias("kind"), F.when(name_of.isin("likes", "dislikes"), domain).otherwise("").alias("topic"))
+    domain = let(normalize_domain(topic), lambda given: F.when(given != "", given).otherwise(detect_domain(clue, v)))
+
+    def slot(attr: Column) -> Column:
+        negated = v.rlike(NEGATED) | (attr.isin("dislikes", "note") & said.rlike(NEGATED)) | ((attr == "likes") & (v != "") & ~v.startswith("不") & near)
+        fold = negated & attr.isin("likes", "dislikes", "note")
+        return F.struct(F.when(fold, "likes").otherwise(attr).alias("attribute"), F.when(fold, opposite).otherwise(v).alias("value"))
+
+    own = lambda s: F.struct(s["attribute"].alias("attribute"), s["value"].alias("value"), canonical_subject(subject, speaker, name).alias("subject"), fact_kind(s["attribute"]).alias("kind"), F.when(s["attribute"].isin("likes", "dislikes"), domain).otherwise("").alias("topic"))
+    return let(let(canonical_attribute(attribute), slot), own)
 
 
 def canonical_subject(raw: Column, speaker: Column, name: Column) -> Column:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column
@@ -20,6 +21,13 @@ DOMAIN_CUES = {
     "娱乐": ("玩", "游戏", "电影", "剧", "歌", "音乐", "小说", "动漫", "综艺"),
     "运动": ("运动", "跑步", "健身", "游泳", "骑行", "篮球", "足球", "网球", "羽毛球", "乒乓球", "排球", "滑板", "滑雪"),
 }
+DOMAIN_ALIASES = {
+    "饮品": ("饮料", "喝的", "饮品", "咖啡", "茶"),
+    "食物": ("吃的", "食物", "美食"),
+    "穿搭": ("服饰", "衣着", "服装", "穿衣", "穿搭", "风格"),
+    "娱乐": ("玩的", "游戏", "娱乐"),
+    "运动": ("体育", "运动", "健身"),
+}
 CJK = "一-鿿"
 #: Scripts that count one token a character.
 WIDE = "぀-ヿ一-鿿가-힯"
@@ -30,6 +38,11 @@ def text_or_empty(c: Column) -> Column:
     return F.coalesce(c, F.lit(""))
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with the value computed once however often it is named."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def normalize_slot(c: Column) -> Column:
     """Trimmed and lower-cased, without white space, sentence marks and quotes."""
     return F.regexp_replace(F.lower(F.trim(text_or_empty(c))), SLOT_NOISE, "")
@@ -101,10 +114,17 @@ def window_label(window: Column) -> Column:
 def detect_domain(content: Column, value: Column) -> Column:
     """The domain with the most cues in the text; none where two lead."""
     blob = F.trim(F.concat(normalize_slot(content), F.lit(" "), normalize_slot(value)))
-    votes = F.array(*[F.struct(sum((F.contains(blob, F.lit(c)).cast("int") for c in cues), F.lit(0)).alias("n"), F.lit(name).alias("name")) for name, cues in DOMAIN_CUES.items()])
-    top = F.array_max(F.transform(votes, lambda v: v["n"]))
-    leaders = F.filter(votes, lambda v: v["n"] == top)
-    return F.when((top > 0) & (F.size(leaders) == 1), leaders[0]["name"]).otherwise("")
+    votes = lambda text: F.array(*[F.struct(sum((F.contains(text, F.lit(c)).cast("int") for c in cues), F.lit(0)).alias("n"), F.lit(name).alias("name")) for name, cues in DOMAIN_CUES.items()])
+    leader = lambda v, top: let(F.filter(v, lambda x: x["n"] == top), lambda first: F.when((top > 0) & (F.size(first) == 1), first[0]["name"]).otherwise(""))
+    return let(blob, lambda text: let(votes(text), lambda v: let(F.array_max(F.transform(v, lambda x: x["n"])), lambda top: leader(v, top))))
+
+
+def normalize_domain(raw: Column) -> Column:
+    """The domain whose names a text has; none where it has those of several."""
+    text = normalize_slot(raw)
+    named = F.array(*[F.when(text.rlike("|".join(names)), F.lit(domain)) for domain, names in DOMAIN_ALIASES.items()])
+    known = F.filter(named, lambda x: x.isNotNull())
+    return F.when(F.size(known) == 1, known[0]).otherwise("")
 
 
 def values_conflict(old: Column, new: Column) -> Column:
