@@ -73,10 +73,14 @@ def _matched() -> Column:
     return matching.names(F.col("query"), F.array("value", "content"))
 
 
-def ranked_facts(requests: DataFrame, facts: DataFrame, as_of: int, top: int = 16, importance: float = 0.0) -> DataFrame:
+def ranked_facts(requests: DataFrame, facts: DataFrame, as_of: int, top: int = 16, importance: float = 0.0, vectors: DataFrame | None = None, vectors_from: int = 0) -> DataFrame:
     """The ranked candidates of every request: rank by the local score, `score` by the fused one, and `matched`.
 
     A greeting (route low_info) gets nothing, unless a fact that it may see is named in it: then it is a recall.
+
+    vectors (id, vector): those of facts; requests then have a `vector` of their query, or null. What a request may see is
+    also ranked by cosine, where it sees `vectors_from` facts or more, and the heads of both lists are fused: `rank` is by
+    the sum of reciprocal ranks, ties as the local score has them. Facts meet their vectors by id after they are cut.
     """
     met = judged(candidates(requests, facts), as_of).withColumn("matched", _matched())
     named = F.max((F.col("matched") & (F.col("reason") == "visible")).cast("int")).over(Window.partitionBy("request_id"))
@@ -89,9 +93,30 @@ def ranked_facts(requests: DataFrame, facts: DataFrame, as_of: int, top: int = 1
     rec = scores.recency(now, F.col("updated_at"))
     weight = scores.decay_weight(F.col("importance"), F.col("confidence"), F.col("pinned"), F.col("access_count"), F.greatest("updated_at", "created_at"), now)
     local = scores.local_score(F.col("words"), rec, F.col("confidence"), own, F.col("matched"), F.col("scope") == "owner", weight, F.col("pinned"), stale, importance)
-    d = d.withColumn("local", F.round(local, 9)).withColumn("rank", F.row_number().over(Window.partitionBy("request_id").orderBy(F.desc("local"), "id"))).where(F.col("rank") <= max(2 * top, 12))
-    fused = scores.fused_score(1.0 / (RRF + F.col("rank")), F.col("words"), F.lit(0.0), rec, F.col("pinned"), own, F.col("matched"), stale)
-    return d.withColumn("score", F.round(fused, 9))
+    most, by = max(2 * top, 12), Window.partitionBy("request_id")
+    d = d.withColumn("local", F.round(local, 9)).withColumn("rank", F.row_number().over(by.orderBy(F.desc("local"), "id")))
+    if vectors is None:
+        d = d.where(F.col("rank") <= most).withColumns({"_rrf": 1.0 / (RRF + F.col("rank")), "cosine": F.lit(0.0)})
+    else:
+        d = _with_vectors(d, vectors, vectors_from, most)
+    fused = scores.fused_score(F.col("_rrf"), F.col("words"), F.col("cosine"), rec, F.col("pinned"), own, F.col("matched"), stale)
+    return d.withColumn("score", F.round(fused, 9)).drop("_rrf")
+
+
+def _with_vectors(d: DataFrame, vectors: DataFrame, least: int, most: int) -> DataFrame:
+    """The `most` best of each request by the sum of reciprocal ranks in the heads of the local list and of that by cosine."""
+    by = Window.partitionBy("request_id")
+    d = d.join(vectors.select("id", F.col("vector").alias("_fact")), "id", "left").withColumn("_seen", F.count("*").over(by))
+    asked = F.when((F.col("_seen") >= least) & F.col("vector").isNotNull() & F.col("_fact").isNotNull(), F.round(scores.cosine(F.col("vector"), F.col("_fact")), 9))
+    d = d.withColumn("_near", asked).drop("_fact", "_seen")
+    near = F.row_number().over(by.orderBy(F.desc_nulls_last("_near"), "id"))
+    d = d.withColumn("_second", F.when(F.col("_near").isNotNull(), near))
+    head = lambda c: F.when(F.col(c) <= most, F.col(c))
+    d = d.withColumns({"rank": head("rank"), "_second": head("_second")}).where("rank is not null or _second is not null")
+    part = lambda c: F.coalesce(1.0 / (RRF + F.col(c)), F.lit(0.0))
+    d = d.withColumns({"_rrf": F.round(part("rank") + part("_second"), 12), "cosine": F.coalesce("_near", F.lit(0.0))})
+    fused = F.row_number().over(by.orderBy(F.desc("_rrf"), F.coalesce(F.col("rank"), most + F.col("_second"))))
+    return d.withColumn("rank", fused).where(F.col("rank") <= most).drop("_near", "_second")
 
 
 def chosen(ranked: DataFrame, top: int = 16, balance: float = 0.7) -> DataFrame:
@@ -126,14 +151,14 @@ def chosen(ranked: DataFrame, top: int = 16, balance: float = 0.7) -> DataFrame:
     return d.groupBy("request_id").applyInPandas(pick, f"request_id {dict(ranked.dtypes)['request_id']}, id {dict(ranked.dtypes)['id']}, place int")
 
 
-def bundles(requests: DataFrame, facts: DataFrame, as_of: int, top: int = 16, core: int = 4, related: int = 6, uncertain: int = 3, injected: DataFrame | None = None) -> DataFrame:
+def bundles(requests: DataFrame, facts: DataFrame, as_of: int, top: int = 16, core: int = 4, related: int = 6, uncertain: int = 3, injected: DataFrame | None = None, vectors: DataFrame | None = None, vectors_from: int = 0) -> DataFrame:
     """What each request gets: (request_id, route, bucket, position, id, content, ...), the whole read path.
 
     route, candidates, visibility, ranks, diversity, then novelty (what the query says already, and what `injected`
     (request_id, id) had lately unless named, goes; pinned facts stay), then buckets: unsure facts apart; named ones,
     and sure ones of the asker, the owner or pinned about lasting things, are core up to `core`; the rest are related.
     """
-    ranked = ranked_facts(requests, facts, as_of, top)
+    ranked = ranked_facts(requests, facts, as_of, top, vectors=vectors, vectors_from=vectors_from)
     d = ranked.join(chosen(ranked, top), ["request_id", "id"])
     if injected is not None:
         d = d.join(injected.select("request_id", "id", F.lit(True).alias("_lately")), ["request_id", "id"], "left")

@@ -1,4 +1,4 @@
-"""Queries over messages that the events make: the reply gate with its pauses and daily limits, as a batch and as a stream."""
+"""Queries over turns that the events make: the reply gate with its pauses, and what a window was shown lately; batch and stream."""
 
 from __future__ import annotations
 
@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mnemora.functions import gates, timeparse
-from mnemora.operators import replies
+from mnemora.operators import memory, replies
 from mnemora.sources.tables import EPOCH_SQL, table
 from mnemora.streaming import decisions, jobs
 
@@ -59,3 +59,43 @@ def reply_gate_state(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stream_reply_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     _stateful(spark)
     return jobs.drained(decisions.replies(event_messages(jobs.events(spark, sf_dir)), "window_tag", **PAUSES), "append")
+
+
+_SHOWN_FOR, _PLACES = 6 * 3600, {"core": 2, "related": 1, "uncertain": 1}
+
+
+def event_turns(rows: DataFrame) -> DataFrame:
+    """Events as turns of ten windows for each type, with five facts of fifty each, spliced by the event's number."""
+    i, j = F.col("event_id"), F.col("_j")
+    d = rows.withColumn("_j", F.explode(F.array(*map(F.lit, range(5))))).withColumn("fact_id", (i * 7 + j * 13) % 50)
+    tag = F.concat("event_type", F.lit(":"), (F.col("user_id") % 10).cast("string"))
+    return d.select(tag.alias("window_tag"), i.alias("turn_id"), F.expr(EPOCH_SQL).alias("ts"), j.alias("place"), "fact_id", _pick(("core", "core", "related", "uncertain"), F.col("fact_id")).alias("kind"), (F.col("fact_id") % 11 == 0).alias("always"))
+
+
+SHOWN_SQL = f"""WITH RECURSIVE c AS (
+  SELECT event_type || ':' || user_id % 10 AS w, event_id AS id, epoch_us(ts) // 1000000 AS ts, j, (event_id * 7 + j * 13) % 50 AS f FROM events, (SELECT unnest(range(5)) AS j)),
+turns AS (
+  SELECT w, id, ts, row_number() OVER (PARTITION BY w ORDER BY ts, id) AS k, c FROM (
+    SELECT w, id, ts, list({{'f': f, 'kind': ['core', 'core', 'related', 'uncertain'][f % 4 + 1], 'always': f % 11 = 0}} ORDER BY j) AS c FROM c GROUP BY w, id, ts)),
+run AS (
+  SELECT DISTINCT w, 0::BIGINT AS k, []::STRUCT(f BIGINT, ts BIGINT)[] AS s, NULL::BIGINT AS id, NULL::BIGINT AS ts, []::BIGINT[] AS a, []::BIGINT[] AS b, []::BIGINT[] AS u FROM turns
+  UNION ALL
+  SELECT w, k, list_concat(list_filter(s, lambda x: NOT list_contains(a || b || u, x.f)), list_transform(a || b || u, lambda x: {{'f': x, 'ts': ts}})), id, ts, a, b, u FROM (
+    SELECT *, core[1:2] AS a, list_transform(list_filter(ok, lambda x: x.kind = 'related' OR list_contains(core[3:], x.f)), lambda x: x.f)[1:1] AS b, list_transform(list_filter(ok, lambda x: x.kind = 'uncertain'), lambda x: x.f)[1:1] AS u FROM (
+      SELECT *, list_transform(list_filter(ok, lambda x: x.kind = 'core'), lambda x: x.f) AS core FROM (
+        SELECT *, list_filter(c, lambda x: x.always OR NOT list_contains(list_transform(s, lambda z: z.f), x.f)) AS ok FROM (
+          SELECT t.w, t.k, t.id, t.ts, t.c, list_filter(r.s, lambda x: x.ts >= t.ts - {_SHOWN_FOR}) AS s FROM run r JOIN turns t ON t.w = r.w AND t.k = r.k + 1)))))
+SELECT w AS window_tag, id AS turn_id, ts, bucket, position::INT AS position, fact_id FROM (
+  SELECT w, id, ts, 'core' AS bucket, generate_subscripts(a, 1) AS position, unnest(a) AS fact_id FROM run UNION ALL SELECT w, id, ts, 'related', generate_subscripts(b, 1), unnest(b) FROM run UNION ALL SELECT w, id, ts, 'uncertain', generate_subscripts(u, 1), unnest(u) FROM run)"""
+
+
+@query(SHOWN_SQL)
+def injected_memory(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each turn shows, without what its window was shown in the last hours."""
+    return memory.remembered(event_turns(table(spark, sf_dir, "events")), _SHOWN_FOR, _PLACES)
+
+
+@query(SHOWN_SQL)
+def stream_injected_memory(spark: SparkSession, sf_dir: str) -> DataFrame:
+    _stateful(spark)
+    return jobs.drained(decisions.remembered(event_turns(jobs.events(spark, sf_dir)), _SHOWN_FOR, _PLACES), "append")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from mnemora.functions import matching, render, timeparse, visibility
 from mnemora.operators import requests
-from mnemora.sources.tables import event_episodes, event_timeline, memory_facts
+from mnemora.sources.tables import event_episodes, event_timeline, memory_facts, table
 
 from .catalogue import AS_OF, EV, FACTS, TOKENS, query
 
@@ -83,6 +83,32 @@ def retrieve_ranks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("request_id", "id", "route", "rank", "matched", F.round("score", 6).alias("score"))
 
 
+#: Facts of which this many are seen are also ranked by their vectors.
+_VECTORS_FROM = 20
+
+
+def _with_vector(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """The requests with vectors, but the third, and vectors of facts, those whose number 7 divides excepted."""
+    e = table(spark, sf_dir, "embeddings")
+    asks = asked(spark).join(e.where("vec_id <> 3").select(F.col("vec_id").cast("int").alias("request_id"), F.col("embedding").alias("vector")), "request_id", "left")
+    facts = memory_facts(spark, sf_dir).where("id % 7 > 0").select("id", (F.col("id") % 400).alias("vec_id"))
+    return asks, facts.join(e, "vec_id").select("id", F.col("embedding").alias("vector"))
+
+
+@query(f"""WITH {_RANKED.replace("QUALIFY rank <= 32", "")}, cs AS (SELECT rk.*, count(*) OVER (PARTITION BY request_id) >= {_VECTORS_FROM} AND rk.id % 7 > 0 AS has, round(list_cosine_similarity(q.embedding::DOUBLE[], f.embedding::DOUBLE[]), 9) AS cs
+    FROM rk LEFT JOIN embeddings q ON q.vec_id = request_id AND request_id <> 3 LEFT JOIN embeddings f ON f.vec_id = rk.id % 400),
+  both_ AS (SELECT * REPLACE (CASE WHEN has THEN cs END AS cs), row_number() OVER (PARTITION BY request_id ORDER BY CASE WHEN has THEN cs END DESC NULLS LAST, id) AS near FROM cs),
+  heads AS (SELECT * REPLACE (CASE WHEN rank <= 32 THEN rank END AS rank, CASE WHEN cs IS NOT NULL AND near <= 32 THEN near END AS near) FROM both_),
+  fused AS (SELECT *, round(coalesce(1.0::DOUBLE / (60 + rank), 0.0) + coalesce(1.0::DOUBLE / (60 + near), 0.0), 12) AS rrf FROM heads WHERE rank IS NOT NULL OR near IS NOT NULL),
+  placed AS (SELECT * REPLACE ((row_number() OVER (PARTITION BY request_id ORDER BY rrf DESC, coalesce(rank, 32 + near)))::INT AS rank) FROM fused)
+  SELECT request_id, id, rank, matched, round(coalesce(cs, 0.0), 6) AS cosine, round(rrf + 0.15 * w + 0.1 * coalesce(cs, 0.0) + 0.05 * rec + 0.05 * pinned::INT + 0.08 * mine::INT + 2.0 * matched::INT - 0.1 * stale::INT, 6) AS score FROM placed WHERE rank <= 32""")
+def retrieve_ranks_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hybrid retrieval: words and vectors, fused."""
+    asks, vectors = _with_vector(spark, sf_dir)
+    d = requests.ranked_facts(asks, memory_facts(spark, sf_dir), AS_OF, vectors=vectors, vectors_from=_VECTORS_FROM)
+    return d.select("request_id", "id", "rank", "matched", F.round("cosine", 6).alias("cosine"), F.round("score", 6).alias("score"))
+
+
 @query(None)
 def retrieve_bundle(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The whole read path; tests hold it against a plain fold over the ranks of retrieve_ranks."""

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from mnemora.operators.ingest import LOG, Slots, logged
+from mnemora.operators.memory import PLACES, SHOWN, Shown, shown_rows, turns_of
 from mnemora.operators.replies import OUT, Gate
 
 
@@ -74,3 +75,46 @@ def replies(messages: DataFrame, key: str, cooldown: int = 90, min_interval: int
     """operators.replies.gated_replies over a stream."""
     d = messages.select(F.col(key).cast("string").alias("key"), "id", "ts", F.coalesce("rule", F.lit("")).alias("rule"), F.coalesce("fires", F.lit(False)).alias("fires"), "reason")
     return d.groupBy("key").transformWithStateInPandas(Replies(cooldown, min_interval, daily, offset), OUT, "Append", "None")
+
+
+class Remembered(StatefulProcessor):
+    """When each fact was shown last in a window, as a map; what no longer counts is removed as turns come, and all of it by a
+    timer when none come for as long as anything counts."""
+
+    def __init__(self, window: int, places: dict[str, int]):
+        self.window, self.places = window, places
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.last = handle.getMapState("last", "fact_id long", "ts long")
+
+    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
+        before = {k[0]: v[0] for k, v in self.last.iterator()} if self.last.exists() else {}
+        held = Shown(self.window, self.places)
+        for fact, ts in sorted(before.items(), key=lambda x: x[1]):
+            held.put(fact, ts)
+        batch = pd.concat(list(rows)).sort_values(["ts", "turn_id", "place"])
+        out = [(w, turn, ts, *x) for (w, ts, turn), found in turns_of(batch) for x in held.turn(ts, found)]
+        for fact in before.keys() - held.last.keys():
+            self.last.removeKey((fact,))
+        for fact, ts in held.last.items():
+            if before.get(fact) != ts:
+                self.last.updateValue((fact,), (ts,))
+        for t in self.handle.listTimers():
+            self.handle.deleteTimer(t)
+        if held.last:
+            self.handle.registerTimer((max(held.last.values()) + self.window) * 1000 + 1)
+        yield shown_rows(out)
+
+    def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:
+        self.last.clear()
+        yield shown_rows([])
+
+    def close(self) -> None:
+        pass
+
+
+def remembered(turns: DataFrame, window: int = 600, places: dict[str, int] | None = None, late: str = "0 seconds") -> DataFrame:
+    """operators.memory.remembered over a stream; turns that come later than `late` are left out, as time has passed them."""
+    d = turns.withColumn("_at", F.timestamp_seconds("ts")).withWatermark("_at", late)
+    return d.groupBy("window_tag").transformWithStateInPandas(Remembered(window, PLACES | (places or {})), SHOWN, "Append", "EventTime")
