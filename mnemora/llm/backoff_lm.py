@@ -118,10 +118,9 @@ def _ask(batches: Iterator[pa.RecordBatch], order: int, buckets: int) -> Iterato
                 to = (mixed(keys) % np.uint64(buckets)).astype(np.int64)
                 o = np.argsort(to, kind="stable")
                 keys, all_, to = keys[o], all_[o], to[o]
-                for k in range(buckets):
-                    lo, hi = np.searchsorted(to, (k, k + 1))
-                    if hi > lo:
-                        rows.append((k, r["block"], n, _short(keys[lo:hi]), all_[lo:hi].tobytes()))
+                starts = np.flatnonzero(np.r_[True, to[1:] != to[:-1]])  # of the buckets that occur
+                for lo, hi in zip(starts, np.r_[starts[1:], len(to)]):
+                    rows.append((int(to[lo]), r["block"], n, _short(keys[lo:hi]), all_[lo:hi].tobytes()))
                 yield _batch(rows, schema)
 
 
@@ -140,15 +139,20 @@ def _parts(r: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def _answer(asked: pd.DataFrame) -> pd.DataFrame:
-    """Sums the counts of every n-gram of a bucket over all blocks; answers each question in its own order."""
+    """Sums the counts of every n-gram of a bucket over all blocks; answers each question in its own order.
+
+    Answers have 32 bits each, or 64 where one of them needs more: the size is then negative.
+    """
     out = []
     for n, part in asked.groupby("size"):
         keys, counts = [_long(x) for x in part["keys"]], [np.frombuffer(x, np.uint32) for x in part["counts"]]
         value, index = np.unique(np.concatenate(keys), return_inverse=True)
         total = np.bincount(index, np.concatenate(counts), len(value))
-        answer, at = total.astype(np.uint32)[index], 0
+        answer, at = total.astype(np.uint64)[index], 0
         for block, k, i in zip(part["block"], keys, part.index):
-            out.append((asked.at[i, "bucket"], block, n, None, answer[at : at + len(k)].tobytes()))
+            mine = answer[at : at + len(k)]
+            wide = len(mine) > 0 and int(mine.max()) >= 2**32
+            out.append((asked.at[i, "bucket"], block, -n if wide else n, None, (mine if wide else mine.astype(np.uint32)).tobytes()))
             at += len(k)
         known = value[total > 0]
         if n == 1:  # training tokens and distinct words of this bucket
@@ -223,6 +227,11 @@ def build_automaton(words: np.ndarray, stream: np.ndarray, length: np.ndarray, c
     return Automaton(order - 1, whole(depth), whole(failure), real(cost), real([weight]), whole([after]), wanted)
 
 
+def answered(part: pd.DataFrame) -> np.ndarray:
+    """The counts of rows of `_answer`, one after the other."""
+    return np.concatenate([np.frombuffer(x, np.uint64 if n < 0 else np.uint32).astype(np.uint64) for x, n in zip(part["counts"], part["size"])] or [np.empty(0, np.uint64)])
+
+
 def _traverse(rows: pd.DataFrame, answers: pd.DataFrame, order: int, mass: float, n_train: float, n_words: float, n_texts: float, buckets: int) -> pd.DataFrame:
     parts = []
     for r in rows.to_dict("records"):
@@ -231,9 +240,9 @@ def _traverse(rows: pd.DataFrame, answers: pd.DataFrame, order: int, mass: float
         mine = answers[answers["block"] == r["block"]]
 
         def counted(n: int, keys: np.ndarray) -> np.ndarray:
-            out = np.zeros(len(keys), np.uint32)
+            out = np.zeros(len(keys), np.uint64)
             o = np.argsort((mixed(keys) % np.uint64(buckets)).astype(np.int64), kind="stable")
-            out[o] = np.frombuffer(b"".join(mine[mine["size"] == n].sort_values("bucket")["counts"]), np.uint32)
+            out[o] = answered(mine[mine["size"].abs() == n].sort_values("bucket"))
             return out
 
         automaton = build_automaton(words, stream, length, counted, order, mass, n_train, n_words, n_texts)

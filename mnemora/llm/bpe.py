@@ -22,10 +22,12 @@ import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import give_back
+
 #: Characters of a piece that is encoded directly, and ids of one that is decoded directly.
 LEAF, LEAF_IDS = 512, 256
 #: Rows of a batch that are held with their ids at once.
-ROWS = 1024
+ROWS = 512
 #: Characters by which a window first reaches over the seam on either side.
 WINDOW = 64
 #: A white space after another character. Python's white space includes all that the split pattern calls so.
@@ -154,6 +156,7 @@ def round_trip(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "do
             if with_ids:
                 columns.append(pa.array(kept, pa.list_(pa.int32())))
             yield pa.RecordBatch.from_arrays(columns, ["id", "n_tokens", "ids_sha256", "decoded_sha256", "ids"][: len(columns)])
+        give_back()
 
     kind = docs.select(id_col).schema[0].dataType.simpleString()
     d = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))

@@ -6,6 +6,7 @@ import ctypes
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -40,6 +41,7 @@ def written(df: DataFrame, name: str) -> DataFrame:
 
 def give_back() -> None:
     """Returns what a worker has freed to the system: workers live on, and would hold it through later stages."""
+    pa.default_memory_pool().release_unused()
     try:
         ctypes.CDLL("libc.so.6").malloc_trim(0)
     except (OSError, AttributeError):  # another C library

@@ -37,11 +37,11 @@ from .components import connected_components
 #: Classes that are compared with one hub in a task.
 BLOCK = 512
 #: Shingles of the sets in one task of comparisons, on average, and bytes of text whose shingles share a bucket.
-BUNDLE, BUCKET_BYTES = 2_000_000, 64 << 20
+BUNDLE, BUCKET_BYTES = 2_000_000, 32 << 20
 #: Rounds of hubs at most; they end when the pairs left are no more than PAIRS for each prefix shingle.
 ROUNDS, PAIRS = 6, 4
 #: Rows of documents whose shingles are in memory at once.
-ROWS = 10_000
+ROWS = 4096
 #: Bits of a set's bitmap.
 BITMAP = 512
 _MIX = (0x9E3779B97F4A7C15, np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
@@ -127,7 +127,8 @@ def _read(batches: Iterator[pa.RecordBatch], n: int, buckets: int) -> Iterator[p
                 at, count = _grouped(owner[s : s + k])
                 rows.append((int(to[s]), 1, *_pack(fp[first][owner[s : s + k][at]], count.astype(np.uint32), tokens[s : s + k]), None))
         yield _batch(rows, PACKED_ARROW)
-    give_back()
+        del sets, rows, batch
+        give_back()
 
 
 def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
@@ -229,7 +230,12 @@ def similar(pairs: DataFrame, classes: DataFrame, percent: int, block: int) -> D
     sets = classes.select("fp", "n", "tokens", "p1", "p2", "p3")
     members = pairs.join(many, "hub").select("hub", "fp", F.pmod(F.xxhash64("fp"), "blocks").cast("int").alias("block")).join(sets, "fp").select("*", bundle)
     hubs = many.toDF("hub", "blocks").select("hub", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block")).join(sets.toDF("hub", "n", "tokens", "p1", "p2", "p3"), "hub").select("*", bundle)
-    run = lambda h, m: _links(h, m, percent)
+
+    def run(h: pd.DataFrame, m: pd.DataFrame) -> pd.DataFrame:
+        out = _links(h, m, percent)
+        give_back()
+        return out
+
     return written(hubs.groupBy("bundle").cogroup(members.groupBy("bundle")).applyInPandas(run, "a long, b long"), "join-links")
 
 
@@ -305,7 +311,13 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80, id_col: s
     k = buckets or max(partitions(spark), size // BUCKET_BYTES)  # the shingles of a bucket are in memory together
     d = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("key"), F.col(text_col).alias("text"))
     packed = d.mapInArrow(lambda b: _read(b, n, k), PACKED)
-    counted = packed.groupBy("bucket").applyInPandas(lambda g: _count(g, k), PACKED)
+
+    def count(g: pd.DataFrame) -> pd.DataFrame:
+        out = _count(g, k)
+        give_back()
+        return out
+
+    counted = packed.groupBy("bucket").applyInPandas(count, PACKED)
 
     def cut(g: pd.DataFrame) -> pd.DataFrame:
         out = _prefixes(g, percent)

@@ -1,11 +1,13 @@
 import math
 from collections import Counter
 
+import numpy as np
+import pandas as pd
 import pytest
 from conftest import crc, words_of
 from pyspark.sql import functions as F
 
-from mnemora.llm.backoff_lm import score_texts
+from mnemora.llm.backoff_lm import _answer, _short, answered, score_texts
 from mnemora.llm.common import crc_of_id
 
 
@@ -57,3 +59,13 @@ def test_no_training_rows_and_empty_tables(spark, docs, empty):
     assert {(r.n_known, r.train_tokens, r.score) for r in got} == {(0, 0, 0.0)}
     assert score_texts(empty, F.lit(True)).count() == 0
 
+
+
+def test_counts_beyond_32_bits_are_summed():
+    """Two blocks that have a word three thousand million times each, and one that does not."""
+    keys, n = np.arange(1, 4, dtype=np.uint64), 3_000_000_000
+    rows = [(7, 1, 1, _short(keys), np.array([n, 5, 0], np.uint32).tobytes()), (7, 2, 1, _short(keys[:2]), np.array([n, 1], np.uint32).tobytes()), (7, 3, 1, _short(keys[1:]), np.array([2, 1], np.uint32).tobytes())]
+    out = _answer(pd.DataFrame(rows, columns=["bucket", "block", "size", "keys", "counts"]))
+    by = {b: part for b, part in out.groupby("block")}
+    assert answered(by[1]).tolist() == [2 * n, 8, 1] and answered(by[2]).tolist() == [2 * n, 8] and answered(by[3]).tolist() == [8, 1]
+    assert np.frombuffer(by[-1]["counts"].iloc[0], np.float64).tolist() == [2 * n + 9, 3]
