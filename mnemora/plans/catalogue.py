@@ -169,16 +169,6 @@ def user_bot_pairing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return windows.answered_pairs(conversation_timeline(spark, sf_dir))
 
 
-@query(f"""WITH {EV} SELECT a.id, max_by(b.id, (b.ts, b.id)) AS found FROM ev a LEFT JOIN ev b ON a.window_tag = b.window_tag AND b.kind = 'purchase' AND b.ts <= a.ts AND a.ts - b.ts <= 7200
-  WHERE a.kind = 'purchase' AND a.id % 2 = 0 AND (b.id IS NULL OR b.id % 2 = 1) GROUP BY a.id
-  UNION ALL SELECT a.id, NULL FROM ev a WHERE a.kind = 'purchase' AND a.id % 2 = 0 AND NOT EXISTS (SELECT 1 FROM ev b WHERE b.kind = 'purchase' AND b.ts <= a.ts AND a.ts - b.ts <= 7200 AND b.id % 2 = 1)
-  AND EXISTS (SELECT 1 FROM ev b WHERE b.kind = 'purchase' AND b.ts <= a.ts AND a.ts - b.ts <= 7200)""")
-def merge_target_asof(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ev = event_timeline(spark, sf_dir).where("kind = 'purchase'")
-    even, odd = ev.where("id % 2 = 0"), ev.where("id % 2 = 1")
-    return joins.last_before(even, odd, ["window_tag"], "ts", "ts", "id", 7200).select("id", "found")
-
-
 @query(f"""WITH {EV}, l AS (SELECT id, ts, lag(id) OVER w AS before, lag(ts) OVER w AS before_ts FROM ev WINDOW w AS (PARTITION BY window_tag ORDER BY ts, id))
   SELECT id, CASE WHEN ts - before_ts <= 7200 THEN before END AS found FROM l""")
 def merge_target_all(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -192,16 +182,6 @@ def unanswered_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return windows.unanswered(event_timeline(spark, sf_dir), 3600).select("id")
 
 
-@query("""WITH n AS (SELECT c_mktsegment, c_nationkey, count(*) AS n FROM customer GROUP BY ALL)
-  SELECT c_mktsegment, c_nationkey, n, row_number() OVER (PARTITION BY c_mktsegment ORDER BY n DESC, c_nationkey)::INT AS rank FROM n QUALIFY row_number() OVER (PARTITION BY c_mktsegment ORDER BY n DESC, c_nationkey) <= 20""")
-def alias_suggestions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    n = table(spark, sf_dir, "customer").groupBy("c_mktsegment", "c_nationkey").agg(F.count("*").alias("n"))
-    return windows.top_per_key(n, ["c_mktsegment"], [F.desc("n"), F.col("c_nationkey")], 20)
-
-
-
-
-
 @query(f"WITH {FACTS} SELECT count(*) FILTER (WHERE status = 'live') AS live, count(*) FILTER (WHERE status = 'archived') AS archived, count(*) FILTER (WHERE pinned) AS pinned, count(*) FILTER (WHERE scope = 'owner' AND status = 'live') AS owner FROM facts")
 def library_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     live = F.col("status") == "live"

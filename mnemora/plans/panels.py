@@ -12,36 +12,11 @@ from mnemora.operators import aggregates, cards, filters, joins, maintenance, pe
 from mnemora.sources.tables import conversation_timeline, event_episodes, event_facts, event_timeline, table
 
 from .catalogue import AS_OF, EV, FACTS, TL, TOKENS, query
-from .frames import matrix
 from .requests import _EPISODES
 
 _c = F.col
 
 
-@matrix("q string, title string, summary string, pinned boolean, win string, here string, iso string", (
-    ("猫 怎样", "猫", "猫生病了", False, "qq:FriendMessage:7", "qq:GroupMessage:1", "strict", True, False, True, False), ("猫 怎样", "猫", "猫生病了", True, "qq:FriendMessage:7", "qq:FriendMessage:7", "strict", True, False, True, True), ("说到爬山", "爬山", "爬山", False, "", "qq:GroupMessage:1", "strict", False, True, False, True),
-    ("说到爬山吗", "爬山", "爬山去了黄山", False, "qq:FriendMessage:7", "", "strict", True, True, True, True), ("随便", "爬山", "", False, "qq:FriendMessage:7", "qq:GroupMessage:1", "shared", True, False, False, True),
-), 7, "news, says, richer, in_card")
-def novelty_matrix() -> dict[str, Column]:
-    title, summary = _c("title"), _c("summary")
-    news = matching.episode_is_news(_c("q"), title, summary, _c("pinned"), F.lit(False))
-    return {"news": news, "says": matching.says(_c("q"), F.array(title)), "richer": matching.richer(summary, title), "in_card": visibility.in_card(_c("win"), _c("here"), _c("iso"))}
-
-
-@matrix("kind string, raw string", (
-    ("bool", "Yes", "true"), ("bool", "off", "false"), ("bool", "?", None), ("int", " 12 ", "12"), ("int", "12.9", "12"), ("int", "x", None), ("float", "1.50", "1.5"), ("float", "", None), ("string", " a ", "a"), ("other", "b", "b"),
-), 2, "value")
-def setting_matrix() -> dict[str, Column]:
-    return {"value": people.coerced(_c("raw"), _c("kind"))}
-
-
-@matrix("reason string, enabled boolean, allowed boolean", (
-    ("turn_not_open", True, True, True, True), ("low_info", True, False, True, False), ("cooldown", True, True, False, True), ("judge_below", False, True, True, False), ("quiet", False, False, False, False),
-), 3, "delayed, inject")
-def follow_up_matrix() -> dict[str, Column]:
-    return {"delayed": gates.worth_waiting(_c("reason")), "inject": _c("enabled") & _c("allowed")}
-
-
 @query(f"""WITH {FACTS}, top AS (SELECT speaker_id, count(*) AS n FROM facts WHERE status = 'live' GROUP BY 1 ORDER BY n DESC, speaker_id LIMIT 80),
   v AS (SELECT speaker_id, attribute, value::VARCHAR AS value, max(updated_at) AS seen FROM facts WHERE status = 'live' AND speaker_id IN (SELECT speaker_id FROM top) GROUP BY ALL)
   SELECT speaker_id, attribute, value, row_number() OVER (PARTITION BY speaker_id, attribute ORDER BY seen DESC, value)::INT AS position FROM v QUALIFY position <= 3""")
@@ -158,11 +133,11 @@ def schema_upgrade(spark: SparkSession, sf_dir: str) -> DataFrame:
     return maintenance.schema_upgraded(old, shape, {"status": F.lit("live"), "confidence": F.lit(0.5), "persona_id": F.lit("")})
 
 
-@query(f"""WITH n AS (SELECT DISTINCT name FROM (SELECT unnest({TOKENS.format("text")}) AS name FROM benchmark) WHERE length(name) >= 5), t AS (SELECT conv_id * 1000 + turn AS id, regexp_replace(lower(trim(text)), '[\\s　,，.。!！?？、~～''"“”‘’]+', '', 'g') AS t FROM conversations)
+@query(f"""WITH n AS (SELECT DISTINCT name FROM (SELECT unnest({TOKENS.format("text")}) AS name FROM benchmark) WHERE length(name) >= 2), t AS (SELECT conv_id * 1000 + turn AS id, regexp_replace(lower(trim(text)), '[\\s　,，.。!！?？、~～''"“”‘’]+', '', 'g') AS t FROM conversations)
   SELECT id, name FROM t JOIN n ON contains(t, name)""")
 def name_containment(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Names within texts, inside of words too."""
-    names = table(spark, sf_dir, "benchmark").select(F.explode(tokens(F.col("text"))).alias("name")).where(F.length("name") >= 5)
+    names = table(spark, sf_dir, "benchmark").select(F.explode(tokens(F.col("text"))).alias("name")).where(F.length("name") >= 2)
     return joins.names_within(conversation_timeline(spark, sf_dir), names, "id", "content", "name")
 
 
@@ -174,15 +149,6 @@ def similar_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joins.similar_pairs(d, "id", "s", 0.2).select("a", "b", F.round("similarity", 6).alias("similarity"))
 
 
-@matrix("t string, kind string, image boolean, mentioned boolean, awake boolean, owner boolean", (
-    ("我想说", "group", False, False, False, True, True, False, True, True), ("我想说", "private", False, False, False, False, True, True, True, False), ("我想说", "group", True, False, False, False, False, False, True, False), ("我想说", "group", False, True, False, False, False, False, True, False), ("我想说", "group", False, False, True, False, False, False, True, False),
-    ("小萨在吗", "group", False, False, False, True, False, False, True, True), ("/我想", "group", False, False, False, False, False, False, True, False), ("", "group", False, False, False, False, False, False, True, False), ("好的", "private", False, False, False, False, False, False, True, False), ("今天的天气很好，", "private", False, False, False, False, True, True, True, False),
-), 6, "held, private_only, everybody, owner_only")
-def hold_matrix() -> dict[str, Column]:
-    held = lambda scope: gates.held_back(_c("t"), _c("kind"), scope, _c("image"), _c("mentioned"), _c("awake"), ["小萨", "Bot"])
-    return {"held": held("both"), "private_only": held("private"), "everybody": gates.term_counts_from(_c("owner"), "all"), "owner_only": gates.term_counts_from(_c("owner"), "owner")}
-
-
 @query(f"""WITH {FACTS} SELECT id, attribute, value::VARCHAR AS value, status, pinned, CASE WHEN status <> 'live' THEN updated_at ELSE 0 END AS valid_to,
   round(CASE WHEN pinned THEN greatest(base, 1.0) ELSE base * pow(0.5, greatest(0.0, ({AS_OF} - greatest(updated_at, created_at)) / 86400.0::DOUBLE) / (30.0 * least(1.0 + 0.5 * access_count, 3.0))) END, 3) AS weight FROM (SELECT *, CASE WHEN importance > 0 THEN importance ELSE confidence END AS base FROM facts)""")
 def fact_views(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -88,13 +88,6 @@ def restore_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return review.restored(f.select("id").union(spark.createDataFrame([(-1,)], "id long")), f)
 
 
-@query("""SELECT * FROM (VALUES (1, 'rejected', 'identity'), (2, 'passes', 'note'), (3, 'passes', 'identity'), (4, 'passes', 'identity'), (5, 'passes', 'likes'), (6, 'rejected', 'name')) v(id, verdict, attribute)""")
-def relation_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = [(1, "7", "identity", "主人的女朋友", ""), (2, "1", "identity", "老板", ""), (3, "bot_self", "identity", "主人的助手", ""), (4, "7", "identity", "学生", ""), (5, "7", "likes", "妈妈做的菜", ""), (6, "8", "name", "小王", "群主小王")]
-    d = spark.createDataFrame(rows, "id int, speaker_id string, attribute string, value string, content string").withColumns({"plain": F.lit(""), "subject": F.lit("")})
-    return review.guarded_relations(d, ["1"]).select("id", "verdict", "attribute")
-
-
 @query("""WITH l AS (SELECT *, row_number() OVER (PARTITION BY t, key ORDER BY line) AS nth FROM (
     SELECT event_id AS line, CASE event_id % 5 WHEN 0 THEN 'facts' WHEN 1 THEN 'timeline' WHEN 2 THEN 'profiles' WHEN 3 THEN 'aliases' ELSE 'junk' END AS t, CASE WHEN event_id % 11 = 0 THEN '' ELSE (event_id % 400)::VARCHAR END AS key, (user_id % 400)::VARCHAR AS other FROM events)),
   have AS (SELECT DISTINCT (doc_id % 150)::VARCHAR AS key FROM documents), known AS (SELECT n_nationkey::VARCHAR AS key FROM nation)

@@ -6,7 +6,7 @@ from pathlib import Path
 import duckdb
 import pytest
 
-from mnemora.plans import catalogue, frames, panels, people, records, requests, streams  # noqa: F401  these register queries
+from mnemora.plans import catalogue, ingest, panels, people, records, replies, requests, streams  # noqa: F401  these register queries
 
 DATA = Path("/root/testdata/sf0.001")
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()

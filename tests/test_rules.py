@@ -1,49 +1,42 @@
-"""Named queries over small frames that hit every branch of a rule; their SQL states the rows that the rules give."""
+"""Rules over rows that hit every branch, with what they give."""
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Sequence
 
+import pytest
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mnemora.functions import extraction, gates, matching, scores, slots, text, visibility
-from mnemora.operators import people
+from mnemora.operators import people, review
 from mnemora.sources import transcript
 
-from .catalogue import query
+CASES: dict[str, tuple] = {}
 
 
-def _sql(v: object) -> str:
-    if v is None:
-        return "NULL"
-    if isinstance(v, bool):
-        return str(v).lower()
-    if isinstance(v, list):
-        return f"[{', '.join(map(_sql, v))}]::VARCHAR[]"
-    if isinstance(v, float):
-        return f"{v}::DOUBLE"
-    return "'" + v.replace("'", "''") + "'" if isinstance(v, str) else str(v)
+def stated(columns: str, rows: Sequence[tuple], types: str | None = None) -> Callable:
+    """A frame, a function of (spark, folder), and the rows that it has."""
 
+    def add(f: Callable) -> Callable:
+        CASES[f.__name__] = (lambda spark: f(spark, "").select(*columns.split(", ")), list(rows))
+        return f
 
-def stated(columns: str, rows: Sequence[tuple], types: str | None = None) -> str:
-    """SQL of these rows."""
-    values = ", ".join("(" + ", ".join(map(_sql, r)) + ")" for r in rows)
-    return f"SELECT {types or columns} FROM (VALUES {values}) v({columns})"
+    return add
 
 
 def matrix(inputs: str, rows: Sequence[tuple], n: int, out: str) -> Callable:
-    """Registers a query that maps the first n values of each row, as inputs, to the others, its results."""
-    names = [c.split()[0] for c in inputs.split(", ")]
+    """The first n values of each row are inputs, the others what the columns of the function give."""
 
     def add(f: Callable[[], dict[str, Column]]) -> Callable:
-        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        def run(spark: SparkSession) -> DataFrame:
             d = spark.createDataFrame([(k, *r[:n]) for k, r in enumerate(rows)], f"row int, {inputs}")
-            return d.select("row", *[c.alias(k) for k, c in f().items()])
+            found = f()
+            return d.select("row", *[found[k].alias(k) for k in out.split(", ")])
 
-        run.__name__, run.__doc__ = f.__name__, f.__doc__
-        assert len(names) == n
-        return query(stated(f"row, {out}", [(k, *r[n:]) for k, r in enumerate(rows)]))(run)
+        CASES[f.__name__] = (run, [(k, *r[n:]) for k, r in enumerate(rows)])
+        return f
 
     return add
 
@@ -86,7 +79,7 @@ _STATEMENTS = (
 )
 
 
-@query(stated("row, attribute, value", [(k, a, v) for k, (_, found) in enumerate(_STATEMENTS) for a, v in found]))
+@stated("row, attribute, value", [(k, a, v) for k, (_, found) in enumerate(_STATEMENTS) for a, v in found])
 def statement_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = spark.createDataFrame([(k, t) for k, (t, _) in enumerate(_STATEMENTS)], "row int, t string")
     return d.select("row", F.explode(extraction.stated(_c("t"))).alias("s")).select("row", "s.attribute", "s.value")
@@ -177,9 +170,9 @@ def speak_matrix() -> dict[str, Column]:
 _LINES = ("noise", "小明：2024-03-01 10:00:00", "", "你好", "在吗", "", "丢掉", "小王: 03-02 11:00:00", "早", "发送者：小红", "时间：2024-03-03 08:00:00", "内容：第一行", "第二行", "", "又丢掉", "发送者：机器人", "消息：收到", "小明：99-99", "怪", "消息：2024-03-04", "x", "小刚: 3-5", "")
 
 
-@query(stated("message, name, speaker_id, ts, role, content", (
+@stated("message, name, speaker_id, ts, role, content", (
     (1, "小明", "小明", 1709287200, "user", "你好\n在吗"), (2, "小王", "小王", 1709377200, "user", "早"), (3, "小红", "小红", 1709452800, "user", "第一行\n第二行"), (4, "机器人", "bot_self", 1709452800, "assistant", "收到"), (5, "小明", "小明", 1709452800, "user", "怪"),
-)))
+))
 def transcript_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = spark.createDataFrame([("f", k, t) for k, t in enumerate(_LINES)], "file string, line int, text string")
     return transcript.messages(d, 2024, ("机器人",)).select("message", "name", "speaker_id", "ts", "role", "content")
@@ -190,3 +183,54 @@ def transcript_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
 ), 1, "directive")
 def directive_matrix() -> dict[str, Column]:
     return {"directive": matching.self_directive(_c("t"), gates.FIRST_PERSON)}
+
+
+@matrix("q string, title string, summary string, pinned boolean, win string, here string, iso string", (
+    ("猫 怎样", "猫", "猫生病了", False, "qq:FriendMessage:7", "qq:GroupMessage:1", "strict", True, False, True, False), ("猫 怎样", "猫", "猫生病了", True, "qq:FriendMessage:7", "qq:FriendMessage:7", "strict", True, False, True, True), ("说到爬山", "爬山", "爬山", False, "", "qq:GroupMessage:1", "strict", False, True, False, True),
+    ("说到爬山吗", "爬山", "爬山去了黄山", False, "qq:FriendMessage:7", "", "strict", True, True, True, True), ("随便", "爬山", "", False, "qq:FriendMessage:7", "qq:GroupMessage:1", "shared", True, False, False, True),
+), 7, "news, says, richer, in_card")
+def novelty_matrix() -> dict[str, Column]:
+    title, summary = _c("title"), _c("summary")
+    news = matching.episode_is_news(_c("q"), title, summary, _c("pinned"), F.lit(False))
+    return {"news": news, "says": matching.says(_c("q"), F.array(title)), "richer": matching.richer(summary, title), "in_card": visibility.in_card(_c("win"), _c("here"), _c("iso"))}
+
+
+@matrix("kind string, raw string", (
+    ("bool", "Yes", "true"), ("bool", "off", "false"), ("bool", "?", None), ("int", " 12 ", "12"), ("int", "12.9", "12"), ("int", "x", None), ("float", "1.50", "1.5"), ("float", "", None), ("string", " a ", "a"), ("other", "b", "b"),
+), 2, "value")
+def setting_matrix() -> dict[str, Column]:
+    return {"value": people.coerced(_c("raw"), _c("kind"))}
+
+
+@matrix("reason string, enabled boolean, allowed boolean", (
+    ("turn_not_open", True, True, True, True), ("low_info", True, False, True, False), ("cooldown", True, True, False, True), ("judge_below", False, True, True, False), ("quiet", False, False, False, False),
+), 3, "delayed, inject")
+def follow_up_matrix() -> dict[str, Column]:
+    return {"delayed": gates.worth_waiting(_c("reason")), "inject": _c("enabled") & _c("allowed")}
+
+
+@matrix("t string, kind string, image boolean, mentioned boolean, awake boolean, owner boolean", (
+    ("我想说", "group", False, False, False, True, True, False, True, True), ("我想说", "private", False, False, False, False, True, True, True, False), ("我想说", "group", True, False, False, False, False, False, True, False), ("我想说", "group", False, True, False, False, False, False, True, False), ("我想说", "group", False, False, True, False, False, False, True, False),
+    ("小萨在吗", "group", False, False, False, True, False, False, True, True), ("/我想", "group", False, False, False, False, False, False, True, False), ("", "group", False, False, False, False, False, False, True, False), ("好的", "private", False, False, False, False, False, False, True, False), ("今天的天气很好，", "private", False, False, False, False, True, True, True, False),
+), 6, "held, private_only, everybody, owner_only")
+def hold_matrix() -> dict[str, Column]:
+    held = lambda scope: gates.held_back(_c("t"), _c("kind"), scope, _c("image"), _c("mentioned"), _c("awake"), ["小萨", "Bot"])
+    return {"held": held("both"), "private_only": held("private"), "everybody": gates.term_counts_from(_c("owner"), "all"), "owner_only": gates.term_counts_from(_c("owner"), "owner")}
+
+
+@stated("id, verdict, attribute", [(1, "rejected", "identity"), (2, "passes", "note"), (3, "passes", "identity"), (4, "passes", "identity"), (5, "passes", "likes"), (6, "rejected", "name")])
+def relation_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = [(1, "7", "identity", "主人的女朋友", ""), (2, "1", "identity", "老板", ""), (3, "bot_self", "identity", "主人的助手", ""), (4, "7", "identity", "学生", ""), (5, "7", "likes", "妈妈做的菜", ""), (6, "8", "name", "小王", "群主小王")]
+    d = spark.createDataFrame(rows, "id int, speaker_id string, attribute string, value string, content string").withColumns({"plain": F.lit(""), "subject": F.lit("")})
+    return review.guarded_relations(d, ["1"])
+
+
+@pytest.mark.parametrize("name", list(CASES))
+def test_every_branch(spark, name):
+    run, want = CASES[name]
+    same = lambda a, b: a == b or (isinstance(a, (int, float)) and isinstance(b, (int, float)) and math.isclose(a, b, abs_tol=1e-6))
+    got = sorted((tuple(r) for r in run(spark).collect()), key=repr)
+    want = sorted(want, key=repr)
+    assert len(got) == len(want)
+    for a, b in zip(got, want):
+        assert all(same(x, y) for x, y in zip(a, b)), (a, b)
