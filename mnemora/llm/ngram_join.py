@@ -40,8 +40,9 @@ BLOCK = 512
 BUNDLE, BUCKET_BYTES = 2_000_000, 32 << 20
 #: Rounds of hubs at most; they end when the pairs left are no more than PAIRS for each prefix shingle.
 ROUNDS, PAIRS = 6, 4
-#: Rows of documents whose shingles are in memory at once.
-ROWS = 4096
+#: Rows of documents whose shingles are in memory at once: more rows find more equal sets before anything is sent. Fewer where
+#: workers of other stages share the executors' memory, as in a pipeline.
+ROWS, FEW_ROWS = 10_000, 4096
 #: Bits of a set's bitmap.
 BITMAP = 512
 _MIX = (0x9E3779B97F4A7C15, np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
@@ -97,8 +98,8 @@ PACKED_ARROW = pa.schema([("bucket", pa.int32()), ("kind", pa.int32()), *((c, pa
 MEMBERS = pa.schema([("id", pa.int64()), ("key", pa.int64()), ("n_shingles", pa.int64()), ("class", pa.int64())])
 
 
-def _read(batches: Iterator[pa.RecordBatch], n: int, buckets: int) -> Iterator[pa.RecordBatch]:
-    for batch in (b.slice(s, ROWS) for b in batches for s in range(0, b.num_rows, ROWS)):
+def _read(batches: Iterator[pa.RecordBatch], n: int, buckets: int, many: int) -> Iterator[pa.RecordBatch]:
+    for batch in (b.slice(s, many) for b in batches for s in range(0, b.num_rows, many)):
         ids, known = batch["id"].fill_null(0).to_numpy(), batch["id"].is_valid().to_numpy(zero_copy_only=False)
         keys = batch["key"].to_numpy()
         sets = [shingles(t, n) for t in batch["text"].to_pylist()]
@@ -292,7 +293,7 @@ def class_links(classes: DataFrame, percent: int, block: int = BLOCK) -> DataFra
     return parts if found.isEmpty() else connected_components(links.union(found))
 
 
-def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK, buckets: int | None = None) -> DataFrame:
+def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK, buckets: int | None = None, rows_at_once: int = ROWS) -> DataFrame:
     """(id, n_shingles, class, component_id, component, text_key) for every row of docs; ids are whole numbers.
 
     Two rows link when 100 * intersection >= percent * union of their sets of n-word shingles; component_id is the
@@ -310,7 +311,7 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80, id_col: s
     size = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
     k = buckets or max(partitions(spark), size // BUCKET_BYTES)  # the shingles of a bucket are in memory together
     d = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("key"), F.col(text_col).alias("text"))
-    packed = d.mapInArrow(lambda b: _read(b, n, k), PACKED)
+    packed = d.mapInArrow(lambda b: _read(b, n, k, rows_at_once), PACKED)
 
     def count(g: pd.DataFrame) -> pd.DataFrame:
         out = _count(g, k)
@@ -348,13 +349,13 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80, id_col: s
     return out.select(F.col("id").alias(id_col), "n_shingles", "class", component_id.alias("component_id"), "component", F.col("key").alias("text_key"))
 
 
-def first_of_each(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def first_of_each(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", rows_at_once: int = FEW_ROWS) -> DataFrame:
     """docs without near copies: of each component the row with the smallest id stays, with all its columns.
 
     Rows without words all stay. Of several rows with that id, and of rows with null ids only, the one with the
     smallest text hash stays, and one alone of rows that are equal.
     """
-    found = jaccard_components(docs, n, percent, id_col, text_col)
+    found = jaccard_components(docs, n, percent, id_col, text_col, rows_at_once=rows_at_once)
     first = F.min(F.struct(F.col(id_col).isNull(), F.col(id_col), F.col("text_key"))).alias("_first")
     kept = found.where("component is not null").groupBy("component").agg(first)
     kept = kept.select(F.col(f"_first.{id_col}").alias("_id"), F.col("_first.text_key").alias("_key"))
