@@ -125,6 +125,31 @@ def test_op8(spark, table):
     assert all(r.held_out == (crc(r.doc_id) % 3 == 1) and 0 <= r.score <= 1 and r.predicted == int(r.score >= 0.7) for r in got)
 
 
+def test_op11_and_op12_have_their_columns(spark):
+    """Their rows are held against SQL and brute force elsewhere."""
+    got = run(spark, "op11_merkle_manifest", "doc_id bigint, leaf string, subroot string, root string, proof_sha256 string, folded_root string, verified boolean")
+    text = {r.doc_id: r.text for r in spark.read.parquet(f"{DATA}/documents.parquet").collect()}
+    assert len({r.root for r in got}) == 1 and all(r.verified == (crc(r.doc_id) % 3 != 0 or not any("A" <= c <= "Z" for c in text[r.doc_id] or "")) for r in got)
+    run(spark, "op12_decontamination", "doc_id bigint, n_words bigint, n_hit bigint, n_items bigint, items_sha256 string, contaminated boolean")
+
+
+def test_op13(spark, vectors):
+    got = run(spark, "op13_whitening", "vec_id bigint, component int, n bigint, deviation bigint, whitened double, explained double, identity_error double")
+    ids = sorted(vectors)
+    x = np.floor(64 * np.stack([vectors[i] for i in ids])).astype(np.int64) + 1_000_000
+    n, d = len(ids), len(ids) * x - x.sum(axis=0)
+    e, u = np.linalg.eigh((d / n).T @ (d / n) / n)
+    e, u = e[::-1][:32], u[:, ::-1][:, :32]
+    want = (d / n) @ u / np.sqrt(e)
+    at = {(r.vec_id, r.component): r for r in got}
+    assert sorted(at) == [(i, k) for i in ids for k in range(1, 33)] and len(got) == 32 * n
+    mine = np.array([[at[i, k].whitened for k in range(1, 33)] for i in ids])
+    assert np.allclose(mine * np.sign(mine[0]), want * np.sign(want[0]), atol=1e-8)
+    assert all(r.n == n and r.identity_error < 1e-4 for r in got) and len({r.identity_error for r in got}) == 1
+    assert all(at[i, 1].deviation == int((d[k] ** 2).sum()) for k, i in enumerate(ids))
+    assert np.allclose([at[ids[0], k].explained for k in range(1, 33)], e / np.trace((d / n).T @ (d / n) / n), rtol=1e-9)
+
+
 def test_scores_of_characters_equal_plain_python():
     """The classifier's features and score, letter by letter."""
     rng = np.random.default_rng(0)
