@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from mnemora.functions.text import csv_items, platform_of, window_label
-from mnemora.operators import aggregates, episodes, filters, flow, maintenance, people, review, windows
+from mnemora.operators import aggregates, episodes, filters, flow, links, maintenance, people, review, windows
 from mnemora.sources.tables import conversation_timeline, event_episodes, event_facts, event_timeline, memory_facts, table
+from mnemora.storage import shared_dir
 
 from .catalogue import AS_OF, EV, FACTS, TL, query
 from .requests import _EPISODES, _MEMORY
@@ -233,3 +236,31 @@ def samples_for_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     a = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), (F.col("c_custkey") % 50).alias("updated_at"), F.col("c_nationkey").alias("user_key"))
     q = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"))
     return review.picked_samples(a, q, 2, False)
+
+
+@query(f"""WITH {_MEMORY}, {_EPISODES},
+  f AS (SELECT mem.id, CASE WHEN speaker_id::BIGINT % 7 = 0 THEN 'nick' ELSE 'user' END || speaker_id AS who, CASE WHEN mem.id % 3 = 0 THEN ['fresh' || mem.id % 20, val] ELSE [attribute, val, 'word' || mem.id % 50] END AS words,
+    CASE WHEN mem.id % 4 = 0 THEN attribute WHEN mem.id % 4 = 1 AND mem.id % 3 > 0 THEN 'music' END AS topic, p AS persona FROM mem WHERE mem.id % 10 > 0),
+  e AS (SELECT id, CASE WHEN speakers[1]::BIGINT % 7 = 0 THEN 'nick' ELSE 'user' END || speakers[1] AS who, speakers[2] AS other, title, p AS persona FROM episodes),
+  n AS (SELECT 'fact' AS ref, id AS ref_id, persona, who AS name, 0 AS k FROM f UNION ALL SELECT 'fact', id, persona, unnest(words), 1 FROM f UNION ALL SELECT 'fact', id, persona, topic, 2 FROM f
+    UNION ALL SELECT 'event', id, persona, unnest([who, other]), 0 FROM e UNION ALL SELECT 'event', id, persona, replace(title, ' ', ''), 1 FROM e)
+  SELECT name, ref, ref_id, ['person', 'keyword', 'topic'][max(k) + 1] AS kind, persona AS persona_id FROM n WHERE length(name) BETWEEN 2 AND 20 AND NOT regexp_full_match(name, '[0-9]+') GROUP BY name, ref, ref_id, persona""")
+def entity_links_kept(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links of facts and episodes after a seventh of the speakers got other names, and then a third of the facts other words
+    and a tenth went: each as a change of the kept index. SQL builds them anew from what holds at the end."""
+    c, i = F.col, F.col("id")
+    seventh = c("speaker_id").try_cast("long") % 7 == 0
+    plain = memory_facts(spark, sf_dir).withColumns({"keywords": F.array("attribute", "value", F.concat(F.lit("word"), (i % 50).cast("string"))), "topic": F.when(i % 4 == 0, c("attribute")).when(i % 4 == 1, "music")})
+    facts = plain.select("id", "speaker_id", "speaker_name", "keywords", "topic", "persona_id", "attribute", "value")
+    named = facts.withColumn("speaker_name", F.when(seventh, F.concat(F.lit("nick"), "speaker_id")).otherwise(c("speaker_name")))
+    worded = named.where(i % 10 > 0).withColumn("topic", F.when(~((i % 3 == 0) & (i % 4 == 1)), c("topic"))).withColumn("keywords", F.when(i % 3 == 0, F.array(F.concat(F.lit("fresh"), (i % 20).cast("string")), c("value"))).otherwise(c("keywords")))
+    who = lambda word: F.array(F.struct(c("event_speakers")[0].alias("id"), F.concat(word, c("event_speakers")[0]).alias("name")), F.struct(F.lit("guest").alias("id"), c("event_speakers")[1].alias("name")))
+    old = event_episodes(spark, sf_dir).withColumn("keywords", F.array("title"))
+    episodes_before = old.select("id", who(F.lit("user")).alias("participants"), "keywords", "persona_id")
+    episodes_after = old.select("id", who(F.when(c("event_speakers")[0].cast("long") % 7 == 0, "nick").otherwise("user")).alias("participants"), "keywords", "persona_id")
+    index = links.LinkIndex(spark, f"{shared_dir(spark)}/mnemora/links-{uuid.uuid4().hex}", buckets=16)
+    index.build(links.fact_links(facts).unionByName(links.episode_links(episodes_before)))
+    renamed = links.refs_of_speakers(named, episodes_after, facts.where(seventh).select("speaker_id").distinct())
+    index.relink(renamed, links.fact_links(named).unionByName(links.episode_links(episodes_after)))
+    index.relink(facts.where((i % 3 == 0) | (i % 10 == 0)).select(F.lit("fact").alias("ref"), i.alias("ref_id")), links.fact_links(worded))
+    return index.links()

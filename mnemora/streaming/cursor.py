@@ -11,12 +11,12 @@ from collections.abc import Callable, Iterator
 from typing import Any
 
 import pandas as pd
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
 from mnemora.operators.windows import sessions_by_gap_and_span
+from mnemora.storage import existing
 
 #: What is known of a session before it is worked on.
 SESSION = ("session", "start_id", "last_id", "start_ts", "end_ts", "messages", "user_messages")
@@ -48,12 +48,7 @@ class Consumer:
         self.work = work or (lambda rows: always_done(rows, key))
 
     def _read(self, name: str) -> DataFrame | None:
-        try:
-            return self.spark.read.parquet(f"{self.at}/{name}")
-        except AnalysisException as e:
-            if e.getCondition() != "PATH_NOT_FOUND":
-                raise
-            return None
+        return existing(self.spark, f"{self.at}/{name}")
 
     def _kept(self, df: DataFrame, name: str, number: int) -> DataFrame:
         path = f"{self.at}/{name}-{number}"
