@@ -8,9 +8,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from mnemora.functions.text import csv_items, platform_of, window_label
-from mnemora.operators import aggregates, episodes, filters, flow, links, maintenance, people, review, windows
+from mnemora.operators import aggregates, edits, episodes, filters, flow, links, maintenance, people, review, windows
 from mnemora.sources.tables import conversation_timeline, event_episodes, event_facts, event_timeline, memory_facts, table
-from mnemora.storage import shared_dir
+from mnemora.storage import shared_dir, written
 
 from .catalogue import AS_OF, EV, FACTS, TL, query
 from .requests import _EPISODES, _MEMORY
@@ -264,3 +264,59 @@ def entity_links_kept(spark: SparkSession, sf_dir: str) -> DataFrame:
     index.relink(renamed, links.fact_links(named).unionByName(links.episode_links(episodes_after)))
     index.relink(facts.where((i % 3 == 0) | (i % 10 == 0)).select(F.lit("fact").alias("ref"), i.alias("ref_id")), links.fact_links(worded))
     return index.links()
+
+
+_EDITS = f"""{FACTS}, ed AS (SELECT event_id AS edit_id, epoch_us(ts) // 1000000 AS ts, CASE WHEN event_id // 40 % 13 = 5 THEN -1 - event_id ELSE event_id - event_id % 40 END AS ref_id, CASE WHEN event_id % 5 > 0 THEN 1 + event_id % 40 // 3 END AS base,
+  CASE WHEN event_id % 80 = 33 THEN 'delete' WHEN event_id % 7 = 0 THEN 'approve' WHEN event_id % 7 = 1 THEN 'status' ELSE 'edit' END AS op, CASE WHEN event_id % 7 > 3 THEN 'v' || round(value)::BIGINT END AS value,
+  CASE event_id % 7 WHEN 2 THEN (event_id % 300 / 200.0::DOUBLE)::VARCHAR WHEN 3 THEN 'high' END AS importance, ['archived', ' live ', 'gone'][event_id % 3 + 1] AS status FROM events),
+n AS (SELECT ed.*, row_number() OVER (PARTITION BY ref_id ORDER BY ed.ts, edit_id) AS n, CASE WHEN facts.id IS NOT NULL THEN 1 ELSE -1 END AS start,
+  CASE WHEN op = 'edit' AND ed.importance = 'high' THEN 'bad_importance' WHEN op = 'status' AND ed.status = 'gone' THEN 'bad_status' ELSE 'applied' END AS does FROM ed LEFT JOIN facts ON facts.id = ref_id),
+fold AS (SELECT n.*, CASE WHEN start < 0 THEN 'not_found' WHEN base <> start THEN 'stale' ELSE does END AS outcome, CASE WHEN start < 0 THEN -1 WHEN base <> start OR does <> 'applied' THEN start WHEN op = 'delete' THEN -1 ELSE start + 1 END AS rev FROM n WHERE n = 1
+  UNION ALL SELECT n.*, CASE WHEN rev < 0 THEN 'not_found' WHEN n.base <> rev THEN 'stale' ELSE n.does END, CASE WHEN rev < 0 THEN -1 WHEN n.base <> rev OR n.does <> 'applied' THEN rev WHEN n.op = 'delete' THEN -1 ELSE rev + 1 END FROM fold JOIN n ON n.ref_id = fold.ref_id AND n.n = fold.n + 1)"""
+
+
+def _edits(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Facts at revision 1, and every event as an edit of the first fact of its forty, or of none; most name a revision."""
+    f, i, c = memory_facts(spark, sf_dir), F.col("id"), F.col
+    facts = f.select("id", F.lit(1).cast("long").alias("revision"), "slot_key", F.lit("").alias("persona_id"), "speaker_id", "speaker_name", F.lit("self").alias("subject"), "attribute", "value", "content", F.lit("").alias("plain"), F.lit("").alias("topic"), "importance", "confidence", "status", F.lit("").alias("review_status"), "pinned", "updated_at")
+    e = event_timeline(spark, sf_dir)
+    op = F.when(i % 80 == 33, "delete").when(i % 7 == 0, "approve").when(i % 7 == 1, "status").otherwise("edit")
+    asked = e.select(
+        i.alias("edit_id"), "ts", F.when(F.floor(i / 40) % 13 == 5, -1 - i).otherwise(i - i % 40).alias("ref_id"), F.when(i % 5 > 0, 1 + F.floor(i % 40 / 3)).alias("base"), op.alias("op"), F.when(i % 7 > 3, F.concat(F.lit("v"), F.round(c("value")).cast("long").cast("string"))).alias("value"),
+        F.lit(None).cast("string").alias("content"), F.lit(None).cast("string").alias("plain"), F.when(i % 7 == 2, (i % 300 / 200.0).cast("string")).when(i % 7 == 3, "high").alias("importance"), F.when(i % 3 == 0, "archived").when(i % 3 == 1, " live ").otherwise("gone").alias("status"),
+    )
+    return facts, asked
+
+
+@query(f"""WITH RECURSIVE {_EDITS} SELECT edit_id, ref_id, outcome, CASE WHEN rev >= 0 THEN rev END AS revision, 1 + sum((outcome = 'applied')::INT) OVER (ORDER BY ts, edit_id)::BIGINT AS store_revision FROM fold""")
+def edit_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    facts, asked = _edits(spark, sf_dir)
+    return edits.store_revisions(edits.decided(asked, facts)).select("edit_id", "ref_id", "outcome", "revision", "store_revision")
+
+
+@query(f"""WITH RECURSIVE {_EDITS}, a AS (SELECT ref_id, count(*) AS k, max(ts) AS newest, bool_or(op = 'delete') AS gone, bool_or(op = 'approve') AS yes, bool_or(op = 'edit' AND (value IS NOT NULL OR importance IS NOT NULL)) AS said,
+    arg_max(value, (ts, edit_id)) FILTER (WHERE op = 'edit' AND value IS NOT NULL) AS v, arg_max(try_cast(importance AS DOUBLE), (ts, edit_id)) FILTER (WHERE op = 'edit' AND importance IS NOT NULL) AS imp,
+    arg_max(CASE WHEN op = 'approve' THEN 'live' ELSE trim(status) END, (ts, edit_id)) FILTER (WHERE op IN ('approve', 'status')) AS st FROM fold WHERE outcome = 'applied' GROUP BY ref_id),
+  f AS (SELECT id, speaker_id, slot_key, coalesce(v, facts.value::VARCHAR) AS value, coalesce(st, status) AS status, CASE WHEN imp IS NULL THEN importance ELSE greatest(0.0, least(1.0, imp)) END AS importance, CASE WHEN yes THEN greatest(confidence, 0.8) ELSE confidence END AS confidence,
+    CASE WHEN said OR yes THEN 'manual' ELSE '' END AS review_status, 1 + coalesce(k, 0) AS revision, pinned, coalesce(newest, updated_at) AS updated_at, coalesce(said, false) AS said FROM facts LEFT JOIN a ON ref_id = id WHERE NOT coalesce(gone, false)),
+  w AS (SELECT *, row_number() OVER s AS place, first_value(pinned) OVER s AS top FROM f WHERE status = 'live' AND speaker_id IN (SELECT speaker_id FROM f WHERE said) WINDOW s AS (PARTITION BY slot_key ORDER BY pinned DESC, updated_at DESC, confidence DESC, id))
+  SELECT f.id, f.slot_key, f.value, CASE WHEN place > 1 AND NOT (f.pinned AND top) THEN 'archived' ELSE f.status END AS status, round(f.importance, 6) AS importance, round(f.confidence, 6) AS confidence, f.review_status, f.revision, f.updated_at FROM f LEFT JOIN w ON w.id = f.id""")
+def edited_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    facts, asked = _edits(spark, sf_dir)
+    log = written(edits.decided(asked, facts), "edits")
+    return edits.edited(facts, asked, log).select("id", "slot_key", "value", "status", F.round("importance", 6).alias("importance"), F.round("confidence", 6).alias("confidence"), "review_status", "revision", "updated_at")
+
+
+@query(f"""WITH {EV}, r AS (SELECT id AS review_id, CASE WHEN id % 9 = 0 THEN 'approved' ELSE 'pending' END AS status FROM ev WHERE kind = 'error'),
+  d AS (SELECT id AS decision_id, ts, lag(CASE WHEN kind = 'error' THEN id END IGNORE NULLS) OVER (PARTITION BY speaker_id ORDER BY ts, id) AS review_id, CASE kind WHEN 'click' THEN 'approve' WHEN 'view' THEN 'reject' ELSE 'later' END AS verdict FROM ev WHERE true QUALIFY kind <> 'error'),
+  o AS (SELECT d.*, r.status, row_number() OVER (PARTITION BY d.review_id, verdict <> 'later' ORDER BY ts, decision_id) AS n FROM d LEFT JOIN r USING (review_id))
+  SELECT decision_id, review_id, CASE WHEN verdict = 'later' THEN 'bad_verdict' WHEN status IS DISTINCT FROM 'pending' OR n > 1 THEN 'not_pending' WHEN verdict = 'approve' THEN 'approved' ELSE 'rejected' END AS outcome FROM o""")
+def reviews_resolved(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Errors as reviews; a user's later events decide on their last error."""
+    e, c = event_timeline(spark, sf_dir), F.col
+    reviews = e.where("kind = 'error'").select(c("id").alias("review_id"), F.when(c("id") % 9 == 0, "approved").otherwise("pending").alias("status"))
+    before = Window.partitionBy("speaker_id").orderBy("ts", "id").rowsBetween(Window.unboundedPreceding, -1)
+    last = F.last(F.when(c("kind") == "error", c("id")), ignorenulls=True).over(before)
+    verdict = F.when(c("kind") == "click", "approve").when(c("kind") == "view", "reject").otherwise("later")
+    decisions = e.select(c("id").alias("decision_id"), "ts", last.alias("review_id"), verdict.alias("verdict"), "kind").where("kind <> 'error'").drop("kind")
+    return edits.reviews_resolved(reviews, decisions)
