@@ -10,9 +10,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from mnemora.functions.text import tokens
+from mnemora.operators.search import K1, B, best
 from mnemora.storage import written
 
-K1, B = 1.5, 0.75
 #: Vectors, and queries, that meet in a task.
 BLOCK, QUERIES = 8192, 4096
 
@@ -55,7 +55,7 @@ def navigate(docs: DataFrame, queries: DataFrame, steps: int = 3, each: int = 6,
     split = written(tokenised(docs, id_col, text_col), "tokens")
     now, seen = queries.select(F.col(query_id).alias("_query"), F.col(query_text).alias("_asked")), None
     for step in range(1, steps + 1):
-        found = bm25(split, now, id_col, "_query", "_asked").withColumn("score", F.round("score", 6))
+        found = best(split, now, each * step, id_col, "_query", "_asked").select("_query", id_col, F.round("score", 6).alias("score"))
         found = ranked(found, "_query", id_col, each * step)
         if seen is not None:
             found = found.drop("rank").join(seen.select("_query", id_col), ["_query", id_col], "left_anti")
