@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from mnemora.functions import gates, scores, text, timeparse
-from mnemora.operators import aggregates, filters, joins, maintenance, retrieval, windows
+from mnemora.operators import aggregates, filters, joins, maintenance, retrieval, search, windows
 from mnemora.sources import jsonl
 from mnemora.storage import written
 from mnemora.sources.tables import conversation_timeline, event_facts, event_timeline, spread, table
@@ -253,10 +253,15 @@ df AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
 s AS (SELECT item_id, doc_id, sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl))) AS score FROM tf JOIN df USING (term) JOIN q USING (term), total GROUP BY ALL)"""
 
 
+def _by_words(spark: SparkSession, sf_dir: str, n: int) -> DataFrame:
+    """The n documents of each item with the best BM25 scores."""
+    s = search.best(tokens_of(spark, sf_dir), table(spark, sf_dir, "benchmark"), n).select("item_id", "doc_id", F.round("score", 6).alias("score"))
+    return retrieval.ranked(s, "item_id", "doc_id", n)
+
+
 @query(f"WITH {_BM25} SELECT item_id, doc_id, round(score, 6) AS score, row_number() OVER (PARTITION BY item_id ORDER BY round(score, 6) DESC, doc_id)::INT AS rank FROM s QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY round(score, 6) DESC, doc_id) <= 10")
 def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = retrieval.bm25(tokens_of(spark, sf_dir), table(spark, sf_dir, "benchmark")).withColumn("score", F.round("score", 6))
-    return retrieval.ranked(s, "item_id", "doc_id", 10)
+    return _by_words(spark, sf_dir, 10)
 
 
 @query(f"WITH {_BM25} SELECT term, df, round(ln(1 + (n - df + 0.5) / (df + 0.5)), 6) AS idf FROM df, total")
@@ -290,10 +295,9 @@ r AS (SELECT item_id, doc_id, sum(1.0::DOUBLE / (60 + rank)) AS rrf FROM (FROM a
 
 
 def _two_lists(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    docs, q = tokens_of(spark, sf_dir), table(spark, sf_dir, "benchmark")
-    one = retrieval.bm25(docs, q).withColumn("score", F.round("score", 6))
-    words = q.select("item_id", F.explode(F.array_distinct(text.tokens(F.col("text")))).alias("term"))
-    hits = docs.select(F.col("_d").alias("doc_id"), F.explode_outer(F.array_distinct("_t")).alias("term")).join(words, "term").groupBy("item_id", "doc_id").agg(F.count("*").alias("score"))
+    found = search.best(tokens_of(spark, sf_dir), table(spark, sf_dir, "benchmark"), 32, by_hits=True)
+    one = found.select("item_id", "doc_id", F.round("score", 6).alias("score"))
+    hits = found.select("item_id", "doc_id", F.col("hits").alias("score"))
     return retrieval.ranked(one, "item_id", "doc_id", 32), retrieval.ranked(hits, "item_id", "doc_id", 32)
 
 
@@ -333,7 +337,7 @@ def fused_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(None)
 def mmr_select(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = tokens_of(spark, sf_dir)
-    top = written(retrieval.ranked(retrieval.bm25(docs, table(spark, sf_dir, "benchmark")).withColumn("score", F.round("score", 6)), "item_id", "doc_id", 32), "top")
+    top = written(_by_words(spark, sf_dir, 32), "top")
     terms = docs.withColumnRenamed("_d", "doc_id").join(top.select("doc_id").distinct(), "doc_id", "left_semi").select("doc_id", F.array_distinct("_t").alias("terms"))
     return retrieval.mmr(top.join(terms, "doc_id"), "item_id", "doc_id", "terms", "score", 16)
 
