@@ -49,3 +49,18 @@ def test_labels_of_one_kind_or_none(spark, docs, empty):
     none = spark.createDataFrame([], "doc_id long, toxic int")
     assert 0 <= train_classifier(docs, none, F.lit(True)).score(None) <= 1
     assert 0 <= train_classifier(empty, labels, F.lit(True)).score("") <= 1
+
+
+def test_all_labelled_rows_and_features_teach(spark):
+    """Words of which each is in a tenth of the toxic texts: sixteen of these have too few of any."""
+    r, words = random.Random(5), ["".join(random.Random(k).choices("qxzvwy", k=7)) for k in range(10)]
+    plain = lambda: " ".join("".join(r.choices("abcdeo", k=4)) for _ in range(40))
+    rows = [(i, f"{plain()} {words[i // 4 % 10]} {plain()}" if i % 4 == 0 else plain(), int(i % 4 == 0)) for i in range(480)]
+    docs = spark.createDataFrame([x[:2] for x in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, toxic int")
+    model = train_classifier(docs, labels, F.lit(True), sample=16)
+    assert all(model.score(f"{plain()} {w}") > model.score(plain()) + 0.2 for w in words)
+    long = "".join(chr(0x4E00 + (i * i * 7 + i) % 20000) for i in range(60_000))  # more than 2**15 features
+    docs = spark.createDataFrame([(i, (long if i < 6 else "") + f" text {i % 3}") for i in range(12)], "doc_id long, text string")
+    model = train_classifier(docs, spark.createDataFrame([(i, int(i < 6)) for i in range(12)], "doc_id long, toxic int"), F.lit(True))
+    assert (model.weight != 0).sum() > 2**15
