@@ -13,8 +13,8 @@ from mnemora.functions.text import tokens
 from mnemora.operators.search import K1, B, best
 from mnemora.storage import written
 
-#: Vectors, and queries, that meet in a task.
-BLOCK, QUERIES = 8192, 4096
+#: Vectors, and queries, that meet in a task, and the scores of them that it has at once.
+BLOCK, QUERIES, SCORES = 8192, 4096, 1 << 20
 
 
 def tokenised(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -92,14 +92,19 @@ def nearest_by_cosine(vectors: DataFrame, is_query: Column, k: int, id_col: str
     def run(q: pd.DataFrame, x: pd.DataFrame) -> pd.DataFrame:
         if not len(q) or not len(x):
             return pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
-        score = np.zeros((len(q), len(x)))
-        for length in {len(v) for v in q["v"] if v is not None and len(v)}:
-            (a, left), (b, right) = unit(q["v"], length), unit(x["v"], length)
-            score[np.ix_(np.flatnonzero(a), np.flatnonzero(b))] = left @ right.T
-        score, ids = np.round(score, 6), x["id"].to_numpy()
-        order = np.argsort(ids, kind="stable")
-        top = order[np.argsort(-score[:, order], axis=1, kind="stable")[:, :k]]
-        return pd.DataFrame({"query_id": np.repeat(q["id"].to_numpy(), top.shape[1]), "vec_id": ids[top].ravel(), "score": np.take_along_axis(score, top, 1).ravel()})
+        x = x.sort_values("id", kind="stable")  # a stable order of scores leaves ties by id
+        ids, units = x["id"].to_numpy(), {n: unit(x["v"], n) for n in {len(v) for v in q["v"] if v is not None and len(v)}}
+        step, out = max(1, SCORES // len(x)), []
+        for lo in range(0, len(q), step):
+            some = q.iloc[lo : lo + step]
+            score = np.zeros((len(some), len(x)))
+            for length, (b, right) in units.items():
+                a, left = unit(some["v"], length)
+                score[np.ix_(np.flatnonzero(a), np.flatnonzero(b))] = left @ right.T
+            score = np.round(score, 6)
+            top = np.argsort(-score, axis=1, kind="stable")[:, :k]
+            out.append(pd.DataFrame({"query_id": np.repeat(some["id"].to_numpy(), top.shape[1]), "vec_id": ids[top].ravel(), "score": np.take_along_axis(score, top, 1).ravel()}))
+        return pd.concat(out)
 
     kind = dict(d.dtypes)["id"]
     found = asks.groupBy("block", "set").cogroup(rows.groupBy("block", "set")).applyInPandas(run, f"query_id {kind}, vec_id {kind}, score double")
