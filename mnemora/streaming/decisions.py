@@ -17,6 +17,7 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from mnemora.operators.ingest import LOG, Slots, logged
 from mnemora.operators.memory import PLACES, SHOWN, Shown, shown_rows, turns_of
 from mnemora.operators.replies import OUT, Gate
+from mnemora.streaming.jobs import in_order
 
 
 class Ingest(StatefulProcessor):
@@ -62,10 +63,10 @@ class Replies(StatefulProcessor):
         gate = Gate(*self.gate)
         if self.held.exists():
             gate.start(*self.held.get())
-        batch = pd.concat(list(rows)).sort_values(["ts", "id"])
-        out = [(key[0], r.id, r.ts, *((r.rule, False) if r.rule else gate.decide(int(r.ts), r.reason, r.fires))) for r in batch.itertuples()]
+        for batch in in_order(rows, ["ts", "id"]):
+            out = [(key[0], r.id, r.ts, *((r.rule, False) if r.rule else gate.decide(int(r.ts), r.reason, r.fires))) for r in batch.itertuples()]
+            yield pd.DataFrame(out, columns=["key", "id", "ts", "outcome", "fired"])
         self.held.update((gate.last, gate.day, gate.n))
-        yield pd.DataFrame(out, columns=["key", "id", "ts", "outcome", "fired"])
 
     def close(self) -> None:
         pass
@@ -93,8 +94,14 @@ class Remembered(StatefulProcessor):
         held = Shown(self.window, self.places)
         for fact, ts in sorted(before.items(), key=lambda x: x[1]):
             held.put(fact, ts)
-        batch = pd.concat(list(rows)).sort_values(["ts", "turn_id", "place"])
-        out = [(w, turn, ts, *x) for (w, ts, turn), found in turns_of(batch) for x in held.turn(ts, found)]
+        rest = None
+        for batch in in_order((r.drop(columns="_at", errors="ignore") for r in rows), ["ts", "turn_id", "place"]):
+            batch = batch if rest is None else pd.concat([rest, batch])
+            last = (batch["turn_id"] == batch["turn_id"].iloc[-1]) & (batch["ts"] == batch["ts"].iloc[-1])  # may go on in the next step
+            batch, rest = batch[~last], batch[last]
+            yield shown_rows([(w, turn, ts, *x) for (w, ts, turn), found in turns_of(batch) for x in held.turn(ts, found)])
+        if rest is not None:
+            yield shown_rows([(w, turn, ts, *x) for (w, ts, turn), found in turns_of(rest) for x in held.turn(ts, found)])
         for fact in before.keys() - held.last.keys():
             self.last.removeKey((fact,))
         for fact, ts in held.last.items():
@@ -104,7 +111,6 @@ class Remembered(StatefulProcessor):
             self.handle.deleteTimer(t)
         if held.last:
             self.handle.registerTimer((max(held.last.values()) + self.window) * 1000 + 1)
-        yield shown_rows(out)
 
     def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:
         self.last.clear()

@@ -10,6 +10,7 @@ import uuid
 from collections.abc import Iterator
 from typing import Any
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -75,8 +76,34 @@ def running_term_counts(rows: DataFrame, text_col: str = "text") -> DataFrame:
     return rows.select(F.explode(terms(F.lower(text_col))).alias("term")).groupBy("term").agg(F.count("*").alias("n"))
 
 
-def _micros(t: Any) -> int:
-    return int(pd.Timestamp(t).value // 1000)
+#: Rows of a key that are worked on, and given, at once.
+STEP = 8192
+
+
+def in_order(rows: Iterator[pd.DataFrame], by: list[str]) -> Iterator[pd.DataFrame]:
+    """A key's rows of one batch in order, STEP at a time, with times as microseconds.
+
+    Until all have come they are held as numbers, texts as numbers of their different values: some bytes a column.
+    """
+    held: dict[str, list[np.ndarray]] = {}
+    values: dict[str, dict[Any, int]] = {}
+    for piece in rows:
+        for c in piece.columns:
+            x = piece[c]
+            if pd.api.types.is_datetime64_any_dtype(x.dtype):
+                x = pd.DatetimeIndex(x).as_unit("us").asi8
+            elif not isinstance(x.dtype, np.dtype) or x.dtype == object:
+                known = values.setdefault(c, {})
+                x = np.fromiter((known.setdefault(None if v is None or v is pd.NA or v != v else v, len(known)) for v in x), np.int32, len(x))
+            held.setdefault(c, []).append(np.asarray(x))
+    if not held:
+        return
+    columns = {c: np.concatenate(held.pop(c)) for c in list(held)}
+    order = np.lexsort([columns[c] for c in reversed(by)])
+    texts = {c: np.array([*known, None], object)[:-1] for c, known in values.items()}
+    for lo in range(0, len(order), STEP):
+        at = order[lo : lo + STEP]
+        yield pd.DataFrame({c: texts[c][x[at]] if c in texts else x[at] for c, x in columns.items()})
 
 
 class Debounce(StatefulProcessor):
@@ -95,19 +122,21 @@ class Debounce(StatefulProcessor):
         self.held = handle.getValueState("held", "first_us long, last_us long, fragments int, merged string")
 
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
-        batch = pd.concat(list(rows)).sort_values(["ts", "id"])
-        held, out = self.held.get() if self.held.exists() else None, []
-        for ts, piece in zip(batch["ts"], batch["piece"]):
-            at = _micros(ts)
-            if held and (at - held[1] > self.gap or at - held[0] > self.span or held[2] >= self.most):
-                out.append((key[0], *held))
-                held = None
-            held = (held[0], at, held[2] + 1, f"{held[3]} {piece}") if held else (at, at, 1, piece)
+        before = self.held.exists()
+        held = self.held.get() if before else None
+        for batch in in_order(rows, ["ts", "id"]):
+            out = []
+            for at, piece in zip(batch["ts"].tolist(), batch["piece"].tolist()):
+                if held and (at - held[1] > self.gap or at - held[0] > self.span or held[2] >= self.most):
+                    out.append((key[0], *held))
+                    held = None
+                held = (held[0], at, held[2] + 1, f"{held[3]} {piece}") if held else (at, at, 1, piece)
+            if out:
+                yield pd.DataFrame(out, columns=["key", "first_us", "last_us", "fragments", "merged"])
         self.held.update(held)
-        for t in self.handle.listTimers():
+        for t in self.handle.listTimers() if before else ():  # what holds nothing has no timer
             self.handle.deleteTimer(t)
         self.handle.registerTimer((held[1] + self.gap) // 1000 + 1)
-        yield pd.DataFrame(out, columns=["key", "first_us", "last_us", "fragments", "merged"])
 
     def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:
         if self.held.exists():
@@ -138,17 +167,19 @@ class Unanswered(StatefulProcessor):
         self.asked = handle.getValueState("asked", "id long, speaker long, asked_us long")
 
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
-        batch = pd.concat(list(rows)).sort_values(["ts", "id"])
-        asked, out = self.asked.get() if self.asked.exists() else None, []
-        for r in batch.itertuples():
-            at = _micros(r.ts)
-            if asked and at - asked[2] > self.wait:
-                out.append((key[0], asked[0], asked[2]))
-                asked = None
-            if r.question:
-                asked = (int(r.id), int(r.speaker), at)
-            elif asked and r.speaker != asked[1]:
-                asked = None
+        asked = self.asked.get() if self.asked.exists() else None
+        for batch in in_order(rows, ["ts", "id"]):
+            out = []
+            for r in batch.itertuples():
+                at = int(r.ts)
+                if asked and at - asked[2] > self.wait:
+                    out.append((key[0], asked[0], asked[2]))
+                    asked = None
+                if r.question:
+                    asked = (int(r.id), int(r.speaker), at)
+                elif asked and r.speaker != asked[1]:
+                    asked = None
+            yield pd.DataFrame(out, columns=["key", "id", "asked_us"])
         for t in self.handle.listTimers():
             self.handle.deleteTimer(t)
         if asked:
@@ -156,7 +187,6 @@ class Unanswered(StatefulProcessor):
             self.handle.registerTimer((asked[2] + self.wait) // 1000 + 1)
         elif self.asked.exists():
             self.asked.clear()
-        yield pd.DataFrame(out, columns=["key", "id", "asked_us"])
 
     def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:
         if self.asked.exists():
