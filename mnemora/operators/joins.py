@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from mnemora.functions.text import jaccard, normalize_slot, tokens
 from mnemora.storage import written
 
+#: Rows of a block; terms that so many rows of two blocks have are met by a product of matrices, others by lists.
+BLOCK, FREQUENT = 2048, 64
+
 
 def with_count(left: DataFrame, right: DataFrame, on: tuple[str, str], name: str) -> DataFrame:
     """left with the number of its rows in right; 0 where there are none."""
@@ -41,17 +46,46 @@ def names_within(texts: DataFrame, names: DataFrame, id_col: str, text_col: str,
 def similar_pairs(rows: DataFrame, id_col: str, terms_col: str, threshold: float) -> DataFrame:
     """(a, b, similarity): pairs of rows whose sets of terms have this Jaccard similarity or more, a before b.
 
-    Terms are ordered from rare to common; of n terms the first n - ceil(threshold * n) + 1 must have one in common with
-    a similar row's, so only rows that share one of these meet, by equality. Rows without terms have no partner.
+    A low threshold rules out few pairs by single terms, so every two rows meet, by numbers: rows are dealt into blocks, a
+    task has two blocks and counts what their rows share, and gives pairs that are similar by hashes of terms. Only
+    these meet with their terms. The work is a square of the rows; memory is that of two blocks. Rows without terms have
+    no partner.
     """
-    d = rows.select(F.col(id_col).alias("_i"), F.array_distinct(terms_col).alias("_s")).where(F.size("_s") > 0)
-    each = d.select("_i", F.size("_s").alias("_n"), F.explode("_s").alias("_w"))
-    rare = each.groupBy("_w").agg(F.count("*").alias("_df"))
-    place = F.row_number().over(Window.partitionBy("_i").orderBy("_df", "_w"))
-    head = each.join(rare, "_w").withColumn("_p", place).where(F.col("_p") <= F.col("_n") - F.ceil(threshold * F.col("_n") - 1e-9) + 1)
-    a = head.select("_w", F.col("_i").alias("a"), F.col("_n").alias("_na"))
-    b = head.select("_w", F.col("_i").alias("b"), F.col("_n").alias("_nb"))
-    met = a.join(b, "_w").where((F.col("a") < F.col("b")) & (F.least("_na", "_nb") >= threshold * F.greatest("_na", "_nb") - 1e-9)).select("a", "b").distinct()
+    d = written(rows.select(F.col(id_col).alias("_i"), F.array_distinct(terms_col).alias("_s")).where((F.size("_s") > 0) & F.col("_i").isNotNull()), "similar")
+    blocks = max(1, -(-d.count() // BLOCK))
+    mine = F.pmod(F.xxhash64("_i", "_s"), F.lit(blocks)).cast("int")
+    hashes = d.select("_i", F.transform("_s", lambda t: F.xxhash64(t)).alias("_h"), mine.alias("_b"))
+    dealt = hashes.withColumn("_o", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).withColumns({"_x": F.least("_b", "_o"), "_y": F.greatest("_b", "_o")}).drop("_o")
+    kind = dict(d.dtypes)["_i"]
+
+    def meet(g: pd.DataFrame) -> pd.DataFrame:
+        x, y = g[g["_b"] == g["_x"]], g[g["_b"] == g["_y"]]
+        if not len(x) or not len(y):
+            return pd.DataFrame({"a": g["_i"].iloc[:0], "b": g["_i"].iloc[:0]})
+        sizes = [np.array([len(h) for h in side["_h"]]) for side in (x, y)]
+        owner = [np.repeat(np.arange(len(n)), n) for n in sizes]
+        found, at, df = np.unique(np.concatenate([*x["_h"], *y["_h"]]), return_inverse=True, return_counts=True)
+        term = [at[: sizes[0].sum()], at[sizes[0].sum() :]]
+        often = df >= FREQUENT
+        column = np.cumsum(often) - 1
+        shared, rare = [], []
+        for t, o, n in zip(term, owner, sizes):
+            table = np.zeros((len(n), int(often.sum())), np.float32)
+            table[o[often[t]], column[t[often[t]]]] = 1
+            shared.append(table)
+            rare.append((t[~often[t]], o[~often[t]]))
+        both = (shared[0] @ shared[1].T).astype(np.int64)
+        order = np.argsort(rare[1][0], kind="stable")
+        other, who = rare[1][0][order], rare[1][1][order]
+        start, end = np.searchsorted(other, rare[0][0]), np.searchsorted(other, rare[0][0], "right")
+        times = end - start
+        partner = who[np.repeat(start - (np.cumsum(times) - times), times) + np.arange(times.sum())]
+        both += np.bincount(np.repeat(rare[0][1], times) * len(y) + partner, minlength=both.size).reshape(both.shape)
+        i, j = np.nonzero(both >= threshold * (sizes[0][:, None] + sizes[1][None, :] - both) - 1e-9)
+        return pd.DataFrame({"a": x["_i"].to_numpy()[i], "b": y["_i"].to_numpy()[j]})
+
+    near = dealt.groupBy("_x", "_y").applyInPandas(meet, f"a {kind}, b {kind}").where(F.col("a") != F.col("b"))
+    met = near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     full = met.join(d.select(F.col("_i").alias("a"), F.col("_s").alias("_sa")), "a").join(d.select(F.col("_i").alias("b"), F.col("_s").alias("_sb")), "b")
     return full.withColumn("similarity", jaccard(F.col("_sa"), F.col("_sb"))).where(F.col("similarity") >= threshold - 1e-9).select("a", "b", "similarity")
 
