@@ -24,7 +24,8 @@ _SHAPE = "request_id int, query string, speaker_ids array<string>, ask_persona s
 
 
 def asked(spark: SparkSession) -> DataFrame:
-    return requests.routed(spark.createDataFrame(ASKED, _SHAPE).withColumn("as_of", F.lit(AS_OF)))
+    """The requests, len(ASKED) rows: they go to what they meet, which has owners' rows in plenty under one key."""
+    return F.broadcast(requests.routed(spark.createDataFrame(ASKED, _SHAPE).withColumn("as_of", F.lit(AS_OF))))
 
 
 def _text(s: str) -> str:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from mnemora.operators import flow, requests, retrieval, windows
 from mnemora.plans import catalogue, people, streams  # noqa: F401  registers queries
 from mnemora.plans.requests import AS_OF, ASKED, asked
-from mnemora.sources.tables import memory_facts
+from mnemora.sources.tables import event_episodes, memory_facts
 
 DATA = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not Path(DATA).exists(), reason="no test data")
@@ -145,3 +145,10 @@ def test_stream_unanswered_equals_a_fold(spark):
     open_ = {(k, a[0]) for k, a in asked_.items() if a}
     sure = set(want) | {(k, a[0]) for k, a in asked_.items() if a and a[2] + wait < end - 10**6}
     assert sure <= set(got) <= sure | open_ and want
+
+
+def test_requests_are_sent_to_what_they_meet(spark):
+    """The owner's facts and episodes have one key: none of them is dealt by it."""
+    met = requests.ranked_episodes(asked(spark), event_episodes(spark, DATA), 8)
+    plan = met._jdf.queryExecution().optimizedPlan().toString()
+    assert "strategy=broadcast" in plan
