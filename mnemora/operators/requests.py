@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from mnemora.functions import gates, matching, scores, visibility
-from mnemora.functions.text import tokens
+from mnemora.functions.text import let, tokens
 
 from .retrieval import B, K1
 
@@ -69,6 +69,38 @@ def word_scores(visible: DataFrame, text_col: str = "content", key: str = "reque
     return s.select(key, item, (F.col("_s") / F.max("_s").over(Window.partitionBy(key))).alias("words"))
 
 
+def _meeting(requests: DataFrame, rows: DataFrame, asked: Column, held: Column) -> DataFrame:
+    """Requests with all rows that hold one of the keys that they ask for (arrays), each pair once, by the first of its keys."""
+    r = requests.withColumn("_asked", F.array_compact(asked)).withColumn("_key", F.explode(F.array_distinct("_asked")))
+    d = rows.withColumn("_held", F.array_distinct(F.array_compact(held))).withColumn("_key", F.explode("_held"))
+    first = F.get(F.array_intersect("_held", "_asked"), F.lit(0))
+    return r.join(d, "_key").where(first == F.col("_key")).drop("_key", "_asked", "_held")
+
+
+def with_words(visible: DataFrame, content: Column) -> DataFrame:
+    """visible with `words`: BM25 of each row's content for its request's query among the request's rows, the best of them 1.
+
+    For few requests with very many rows. Rows with equal numbers of words have equal scores, so numbers are counted
+    first; what the rows then meet is one line for each request, which is broadcast as the requests are.
+    """
+    c = F.col
+    asked = F.array_distinct(tokens(c("query")))
+    times = let(tokens(content), lambda t: F.struct(F.size(t).alias("dl"), F.transform(asked, lambda q: F.size(F.filter(t, lambda x: x == q))).alias("tf")))
+    d = visible.withColumn("_w", times)
+    alike = d.groupBy("request_id", "_w").agg(F.count("*").alias("_n"))
+    total = alike.groupBy("request_id").agg(F.sum("_n").alias("_all"), (F.sum(c("_n") * c("_w.dl")) / F.sum("_n")).alias("_mean"))
+    df = alike.select("request_id", "_n", F.posexplode("_w.tf").alias("_at", "_tf")).groupBy("request_id", "_at").agg(F.sum(F.when(c("_tf") > 0, c("_n")).otherwise(0)).alias("_df"))
+    dfs = df.groupBy("request_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("_at", "_df"))), lambda x: x["_df"]).alias("_dfs"))
+    of = total.join(dfs, "request_id", "left")
+    idf = F.transform(F.coalesce("_dfs", F.array().cast("array<bigint>")), lambda n: F.log(1 + (c("_all") - n + 0.5) / (n + 0.5)))
+    of = of.select("request_id", "_mean", idf.alias("_idf"))
+    part = lambda n, idf: F.when(n > 0, idf * n * (K1 + 1) / (n + K1 * (1 - B + B * c("_w.dl") / c("_mean")))).otherwise(0.0)
+    score = F.aggregate(F.zip_with("_w.tf", "_idf", part), F.lit(0.0), lambda s, x: s + x)
+    best = alike.join(F.broadcast(of), "request_id").groupBy("request_id").agg(F.max(score).alias("_best"))  # a line for each request
+    d = d.join(F.broadcast(of.join(best, "request_id")), "request_id")  # a line for each request
+    return d.withColumn("words", F.when(c("_best") > 0, score / c("_best")).otherwise(0.0)).drop("_w", "_mean", "_idf", "_best")
+
+
 def _matched() -> Column:
     return matching.names(F.col("query"), F.array("value", "content"))
 
@@ -205,27 +237,23 @@ def histories(requests: DataFrame, facts: DataFrame, limit: int) -> DataFrame:
 
 
 def ranked_episodes(requests: DataFrame, episodes: DataFrame, limit: int) -> DataFrame:
-    """(request_id, id, score, rank): the episodes that an asker may see, by score; the best `limit`.
+    """(request_id, id, score, rank): the episodes that an asker may see, all of them scored; the best `limit`.
 
-    requests have start and end: the time that the route looks back on, 0 for no bound. Episodes meet requests by each
-    of their speakers, by window under strict isolation, and the owner's by themselves.
+    requests have start and end: the time that the route looks back on, 0 for no bound; they are few, and sent to the
+    episodes. They meet by each of an episode's speakers, by window under strict isolation, and the owner's by themselves.
     """
     c = F.col
     strict = (c("isolation") == "strict") & (c("window_tag") != "")
-    keys = F.explode(F.when(strict, F.array(F.concat(F.lit("@"), "window_tag"))).otherwise(F.array_distinct(F.concat("speaker_ids", F.array(F.lit("#owner")))))).alias("_key")
-    owner = F.when(c("scope") == "owner", F.array(F.lit("#owner"))).otherwise(F.array().cast("array<string>"))
-    keyed = episodes.select("*", F.explode(F.array_distinct(F.concat("event_speakers", F.array(F.concat(F.lit("@"), "event_window")), owner))).alias("_key"))
-    met = requests.select("*", keys).join(keyed, "_key").drop("_key").dropDuplicates(["request_id", "id"])
+    asked = F.when(strict, F.array(F.concat(F.lit("@"), "window_tag"))).otherwise(F.concat("speaker_ids", F.array(F.lit("#owner"))))
+    held = F.concat("event_speakers", F.array(F.concat(F.lit("@"), "event_window"), F.when(c("scope") == "owner", "#owner")))
+    met = _meeting(requests, episodes, asked, held)
     met = met.where(((c("start") == 0) | (c("end_ts") >= c("start"))) & ((c("end") == 0) | (c("start_ts") <= c("end"))))
-    newest = F.row_number().over(Window.partitionBy("request_id").orderBy(F.desc("start_ts"), "id"))
-    met = met.withColumn("_n", newest).where(c("_n") <= OWN).drop("_n")
     reason = visibility.episode_reason(c("status"), c("review_status"), c("persona_id"), c("scope"), c("event_speakers"), c("event_window"), route=c("route"), ids=c("speaker_ids"), ask_persona=c("ask_persona"), ask_window=c("window_tag"), isolation=c("isolation"), owners=c("owners"))
-    seen = met.where(reason == "visible").withColumn("_text", matching.fact_text(c("title"), c("summary")))
-    d = seen.join(word_scores(seen, "_text"), ["request_id", "id"], "left")
+    d = with_words(met.where(reason == "visible"), matching.fact_text(c("title"), c("summary")))
     weight = scores.decay_weight(c("importance"), c("confidence"), c("pinned"), F.lit(0), c("end_ts"), c("as_of"))
     before = (c("end") > 0) & (c("end_ts") <= c("end"))
     named = matching.names(c("query"), F.array("title", "summary"))
-    s = scores.event_score(F.coalesce("words", F.lit(0.0)), scores.age_days(c("as_of"), c("end_ts")), c("confidence"), weight, c("pinned"), named, c("route"), before, F.lit(False))
+    s = scores.event_score(c("words"), scores.age_days(c("as_of"), c("end_ts")), c("confidence"), weight, c("pinned"), named, c("route"), before, F.lit(False))
     d = d.withColumn("score", F.round(s, 9)).withColumn("rank", F.row_number().over(Window.partitionBy("request_id").orderBy(F.desc("score"), "id")))
     return d.where(c("rank") <= limit).select("request_id", "id", "score", "rank")
 

@@ -168,8 +168,8 @@ def event_visibility(spark: SparkSession, sf_dir: str) -> DataFrame:
 _EP_NAMED = f"(len(list_filter({TOKENS.format('title')} || {TOKENS.format('summary')}, lambda t: length(t) >= 2 AND contains(lower(q), t))) > 0 OR (length(title) BETWEEN 2 AND 15 AND contains(lower(q), lower(title))))"
 
 
-@query(f"""WITH {_REQ}, {_EPISODES}, met AS (SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY start_ts DESC, id) AS k FROM req, episodes
-    WHERE CASE WHEN iso = 'strict' AND win <> '' THEN event_window = win ELSE len(list_intersect(speakers, ids)) > 0 OR scope = 'owner' END AND (s = 0 OR end_ts >= s) AND (e = 0 OR start_ts <= e) QUALIFY k <= 240),
+@query(f"""WITH {_REQ}, {_EPISODES}, met AS (SELECT * FROM req, episodes
+    WHERE CASE WHEN iso = 'strict' AND win <> '' THEN event_window = win ELSE len(list_intersect(speakers, ids)) > 0 OR scope = 'owner' END AND (s = 0 OR end_ts >= s) AND (e = 0 OR start_ts <= e)),
   vis AS (SELECT *, title || ' ' || summary AS txt FROM met WHERE {_EP_REASON} = 'visible'), {_words("vis", "txt")},
   sc AS (SELECT *, greatest(0.0, ({AS_OF} - end_ts) / 86400.0::DOUBLE) AS age FROM vis LEFT JOIN words USING (request_id, id)),
   f AS (SELECT request_id, id, round(coalesce(words, 0.0) + 0.25 / (1.0 + age / 14.0) + 0.2 * least(1.0, confidence) + 0.25 * CASE WHEN pinned THEN 1.0 ELSE 0.5 * pow(0.5, age / 30.0) END + 0.25 * pinned::INT + 2.5 * {_EP_NAMED}::INT
