@@ -2,16 +2,22 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from mnemora.functions.text import jaccard, normalize_slot, tokens
+from mnemora.functions.text import normalize_slot, tokens
 from mnemora.storage import written
 
-#: Rows of a block; terms that so many rows of two blocks have are met by a product of matrices, others by lists.
-BLOCK, FREQUENT = 2048, 64
+#: Rows and terms of a block, and rows of a tile of it.
+BLOCK, TERMS, TILE = 8192, 2**20, 1024
+#: Terms that so many rows of two tiles have are met by a product of matrices, so many terms at most; others by lists.
+FREQUENT, COLUMNS = 48, 512
+#: So many of the commonest terms tell which rows lie together.
+COMMON = 32
 
 
 def with_count(left: DataFrame, right: DataFrame, on: tuple[str, str], name: str) -> DataFrame:
@@ -46,48 +52,147 @@ def names_within(texts: DataFrame, names: DataFrame, id_col: str, text_col: str,
 def similar_pairs(rows: DataFrame, id_col: str, terms_col: str, threshold: float) -> DataFrame:
     """(a, b, similarity): pairs of rows whose sets of terms have this Jaccard similarity or more, a before b.
 
-    A low threshold rules out few pairs by single terms, so every two rows meet, by numbers: rows are dealt into blocks, a
-    task has two blocks and counts what their rows share, and gives pairs that are similar by hashes of terms. Only
-    these meet with their terms. The work is a square of the rows; memory is that of two blocks. Rows without terms have
-    no partner.
+    A low threshold rules out few pairs by single terms, so every two blocks of rows meet, and a task counts what the rows
+    of two blocks share. Blocks are written once, as numbers; tasks read them from there, so disk grows with the rows
+    and only work with their square. Memory is that of a few blocks. Blocks hold rows of like words and sizes, and rows
+    that have too few words in common with all of a block are left out of its product. Rows without terms have no partner.
     """
-    d = written(rows.select(F.col(id_col).alias("_i"), F.array_distinct(terms_col).alias("_s")).where((F.size("_s") > 0) & F.col("_i").isNotNull()), "similar")
-    blocks = max(1, -(-d.count() // BLOCK))
-    mine = F.pmod(F.xxhash64("_i", "_s"), F.lit(blocks)).cast("int")
-    hashes = d.select("_i", F.transform("_s", lambda t: F.xxhash64(t)).alias("_h"), mine.alias("_b"))
-    dealt = hashes.withColumn("_o", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).withColumns({"_x": F.least("_b", "_o"), "_y": F.greatest("_b", "_o")}).drop("_o")
-    kind = dict(d.dtypes)["_i"]
-
-    def meet(g: pd.DataFrame) -> pd.DataFrame:
-        x, y = g[g["_b"] == g["_x"]], g[g["_b"] == g["_y"]]
-        if not len(x) or not len(y):
-            return pd.DataFrame({"a": g["_i"].iloc[:0], "b": g["_i"].iloc[:0]})
-        sizes = [np.array([len(h) for h in side["_h"]]) for side in (x, y)]
-        owner = [np.repeat(np.arange(len(n)), n) for n in sizes]
-        found, at, df = np.unique(np.concatenate([*x["_h"], *y["_h"]]), return_inverse=True, return_counts=True)
-        term = [at[: sizes[0].sum()], at[sizes[0].sum() :]]
-        often = df >= FREQUENT
-        column = np.cumsum(often) - 1
-        shared, rare = [], []
-        for t, o, n in zip(term, owner, sizes):
-            table = np.zeros((len(n), int(often.sum())), np.float32)
-            table[o[often[t]], column[t[often[t]]]] = 1
-            shared.append(table)
-            rare.append((t[~often[t]], o[~often[t]]))
-        both = (shared[0] @ shared[1].T).astype(np.int64)
-        order = np.argsort(rare[1][0], kind="stable")
-        other, who = rare[1][0][order], rare[1][1][order]
-        start, end = np.searchsorted(other, rare[0][0]), np.searchsorted(other, rare[0][0], "right")
-        times = end - start
-        partner = who[np.repeat(start - (np.cumsum(times) - times), times) + np.arange(times.sum())]
-        both += np.bincount(np.repeat(rare[0][1], times) * len(y) + partner, minlength=both.size).reshape(both.shape)
-        i, j = np.nonzero(both >= threshold * (sizes[0][:, None] + sizes[1][None, :] - both) - 1e-9)
-        return pd.DataFrame({"a": x["_i"].to_numpy()[i], "b": y["_i"].to_numpy()[j]})
-
-    near = dealt.groupBy("_x", "_y").applyInPandas(meet, f"a {kind}, b {kind}").where(F.col("a") != F.col("b"))
-    met = near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    full = met.join(d.select(F.col("_i").alias("a"), F.col("_s").alias("_sa")), "a").join(d.select(F.col("_i").alias("b"), F.col("_s").alias("_sb")), "b")
-    return full.withColumn("similarity", jaccard(F.col("_sa"), F.col("_sb"))).where(F.col("similarity") >= threshold - 1e-9).select("a", "b", "similarity")
+    d = written(rows.select(F.col(id_col).alias("_i"), F.array_distinct(F.array_compact(terms_col)).alias("_s")), "similar").where((F.size("_s") > 0) & F.col("_i").isNotNull())
+    words = written(d.select(F.explode("_s").alias("_t")).groupBy("_t").agg(F.count("*").alias("_df")), "words")
+    number = next(h for h in map(_number, range(64)) if words.groupBy(h("_t")).count().where("count > 1").isEmpty())  # no two terms have one number
+    common = F.array(*[F.lit(r[0]) for r in words.orderBy(F.desc("_df"), "_t").limit(COMMON).select(number("_t")).collect()]).cast("array<bigint>")
+    kind, blocks = dict(d.dtypes)["_i"], max(1, -(-d.count() // (BLOCK * 3 // 4)))
+    d = d.select("_i", F.transform("_s", number).alias("_h"))
+    like = {"_x": F.get(F.array_intersect(common, "_h"), F.lit(0)), "_y": F.size("_h"), "_z": F.xxhash64("_i")}
+    dealt = d.withColumns(like).repartitionByRange(blocks, *like).sortWithinPartitions(*like).select("_i", "_h")
+    held = f"ids array<{kind}>, sizes array<int>, terms array<bigint>, at array<int>"
+    block = written(dealt.mapInArrow(_blocks_of(BLOCK), held).withColumn("n", F.monotonically_increasing_id()), "blocks")
+    x, y = ([F.col(c).alias(f"{side}_{c}") for c in block.columns] for side in "xy")
+    once = F.when((F.col("x_n") + F.col("y_n")) % 2 == 0, F.col("x_n") <= F.col("y_n")).otherwise(F.col("x_n") > F.col("y_n"))  # half of each block's pairs in each order
+    both = block.select(*x).join(block.select(*y).hint("shuffle_replicate_nl"), once)
+    found = both.mapInArrow(_met(threshold, TILE, FREQUENT), f"a {kind}, b {kind}, similarity double").where(F.col("a") != F.col("b"))
+    return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "similarity")
+
+
+def _number(seed: int) -> Callable[[Column | str], Column]:
+    return lambda t: F.xxhash64(F.lit(seed), t)
+
+
+def _blocks_of(most: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Rows (id, numbers of terms) as blocks of `most` rows and TERMS terms at most, or of one row: a block's terms once, and where each row has them."""
+
+    def packed(ids: list[pa.Array], lists: list[pa.Array]) -> pa.RecordBatch:
+        sizes = np.concatenate([x.value_lengths().to_numpy(zero_copy_only=False) for x in lists]).astype(np.int32)
+        terms, at = np.unique(np.concatenate([x.flatten().to_numpy(zero_copy_only=False) for x in lists]), return_inverse=True)
+        one = lambda v: pa.ListArray.from_arrays(pa.array([0, len(v)], pa.int32()), v)
+        return pa.RecordBatch.from_arrays([one(v) for v in (pa.concat_arrays(ids), pa.array(sizes), pa.array(terms), pa.array(at.astype(np.int32)))], ["ids", "sizes", "terms", "at"])
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, lists, n, terms = [], [], 0, 0
+        for batch in batches:
+            start, ends = 0, np.cumsum(batch.column(1).value_lengths().to_numpy(zero_copy_only=False))
+            while start < batch.num_rows:
+                before = ends[start - 1] if start else 0
+                fit = int(np.searchsorted(ends, before + TERMS - terms, "right"))
+                end = min(start + most - n, fit)
+                if end <= start and not n:
+                    end = start + 1
+                if end > start:
+                    ids.append(batch.column(0).slice(start, end - start))
+                    lists.append(batch.column(1).slice(start, end - start))
+                    n, terms, start = n + end - start, terms + int(ends[end - 1] - before), end
+                if start < batch.num_rows:
+                    yield packed(ids, lists)
+                    ids, lists, n, terms = [], [], 0, 0
+        if n:
+            yield packed(ids, lists)
+
+    return pack
+
+
+def _met(threshold: float, tile: int, frequent: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Two blocks a row: the pairs of their rows that are similar. Terms that many rows have meet by a product of matrices, others by lists."""
+    share = threshold / (1 + threshold)  # of both sizes, that a similar pair has in common
+
+    class Side:
+        """Rows of a block that may have a partner, with those of their terms that both blocks have."""
+
+        def __init__(self, sizes: np.ndarray, at: np.ndarray, to: np.ndarray, other: np.ndarray) -> None:
+            owner, term = np.repeat(np.arange(len(sizes)), sizes), to[at]
+            owner, term = owner[term >= 0], term[term >= 0]
+            most = np.minimum(np.bincount(owner, minlength=len(sizes)), other.max())
+            self.rows = np.flatnonzero(most + 1e-6 >= share * (sizes + float(other.min())))
+            place = np.full(len(sizes), -1)
+            place[self.rows] = np.arange(len(self.rows))
+            kept = place[owner] >= 0
+            self.owner, self.term, self.sizes = place[owner[kept]], term[kept], sizes[self.rows].astype(np.float32)
+
+        def cut(self, column: np.ndarray, columns: int) -> None:
+            often = column[self.term] >= 0
+            self.table = np.zeros((len(self.rows), columns), np.float32)
+            self.table[self.owner[often], column[self.term[often]]] = 1
+            self.owner, self.term = self.owner[~often], self.term[~often]
+            edges = np.searchsorted(self.owner, np.arange(0, len(self.rows) + tile, tile))
+            self.lists = [(self.owner[a:b] - k * tile, self.term[a:b]) for k, (a, b) in enumerate(zip(edges, edges[1:]))]
+            self.tiles = [slice(k, k + tile) for k in range(0, len(self.rows), tile)]
+
+    def by_term(rows: np.ndarray, term: np.ndarray, terms: int) -> tuple[np.ndarray, np.ndarray]:
+        return rows[np.argsort(term, kind="stable")], np.concatenate([[0], np.cumsum(np.bincount(term, minlength=terms))])
+
+    def add_lists(both: np.ndarray, mine: tuple[np.ndarray, np.ndarray], rows: np.ndarray, starts: np.ndarray) -> None:
+        owner, times = mine[0], starts[mine[1] + 1] - starts[mine[1]]
+        some = times > 0
+        owner, times, start = owner[some], times[some], starts[mine[1][some]]
+        done = np.cumsum(times)
+        at = 0
+        while at < len(owner):  # 2^21 at once
+            end = max(at + 1, int(np.searchsorted(done, done[at] - times[at] + 2**21, "right")))
+            t = times[at:end]
+            which = np.repeat(start[at:end] - (np.cumsum(t) - t), t) + np.arange(t.sum())
+            np.add.at(both.reshape(-1), np.repeat(owner[at:end] * both.shape[1], t) + rows[which], np.float32(1))
+            at = end
+
+    def pairs(x: dict[str, np.ndarray], y: dict[str, np.ndarray], same: bool) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        shared, ix, iy = np.intersect1d(x["terms"], y["terms"], assume_unique=True, return_indices=True)
+        sides = []
+        for side, i, other in ((x, ix, y), (y, iy, x)):
+            to = np.full(len(side["terms"]), -1)
+            to[i] = np.arange(len(shared))
+            sides.append(Side(side["sizes"], side["at"], to, other["sizes"]))
+        a, b = sides
+        if not len(a.rows) or not len(b.rows):
+            return
+        count = [np.bincount(s.term, minlength=len(shared)) * (tile / max(tile, len(s.rows))) for s in sides]
+        often = np.flatnonzero(count[0] * count[1] >= frequent**2)
+        often = often[np.argsort(-(count[0] * count[1])[often], kind="stable")[:COLUMNS]]
+        column = np.full(len(shared), -1)
+        column[often] = np.arange(len(often))
+        for s in sides:
+            s.cut(column, len(often))
+        ordered = [by_term(*mine, len(shared)) for mine in b.lists[: len(b.tiles)]]
+        for i, p in enumerate(a.tiles):
+            for j, q in enumerate(b.tiles):
+                if same and j < i or share * (a.sizes[p].min() + b.sizes[q].min()) > min(a.sizes[p].max(), b.sizes[q].max()) + 1e-3:
+                    continue
+                both = a.table[p] @ b.table[q].T
+                add_lists(both, a.lists[i], *ordered[j])
+                both -= a.sizes[p][:, None] * np.float32(share) - np.float32(1e-3)
+                r, c = np.divmod(np.flatnonzero(both >= b.sizes[q] * np.float32(share)), both.shape[1])
+                n = np.rint(both[r, c] + a.sizes[p][r] * share)
+                s = n / (a.sizes[p][r].astype(np.float64) + b.sizes[q][c] - n)
+                kept = (s >= threshold - 1e-9) & ((i != j) | (r < c) if same else True)
+                if kept.any():
+                    yield a.rows[p][r[kept]], b.rows[q][c[kept]], s[kept]
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                value = lambda c: batch.column(batch.schema.get_field_index(c))[k]  # noqa: B023, E731
+                x, y = ({c: value(f"{side}_{c}").values.to_numpy() for c in ("sizes", "terms", "at")} for side in "xy")
+                for i, j, s in pairs(x, y, value("x_n") == value("y_n")):
+                    yield pa.RecordBatch.from_arrays([value("x_ids").values.take(pa.array(i)), value("y_ids").values.take(pa.array(j)), pa.array(s)], ["a", "b", "similarity"])
+
+    return meet
 
 
 def resolve_chain(links: DataFrame, key: str, target: str, hops: int) -> DataFrame:
