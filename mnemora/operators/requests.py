@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from mnemora.functions import gates, matching, scores, visibility
 from mnemora.functions.text import let, tokens
+from mnemora.storage import written
 
 from .retrieval import B, K1
 
@@ -27,12 +28,15 @@ def routed(requests: DataFrame) -> DataFrame:
     return requests.withColumn("route", gates.route(F.col("query")))
 
 
-def candidates(requests: DataFrame, facts: DataFrame) -> DataFrame:
+def candidates(requests: DataFrame, facts: DataFrame, cut: bool = True) -> DataFrame:
     """Requests with the live facts (all columns) that they look at: their speakers', nobody's, the bot's and the owner's.
 
     The surest and newest OWN of each speaker take part, and of these the OWN best of a request, and OWNERS of the
-    owner's besides. A speaker with very many facts is cut before anything is joined.
+    owner's besides. A speaker with very many facts is cut before anything is joined. With cut=False all of them take
+    part, for requests so few that they are sent to the facts.
     """
+    if not cut:
+        return _meeting(requests, facts.where("status = 'live'"), F.concat("speaker_ids", F.array(*[F.lit(x) for x in visibility.COMMON_IDS], F.lit("#owner"))), _fact_keys())
     best = [F.desc("confidence"), F.desc("updated_at"), F.col("id")]
     first = lambda d, n, *by: d.withColumn("_n", F.row_number().over(Window.partitionBy(*by).orderBy(*best))).where(F.col("_n") <= n).drop("_n")
     live = facts.where("status = 'live'")
@@ -101,11 +105,22 @@ def with_words(visible: DataFrame, content: Column) -> DataFrame:
     return d.withColumn("words", F.when(c("_best") > 0, score / c("_best")).otherwise(0.0)).drop("_w", "_mean", "_idf", "_best")
 
 
+def _worded(seen: DataFrame, cut: bool) -> DataFrame:
+    """Facts seen with `words`, 0 where they have none of their query's: of short lists, or (not cut) of all rows of few requests."""
+    if not cut:
+        return with_words(seen, F.col("content"))
+    return seen.join(word_scores(seen), ["request_id", "id"], "left").withColumn("words", F.coalesce("words", F.lit(0.0)))
+
+
+def _fact_keys() -> Column:
+    return F.array(F.col("speaker_id"), F.when(F.col("scope") == "owner", "#owner"))
+
+
 def _matched() -> Column:
     return matching.names(F.col("query"), F.array("value", "content"))
 
 
-def ranked_facts(requests: DataFrame, facts: DataFrame, as_of: int, top: int = 16, importance: float = 0.0, vectors: DataFrame | None = None, vectors_from: int = 0) -> DataFrame:
+def ranked_facts(requests: DataFrame, facts: DataFrame, as_of: int, top: int = 16, importance: float = 0.0, vectors: DataFrame | None = None, vectors_from: int = 0, cut: bool = True) -> DataFrame:
     """The ranked candidates of every request: rank by the local score, `score` by the fused one, and `matched`.
 
     A greeting (route low_info) gets nothing, unless a fact that it may see is named in it: then it is a recall.
@@ -113,12 +128,18 @@ def ranked_facts(requests: DataFrame, facts: DataFrame, as_of: int, top: int = 1
     vectors (id, vector): those of facts; requests then have a `vector` of their query, or null. What a request may see is
     also ranked by cosine, where it sees `vectors_from` facts or more, and the heads of both lists are fused: `rank` is by
     the sum of reciprocal ranks, ties as the local score has them. Facts meet their vectors by id after they are cut.
+    cut: that of `candidates`.
     """
-    met = judged(candidates(requests, facts), as_of).withColumn("matched", _matched())
-    named = F.max((F.col("matched") & (F.col("reason") == "visible")).cast("int")).over(Window.partitionBy("request_id"))
-    met = met.withColumn("_named", named).where((F.col("route") != "low_info") | (F.col("_named") == 1))
+    met = judged(candidates(requests, facts, cut), as_of).withColumn("matched", _matched())
+    if cut:
+        named = F.max((F.col("matched") & (F.col("reason") == "visible")).cast("int")).over(Window.partitionBy("request_id"))
+        met = met.withColumn("_named", named)
+    else:
+        named = met.where("route = 'low_info' and matched and reason = 'visible'").select("request_id").distinct().withColumn("_named", F.lit(1))
+        met = met.join(F.broadcast(named), "request_id", "left")  # no more rows than requests
+    met = met.where((F.col("route") != "low_info") | (F.col("_named") == 1))
     seen = met.withColumn("route", F.when(F.col("route") == "low_info", "recall").otherwise(F.col("route"))).where("reason = 'visible'").drop("_named", "reason")
-    d = seen.join(word_scores(seen), ["request_id", "id"], "left").withColumn("words", F.coalesce("words", F.lit(0.0)))
+    d = _worded(seen, cut)
     now = F.lit(as_of)
     own = F.array_contains("speaker_ids", F.col("speaker_id"))
     stale = (F.col("route") == "current_status") & (now - F.col("updated_at") > 2 * 86400)
@@ -183,14 +204,16 @@ def chosen(ranked: DataFrame, top: int = 16, balance: float = 0.7) -> DataFrame:
     return d.groupBy("request_id").applyInPandas(pick, f"request_id {dict(ranked.dtypes)['request_id']}, id {dict(ranked.dtypes)['id']}, place int")
 
 
-def bundles(requests: DataFrame, facts: DataFrame, as_of: int, top: int = 16, core: int = 4, related: int = 6, uncertain: int = 3, injected: DataFrame | None = None, vectors: DataFrame | None = None, vectors_from: int = 0) -> DataFrame:
+def bundles(requests: DataFrame, facts: DataFrame, as_of: int, top: int = 16, core: int = 4, related: int = 6, uncertain: int = 3, injected: DataFrame | None = None, vectors: DataFrame | None = None, vectors_from: int = 0, cut: bool = True) -> DataFrame:
     """What each request gets: (request_id, route, bucket, position, id, content, ...), the whole read path.
 
     route, candidates, visibility, ranks, diversity, then novelty (what the query says already, and what `injected`
     (request_id, id) had lately unless named, goes; pinned facts stay), then buckets: unsure facts apart; named ones,
     and sure ones of the asker, the owner or pinned about lasting things, are core up to `core`; the rest are related.
+    With cut=False all facts that a request meets are ranked; their heads are written, so that this is done once.
     """
-    ranked = ranked_facts(requests, facts, as_of, top, vectors=vectors, vectors_from=vectors_from)
+    ranked = ranked_facts(requests, facts, as_of, top, vectors=vectors, vectors_from=vectors_from, cut=cut)
+    ranked = ranked if cut else written(ranked, "ranked")
     d = ranked.join(chosen(ranked, top), ["request_id", "id"])
     if injected is not None:
         d = d.join(injected.select("request_id", "id", F.lit(True).alias("_lately")), ["request_id", "id"], "left")
@@ -208,24 +231,27 @@ def bundles(requests: DataFrame, facts: DataFrame, as_of: int, top: int = 16, co
     return d.where(F.col("position") <= most).drop("_kind", "_n")
 
 
-def histories(requests: DataFrame, facts: DataFrame, limit: int) -> DataFrame:
+def histories(requests: DataFrame, facts: DataFrame, limit: int, cut: bool = True) -> DataFrame:
     """Of requests with start and end of a time: the facts that are over and held within it, ranked, with `current`.
 
-    current: the text of the live fact that three links of superseded_by lead to at most, else null.
+    current: the text of the live fact that three links of superseded_by lead to at most, else null. The newest OWN of a
+    request are ranked; with cut=False all of them, for requests so few that they are sent to the facts.
     """
     closed = facts.where("status != 'live' and speaker_id != 'bot_self'")
-    keys = F.explode(F.array_distinct(F.concat("speaker_ids", F.array(F.lit("#owner"))))).alias("_key")
-    keyed = closed.withColumn("_key", F.col("speaker_id")).unionByName(closed.where("scope = 'owner'").withColumn("_key", F.lit("#owner")))
     c = F.col
     within = (c("created_at") <= c("end")) & (c("updated_at") >= c("start")) & ((c("expires_at") == 0) | (c("expires_at") >= c("start")))
-    met = requests.select("*", keys).join(keyed, "_key").where(within).drop("_key").dropDuplicates(["request_id", "id"])
-    newest = F.row_number().over(Window.partitionBy("request_id").orderBy(F.desc("updated_at"), "id"))
-    met = met.withColumn("_n", newest).where(c("_n") <= OWN).drop("_n")
+    asked = F.concat("speaker_ids", F.array(F.lit("#owner")))
+    if cut:
+        keyed = closed.withColumn("_key", c("speaker_id")).unionByName(closed.where("scope = 'owner'").withColumn("_key", F.lit("#owner")))
+        met = requests.select("*", F.explode(F.array_distinct(asked)).alias("_key")).join(keyed, "_key").where(within).drop("_key").dropDuplicates(["request_id", "id"])
+        newest = F.row_number().over(Window.partitionBy("request_id").orderBy(F.desc("updated_at"), "id"))
+        met = met.withColumn("_n", newest).where(c("_n") <= OWN).drop("_n")
+    else:
+        met = _meeting(requests, closed, asked, _fact_keys()).where(within)
     reason = visibility.history_reason(c("persona_id"), c("scope"), c("speaker_id"), c("speaker_name"), c("origin_window"), query=c("query"), ids=c("speaker_ids"), ask_persona=c("ask_persona"), ask_window=c("window_tag"), isolation=c("isolation"), owners=c("owners"))
-    seen = met.where(reason == "visible")
-    d = seen.join(word_scores(seen), ["request_id", "id"], "left")
+    d = _worded(met.where(reason == "visible"), cut)
     inside = F.least(c("end") - c("start"), c("end") - F.greatest("start", "created_at")) > 0
-    s = scores.history_score(F.coalesce("words", F.lit(0.0)), scores.age_days(c("as_of"), c("updated_at")), c("confidence"), c("pinned"), inside, F.lit(False))
+    s = scores.history_score(c("words"), scores.age_days(c("as_of"), c("updated_at")), c("confidence"), c("pinned"), inside, F.lit(False))
     d = d.withColumn("score", F.round(s, 9)).withColumn("rank", F.row_number().over(Window.partitionBy("request_id").orderBy(F.desc("score"), "id"))).where(c("rank") <= limit)
     step = facts.select(c("id").alias("_to"), c("status").alias("_status"), c("content").alias("_text"), c("superseded_by").alias("_next"))
     d = d.withColumn("_at", c("superseded_by")).withColumn("current", F.lit(None).cast("string"))

@@ -118,13 +118,14 @@ def retrieve_bundle(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(None)
 def retrieve_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Facts, histories and episodes of each request as one text of 400 characters."""
+    """Facts, histories and episodes of each request, the best of all that it meets, as one text of 400 characters."""
     empty, asks, facts, c = F.lit(""), asked(spark), memory_facts(spark, sf_dir), F.col
-    found = requests.blocks(requests.bundles(asks, facts, AS_OF))
+    found = requests.blocks(requests.bundles(asks, facts, AS_OF, cut=False))
     line = render.fact_line(F.col("scope"), F.col("speaker_name"), F.col("speaker_id"), F.col("attribute"), empty, F.col("content"), F.col("value"), empty, F.when(F.col("bucket") == "uncertain", "uncertain").otherwise("mention"))
-    past = requests.histories(asks.where("route = 'history'"), facts, 6)
+    past = requests.histories(asks.where("route = 'history'"), facts, 6, cut=False)
     then = render.history_line(c("scope"), c("speaker_name"), c("speaker_id"), c("content"), c("created_at"), c("updated_at"), F.coalesce("current", empty))
-    seen = requests.ranked_episodes(asks, event_episodes(spark, sf_dir), 2).join(event_episodes(spark, sf_dir).select("id", "scope", "title", "summary", "start_ts", "review_status", F.get("event_speakers", F.lit(0)).alias("_who")), "id")
+    best = F.broadcast(requests.ranked_episodes(asks, event_episodes(spark, sf_dir), 2))  # two rows for each request
+    seen = best.join(event_episodes(spark, sf_dir).select("id", "scope", "title", "summary", "start_ts", "review_status", F.get("event_speakers", F.lit(0)).alias("_who")), "id")
     told = render.episode_line(c("scope"), empty, c("_who"), F.lit("talk"), c("title"), c("summary"), c("start_ts"), c("review_status"))
     lines = [found.withColumn("line", line), past.withColumns({"block": F.lit("history"), "position": c("rank"), "line": then}), seen.withColumns({"block": F.lit("events"), "position": c("rank"), "line": told})]
     one = lambda d: d.select("request_id", "block", F.col("position").cast("int").alias("position"), "line")
