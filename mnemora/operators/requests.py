@@ -2,7 +2,8 @@
 
 A request is a row: request_id, query, speaker_ids array<string>, persona_id, window_tag, isolation, owners array<string>,
 and route and the time asked for once `routed` has added them. Requests meet facts by an equality of speakers, after each
-speaker's facts have been cut to those that any one request may look at, so nothing is compared pair by pair.
+speaker's facts have been cut to those that any one request may look at, so nothing is compared pair by pair. Where nothing
+is cut (episodes, and facts with cut=False), requests are few and sent to the rows that they meet.
 """
 
 from __future__ import annotations
